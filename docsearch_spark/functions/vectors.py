@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docsearch_spark.functions.text import col_
+from docsearch_spark.functions.text import col_, let
 
 NORM_EPS = 1e-12
 
@@ -29,7 +29,8 @@ def norm(v) -> Column:
 
 def cosine_similarity(a, b) -> Column:
     """dot / (|a| |b|); NULL when either vector is zero (no NaN, no error)."""
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
+    return let(as_double(a), lambda x: let(as_double(b), lambda y: F.try_divide(
+        dot(x, y), norm(x) * norm(y))))
 
 
 def cosine_distance(a, b) -> Column:
@@ -44,8 +45,8 @@ def l2_distance(a, b) -> Column:
 
 def l2_normalize(v, eps: float = NORM_EPS) -> Column:
     """``v / (|v| + eps)`` in DOUBLE; a zero vector stays zero."""
-    n = norm(v)
-    return F.transform(as_double(v), lambda x: x / (n + F.lit(eps)))
+    return let(as_double(v), lambda d: let(norm(d) + F.lit(eps),
+                                          lambda n: F.transform(d, lambda x: x / n)))
 
 
 def score_from_distance(dist) -> Column:

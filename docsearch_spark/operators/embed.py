@@ -61,8 +61,9 @@ def sparse_vector(text, dim: int = EMBED_DIM) -> Column:
 
         def finish(counts):
             n = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-            return F.struct(F.transform(ends, lambda e: F.element_at(b, e)).alias("idx"),
-                            F.transform(counts, lambda x: x / n).alias("val"))
+            return let(n, lambda nn: F.struct(
+                F.transform(ends, lambda e: F.element_at(b, e)).alias("idx"),
+                F.transform(counts, lambda x: x / nn).alias("val")))
         return let(tf, finish)
 
     return let(buckets, lambda b: let(_run_ends(b), lambda ends: with_ends(b, ends)))

@@ -33,6 +33,9 @@ from docsearch_spark.functions.vectors import cosine_distance, l2_distance
 from docsearch_spark.schemas import NORM_EPS, TOP_K_DEFAULT, TOP_K_MAX, TOP_K_MIN
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# Scores equal to this many decimal places are ties (cut by id ascending), so
+# results do not depend on floating-point summation order.
+TIE_DECIMALS = 12
 
 
 @dataclass(frozen=True)
@@ -163,7 +166,7 @@ def _scan_fn(bq, spec, dim: int, mode: str, id_col: str, exclude_same: bool,
                 key = -val
             else:
                 val = qn @ cn.T
-                key = val.copy()
+                key = np.round(val, TIE_DECIMALS)
             usable = qok[:, None] & cok[None, :]
             val = np.where(usable, val, np.nan)
             key = np.where(usable, key, -np.inf)
@@ -184,7 +187,8 @@ def _scan_fn(bq, spec, dim: int, mode: str, id_col: str, exclude_same: bool,
             if mode == "l2" and qi.size:  # exact distance for the kept pairs
                 s = np.where(np.isnan(s), np.nan,
                              np.sqrt(((qmat[qi] - cmat[ci]) ** 2).sum(1)))
-            k_ = key[qi, ci] if mode != "l2" else np.where(np.isnan(s), -np.inf, -s)
+            k_ = (key[qi, ci] if mode != "l2"
+                  else np.where(np.isnan(s), -np.inf, -np.round(s, TIE_DECIMALS)))
             acc = [np.concatenate([acc[0], qi]), np.concatenate([acc[1], ids[ci].astype(object)]),
                    np.concatenate([acc[2], s]), np.concatenate([acc[3], k_])]
             pending += qi.size
@@ -281,7 +285,8 @@ def topk_scan(index: DataFrame, index_id: str, index_vec, queries: DataFrame, qu
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
-    order = (F.col("value").asc_nulls_last() if mode == "l2" else F.col("value").desc_nulls_last())
+    rounded = F.round(F.col("value"), TIE_DECIMALS)
+    order = rounded.asc_nulls_last() if mode == "l2" else rounded.desc_nulls_last()
     w = Window.partitionBy("query_id").orderBy(order, F.col("doc_id").asc())
     kmax = k if k is not None else TOP_K_MAX
     return (cand.withColumn("rank", F.row_number().over(w))
@@ -393,3 +398,76 @@ def ann_recall(exact: DataFrame, approx: DataFrame) -> DataFrame:
     return (e.join(a, ["query_id", "doc_id"], "left")
             .groupBy("query_id")
             .agg((F.sum(F.coalesce("__hit", F.lit(0))) / F.count("__one")).alias("recall")))
+
+
+# --------------------------------------------------------------------------
+# rank of a given (score, id) pair in a full ranking, without sorting
+
+
+def _count_fn(bq, spec, dim: int, mode: str, id_col: str, qid_arrow_type: pa.DataType,
+              decimals: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, qmat, qvalid, thr, tid = bq.value
+        qn, qok = _prepare(qmat, qvalid, mode)
+        counts = np.zeros(qids.size, dtype=np.int64)
+        for rb in batches:
+            if rb.num_rows == 0 or qids.size == 0:
+                continue
+            ids = _sortable(rb.column(id_col).to_numpy(zero_copy_only=False).astype(object))
+            cmat, cvalid = _matrix(rb, spec, dim)
+            cn, cok = _prepare(cmat, cvalid, mode)
+            key = np.round(qn @ cn.T, decimals)
+            key = np.where(qok[:, None] & cok[None, :], key, -np.inf)
+            before = (key > thr[:, None]) | ((key == thr[:, None]) & (ids[None, :] < tid[:, None]))
+            counts += before.sum(axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(qids.tolist(), type=qid_arrow_type), pa.array(counts, type=pa.int64())],
+            names=["query_id", "n_before"])
+    return run
+
+
+def rank_in_full_ranking(index: DataFrame, index_id: str, index_vec, targets: DataFrame,
+                         query_id: str, query_vec, score_col: str, target_id_col: str,
+                         mode: str = "cosine_eps", dim: int | None = None, decimals: int = 12,
+                         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Rank (1-based) that the pair (score, target id) of each question would get in
+    the question's full ranking of ``index`` (score desc, id asc).
+
+    Equals ``1 + #{d : s(q,d) > s or (s(q,d) = s and d < id)}``: one broadcast
+    scan counts, per task, how many index rows come first; a sum merges the
+    counts. Scores are compared at ``decimals`` places so that the target's own
+    score, computed elsewhere, ties with itself.
+    """
+    if dim is None:
+        dim = _vector_dim(index, index_vec)
+    sc = index.sparkSession.sparkContext
+    nq = targets.count()
+    n_slices = max(1, math.ceil(nq * (dim * 8 + 64) / max_broadcast_bytes))
+    idx = ensure_parallelism(index.select(index_id, *_cols(index_vec)))
+    qid_type = _arrow_type(targets.schema[query_id].dataType)
+    schema = T.StructType([T.StructField("query_id", targets.schema[query_id].dataType, True),
+                           T.StructField("n_before", T.LongType(), True)])
+    parts = []
+    for s in range(n_slices):
+        ts = targets if n_slices == 1 else targets.filter(
+            F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_slices)) == s)
+        tbl = ts.select(F.col(query_id).alias("__qid"), *[F.col(c) for c in _cols(query_vec)],
+                        F.round(F.col(score_col), decimals).alias("__thr"),
+                        F.col(target_id_col).alias("__tid")).toArrow()
+        bs = tbl.combine_chunks().to_batches()
+        if not bs:
+            continue
+        b = bs[0]
+        mat, valid = _matrix(b, query_vec, dim)
+        payload = (_sortable(b.column("__qid").to_numpy(zero_copy_only=False).astype(object)), mat, valid,
+                   b.column("__thr").to_numpy(zero_copy_only=False).astype(np.float64),
+                   _sortable(b.column("__tid").to_numpy(zero_copy_only=False).astype(object)))
+        bq = sc.broadcast(payload)
+        parts.append(idx.mapInArrow(_count_fn(bq, index_vec, dim, mode, index_id, qid_type, decimals),
+                                    schema))
+    if not parts:
+        return targets.sparkSession.createDataFrame([], schema.add("rank", T.LongType()))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    return allp.groupBy("query_id").agg((F.sum("n_before") + F.lit(1)).alias("rank"))

@@ -228,3 +228,231 @@ def entry(spark: SparkSession) -> DataFrame:
     """Minimum slice: which passages of the corpus match each benchmark question."""
     h = text_topk(spark, "/root/testdata/sf0.001", k=5)
     return h.select("query_id", "rank", "doc_id", "chunk_index", r6(F.col("score")).alias("score"))
+
+
+# --------------------------------------------------------------------------
+# E: evaluation on the embeddings table (relevant = same label, other id)
+
+from docsearch_spark.operators import evaluate as E  # noqa: E402
+from docsearch_spark.operators import passages  # noqa: E402
+
+EVAL_KS = (1, 3, 5, 10)
+
+
+def vec_qrels(spark, sf, graded: bool = False) -> DataFrame:
+    """Every vector is a query; its relevant documents share its label."""
+    v = tables.vectors(spark, sf).select("vec_id", "label")
+    a, b = v.alias("a"), v.alias("b")
+    g = (F.lit(1) + F.pmod(F.col("b.vec_id"), F.lit(3))) if graded else F.lit(1)
+    return (a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id")))
+            .select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("doc_id"),
+                    g.cast("int").alias("grade")))
+
+
+def _metric_out(rows: DataFrame) -> DataFrame:
+    return rows.select("metric", "k", r6(F.col("value")).alias("value"))
+
+
+def eval_vectors(spark, sf, graded=False, max_corpus=0, max_queries=0):
+    v = tables.vectors(spark, sf)
+    spec = search.Dense("embedding")
+    return E.metric_rows(v, "vec_id", spec, v, "vec_id", spec, vec_qrels(spark, sf, graded),
+                         EVAL_KS, max_corpus=max_corpus, max_queries=max_queries)
+
+
+def _sql_vec_qrels(graded=False):
+    g = "1 + b.vec_id % 3" if graded else "1"
+    return f"""SELECT a.vec_id AS query_id, b.vec_id AS doc_id, CAST({g} AS INTEGER) AS grade
+               FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id"""
+
+
+def _sql_metrics(qrels_sql: str, sims_sql: str, corpus_sql: str, ks=EVAL_KS, max_queries: int = 0) -> str:
+    """Generic DuckDB twin of metric_rows.
+
+    ``sims_sql`` yields (query_id, doc_id, sim) for all pairs of the query set and corpus.
+    """
+    kl = ", ".join(str(k) for k in ks)
+    qcap = f"QUALIFY row_number() OVER (ORDER BY CAST(query_id AS VARCHAR)) <= {max_queries}" if max_queries else ""
+    return f"""
+    WITH corpus AS ({corpus_sql}),
+    qf AS (SELECT * FROM ({qrels_sql}) WHERE grade > 0 AND doc_id IN (SELECT doc_id FROM corpus)),
+    qids0 AS (SELECT DISTINCT query_id FROM qf),
+    qids AS (SELECT query_id FROM qids0 {qcap}),
+    qf2 AS (SELECT * FROM qf WHERE query_id IN (SELECT query_id FROM qids)),
+    sims AS (SELECT * FROM ({sims_sql}) WHERE query_id IN (SELECT query_id FROM qids)
+                                          AND doc_id IN (SELECT doc_id FROM corpus)),
+    rk AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id
+                   ORDER BY round(sim, 12) DESC, doc_id) AS rank
+           FROM sims WHERE CAST(doc_id AS VARCHAR) <> CAST(query_id AS VARCHAR)),
+    h AS (SELECT t.query_id, t.rank, coalesce(qf2.grade, 0) AS grade,
+                 CASE WHEN qf2.grade > 0 THEN 1 ELSE 0 END AS is_rel
+          FROM rk t LEFT JOIN qf2 USING (query_id, doc_id) WHERE t.rank <= {max(ks)}),
+    h2 AS (SELECT *, sum(is_rel) OVER (PARTITION BY query_id ORDER BY rank
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM h),
+    ks AS (SELECT unnest([{kl}]) AS k),
+    nrel AS (SELECT query_id, count(*) AS n_rel FROM qf2 GROUP BY query_id),
+    ideal AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS irank
+              FROM qf2),
+    idcg AS (SELECT query_id, k, sum(grade / log2(irank + 1)) AS idcg FROM ideal, ks WHERE irank <= k GROUP BY ALL),
+    agg AS (SELECT query_id, k, sum(is_rel) AS n_hit,
+                   sum(CASE WHEN is_rel = 1 THEN upto / rank ELSE 0 END) AS ap,
+                   sum(CASE WHEN is_rel = 1 THEN grade / log2(rank + 1) ELSE 0 END) AS dcg
+            FROM h2, ks WHERE rank <= k GROUP BY ALL),
+    pq AS (SELECT qids.query_id, ks.k,
+                  coalesce(coalesce(agg.dcg, 0) / idcg.idcg, 0) AS ndcg,
+                  coalesce(coalesce(agg.ap, 0) / nrel.n_rel, 0) AS map,
+                  coalesce(coalesce(agg.n_hit, 0) / nrel.n_rel, 0) AS recall,
+                  coalesce(agg.n_hit, 0) / ks.k AS precision
+           FROM qids CROSS JOIN ks
+           LEFT JOIN agg ON agg.query_id = qids.query_id AND agg.k = ks.k
+           LEFT JOIN idcg ON idcg.query_id = qids.query_id AND idcg.k = ks.k
+           LEFT JOIN nrel ON nrel.query_id = qids.query_id),
+    means AS (SELECT ks.k, avg(ndcg) AS ndcg, avg(map) AS map, avg(recall) AS recall, avg(precision) AS precision
+              FROM ks LEFT JOIN pq USING (k) GROUP BY ks.k),
+    full_rank AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id
+                          ORDER BY round(sim, 12) DESC, doc_id) AS rank FROM sims),
+    first_rel AS (SELECT f.query_id, min(f.rank) AS r FROM full_rank f JOIN qf2 USING (query_id, doc_id) GROUP BY ALL),
+    mrr AS (SELECT coalesce(avg(coalesce(1.0 / first_rel.r, 0)), 0) AS v FROM qids LEFT JOIN first_rel USING (query_id))
+    SELECT 'ndcg' AS metric, CAST(k AS INTEGER) AS k, round(round(coalesce(ndcg, 0), 5), 6) AS value FROM means
+    UNION ALL SELECT 'map', CAST(k AS INTEGER), round(round(coalesce(map, 0), 5), 6) FROM means
+    UNION ALL SELECT 'recall', CAST(k AS INTEGER), round(round(coalesce(recall, 0), 5), 6) FROM means
+    UNION ALL SELECT 'precision', CAST(k AS INTEGER), round(round(coalesce(precision, 0), 5), 6) FROM means
+    UNION ALL SELECT 'mrr', CAST(NULL AS INTEGER), round(v, 6) FROM mrr"""
+
+
+_SQL_VEC_SIMS = f"""SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {S.cosine_eps('q.embedding', 'd.embedding')} AS sim
+                    FROM embeddings q, embeddings d"""
+_SQL_VEC_CORPUS = "SELECT vec_id AS doc_id FROM embeddings"
+
+
+@register("eval_metrics", _sql_metrics(_sql_vec_qrels(), _SQL_VEC_SIMS, _SQL_VEC_CORPUS))
+def q_eval_metrics(spark, sf):
+    rows, _, _ = eval_vectors(spark, sf)
+    return _metric_out(rows)
+
+
+@register("eval_metrics_graded", _sql_metrics(_sql_vec_qrels(True), _SQL_VEC_SIMS, _SQL_VEC_CORPUS))
+def q_eval_metrics_graded(spark, sf):
+    rows, _, _ = eval_vectors(spark, sf, graded=True)
+    return _metric_out(rows)
+
+
+_CAP_CORPUS = 250
+_CAP_QUERIES = 100
+_SQL_CAPPED_CORPUS = (f"SELECT vec_id AS doc_id FROM embeddings "
+                      f"ORDER BY CAST(vec_id AS VARCHAR) LIMIT {_CAP_CORPUS}")
+
+
+@register("eval_metrics_capped", _sql_metrics(_sql_vec_qrels(), _SQL_VEC_SIMS, _SQL_CAPPED_CORPUS,
+                                              max_queries=_CAP_QUERIES))
+def q_eval_metrics_capped(spark, sf):
+    rows, _, _ = eval_vectors(spark, sf, max_corpus=_CAP_CORPUS, max_queries=_CAP_QUERIES)
+    return _metric_out(rows)
+
+
+@register("cap_corpus", f"""SELECT vec_id FROM embeddings ORDER BY CAST(vec_id AS VARCHAR) LIMIT {_CAP_CORPUS}""")
+def q_cap_corpus(spark, sf):
+    return E.cap_by_id(tables.vectors(spark, sf).select("vec_id"), "vec_id", _CAP_CORPUS)
+
+
+@register("positive_qrels", "SELECT toxic AS query_id, doc_id, quality AS grade FROM labels WHERE quality > 0")
+def q_positive_qrels(spark, sf):
+    q = tables.read_table(spark, sf, "labels").select(F.col("toxic").alias("query_id"), "doc_id",
+                                                      F.col("quality").alias("grade"))
+    return q.filter(F.col("grade") > 0)
+
+
+@register("filter_qrels", f"""
+    SELECT toxic AS query_id, doc_id, quality AS grade FROM labels
+    WHERE quality > 0 AND doc_id IN (SELECT doc_id FROM documents ORDER BY CAST(doc_id AS VARCHAR)
+                                     LIMIT {_CAP_CORPUS})""")
+def q_filter_qrels(spark, sf):
+    q = tables.read_table(spark, sf, "labels").select(F.col("toxic").alias("query_id"), "doc_id",
+                                                      F.col("quality").alias("grade"))
+    corpus = E.cap_by_id(tables.read_table(spark, sf, "documents").select("doc_id"), "doc_id", _CAP_CORPUS)
+    return E.filter_qrels(q, corpus)
+
+
+@register("eval_report", f"""
+    WITH m AS ({_sql_metrics(_sql_vec_qrels(), _SQL_VEC_SIMS, _SQL_VEC_CORPUS)})
+    SELECT 'embeddings' AS dataset,
+           (SELECT value FROM m WHERE metric = 'mrr') AS mrr,
+           (SELECT CAST(count(DISTINCT a.vec_id) AS INTEGER) FROM embeddings a JOIN embeddings b
+              ON a.label = b.label AND a.vec_id <> b.vec_id) AS num_queries,
+           (SELECT count(*) FROM embeddings) AS corpus_size,
+           (SELECT value FROM m WHERE metric = 'recall' AND k = 10) AS recall_at_10,
+           (SELECT value FROM m WHERE metric = 'ndcg' AND k = 10) AS ndcg_at_10,
+           (SELECT string_agg(metric || '@' || k, ',' ORDER BY metric, k) FROM m WHERE k IS NOT NULL) AS keys""")
+def q_eval_report(spark, sf):
+    rows, nq, cs = eval_vectors(spark, sf)
+    rep = E.metric_report(rows, nq, cs, "embeddings", "dense retrieval on the embeddings table")
+    keys = F.array_join(F.array_sort(F.flatten(F.array(*[
+        F.transform(F.map_keys(c), lambda x: F.lower(F.regexp_replace(x, "^P@", "precision@")))
+        for c in ("recall_at_k", "ndcg_at_k", "map_at_k", "precision_at_k")]))), ",")
+    return rep.select("dataset", r6(F.col("mrr")).alias("mrr"), "num_queries",
+                      F.col("extra")["corpus_size"].cast("bigint").alias("corpus_size"),
+                      r6(F.col("recall_at_k")["Recall@10"]).alias("recall_at_10"),
+                      r6(F.col("ndcg_at_k")["NDCG@10"]).alias("ndcg_at_10"),
+                      keys.alias("keys"))
+
+
+# --------------------------------------------------------------------------
+# E14 on text: benchmark passages as questions, documents containing them relevant
+
+
+def passage_qrels(spark, sf) -> DataFrame:
+    d = tables.read_table(spark, sf, "documents")
+    b = tables.read_table(spark, sf, "benchmark")
+    m = passages.passage_matches(d, "doc_id", "text", b, "item_id", "text")
+    return m.select(F.concat(F.lit("Q"), F.col("item_id").cast("string")).alias("query_id"),
+                    F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("grade"))
+
+
+_SQL_PASSAGE_QRELS = f"""
+    SELECT 'Q' || CAST(b.item_id AS VARCHAR) AS query_id, CAST(d.doc_id AS VARCHAR) AS doc_id, 1 AS grade
+    FROM benchmark b, documents d
+    WHERE length({S.norm_ws('b.text')}) > 0 AND contains({S.norm_ws('d.text')}, {S.norm_ws('b.text')})"""
+
+
+@register("passage_qrels", _SQL_PASSAGE_QRELS)
+def q_passage_qrels(spark, sf):
+    return passage_qrels(spark, sf)
+
+
+def eval_text(spark, sf):
+    d = tables.read_table(spark, sf, "documents")
+    corpus = embed.embed_sparse(
+        d.select(F.col("doc_id").cast("string").alias("doc_id"),
+                 chunking.doc_text(F.col("source"), F.col("text")).alias("t")), "t", TEXT_DIM)
+    qs = embed.embed_sparse(
+        tables.read_table(spark, sf, "benchmark").select(
+            F.concat(F.lit("Q"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("t")),
+        "t", TEXT_DIM)
+    spec = search.Sparse("sv_idx", "sv_val", TEXT_DIM)
+    return E.metric_rows(corpus, "doc_id", spec, qs, "query_id", spec, passage_qrels(spark, sf), EVAL_KS,
+                         dim=TEXT_DIM)
+
+
+def _sql_text_eval_sims() -> str:
+    dw = S.sparse_weights("dt", "doc_id", "t", TEXT_DIM)
+    qw = S.sparse_weights("qt", "query_id", "t", TEXT_DIM)
+    return f"""
+      WITH dt AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_DOC_TEXT_SQL} AS t FROM documents),
+      qt AS (SELECT 'Q' || CAST(item_id AS VARCHAR) AS query_id, text AS t FROM benchmark),
+      dw AS ({dw}), qw AS ({qw}),
+      dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY doc_id),
+      qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY query_id),
+      dots AS (SELECT qw.query_id, dw.doc_id, sum(qw.w * dw.w) AS dot FROM qw JOIN dw USING (b) GROUP BY ALL)
+      SELECT qt.query_id, dt.doc_id,
+             coalesce(dots.dot, 0) / ((coalesce(qn.n, 0) + 1e-12) * (coalesce(dn.n, 0) + 1e-12)) AS sim
+      FROM qt CROSS JOIN dt
+      LEFT JOIN dots ON dots.query_id = qt.query_id AND dots.doc_id = dt.doc_id
+      LEFT JOIN qn ON qn.query_id = qt.query_id
+      LEFT JOIN dn ON dn.doc_id = dt.doc_id"""
+
+
+@register("eval_text", _sql_metrics(_SQL_PASSAGE_QRELS, _sql_text_eval_sims(),
+                                    "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents"))
+def q_eval_text(spark, sf):
+    rows, _, _ = eval_text(spark, sf)
+    return _metric_out(rows)
