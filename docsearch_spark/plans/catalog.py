@@ -61,10 +61,11 @@ def question_vectors(spark: SparkSession, sf: str, top_k=None) -> DataFrame:
     return embed.embed_sparse(tables.questions(spark, sf, top_k), "question", TEXT_DIM)
 
 
-def text_topk(spark: SparkSession, sf: str, k: int = 5, k_col=None) -> DataFrame:
+def text_topk(spark: SparkSession, sf: str, k: int = 5, k_col=None, questions=None) -> DataFrame:
     """R3 on text: every question against every chunk, cosine of hashed vectors."""
     idx = text_index(spark, sf)
-    qv = question_vectors(spark, sf)
+    qv = (question_vectors(spark, sf) if questions is None
+          else embed.embed_sparse(questions, "question", TEXT_DIM))
     spec = search.Sparse("sv_idx", "sv_val", TEXT_DIM)
     hits = search.topk_scan(idx, "chunk_id", spec, qv, "query_id", spec, k=k, k_col=k_col,
                             mode="cosine", dim=TEXT_DIM)
@@ -456,3 +457,218 @@ def _sql_text_eval_sims() -> str:
 def q_eval_text(spark, sf):
     rows, _, _ = eval_text(spark, sf)
     return _metric_out(rows)
+
+
+# --------------------------------------------------------------------------
+# G: grounded answering (benchmark questions, chunks of documents)
+
+from docsearch_spark.functions.text import is_blank  # noqa: E402
+from docsearch_spark.operators import ground as G  # noqa: E402
+
+
+def formula_answers(questions: DataFrame) -> DataFrame:
+    """Deterministic stand-in model: cites S1, S(1 + id % 7) and three labels that
+    never resolve ([S01], [S0], [S99])."""
+    return questions.select("query_id", F.concat(
+        F.lit("Alpha [S1]. Beta [S"), (F.lit(1) + F.pmod(F.col("query_id"), F.lit(7))).cast("string"),
+        F.lit("][S1]. [S01] [S0] [S99]")).alias("answer"))
+
+
+_SQL_FORMULA_ANSWERS = """SELECT item_id AS query_id,
+    'Alpha [S1]. Beta [S' || CAST(1 + item_id % 7 AS VARCHAR) || '][S1]. [S01] [S0] [S99]' AS answer
+    FROM benchmark"""
+
+
+def _sql_prompts(hits_sql: str) -> str:
+    line = ("'[S' || CAST(rank AS VARCHAR) || '] (chunk_id=' || chunk_id || ', file=' || source_path || ')' "
+            "|| chr(10) || content")
+    sep = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    head = "'Question: '"
+    mid = ("chr(10) || chr(10) || 'Use ONLY the sources below. If the answer is not in the sources, say you "
+           "cannot find it in the documents.' || chr(10) || chr(10) || 'Sources:' || chr(10)")
+    tail = ("chr(10) || chr(10) || 'Answer concisely. After each sentence or claim that uses a source, add a "
+            "citation like [S1] or [S2] matching the source label.'")
+    system = ("'You are a careful assistant. Ground every factual claim in the provided sources using [S#] "
+              "citations. Do not invent facts not present in sources.'")
+    return f"""
+      WITH h AS ({hits_sql}),
+      b AS (SELECT query_id, string_agg({line}, {sep} ORDER BY rank) AS block, count(*) AS n FROM h GROUP BY query_id)
+      SELECT q.item_id AS query_id, {system} AS system,
+             {head} || coalesce(q.text, '') || {mid} || b.block || {tail} AS "user",
+             CAST(b.n AS INTEGER) AS n_sources
+      FROM benchmark q JOIN b ON b.query_id = q.item_id"""
+
+
+def _hits(spark, sf, k=5):
+    return text_topk(spark, sf, k=k)
+
+
+@register("build_prompt", _sql_prompts(_sql_text_topk(5)))
+def q_build_prompt(spark, sf):
+    return G.build_prompts(tables.questions(spark, sf), _hits(spark, sf))
+
+
+@register("label_sources", f"""SELECT query_id, rank, chunk_id, 'S' || CAST(rank AS VARCHAR) AS label
+                                FROM ({_sql_text_topk(5)})""")
+def q_label_sources(spark, sf):
+    return _hits(spark, sf).select("query_id", "rank", "chunk_id", G.source_label("rank").alias("label"))
+
+
+@register("answer_stage", f"""
+    SELECT query_id, {S.py_strip("CASE WHEN length(regexp_extract(content, '^(.+?[.!?])(?:\\s|$)', 1)) > 0 "
+                                 "THEN regexp_extract(content, '^(.+?[.!?])(?:\\s|$)', 1) ELSE content END || ' [S1]'")}
+           AS answer
+    FROM ({_sql_text_topk(5)}) WHERE rank = 1""")
+def q_answer_stage(spark, sf):
+    return G.extractive_answers(_hits(spark, sf))
+
+
+@register("extract_citations", f"""
+    SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1))) AS label
+    FROM ({_SQL_FORMULA_ANSWERS})""")
+def q_extract_citations(spark, sf):
+    a = formula_answers(tables.questions(spark, sf))
+    return a.select("query_id", F.explode(G.citation_labels("answer")).alias("label"))
+
+
+_SQL_RESOLVED = f"""
+    WITH h AS ({_sql_text_topk(5)}),
+    labs AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1))) AS lab
+             FROM ({_SQL_FORMULA_ANSWERS}))
+    SELECT labs.query_id,
+           CAST(row_number() OVER (PARTITION BY labs.query_id ORDER BY CAST(lab AS DECIMAL(38,0)), lab) AS INTEGER)
+             AS cite_pos,
+           h.chunk_id, h.doc_id, h.source_path
+    FROM labs JOIN h ON h.query_id = labs.query_id AND 'S' || labs.lab = 'S' || CAST(h.rank AS VARCHAR)"""
+
+
+@register("resolve_citations", _SQL_RESOLVED)
+def q_resolve_citations(spark, sf):
+    return G.resolve_citations(formula_answers(tables.questions(spark, sf)), _hits(spark, sf))
+
+
+@register("citation_lines", f"""SELECT query_id, cite_pos AS line_no,
+                                   '  - ' || chunk_id || ' (' || source_path || ')' AS line
+                                FROM ({_SQL_RESOLVED})""")
+def q_citation_lines(spark, sf):
+    return G.citation_lines(G.resolve_citations(formula_answers(tables.questions(spark, sf)),
+                                                _hits(spark, sf)))
+
+
+# B6, B7 on the derived question table: top_k = (item_id % 60) - 2, blank text for item_id % 10 = 0
+
+
+def question_fixture(spark, sf) -> DataFrame:
+    b = tables.read_table(spark, sf, "benchmark")
+    text = F.when(F.pmod(F.col("item_id"), F.lit(10)) == 0, F.repeat(F.lit(" "), F.length("text"))) \
+        .otherwise(F.col("text"))
+    return b.select(F.col("item_id").alias("query_id"), text.alias("question"),
+                    (F.pmod(F.col("item_id"), F.lit(60)) - F.lit(2)).cast("int").alias("top_k"))
+
+
+_SQL_QFIX = """SELECT item_id AS query_id,
+    CASE WHEN item_id % 10 = 0 THEN repeat(' ', length(text)) ELSE text END AS question,
+    CAST(item_id % 60 - 2 AS INTEGER) AS top_k FROM benchmark"""
+_SQL_CLAMP = "CAST(greatest(1, least(coalesce(top_k, 5), 50)) AS INTEGER)"
+
+
+@register("clamp_top_k", f"SELECT query_id, top_k, {_SQL_CLAMP} AS top_k_clamped FROM ({_SQL_QFIX})")
+def q_clamp_top_k(spark, sf):
+    return question_fixture(spark, sf).select("query_id", "top_k",
+                                              search.clamp_top_k("top_k").alias("top_k_clamped"))
+
+
+@register("validate_questions", f"""
+    SELECT query_id, length({S.py_strip("coalesce(question, '')")}) > 0 AS accepted,
+           CASE WHEN length({S.py_strip("coalesce(question, '')")}) > 0 THEN NULL
+                ELSE 'question is required' END AS reason
+    FROM ({_SQL_QFIX})""")
+def q_validate_questions(spark, sf):
+    q = question_fixture(spark, sf)
+    ok = ~is_blank("question")
+    return q.select("query_id", ok.alias("accepted"),
+                    F.when(ok, F.lit(None).cast("string")).otherwise(F.lit("question is required")).alias("reason"))
+
+
+def answer_questions(spark, sf) -> DataFrame:
+    """Validate, clamp, embed, retrieve (per-question k), prompt, answer, cite."""
+    q = question_fixture(spark, sf).filter(~is_blank("question"))
+    q = q.withColumn("top_k", search.clamp_top_k("top_k"))
+    hits = text_topk(spark, sf, k=50, k_col=F.col("top_k"), questions=q)
+    return G.assemble_responses(q, hits, formula_answers(q))
+
+
+@register("answer_questions", f"""
+    WITH q AS (SELECT query_id, question, {_SQL_CLAMP} AS top_k FROM ({_SQL_QFIX})
+               WHERE length({S.py_strip("coalesce(question, '')")}) > 0),
+    s AS ({_sql_text_scores()}),
+    r AS (SELECT s.query_id, s.chunk_id, row_number() OVER (PARTITION BY s.query_id
+              ORDER BY round(s.sim, 12) DESC NULLS LAST, s.chunk_id) AS rank FROM s),
+    h AS (SELECT r.* FROM r JOIN q ON q.query_id = r.query_id WHERE r.rank <= q.top_k),
+    ch AS ({S.documents_chunks()}),
+    labs AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1))) AS lab
+             FROM ({_SQL_FORMULA_ANSWERS})),
+    c AS (SELECT labs.query_id, h.chunk_id,
+                 row_number() OVER (PARTITION BY labs.query_id ORDER BY CAST(lab AS DECIMAL(38,0)), lab) AS pos
+          FROM labs JOIN h ON h.query_id = labs.query_id AND labs.lab = CAST(h.rank AS VARCHAR)),
+    cagg AS (SELECT query_id, count(*) AS n, string_agg(chunk_id, ',' ORDER BY pos) AS ids FROM c GROUP BY query_id),
+    hagg AS (SELECT query_id, count(*) AS n, string_agg(chunk_id, ',' ORDER BY rank) AS ids FROM h GROUP BY query_id)
+    SELECT q.query_id, a.answer, CAST(coalesce(cagg.n, 0) AS INTEGER) AS n_citations,
+           coalesce(cagg.ids, '') AS raw_citation_ids, CAST(hagg.n AS INTEGER) AS n_retrieved,
+           hagg.ids AS retrieved_ids
+    FROM q JOIN ({_SQL_FORMULA_ANSWERS}) a ON a.query_id = q.query_id
+    LEFT JOIN cagg ON cagg.query_id = q.query_id
+    LEFT JOIN hagg ON hagg.query_id = q.query_id""")
+def q_answer_questions(spark, sf):
+    r = answer_questions(spark, sf)
+    return r.select("query_id", "answer", F.size("citations").cast("int").alias("n_citations"),
+                    F.array_join("raw_citation_ids", ",").alias("raw_citation_ids"),
+                    F.size("retrieved").cast("int").alias("n_retrieved"),
+                    F.array_join(F.transform("retrieved", lambda x: x["chunk_id"]), ",").alias("retrieved_ids"))
+
+
+# G9 and A3 on conversations
+
+
+@register("chat_history", """
+    WITH c AS (SELECT * FROM conversations WHERE role <> 'system'),
+    p AS (SELECT conv_id, turn, role, text,
+                 lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+                 lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM c),
+    u AS (SELECT *, CASE WHEN next_role = 'assistant' THEN 1 ELSE 0 END AS is_pair FROM p WHERE role = 'user')
+    SELECT conv_id, turn, text AS question,
+           CAST(coalesce(sum(is_pair) OVER w, 0) AS INTEGER) AS n_history,
+           CAST(coalesce(sum(CASE WHEN is_pair = 1 THEN length(text) + length(next_text) END) OVER w, 0) AS BIGINT)
+             AS history_chars,
+           last(CASE WHEN is_pair = 1 THEN next_text END IGNORE NULLS) OVER w AS last_answer
+    FROM u
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def q_chat_history(spark, sf):
+    h = G.chat_history(tables.read_table(spark, sf, "conversations"))
+    return h.select("conv_id", "turn", "question", F.size("history").cast("int").alias("n_history"),
+                    F.aggregate("history", F.lit(0).cast("bigint"),
+                                lambda a, x: a + F.length(x["question"]) + F.length(x["answer"])).alias("history_chars"),
+                    F.try_element_at("history", F.lit(-1))["answer"].alias("last_answer"))
+
+
+def turn_fragments(spark, sf) -> DataFrame:
+    c = tables.read_table(spark, sf, "conversations")
+    return c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("part_no"),
+                    F.when(F.pmod(F.col("turn"), F.lit(5)) == 4, F.lit(None).cast("string"))
+                    .otherwise(F.col("text")).alias("text"))
+
+
+_SQL_FRAGS = """SELECT conv_id AS doc, turn AS part_no,
+                       CASE WHEN turn % 5 = 4 THEN NULL ELSE text END AS text FROM conversations"""
+
+
+@register("assemble_fragments", f"""SELECT doc, string_agg(coalesce(text, ''), chr(10) ORDER BY part_no) AS text
+                                     FROM ({_SQL_FRAGS}) GROUP BY doc""")
+def q_assemble_fragments(spark, sf):
+    return G.assemble_fragments(turn_fragments(spark, sf), "doc", "part_no", "text", "\n")
+
+
+@register("assemble_deltas", f"""SELECT doc, string_agg(coalesce(text, ''), '' ORDER BY part_no) AS text
+                                  FROM ({_SQL_FRAGS}) GROUP BY doc""")
+def q_assemble_deltas(spark, sf):
+    return G.assemble_fragments(turn_fragments(spark, sf), "doc", "part_no", "text", "")
