@@ -672,3 +672,145 @@ def q_assemble_fragments(spark, sf):
                                   FROM ({_SQL_FRAGS}) GROUP BY doc""")
 def q_assemble_deltas(spark, sf):
     return G.assemble_fragments(turn_fragments(spark, sf), "doc", "part_no", "text", "")
+
+
+# --------------------------------------------------------------------------
+# D: index maintenance
+
+from docsearch_spark.operators import index as IX  # noqa: E402
+from docsearch_spark.session import scratch_path  # noqa: E402
+
+
+def reingest_batch(spark, sf) -> DataFrame:
+    """Re-ingested documents: doc_id % 10 = 0 with revised text, doc_id % 50 = 0 blank.
+
+    (The revision appends a sentence; upper-casing would compare the two
+    engines' Unicode case mappings, e.g. 'ß' -> 'SS' in Java only.)"""
+    d = tables.documents(spark, sf).filter(F.pmod(F.col("doc_id"), F.lit(10)) == 0)
+    return d.select("doc_id", "source_path",
+                    F.when(F.pmod(F.col("doc_id"), F.lit(50)) == 0, F.lit("   "))
+                    .otherwise(F.concat(F.col("text"), F.lit(" Revised edition."))).alias("text"))
+
+
+_SQL_REINGEST = """SELECT doc_id, source,
+    CASE WHEN doc_id % 50 = 0 THEN '   ' ELSE text || ' Revised edition.' END AS text
+    FROM documents WHERE doc_id % 10 = 0"""
+
+
+def _sql_chunks_of(src: str) -> str:
+    rows = S.chunk_rows(src, "text", 1200, 200, "doc_id, source")
+    return f"""SELECT {S.uuid_of('doc_id', 'chunk_index')} AS chunk_id, doc_id, source AS source_path,
+                      chunk_index, content FROM ({rows})"""
+
+
+_SQL_REPLACED = f"""
+    WITH old AS ({_sql_chunks_of('documents')}),
+    new AS ({_sql_chunks_of(f'({_SQL_REINGEST})')})
+    SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)
+    UNION ALL SELECT * FROM new"""
+
+
+@register("replace_by_document", _SQL_REPLACED)
+def q_replace_by_document(spark, sf):
+    cols = ["chunk_id", "doc_id", "source_path", "chunk_index", "content"]
+    old = IX.chunk_documents(tables.documents(spark, sf)).select(*cols)
+    new = IX.chunk_documents(reingest_batch(spark, sf)).select(*cols)
+    return IX.replace_by_document(old, new)
+
+
+@register("ingest_summary", f"""
+    WITH c AS ({S.documents_chunks()}),
+    per AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id),
+    s AS (SELECT count(*) AS files_processed, coalesce(sum(per.n), 0) AS chunks_written
+          FROM documents d LEFT JOIN per USING (doc_id))
+    SELECT files_processed, chunks_written,
+           'Ingested ' || files_processed || ' file(s), ' || chunks_written || ' chunk(s).' AS message FROM s""")
+def q_ingest_summary(spark, sf):
+    docs = tables.documents(spark, sf)
+    return IX.ingest_summary(docs, IX.chunk_documents(docs))
+
+
+@register("check_constraints", f"""
+    WITH c0 AS ({S.documents_chunks()}),
+    c AS (SELECT CASE WHEN doc_id % 13 = 0 THEN {S.uuid_of('doc_id', '0')} ELSE chunk_id END AS chunk_id,
+                 doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source_path END AS source_path,
+                 chunk_index, content FROM c0),
+    d AS (SELECT chunk_id, count(*) AS n FROM c GROUP BY chunk_id HAVING count(*) > 1)
+    SELECT sum(CASE WHEN chunk_id IS NULL THEN 1 ELSE 0 END) AS null_chunk_id,
+           sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS null_doc_id,
+           sum(CASE WHEN source_path IS NULL THEN 1 ELSE 0 END) AS null_source_path,
+           sum(CASE WHEN chunk_index IS NULL THEN 1 ELSE 0 END) AS null_chunk_index,
+           sum(CASE WHEN content IS NULL THEN 1 ELSE 0 END) AS null_content,
+           (SELECT count(*) FROM d) AS dup_ids, (SELECT coalesce(sum(n), 0) FROM d) AS dup_rows
+    FROM c""")
+def q_check_constraints(spark, sf):
+    c = document_chunks(spark, sf)
+    c = c.select(F.when(F.pmod(F.col("doc_id"), F.lit(13)) == 0, uuid_from("doc_id", F.lit(0)))
+                 .otherwise(F.col("chunk_id")).alias("chunk_id"), "doc_id",
+                 F.when(F.pmod(F.col("doc_id"), F.lit(17)) == 0, F.lit(None).cast("string"))
+                 .otherwise(F.col("source_path")).alias("source_path"), "chunk_index", "content")
+    return IX.check_constraints(c)
+
+
+@register("plan_batches", f"""
+    SELECT doc_id, CAST(chunk_index // 64 AS INTEGER) AS batch_id, count(*) AS n_texts
+    FROM ({S.chunk_rows('documents', 'text', 7, 3, 'doc_id')}) GROUP BY ALL""")
+def q_plan_batches(spark, sf):
+    d = search.ensure_parallelism(tables.read_table(spark, sf, "documents").select("doc_id", "text"))
+    ch = chunking.chunk_fixed(d, "text", 7, 3)
+    return embed.plan_batches(ch).groupBy("doc_id", "batch_id").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
+@register("embed_texts", f"""
+    WITH c AS ({S.documents_chunks()}), w AS ({S.sparse_weights('c', 'chunk_id', 'content', TEXT_DIM)})
+    SELECT chunk_id, b AS bucket, round(w, 6) AS weight FROM w""")
+def q_embed_texts(spark, sf):
+    idx = text_index(spark, sf)
+    return (idx.select("chunk_id", F.explode(F.arrays_zip("sv_idx", "sv_val")).alias("e"))
+            .select("chunk_id", F.col("e.sv_idx").alias("bucket"), r6(F.col("e.sv_val")).alias("weight")))
+
+
+@register("embed_queries", f"""
+    WITH w AS ({S.sparse_weights('benchmark', 'item_id', 'text', TEXT_DIM)})
+    SELECT item_id AS query_id, b AS bucket, round(w, 6) AS weight FROM w""")
+def q_embed_queries(spark, sf):
+    q = question_vectors(spark, sf)
+    return (q.select("query_id", F.explode(F.arrays_zip("sv_idx", "sv_val")).alias("e"))
+            .select("query_id", F.col("e.sv_idx").alias("bucket"), r6(F.col("e.sv_val")).alias("weight")))
+
+
+def _built_index(spark, sf) -> DataFrame:
+    path = scratch_path(spark, "index")
+    IX.write_index(IX.build_index(tables.documents(spark, sf), n_buckets=16), path)
+    return spark.read.parquet(path)
+
+
+@register("ingest", f"""
+    SELECT chunk_id, doc_id, chunk_index, CAST(hash(doc_id) % 16 AS INTEGER) IS NOT NULL AS has_bucket,
+           1536 AS n_dims FROM ({S.documents_chunks()})""")
+def q_ingest(spark, sf):
+    """D5 + A8: build, write partitioned by bucket, read back."""
+    idx = _built_index(spark, sf)
+    return idx.select("chunk_id", "doc_id", "chunk_index", F.col("bucket").isNotNull().alias("has_bucket"),
+                      F.size("embedding").alias("n_dims"))
+
+
+def _stream_ingest(spark, sf) -> DataFrame:
+    """Two versioned landing batches through the streaming merge."""
+    from docsearch_spark.streaming.ingest import current_snapshot, start_incremental_ingest
+    root = scratch_path(spark, "stream")
+    landing = f"{root}/landing"
+    v1 = tables.documents(spark, sf).select("doc_id", "source_path", "text", F.lit(1).cast("long").alias("version"))
+    v1.write.mode("append").parquet(landing)
+    q = start_incremental_ingest(spark, landing, f"{root}/index", f"{root}/ckpt", n_buckets=16)
+    q.awaitTermination()
+    v2 = reingest_batch(spark, sf).withColumn("version", F.lit(2).cast("long"))
+    v2.write.mode("append").parquet(landing)
+    q = start_incremental_ingest(spark, landing, f"{root}/index", f"{root}/ckpt", n_buckets=16)
+    q.awaitTermination()
+    return spark.read.parquet(current_snapshot(spark, f"{root}/index"))
+
+
+@register("incremental_ingest", _SQL_REPLACED)
+def q_incremental_ingest(spark, sf):
+    return _stream_ingest(spark, sf).select("chunk_id", "doc_id", "source_path", "chunk_index", "content")
