@@ -814,3 +814,133 @@ def _stream_ingest(spark, sf) -> DataFrame:
 @register("incremental_ingest", _SQL_REPLACED)
 def q_incremental_ingest(spark, sf):
     return _stream_ingest(spark, sf).select("chunk_id", "doc_id", "source_path", "chunk_index", "content")
+
+
+# --------------------------------------------------------------------------
+# A5, C5, C6, R2, R4, R5
+
+from docsearch_spark.sources import html as H  # noqa: E402
+
+
+def _sql_html(expr: str) -> str:
+    t = f"coalesce({expr}, '')"
+    for pat in H.DROP_BLOCKS:
+        t = f"regexp_replace({t}, '{pat}', ' ', 'g')"
+    t = f"regexp_replace({t}, '{H.TAG}', ' ', 'g')"
+    for ent, ch in H.ENTITIES:
+        t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    return S.norm_ws(t)
+
+
+@register("html_to_text", f"SELECT page_id, url, {_sql_html('html')} AS text FROM pages")
+def q_html_to_text(spark, sf):
+    p = tables.read_table(spark, sf, "pages")
+    return p.select("page_id", "url", H.html_to_text("html").alias("text"))
+
+
+def bad_vectors(spark, sf) -> DataFrame:
+    """embeddings with a null vector for vec_id % 50 = 0 and one element cut for vec_id % 50 = 1."""
+    v = tables.vectors(spark, sf)
+    m = F.pmod(F.col("vec_id"), F.lit(50))
+    e = (F.when(m == 0, F.lit(None).cast("array<float>"))
+         .when(m == 1, F.slice("embedding", 1, F.size("embedding") - 1)).otherwise(F.col("embedding")))
+    return v.select("vec_id", e.alias("embedding"), "label")
+
+
+_SQL_BAD = """SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN NULL
+                                  WHEN vec_id % 50 = 1 THEN embedding[1:len(embedding) - 1]
+                                  ELSE embedding END AS embedding, label FROM embeddings"""
+
+
+@register("check_vectors", f"""
+    SELECT vec_id, CASE WHEN embedding IS NULL THEN 'null vector'
+                        WHEN len(embedding) <> 64 THEN 'expected 64 dimensions, not ' || len(embedding)
+                        ELSE NULL END AS reject_reason
+    FROM ({_SQL_BAD})""")
+def q_check_vectors(spark, sf):
+    ok, bad = embed.check_vectors(bad_vectors(spark, sf), "embedding", 64)
+    return (ok.select("vec_id", F.lit(None).cast("string").alias("reject_reason"))
+            .unionByName(bad.select("vec_id", "reject_reason")))
+
+
+@register("l2_normalize", f"""
+    SELECT vec_id, pos, round(x / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))
+                                   + 1e-12), 6) AS value
+    FROM (SELECT vec_id, embedding, unnest(CAST(embedding AS DOUBLE[])) AS x,
+                 CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos FROM embeddings)""")
+def q_l2_normalize(spark, sf):
+    v = embed.normalize_vectors(tables.vectors(spark, sf), "embedding", "n")
+    return v.select("vec_id", F.posexplode("n").alias("pos", "value")).select(
+        "vec_id", F.col("pos").cast("int").alias("pos"), r6(F.col("value")).alias("value"))
+
+
+def centroid(spark, sf) -> list[float]:
+    """Mean vector of the whole table (one aggregate, dim values to the driver)."""
+    v = tables.vectors(spark, sf)
+    e = v.select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"))
+    return [r["m"] for r in e.orderBy("pos").collect()]
+
+
+@register("topk_single", f"""
+    WITH c AS (SELECT list(m ORDER BY pos) AS q FROM (
+                 SELECT pos, avg(x) AS m FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x,
+                        generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY pos))
+    SELECT vec_id, round(1 - {S.cosine('e.embedding', 'c.q')}, 6) AS dist,
+           round(1 - (1 - {S.cosine('e.embedding', 'c.q')}), 6) AS score
+    FROM embeddings e, c
+    ORDER BY round(1 - {S.cosine('e.embedding', 'c.q')}, 12) NULLS LAST, vec_id LIMIT 5""")
+def q_topk_single(spark, sf):
+    q = centroid(spark, sf)
+    hits = search.topk_single(tables.vectors(spark, sf), "embedding", q, 5, id_col="vec_id")
+    return hits.select("vec_id", r6(F.col("dist")).alias("dist"), r6(F.col("score")).alias("score"))
+
+
+ANN_TABLES, ANN_BITS, ANN_K = 8, 3, 10
+
+
+def _sql_lsh_keys(src: str, id_col: str) -> str:
+    """(id, tbl, key) with plane signs from md5, like search.plane_signs."""
+    return f"""
+      SELECT id, tbl, CAST(sum(CASE WHEN proj >= 0 THEN 1 << bit ELSE 0 END) AS INTEGER) AS key FROM (
+        SELECT e.{id_col} AS id, p.tbl, p.bit,
+               sum(CAST(x AS DOUBLE) * CASE WHEN substr(md5(CAST(p.tbl * {ANN_BITS} + p.bit AS VARCHAR) || ':' ||
+                                        CAST(d - 1 AS VARCHAR)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END) AS proj
+        FROM (SELECT {id_col}, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM {src}) e,
+             (SELECT t AS tbl, b AS bit FROM range(0, {ANN_TABLES}) r1(t), range(0, {ANN_BITS}) r2(b)) p
+        GROUP BY ALL)
+      GROUP BY id, tbl"""
+
+
+_SQL_ANN = f"""
+    WITH k AS ({_sql_lsh_keys('embeddings', 'vec_id')}),
+    cand AS (SELECT DISTINCT q.id AS query_id, d.id AS doc_id FROM k q JOIN k d USING (tbl, key)),
+    s AS (SELECT c.query_id, c.doc_id, {S.cosine('a.embedding', 'b.embedding')} AS score
+          FROM cand c JOIN embeddings a ON a.vec_id = c.query_id JOIN embeddings b ON b.vec_id = c.doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC NULLS LAST, doc_id) AS rank
+          FROM s)"""
+
+
+@register("ann_topk", f"""{_SQL_ANN}
+    SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= {ANN_K}""")
+def q_ann_topk(spark, sf):
+    v = tables.vectors(spark, sf)
+    a = search.ann_topk(v, "vec_id", v, "vec_id", "embedding", 64, ANN_K, ANN_TABLES, ANN_BITS)
+    return a.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), r6(F.col("score")).alias("score"))
+
+
+@register("ann_recall", f"""{_SQL_ANN},
+    ex AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
+                  row_number() OVER (PARTITION BY q.vec_id ORDER BY round({S.cosine('q.embedding', 'd.embedding')}, 12)
+                                     DESC NULLS LAST, d.vec_id) AS rank
+           FROM embeddings q, embeddings d),
+    ap AS (SELECT * FROM r WHERE rank <= {ANN_K})
+    SELECT ex.query_id, round(avg(CASE WHEN ap.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall
+    FROM ex LEFT JOIN ap ON ap.query_id = ex.query_id AND ap.doc_id = ex.doc_id
+    WHERE ex.rank <= {ANN_K} GROUP BY ex.query_id""")
+def q_ann_recall(spark, sf):
+    v = tables.vectors(spark, sf)
+    approx = search.ann_topk(v, "vec_id", v, "vec_id", "embedding", 64, ANN_K, ANN_TABLES, ANN_BITS)
+    exact = search.topk_scan(v, "vec_id", search.Dense("embedding"), v, "vec_id", search.Dense("embedding"),
+                             k=ANN_K, mode="cosine")
+    rec = search.ann_recall(exact, approx)
+    return rec.select("query_id", r6(F.col("recall")).alias("recall"))
