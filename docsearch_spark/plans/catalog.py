@@ -944,3 +944,150 @@ def q_ann_recall(spark, sf):
                              k=ANN_K, mode="cosine")
     rec = search.ann_recall(exact, approx)
     return rec.select("query_id", r6(F.col("recall")).alias("recall"))
+
+
+# --------------------------------------------------------------------------
+# File sources over files derived from the tables
+
+from docsearch_spark.sources import files as FS  # noqa: E402
+from docsearch_spark.operators import report as P  # noqa: E402
+
+
+def _documents_as_files(spark, sf) -> str:
+    """One text file per document under doc_id=<id>/ directories."""
+    root = scratch_path(spark, "docs")
+    d = tables.read_table(spark, sf, "documents").select("doc_id", "text")
+    d.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    return root
+
+
+@register("scan_documents", f"""
+    SELECT doc_id, '.txt' AS suffix, CAST(strlen(text) + 1 AS BIGINT) AS n_bytes,
+           {S.norm_ws('text')} AS text_norm FROM documents""")
+def q_scan_documents(spark, sf):
+    root = _documents_as_files(spark, sf)
+    text, _, _ = FS.route_by_type(FS.scan_documents(spark, root))
+    from docsearch_spark.functions.text import file_suffix
+    return text.select(F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("bigint").alias("doc_id"),
+                       file_suffix("path").alias("suffix"), F.col("length").alias("n_bytes"),
+                       normalize_ws("text").alias("text_norm"))
+
+
+def _staged_eval_dataset(spark, sf) -> str:
+    folder = scratch_path(spark, "beir")
+    d = tables.read_table(spark, sf, "documents")
+    FS.write_eval_dataset(d.select("doc_id", F.col("source").alias("title"), "text"),
+                          tables.read_table(spark, sf, "benchmark").select(
+                              F.concat(F.lit("Q"), F.col("item_id").cast("string")).alias("query_id"), "text"),
+                          passage_qrels(spark, sf), folder)
+    return folder
+
+
+@register("load_eval_dataset", """
+    SELECT 'corpus' AS part, CAST(doc_id AS VARCHAR) AS id, source AS title, text FROM documents
+    UNION ALL SELECT 'queries', 'Q' || CAST(item_id AS VARCHAR), NULL, text FROM benchmark""")
+def q_load_eval_dataset(spark, sf):
+    corpus, queries, _ = FS.load_eval_dataset(spark, _staged_eval_dataset(spark, sf))
+    return (corpus.select(F.lit("corpus").alias("part"), F.col("doc_id").alias("id"), "title", "text")
+            .unionByName(queries.select(F.lit("queries").alias("part"), F.col("query_id").alias("id"),
+                                        F.lit(None).cast("string").alias("title"), "text")))
+
+
+@register("load_eval_qrels", _SQL_PASSAGE_QRELS)
+def q_load_eval_qrels(spark, sf):
+    _, _, qrels = FS.load_eval_dataset(spark, _staged_eval_dataset(spark, sf))
+    return qrels
+
+
+# --------------------------------------------------------------------------
+# Three report runs written as JSON and read back
+#   dense  : the vector evaluation (k = 1, 3, 5, 10), label given
+#   short  : the same run cut to k <= 5 except NDCG (so recall and NDCG axes differ)
+#   copy   : the same values, empty dataset name (label falls back to the file stem)
+
+
+def _report_runs(spark, sf) -> DataFrame:
+    rows, nq, cs = eval_vectors(spark, sf)
+    root = scratch_path(spark, "reports")
+    short = rows.filter(F.col("k").isNull() | (F.col("k") <= 5) | (F.col("metric") == "ndcg"))
+    for name, r, ds in (("dense", rows, "embeddings"), ("short", short, "embeddings"), ("copy", rows, "")):
+        rep = E.metric_report(r, nq, cs, ds, "dense retrieval on the embeddings table")
+        FS.write_report(rep.coalesce(1), f"{root}/{name}.json")
+    reps = FS.read_reports(spark, [f"{root}/{n}.json" for n in ("dense", "short", "copy")])
+    stem = F.regexp_extract("path", r"([^/]+)\.json/[^/]*$", 1)
+    label = F.when(stem == "dense", F.lit("dense run"))
+    return reps.withColumn("run", P.run_label(label, F.col("dataset"), F.concat(stem, F.lit(".json"))))
+
+
+def _sql_runs() -> str:
+    m = _sql_metrics(_sql_vec_qrels(), _SQL_VEC_SIMS, _SQL_VEC_CORPUS)
+    return f"""
+      WITH m AS ({m}),
+      runs AS (SELECT 'dense run' AS run, * FROM m
+               UNION ALL SELECT 'embeddings', * FROM m WHERE k IS NULL OR k <= 5 OR metric = 'ndcg'
+               UNION ALL SELECT 'copy', * FROM m),
+      series AS (SELECT run, CASE metric WHEN 'recall' THEN 'recall_at_k' WHEN 'ndcg' THEN 'ndcg_at_k'
+                                         WHEN 'map' THEN 'map_at_k' ELSE 'precision_at_k' END AS metric_map,
+                        CAST(k AS INTEGER) AS k, value FROM runs WHERE k IS NOT NULL)"""
+
+
+@register("explode_metrics", f"{_sql_runs()} SELECT run, metric_map, k, round(value, 6) AS value FROM series")
+def q_explode_metrics(spark, sf):
+    s = P.explode_metrics(_report_runs(spark, sf))
+    return s.select("run", "metric_map", "k", r6(F.col("value")).alias("value"))
+
+
+@register("paired_series", f"""{_sql_runs()},
+    ax AS (SELECT run, metric_map, list(k ORDER BY k) AS axis FROM series GROUP BY ALL),
+    pairs AS (SELECT 'recall_at_k' AS l, 'ndcg_at_k' AS r UNION ALL SELECT 'map_at_k', 'precision_at_k')
+    SELECT a.run, p.l AS left_map, CAST(a.k AS INTEGER) AS k, round(a.value, 6) AS left_value,
+           round(b.value, 6) AS right_value
+    FROM pairs p JOIN series a ON a.metric_map = p.l
+    JOIN series b ON b.metric_map = p.r AND b.run = a.run AND b.k = a.k
+    JOIN ax la ON la.run = a.run AND la.metric_map = p.l
+    JOIN ax ra ON ra.run = a.run AND ra.metric_map = p.r
+    WHERE la.axis = ra.axis""")
+def q_paired_series(spark, sf):
+    s = P.explode_metrics(_report_runs(spark, sf))
+    out = None
+    for left, right in (("recall_at_k", "ndcg_at_k"), ("map_at_k", "precision_at_k")):
+        p = P.paired_series(s, left, right).select("run", F.lit(left).alias("left_map"), "k",
+                                                   r6(F.col("left_value")).alias("left_value"),
+                                                   r6(F.col("right_value")).alias("right_value"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("compare_runs", f"""{_sql_runs()},
+    ax AS (SELECT run, metric_map, list(k ORDER BY k) AS axis FROM series GROUP BY ALL),
+    a0 AS (SELECT axis FROM ax WHERE run = 'dense run' AND metric_map = 'recall_at_k')
+    SELECT s.metric_map, s.k, s.run, round(s.value, 6) AS value
+    FROM series s JOIN ax ON ax.run = s.run AND ax.metric_map = s.metric_map
+    WHERE s.metric_map IN ('recall_at_k', 'ndcg_at_k') AND ax.axis = (SELECT axis FROM a0)""")
+def q_compare_runs(spark, sf):
+    reps = _report_runs(spark, sf)
+    order = reps.select("run", F.when(F.col("run") == "dense run", 0)
+                        .when(F.col("run") == "embeddings", 1).otherwise(2).alias("ord"))
+    c = P.compare_runs(P.explode_metrics(reps), order)
+    return c.select("metric_map", "k", "run", r6(F.col("value")).alias("value"))
+
+
+@register("run_labels", """SELECT * FROM (VALUES ('dense run', 'embeddings'), ('embeddings', 'embeddings'),
+                                               ('copy', '')) t(run, dataset)""")
+def q_run_labels(spark, sf):
+    return _report_runs(spark, sf).select("run", "dataset")
+
+
+@register("write_report", f"""
+    WITH m AS ({_sql_metrics(_sql_vec_qrels(), _SQL_VEC_SIMS, _SQL_VEC_CORPUS)})
+    SELECT 'embeddings' AS dataset, (SELECT round(value, 6) FROM m WHERE metric = 'mrr') AS mrr,
+           (SELECT count(*) FROM embeddings) AS corpus_size""")
+def q_write_report(spark, sf):
+    """A9 then A7: the JSON text of the report parsed back."""
+    rows, nq, cs = eval_vectors(spark, sf)
+    rep = E.metric_report(rows, nq, cs, "embeddings", "dense retrieval on the embeddings table")
+    j = FS.report_json(rep)
+    from docsearch_spark.schemas import REPORT
+    back = j.select(F.from_json("json", REPORT).alias("r")).select("r.*")
+    return back.select("dataset", r6(F.col("mrr")).alias("mrr"),
+                       F.col("extra")["corpus_size"].cast("bigint").alias("corpus_size"))
