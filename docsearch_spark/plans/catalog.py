@@ -1091,3 +1091,184 @@ def q_write_report(spark, sf):
     back = j.select(F.from_json("json", REPORT).alias("r")).select("r.*")
     return back.select("dataset", r6(F.col("mrr")).alias("mrr"),
                        F.col("extra")["corpus_size"].cast("bigint").alias("corpus_size"))
+
+
+# --------------------------------------------------------------------------
+# One key per remaining inventory item (views of the jobs above, or small jobs)
+
+
+@register("decode_text", f"""SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS n_chars FROM documents""")
+def q_decode_text(spark, sf):
+    """A2: bytes of the staged files decoded as UTF-8 (invalid bytes -> U+FFFD)."""
+    root = _documents_as_files(spark, sf)
+    f = FS.scan_documents(spark, root)
+    return f.select(F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("bigint").alias("doc_id"),
+                    F.length(FS.decode_text("content")).cast("bigint").alias("n_chars"))
+
+
+@register("route_by_type", """SELECT doc_id, 'text' AS route FROM documents""")
+def q_route_by_type(spark, sf):
+    """A4: extractor chosen by suffix for every staged file."""
+    root = _documents_as_files(spark, sf)
+    text, pdf, rejected = FS.route_by_type(FS.scan_documents(spark, root))
+    doc = F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("bigint").alias("doc_id")
+    return (text.select(doc, F.col("route"))
+            .unionByName(pdf.select(doc, F.col("route")))
+            .unionByName(rejected.select(doc, F.lit("rejected").alias("route"))))
+
+
+@register("read_reports", """SELECT * FROM (VALUES ('dense run', 3), ('embeddings', 3), ('copy', 3)) t(run, n_maps)""")
+def q_read_reports(spark, sf):
+    """The saved report files read back with the report schema."""
+    r = _report_runs(spark, sf)
+    n = sum((F.size(c) > 0).cast("int") for c in ("recall_at_k", "ndcg_at_k", "map_at_k"))
+    return r.select("run", n.alias("n_maps"))
+
+
+@register("write_index", f"""
+    SELECT doc_id, count(*) AS n_chunks FROM ({S.documents_chunks()}) GROUP BY doc_id""")
+def q_write_index(spark, sf):
+    """The partitioned index as written (chunks per document read back)."""
+    idx = _built_index(spark, sf)
+    return idx.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@register("drop_empty_documents", f"""
+    WITH r AS ({_SQL_REINGEST}),
+    c AS ({S.chunk_rows('r', 'text', 1200, 200, 'doc_id')})
+    SELECT r.doc_id, CAST(count(c.doc_id) AS BIGINT) AS n_chunks, length({S.norm_ws('r.text')}) = 0 AS empty
+    FROM r LEFT JOIN c ON c.doc_id = r.doc_id GROUP BY r.doc_id, r.text""")
+def q_drop_empty_documents(spark, sf):
+    """B2: re-ingested documents, blank ones yield no chunks but are still listed."""
+    r = reingest_batch(spark, sf)
+    c = chunking.chunk_fixed(r.select("doc_id", "text"), "text").groupBy("doc_id") \
+        .agg(F.count(F.lit(1)).alias("n_chunks"))
+    return r.select("doc_id", (F.length(normalize_ws(or_empty("text"))) == 0).alias("empty")) \
+        .join(c, "doc_id", "left") \
+        .select("doc_id", F.coalesce("n_chunks", F.lit(0)).cast("bigint").alias("n_chunks"), "empty")
+
+
+@register("score_from_distance", f"""
+    SELECT query_id, rank, round(1 - dist, 6) AS score_raw, dist FROM ({ORACLE['topk_batch']})""")
+def q_score_from_distance(spark, sf):
+    """score = 1 - distance over the batch top-k."""
+    h = q_topk_batch(spark, sf)
+    return h.select("query_id", "rank", r6(search.F.lit(1.0) - F.col("dist")).alias("score_raw"), "dist")
+
+
+@register("restore_order", f"""
+    WITH c AS ({S.documents_chunks()}), w AS ({S.sparse_weights('c', 'chunk_id', 'content', TEXT_DIM)})
+    SELECT chunk_id, b AS bucket, round(CAST(CAST(w AS FLOAT) AS DOUBLE), 6) AS weight FROM w""")
+def q_restore_order(spark, sf):
+    """C1/C3 through the provider stage (mapInArrow, requests of 64, vectors put
+    back by position), compared with the native embedder's output."""
+    ch = document_chunks(spark, sf)
+    e = embed.embed_with_provider(ch, "content", lambda: embed.HashedBowProvider(TEXT_DIM),
+                                  out_col="embedding")
+    return (e.select("chunk_id", F.posexplode("embedding").alias("bucket", "w"))
+            .filter(F.col("w") != 0)
+            .select("chunk_id", F.col("bucket").cast("int").alias("bucket"),
+                    F.round(F.col("w").cast("double"), 6).alias("weight")))
+
+
+@register("assign_ids", f"""SELECT chunk_id, doc_id, chunk_index FROM ({S.documents_chunks()})""")
+def q_assign_ids(spark, sf):
+    """Deterministic chunk ids."""
+    c = IX.chunk_documents(tables.documents(spark, sf))
+    return c.select("chunk_id", "doc_id", "chunk_index")
+
+
+@register("empty_context_fallback", f"""
+    SELECT item_id AS query_id, 'No retrieved context. Ingest documents first.' AS answer,
+           0 AS n_citations, 0 AS n_retrieved FROM benchmark""")
+def q_empty_context_fallback(spark, sf):
+    """Questions against an index that has no rows (no document has null text)."""
+    docs = tables.documents(spark, sf).filter(F.col("text").isNull())
+    idx = embed.embed_sparse(IX.chunk_documents(docs), "content", TEXT_DIM)
+    q = question_vectors(spark, sf)
+    spec = search.Sparse("sv_idx", "sv_val", TEXT_DIM)
+    hits = search.topk_scan(idx, "chunk_id", spec, q, "query_id", spec, k=5, dim=TEXT_DIM)
+    hits = (hits.withColumnRenamed("doc_id", "chunk_id")
+            .join(idx.select("chunk_id", "doc_id", "source_path", "chunk_index", "content"), "chunk_id")
+            .withColumn("score", F.col("value")))
+    r = G.assemble_responses(q, hits, G.extractive_answers(hits))
+    return r.select("query_id", "answer", F.size("citations").alias("n_citations"),
+                    F.size("retrieved").alias("n_retrieved"))
+
+
+@register("assemble_response", ORACLE["answer_questions"])
+def q_assemble_response(spark, sf):
+    """The nested response, flattened for comparison."""
+    return q_answer_questions(spark, sf)
+
+
+@register("cap_queries", f"""
+    SELECT DISTINCT query_id FROM ({_sql_vec_qrels()}) ORDER BY CAST(query_id AS VARCHAR) LIMIT {_CAP_QUERIES}""")
+def q_cap_queries(spark, sf):
+    """Surviving query ids, first ones as text."""
+    qids, _ = E.cap_queries(E.filter_qrels(vec_qrels(spark, sf),
+                                           tables.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"))),
+                            _CAP_QUERIES)
+    return qids
+
+
+def _eval_topk(spark, sf, exclude: bool) -> DataFrame:
+    v = tables.vectors(spark, sf)
+    h = search.topk_scan(v, "vec_id", search.Dense("embedding"), v, "vec_id", search.Dense("embedding"),
+                         k=10, mode="cosine_eps", exclude_same_id=exclude)
+    return h.select("query_id", "doc_id", "rank", r6(F.col("value")).alias("sim"))
+
+
+def _sql_eval_topk(exclude: bool) -> str:
+    cond = "WHERE query_id <> doc_id" if exclude else ""
+    return f"""
+    SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS sim FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, doc_id) AS rank
+      FROM ({_SQL_VEC_SIMS}) {cond}) WHERE rank <= 10"""
+
+
+@register("dense_scores", _sql_eval_topk(False))
+def q_dense_scores(spark, sf):
+    """Normalised cosine scores, ranking cut at the deepest k (10)."""
+    return _eval_topk(spark, sf, False)
+
+
+@register("drop_identical_ids", _sql_eval_topk(True))
+def q_drop_identical_ids(spark, sf):
+    """The @k ranking with the query's own id removed."""
+    return _eval_topk(spark, sf, True)
+
+
+def _metric_filter(name):
+    def fn(spark, sf):
+        return q_eval_metrics(spark, sf).filter(F.col("metric") == name)
+    return fn
+
+
+_SQL_EVAL = ORACLE["eval_metrics"]
+for _name, _key in (("recall", "recall_at_k"), ("precision", "precision_at_k"), ("map", "map_at_k"),
+                    ("ndcg", "ndcg_at_k"), ("mrr", "mrr")):
+    register(_key, f"SELECT * FROM ({_SQL_EVAL}) WHERE metric = '{_name}'")(_metric_filter(_name))
+
+
+@register("empty_report", """SELECT 'labels' AS dataset, 0.0 AS mrr, 0 AS num_queries,
+    'No queries left after filtering qrels to embedded corpus; increase --max-corpus.' AS notes,
+    0.0 AS recall_at_10, 4 AS n_keys""")
+def q_empty_report(spark, sf):
+    """Every qrel has grade <= 0, so no query survives: zeros and the note."""
+    v = tables.vectors(spark, sf)
+    lab = tables.read_table(spark, sf, "labels").select(F.col("toxic").alias("query_id"), "doc_id",
+                                                        (F.col("quality") - F.lit(1)).alias("grade"))
+    spec = search.Dense("embedding")
+    rows, nq, cs = E.metric_rows(v, "vec_id", spec, v.withColumnRenamed("vec_id", "query_id"), "query_id",
+                                 spec, lab, EVAL_KS)
+    rep = E.metric_report(rows, nq, cs, "labels", "unused")
+    return rep.select("dataset", "mrr", "num_queries", "notes",
+                      F.col("recall_at_k")["Recall@10"].alias("recall_at_10"),
+                      F.size("recall_at_k").alias("n_keys"))
+
+
+@register("evaluate", ORACLE["eval_text"])
+def q_evaluate(spark, sf):
+    """The composite evaluation on text (benchmark passages x documents)."""
+    return q_eval_text(spark, sf)
