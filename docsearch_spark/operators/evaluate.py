@@ -152,21 +152,52 @@ def mean_metrics(per_query: DataFrame, k_values=K_VALUES, decimals: int = 5) ->
 # E11
 
 
+def pair_cosine_eps(q_spec, d_spec, qp: str = "q_", dp: str = "d_") -> Column:
+    """``dot(q, d) / ((|q| + 1e-12) (|d| + 1e-12))`` for one (query, doc) row.
+
+    Columns are the spec's columns prefixed with ``qp`` / ``dp``. Sparse
+    vectors are matched through a map of the document's entries; nothing is
+    densified.
+    """
+    from docsearch_spark.functions.text import let
+    from docsearch_spark.functions.vectors import as_double, dot, norm
+
+    def nrm(spec, p):
+        if isinstance(spec, search.Dense):
+            return norm(F.col(p + spec.col))
+        return F.sqrt(F.aggregate(F.col(p + spec.val), F.lit(0.0), lambda a, x: a + x * x))
+
+    if isinstance(q_spec, search.Dense) and isinstance(d_spec, search.Dense):
+        num = let(as_double(F.col(qp + q_spec.col)), lambda x: let(as_double(F.col(dp + d_spec.col)),
+                                                                     lambda y: dot(x, y)))
+    elif isinstance(q_spec, search.Sparse) and isinstance(d_spec, search.Sparse):
+        num = let(F.map_from_arrays(F.col(dp + d_spec.idx), F.col(dp + d_spec.val)), lambda m: F.aggregate(
+            F.arrays_zip(F.col(qp + q_spec.idx).alias("i"), F.col(qp + q_spec.val).alias("v")),
+            F.lit(0.0), lambda a, e: a + e["v"] * F.coalesce(F.try_element_at(m, e["i"]), F.lit(0.0))))
+    else:
+        raise ValueError("query and index vectors must both be dense or both sparse")
+    return num / ((nrm(q_spec, qp) + F.lit(1e-12)) * (nrm(d_spec, dp) + F.lit(1e-12)))
+
+
 def mrr(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id: str,
         query_vec, qrels_f: DataFrame, query_ids: DataFrame, dim: int | None = None) -> DataFrame:
     """Mean over queries with a relevant document of 1 / rank of the first
-    relevant document in the full ranking (identical ids kept); 0 when none is
-    ranked (never happens with a full ranking), 0.0 when there are no queries.
+    relevant document in the full ranking (identical ids kept); 0.0 when there
+    are no queries.
 
-    Rank of the best relevant document = 1 + number of documents before it.
+    Rank of the best relevant document = 1 + number of documents ranked
+    before it: the best relevant pair comes from an equi-join of the qrels
+    with both vector tables (only judged pairs are scored), the count from a
+    broadcast scan of the index. No ranking is sorted.
     """
-    from docsearch_spark.functions.vectors import l2_normalize, dot
-
+    qcols = search._cols(query_vec)
+    dcols = search._cols(index_vec)
     qv = queries.join(query_ids.withColumnRenamed("query_id", query_id), query_id, "left_semi")
-    qn = qv.select(F.col(query_id).alias("query_id"), l2_normalize(_dense(query_vec)).alias("__qn"))
-    dn = index.select(F.col(index_id).alias("doc_id"), l2_normalize(_dense(index_vec)).alias("__dn"))
-    pairs = (qrels_f.select("query_id", "doc_id").join(qn, "query_id").join(dn, "doc_id")
-             .select("query_id", "doc_id", F.round(dot("__qn", "__dn"), search.TIE_DECIMALS).alias("sim")))
+    qside = qv.select(F.col(query_id).alias("query_id"), *[F.col(c).alias("q_" + c) for c in qcols])
+    dside = index.select(F.col(index_id).alias("doc_id"), *[F.col(c).alias("d_" + c) for c in dcols])
+    pairs = (qrels_f.select("query_id", "doc_id").join(qside, "query_id").join(dside, "doc_id")
+             .select("query_id", "doc_id",
+                     F.round(pair_cosine_eps(query_vec, index_vec), search.TIE_DECIMALS).alias("sim")))
     best = (pairs.groupBy("query_id")
             .agg(F.min(F.struct((-F.col("sim")).alias("neg"), F.col("doc_id").alias("d"))).alias("b"))
             .select("query_id", (-F.col("b.neg")).alias("best_sim"), F.col("b.d").alias("best_doc")))
@@ -178,13 +209,6 @@ def mrr(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id
     return per_q.agg(F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"))
 
 
-def _dense(spec) -> Column:
-    if isinstance(spec, search.Dense):
-        return F.col(spec.col)
-    from docsearch_spark.operators.embed import densify
-    return densify(spec.idx, spec.val, spec.dim, "double")
-
-
 # --------------------------------------------------------------------------
 # E12, E13, E14
 
