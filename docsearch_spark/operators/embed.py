@@ -53,7 +53,7 @@ def _run_ends(b: Column) -> Column:
 def sparse_vector(text, dim: int = EMBED_DIM) -> Column:
     """STRUCT<idx ARRAY<INT>, val ARRAY<DOUBLE>>: sorted distinct buckets of the
     text's tokens and their L2-normalised counts. Evaluated once per row."""
-    buckets = F.array_sort(F.transform(tokens(text), lambda t: hash_bucket(t, dim)))
+    buckets = F.sort_array(F.transform(tokens(text), lambda t: hash_bucket(t, dim)))
 
     def with_ends(b, ends):
         tf = F.transform(ends, lambda e, j: (e - F.when(j == 0, F.lit(0))

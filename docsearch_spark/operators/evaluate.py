@@ -16,6 +16,7 @@ Shape of the job (all k values in one pass):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,7 +195,11 @@ def mrr(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id
     dcols = search._cols(index_vec)
     qv = queries.join(query_ids.withColumnRenamed("query_id", query_id), query_id, "left_semi")
     qside = qv.select(F.col(query_id).alias("query_id"), *[F.col(c).alias("q_" + c) for c in qcols])
-    dside = index.select(F.col(index_id).alias("doc_id"), *[F.col(c).alias("d_" + c) for c in dcols])
+    judged = qrels_f.select(F.col("doc_id").alias(index_id)).distinct()
+    # the semi join is pushed below the embedding projection: only judged
+    # documents are embedded for the pair scores
+    dside = (index.join(judged, index_id, "left_semi")
+             .select(F.col(index_id).alias("doc_id"), *[F.col(c).alias("d_" + c) for c in dcols]))
     pairs = (qrels_f.select("query_id", "doc_id").join(qside, "query_id").join(dside, "doc_id")
              .select("query_id", "doc_id",
                      F.round(pair_cosine_eps(query_vec, index_vec), search.TIE_DECIMALS).alias("sim")))
@@ -219,9 +224,17 @@ def metric_rows(index: DataFrame, index_id: str, index_vec, queries: DataFrame,
     """E1-E11 in one job. Returns (metrics (metric, k, value) incl. mrr, num_queries df,
     corpus size df)."""
     corpus = cap_by_id(index, index_id, max_corpus)
+    # the embedded corpus feeds three jobs (pair scores, top-K scan, rank
+    # counts): compute it once; partitions spill to disk and are recomputed
+    # from lineage if an executor is lost
+    corpus = corpus.persist(StorageLevel.MEMORY_AND_DISK)
     corpus_ids = corpus.select(F.col(index_id).alias("doc_id"))
     qrels_f = filter_qrels(qrels, corpus_ids)
     qids, qrels_f = cap_queries(qrels_f, max_queries)
+    # judgements are small and used by several jobs below: cut their lineage
+    # once (reliable checkpoint in the shared folder, survives executor loss)
+    qrels_f = qrels_f.checkpoint(eager=True)
+    qids = qrels_f.select("query_id").distinct()
     qv = queries.join(qids.withColumnRenamed("query_id", query_id), query_id, "left_semi")
     kmax = max(int(k) for k in k_values)
     hits = search.topk_scan(corpus, index_id, index_vec, qv, query_id, query_vec, k=kmax,
