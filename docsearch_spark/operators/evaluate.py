@@ -52,7 +52,11 @@ def global_rank(df: DataFrame, key: Column, out: str = "__grank") -> DataFrame:
     per-partition count, one row per partition) plus its position inside its
     partition.
     """
-    s = (df.withColumn("__key", key).sort("__key")
+    # an explicit partition count: AQE never coalesces a user-specified
+    # repartition, so both uses of ``s`` below see the same partitions (range
+    # bounds come from a deterministic sample of the same input)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = (df.withColumn("__key", key).repartitionByRange(n, "__key").sortWithinPartitions("__key")
          .withColumn("__pid", F.spark_partition_id())
          .withColumn("__mid", F.monotonically_increasing_id()))
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))

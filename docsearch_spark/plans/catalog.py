@@ -383,7 +383,7 @@ def q_filter_qrels(spark, sf):
            (SELECT count(*) FROM embeddings) AS corpus_size,
            (SELECT value FROM m WHERE metric = 'recall' AND k = 10) AS recall_at_10,
            (SELECT value FROM m WHERE metric = 'ndcg' AND k = 10) AS ndcg_at_10,
-           (SELECT string_agg(metric || '@' || k, ',' ORDER BY metric, k) FROM m WHERE k IS NOT NULL) AS keys""")
+           (SELECT string_agg(metric || '@' || k, ',' ORDER BY metric || '@' || k) FROM m WHERE k IS NOT NULL) AS keys""")
 def q_eval_report(spark, sf):
     rows, nq, cs = eval_vectors(spark, sf)
     rep = E.metric_report(rows, nq, cs, "embeddings", "dense retrieval on the embeddings table")

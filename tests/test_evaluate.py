@@ -89,3 +89,13 @@ def test_check_dataset():
     assert E.check_dataset(" SciFact ") == "scifact"
     with pytest.raises(ValueError):
         E.check_dataset("msmarco")
+
+
+def test_cap_is_exact_under_aqe_coalescing(spark):
+    # regression: the per-partition offsets must come from the same partitions as the rows
+    v = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    want = sorted(sorted(r[0] for r in v.select("vec_id").collect())[:0] or
+                  sorted((r[0] for r in v.select("vec_id").collect()), key=str)[:250])
+    capped = E.cap_by_id(v, "vec_id", 250).persist()
+    assert sorted(r[0] for r in capped.select("vec_id").collect()) == want
+    assert sorted(r[0] for r in capped.select("vec_id", "embedding").collect()) == want
