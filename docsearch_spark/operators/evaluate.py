@@ -184,6 +184,31 @@ def pair_cosine_eps(q_spec, d_spec, qp: str = "q_", dp: str = "d_") -> Column:
     return num / ((nrm(q_spec, qp) + F.lit(1e-12)) * (nrm(d_spec, dp) + F.lit(1e-12)))
 
 
+def best_relevant(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id: str,
+                  query_vec, qrels_f: DataFrame) -> DataFrame:
+    """(query_id, best_sim, best_doc): each query's best judged document by
+    (score desc, id asc); only judged pairs are scored (equi-joins)."""
+    qcols = search._cols(query_vec)
+    dcols = search._cols(index_vec)
+    qside = queries.select(F.col(query_id).alias("query_id"), *[F.col(c).alias("q_" + c) for c in qcols])
+    judged = qrels_f.select(F.col("doc_id").alias(index_id)).distinct()
+    dside = (index.join(judged, index_id, "left_semi")
+             .select(F.col(index_id).alias("doc_id"), *[F.col(c).alias("d_" + c) for c in dcols]))
+    pairs = (qrels_f.select("query_id", "doc_id").join(qside, "query_id").join(dside, "doc_id")
+             .select("query_id", "doc_id",
+                     F.round(pair_cosine_eps(query_vec, index_vec), search.TIE_DECIMALS).alias("sim")))
+    return (pairs.groupBy("query_id")
+            .agg(F.min(F.struct((-F.col("sim")).alias("neg"), F.col("doc_id").alias("d"))).alias("b"))
+            .select("query_id", (-F.col("b.neg")).alias("best_sim"), F.col("b.d").alias("best_doc")))
+
+
+def mrr_from_ranks(query_ids: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Mean of 1/rank over the query list (0 for a query without a rank; 0.0 with no queries)."""
+    per_q = query_ids.join(ranks, "query_id", "left").select(
+        "query_id", F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0)).alias("rr"))
+    return per_q.agg(F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"))
+
+
 def mrr(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id: str,
         query_vec, qrels_f: DataFrame, query_ids: DataFrame, dim: int | None = None) -> DataFrame:
     """Mean over queries with a relevant document of 1 / rank of the first
@@ -241,11 +266,16 @@ def metric_rows(index: DataFrame, index_id: str, index_vec, queries: DataFrame,
     qids = qrels_f.select("query_id").distinct()
     qv = queries.join(qids.withColumnRenamed("query_id", query_id), query_id, "left_semi")
     kmax = max(int(k) for k in k_values)
-    hits = search.topk_scan(corpus, index_id, index_vec, qv, query_id, query_vec, k=kmax,
-                            mode="cosine_eps", exclude_same_id=True, dim=dim)
+    # one pass over the corpus: the @k top-K (identical ids removed) and, for
+    # MRR, the rank of each query's best relevant document (identical ids kept)
+    targets = best_relevant(corpus, index_id, index_vec, qv, query_id, query_vec, qrels_f)
+    tq = targets.join(qv.withColumnRenamed(query_id, "query_id"), "query_id")
+    hits, ranks = search.topk_scan(corpus, index_id, index_vec, tq, "query_id", query_vec, k=kmax,
+                                   mode="cosine_eps", exclude_same_id=True, dim=dim,
+                                   rank_targets=("best_sim", "best_doc"))
     per_q = metrics_at_k(hits, qrels_f, qids, k_values)
     means = mean_metrics(per_q, k_values)
-    m = mrr(corpus, index_id, index_vec, qv, query_id, query_vec, qrels_f, qids, dim=dim)
+    m = mrr_from_ranks(qids, ranks)
     rows = means.unionByName(m.select(F.lit("mrr").alias("metric"), F.lit(None).cast("int").alias("k"),
                                       F.col("mrr").alias("value")))
     return rows, qids.agg(F.count(F.lit(1)).cast("int").alias("num_queries")), \

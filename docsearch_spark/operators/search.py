@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,19 +144,31 @@ def _prune(q, ids, s, key, kq):
     return q[keep], ids[keep], s[keep], key[keep]
 
 
+def _count_before(key: np.ndarray, thr: np.ndarray, tid: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Per question: index rows with a higher score, or an equal score and a
+    smaller id, than the question's target (score thr, id tid)."""
+    n = (key > thr[:, None]).sum(axis=1)
+    qi, ci = np.nonzero(key == thr[:, None])
+    if qi.size:
+        smaller = np.fromiter((a < b for a, b in zip(ids[ci], tid[qi])), dtype=bool, count=qi.size)
+        n = n + np.bincount(qi[smaller], minlength=thr.size)
+    return n
+
+
 def _scan_fn(bq, spec, dim: int, mode: str, id_col: str, exclude_same: bool,
              id_arrow_type: pa.DataType, qid_arrow_type: pa.DataType):
     """Per-task function of the broadcast scan (closure shipped to executors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat, qvalid, kq = bq.value
+        qids, qmat, qvalid, kq, thr, tid = bq.value
         qn, qok = _prepare(qmat, qvalid, mode)
         kmax = int(kq.max()) if kq.size else 0
+        counts = np.zeros(qids.size, dtype=np.int64) if thr is not None else None
         acc = [np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0), np.zeros(0)]
         budget = max(4 * kq.sum(), 1)
         pending = 0
         for rb in batches:
-            if rb.num_rows == 0 or kmax <= 0:
+            if rb.num_rows == 0 or (kmax <= 0 and counts is None):
                 continue
             ids = rb.column(id_col).to_numpy(zero_copy_only=False)
             cmat, cvalid = _matrix(rb, spec, dim)
@@ -170,6 +183,10 @@ def _scan_fn(bq, spec, dim: int, mode: str, id_col: str, exclude_same: bool,
             usable = qok[:, None] & cok[None, :]
             val = np.where(usable, val, np.nan)
             key = np.where(usable, key, -np.inf)
+            if counts is not None:  # rows ranked before each question's target (identical ids kept)
+                counts += _count_before(key, thr, tid, _sortable(ids.astype(object)))
+            if kmax <= 0:
+                continue
             drop = None
             if exclude_same:
                 drop = qids[:, None] == ids[None, :]
@@ -196,14 +213,21 @@ def _scan_fn(bq, spec, dim: int, mode: str, id_col: str, exclude_same: bool,
                 acc = list(_prune(acc[0], _sortable(acc[1]), acc[2], acc[3], kq))
                 pending = acc[0].size
         q, ids, s, _ = _prune(acc[0], _sortable(acc[1]), acc[2], acc[3], kq)
-        if q.size == 0:
-            return
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids[q].tolist(), type=qid_arrow_type),
-             pa.array(ids.tolist(), type=id_arrow_type),
-             pa.array(s, type=pa.float64(), from_pandas=True),
-             pa.array(kq[q].astype(np.int32), type=pa.int32())],
-            names=["query_id", "doc_id", "value", "top_k"])
+        if q.size:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids[q].tolist(), type=qid_arrow_type),
+                 pa.array(ids.tolist(), type=id_arrow_type),
+                 pa.array(s, type=pa.float64(), from_pandas=True),
+                 pa.array(kq[q].astype(np.int32), type=pa.int32())],
+                names=["query_id", "doc_id", "value", "top_k"])
+        if counts is not None and qids.size:
+            # one count row per question and task, marked by top_k = -1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids.tolist(), type=qid_arrow_type),
+                 pa.nulls(qids.size, type=id_arrow_type),
+                 pa.array(counts.astype(np.float64), type=pa.float64()),
+                 pa.array(np.full(qids.size, -1, np.int32), type=pa.int32())],
+                names=["query_id", "doc_id", "value", "top_k"])
 
     return run
 
@@ -219,19 +243,29 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
     return to_arrow_type(dt)
 
 
-def _gather_queries(queries: DataFrame, qid_col: str, spec, dim: int, k_col):
-    """Driver side of one slice: (ids, matrix, valid, k) as numpy arrays."""
+def _gather_queries(queries: DataFrame, qid_col: str, spec, dim: int, k_col, targets=None):
+    """Driver side of one slice: (ids, matrix, valid, k, thr, tid) as numpy arrays;
+    thr/tid (rank targets: score rounded like the ranking key, and id) are None
+    unless ``targets = (score_col, id_col)`` is given."""
     cols = [F.col(qid_col).alias("__qid")] + [F.col(c) for c in _cols(spec)]
     cols.append((k_col if k_col is not None else F.lit(TOP_K_DEFAULT)).cast("int").alias("__k"))
+    if targets is not None:
+        cols += [F.round(F.col(targets[0]), TIE_DECIMALS).alias("__thr"), F.col(targets[1]).alias("__tid")]
     tbl = queries.select(*cols).toArrow()
     rb = tbl.combine_chunks().to_batches()
     if not rb:
-        return (np.zeros(0, object), np.zeros((0, dim)), np.zeros(0, bool), np.zeros(0, np.int64))
+        z = np.zeros(0)
+        return (np.zeros(0, object), np.zeros((0, dim)), np.zeros(0, bool), np.zeros(0, np.int64),
+                z if targets else None, np.zeros(0, object) if targets else None)
     b = rb[0]
     mat, valid = _matrix(b, spec, dim)
     qids = b.column("__qid").to_numpy(zero_copy_only=False)
     k = pc.fill_null(b.column("__k"), 0).to_numpy().astype(np.int64)
-    return _sortable(qids.astype(object)), mat, valid, k
+    thr = tid = None
+    if targets is not None:
+        thr = b.column("__thr").to_numpy(zero_copy_only=False).astype(np.float64)
+        tid = _sortable(b.column("__tid").to_numpy(zero_copy_only=False).astype(object))
+    return _sortable(qids.astype(object)), mat, valid, k, thr, tid
 
 
 def _vector_dim(df: DataFrame, spec) -> int:
@@ -244,9 +278,14 @@ def _vector_dim(df: DataFrame, spec) -> int:
 def topk_scan(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id: str,
               query_vec, k: int | None = None, k_col: Column | None = None,
               mode: str = "cosine", exclude_same_id: bool = False, dim: int | None = None,
-              max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+              max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES, rank_targets=None):
     """Exact top-k of ``index`` for every row of ``queries`` (R3, E4/E5 truncated).
 
+    With ``rank_targets = (score_col, id_col)`` the same single pass over the
+    index also counts, per question, the rows ranked before the target
+    (identical ids kept), and ``(hits, ranks)`` is returned, ``ranks`` being
+    ``(query_id, rank)`` of the target in the full ranking.
+
     ``mode``: ``cosine`` (NULL for zero vectors, as the ``<=>`` operator),
     ``cosine_eps`` (``v/(|v|+1e-12)``, zero vectors score 0, used by the
     evaluation), ``l2`` (Euclidean distance, ascending).
@@ -277,7 +316,7 @@ def topk_scan(index: DataFrame, index_id: str, index_vec, queries: DataFrame, qu
     for s in range(n_slices):
         qs = queries if n_slices == 1 else queries.filter(
             F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_slices)) == s)
-        payload = _gather_queries(qs, query_id, query_vec, dim, kexpr)
+        payload = _gather_queries(qs, query_id, query_vec, dim, kexpr, rank_targets)
         bq = sc.broadcast(payload)
         parts.append(idx.mapInArrow(
             _scan_fn(bq, index_vec, dim, mode, index_id, exclude_same_id, id_type, qid_type),
@@ -285,13 +324,22 @@ def topk_scan(index: DataFrame, index_id: str, index_vec, queries: DataFrame, qu
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
+    if rank_targets is not None:
+        # the scan output is small (<= k rows + 1 count row per question and
+        # task) and feeds two aggregations: keep it instead of scanning twice
+        cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
     rounded = F.round(F.col("value"), TIE_DECIMALS)
     order = rounded.asc_nulls_last() if mode == "l2" else rounded.desc_nulls_last()
     w = Window.partitionBy("query_id").orderBy(order, F.col("doc_id").asc())
     kmax = k if k is not None else TOP_K_MAX
-    return (cand.withColumn("rank", F.row_number().over(w))
+    hits = (cand.filter(F.col("top_k") >= 0).withColumn("rank", F.row_number().over(w))
             .filter((F.col("rank") <= F.lit(kmax)) & (F.col("rank") <= F.col("top_k")))
             .drop("top_k"))
+    if rank_targets is None:
+        return hits
+    ranks = (cand.filter(F.col("top_k") == -1).groupBy("query_id")
+             .agg((F.sum("value").cast("long") + F.lit(1)).alias("rank")))
+    return hits, ranks
 
 
 # --------------------------------------------------------------------------
@@ -418,8 +466,7 @@ def _count_fn(bq, spec, dim: int, mode: str, id_col: str, qid_arrow_type: pa.Dat
             cn, cok = _prepare(cmat, cvalid, mode)
             key = np.round(qn @ cn.T, decimals)
             key = np.where(qok[:, None] & cok[None, :], key, -np.inf)
-            before = (key > thr[:, None]) | ((key == thr[:, None]) & (ids[None, :] < tid[:, None]))
-            counts += before.sum(axis=1)
+            counts += _count_before(key, thr, tid, ids)
         yield pa.RecordBatch.from_arrays(
             [pa.array(qids.tolist(), type=qid_arrow_type), pa.array(counts, type=pa.int64())],
             names=["query_id", "n_before"])
