@@ -38,7 +38,8 @@ def main() -> None:
     spark = get_spark("docsearch_bench")
     spark.range(1000).selectExpr("sum(id)").collect()  # warm-up
     times = {}
-    for key in HEADLINE:
+    keys = os.environ.get("BENCH_KEYS", "").split(",") if os.environ.get("BENCH_KEYS") else HEADLINE
+    for key in keys:
         t = time.time()
         df = catalog.QUERIES[key](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()

@@ -184,19 +184,42 @@ def pair_cosine_eps(q_spec, d_spec, qp: str = "q_", dp: str = "d_") -> Column:
     return num / ((nrm(q_spec, qp) + F.lit(1e-12)) * (nrm(d_spec, dp) + F.lit(1e-12)))
 
 
+def _unit_eps(spec, prefix: str) -> Column:
+    """``v / (|v| + 1e-12)`` of a vector, once per row (dense: DOUBLE array;
+    sparse: the weight array, buckets kept alongside)."""
+    from docsearch_spark.functions.vectors import l2_normalize
+    if isinstance(spec, search.Dense):
+        return l2_normalize(spec.col).alias(prefix + "u")
+    from docsearch_spark.functions.text import let
+    w = let(F.sqrt(F.aggregate(F.col(spec.val), F.lit(0.0), lambda a, x: a + x * x)) + F.lit(1e-12),
+            lambda n: F.transform(F.col(spec.val), lambda x: x / n))
+    return F.struct(F.col(spec.idx).alias("i"), w.alias("v")).alias(prefix + "u")
+
+
+def _unit_dot(q_spec, d_spec) -> Column:
+    """Dot product of the two unit vectors made by :func:`_unit_eps`."""
+    from docsearch_spark.functions.text import let
+    from docsearch_spark.functions.vectors import dot
+    if isinstance(q_spec, search.Dense) and isinstance(d_spec, search.Dense):
+        return dot("q_u", "d_u")
+    if isinstance(q_spec, search.Sparse) and isinstance(d_spec, search.Sparse):
+        return let(F.map_from_arrays(F.col("d_u.i"), F.col("d_u.v")), lambda m: F.aggregate(
+            F.arrays_zip(F.col("q_u.i").alias("i"), F.col("q_u.v").alias("v")), F.lit(0.0),
+            lambda a, e: a + e["v"] * F.coalesce(F.try_element_at(m, e["i"]), F.lit(0.0))))
+    raise ValueError("query and index vectors must both be dense or both sparse")
+
+
 def best_relevant(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id: str,
                   query_vec, qrels_f: DataFrame) -> DataFrame:
     """(query_id, best_sim, best_doc): each query's best judged document by
     (score desc, id asc); only judged pairs are scored (equi-joins)."""
-    qcols = search._cols(query_vec)
-    dcols = search._cols(index_vec)
-    qside = queries.select(F.col(query_id).alias("query_id"), *[F.col(c).alias("q_" + c) for c in qcols])
+    qside = queries.select(F.col(query_id).alias("query_id"), _unit_eps(query_vec, "q_"))
     judged = qrels_f.select(F.col("doc_id").alias(index_id)).distinct()
     dside = (index.join(judged, index_id, "left_semi")
-             .select(F.col(index_id).alias("doc_id"), *[F.col(c).alias("d_" + c) for c in dcols]))
+             .select(F.col(index_id).alias("doc_id"), _unit_eps(index_vec, "d_")))
     pairs = (qrels_f.select("query_id", "doc_id").join(qside, "query_id").join(dside, "doc_id")
              .select("query_id", "doc_id",
-                     F.round(pair_cosine_eps(query_vec, index_vec), search.TIE_DECIMALS).alias("sim")))
+                     F.round(_unit_dot(query_vec, index_vec), search.TIE_DECIMALS).alias("sim")))
     return (pairs.groupBy("query_id")
             .agg(F.min(F.struct((-F.col("sim")).alias("neg"), F.col("doc_id").alias("d"))).alias("b"))
             .select("query_id", (-F.col("b.neg")).alias("best_sim"), F.col("b.d").alias("best_doc")))
@@ -269,7 +292,9 @@ def metric_rows(index: DataFrame, index_id: str, index_vec, queries: DataFrame,
     # one pass over the corpus: the @k top-K (identical ids removed) and, for
     # MRR, the rank of each query's best relevant document (identical ids kept)
     targets = best_relevant(corpus, index_id, index_vec, qv, query_id, query_vec, qrels_f)
-    tq = targets.join(qv.withColumnRenamed(query_id, "query_id"), "query_id")
+    # one row per query (its vector and target): read twice by the scan set-up
+    # (size check, gather), so its lineage is cut once
+    tq = targets.join(qv.withColumnRenamed(query_id, "query_id"), "query_id").checkpoint(eager=True)
     hits, ranks = search.topk_scan(corpus, index_id, index_vec, tq, "query_id", query_vec, k=kmax,
                                    mode="cosine_eps", exclude_same_id=True, dim=dim,
                                    rank_targets=("best_sim", "best_doc"))

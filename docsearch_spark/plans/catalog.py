@@ -62,8 +62,13 @@ def question_vectors(spark: SparkSession, sf: str, top_k=None) -> DataFrame:
 
 
 def text_topk(spark: SparkSession, sf: str, k: int = 5, k_col=None, questions=None) -> DataFrame:
-    """R3 on text: every question against every chunk, cosine of hashed vectors."""
-    idx = text_index(spark, sf)
+    """R3 on text: every question against every chunk, cosine of hashed vectors.
+
+    The chunk index is built on the fly from ``documents`` here, and read twice
+    (scan, then metadata of the hits): it is persisted, standing in for the
+    stored index table of a deployment (see ``ingest``)."""
+    from pyspark import StorageLevel
+    idx = text_index(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     qv = (question_vectors(spark, sf) if questions is None
           else embed.embed_sparse(questions, "question", TEXT_DIM))
     spec = search.Sparse("sv_idx", "sv_val", TEXT_DIM)
