@@ -77,11 +77,20 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     """
     sc = df.sparkSession.sparkContext
     target = min_partitions or sc.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(node in plan for node in _SHUFFLED_NODES):
+        # already spread by a shuffle (or cached); asking a plan with shuffles
+        # for its partition count would run its stages under AQE
+        return df
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
 
 
+_SHUFFLED_NODES = ("Repartition", "Aggregate", "Join", "Window", "Sort ", "InMemoryRelation",
+                   "LogicalRDD")
+
+
 # --------------------------------------------------------------------------
 # Arrow batch -> matrix
 
