@@ -11,9 +11,19 @@ TABLES = ("documents", "embeddings", "benchmark", "labels", "conversations",
           "pages")
 
 
+# Tables whose rows carry heavy per-row work (long texts, vectors): when one
+# is read as fewer partitions than cores (a single small file), it is spread
+# round-robin. Real tables come in many files and pass through unchanged.
+HEAVY = ("documents", "pages", "embeddings")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table; Catalyst prunes columns and pushes filters into the scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in HEAVY:
+        from docsearch_spark.operators.search import ensure_parallelism
+        df = ensure_parallelism(df)
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
