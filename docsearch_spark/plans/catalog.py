@@ -1280,3 +1280,35 @@ def q_empty_report(spark, sf):
 def q_evaluate(spark, sf):
     """The composite evaluation on text (benchmark passages x documents)."""
     return q_eval_text(spark, sf)
+
+
+@register("full_ranking", f"""
+    WITH s AS ({_SQL_VEC_SIMS}),
+    r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, doc_id)
+                 AS rank FROM s)
+    SELECT q.query_id, q.doc_id, CAST(r.rank AS BIGINT) AS rank
+    FROM ({_sql_vec_qrels()}) q JOIN r USING (query_id, doc_id)""")
+def q_full_ranking(spark, sf):
+    """E5: position of every judged document in its query's full ranking (score
+    desc, id asc), counted by a broadcast scan; the ranking itself (all pairs)
+    is never materialised."""
+    v = tables.vectors(spark, sf)
+    qrels = vec_qrels(spark, sf)
+    spec = search.Dense("embedding")
+    q = v.select(F.col("vec_id").alias("query_id"), E._unit_eps(spec, "q_"))
+    d = v.select(F.col("vec_id").alias("doc_id"), E._unit_eps(spec, "d_"))
+    pairs = qrels.join(q, "query_id").join(d, "doc_id").select(
+        "query_id", "doc_id", F.round(E._unit_dot(spec, spec), search.TIE_DECIMALS).alias("sim"))
+    targets = (pairs.join(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+               .select(F.concat_ws(":", "query_id", "doc_id").alias("pair"), "embedding", "sim", "doc_id"))
+    ranks = search.rank_in_full_ranking(v, "vec_id", spec, targets, "pair", spec, "sim", "doc_id",
+                                        mode="cosine_eps", dim=64)
+    parts = F.split("query_id", ":")
+    return ranks.select(parts[0].cast("bigint").alias("query_id"), parts[1].cast("bigint").alias("doc_id"),
+                        F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("metric_report", ORACLE["eval_report"])
+def q_metric_report(spark, sf):
+    """The one-row report (maps flattened to scalar columns for comparison)."""
+    return q_eval_report(spark, sf)
