@@ -437,15 +437,32 @@ def ann_candidates(index: DataFrame, index_id: str, queries: DataFrame, query_id
 def ann_topk(index: DataFrame, index_id: str, queries: DataFrame, query_id: str, vec_col: str,
              dim: int, k: int = 10, n_tables: int = 8, n_bits: int = 4,
              max_bucket: int | None = None) -> DataFrame:
-    """Candidates by hyperplane buckets, exact cosine re-rank, top k."""
+    """Candidates by hyperplane buckets, exact cosine re-rank, top k.
+
+    With ``max_bucket`` oversized buckets are dropped from the candidate join
+    (it cannot grow quadratically on a hot key); every question left with
+    fewer than k candidates is then answered by the exact broadcast scan, so
+    no question loses results because of the cap.
+    """
     cand = ann_candidates(index, index_id, queries, query_id, vec_col, dim, n_tables, n_bits,
                           max_bucket)
     iv = index.select(F.col(index_id).alias("doc_id"), F.col(vec_col).alias("__dv"))
     qv = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("__qv"))
     scored = (cand.join(qv, "query_id").join(iv, "doc_id")
               .select("query_id", "doc_id", (F.lit(1.0) - cosine_distance("__qv", "__dv")).alias("score")))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col("doc_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    w = Window.partitionBy("query_id").orderBy(F.round(F.col("score"), TIE_DECIMALS).desc_nulls_last(),
+                                               F.col("doc_id"))
+    approx = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if max_bucket is None:
+        return approx
+    short = (queries.select(F.col(query_id).alias("query_id"))
+             .join(approx.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+             .filter(F.coalesce(F.col("n"), F.lit(0)) < k).select("query_id"))
+    lacking = queries.join(short.withColumnRenamed("query_id", query_id), query_id, "left_semi")
+    exact = topk_scan(index, index_id, Dense(vec_col), lacking, query_id, Dense(vec_col), k=k,
+                      mode="cosine", dim=dim).withColumnRenamed("value", "score")
+    return (approx.join(short, "query_id", "left_anti")
+            .unionByName(exact.select("query_id", "doc_id", "score", "rank")))
 
 
 def ann_recall(exact: DataFrame, approx: DataFrame) -> DataFrame:

@@ -134,3 +134,13 @@ def test_ann_hits_are_true_cosines(spark):
     assert all(abs(r["score"] - r["value"]) < 1e-9 for r in j.collect())
     rec = search.ann_recall(e, a).agg(F.avg("recall")).first()[0]
     assert 0.0 < rec <= 1.0
+
+
+def test_ann_bucket_cap_falls_back_to_exact(spark):
+    v = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    capped = search.ann_topk(v, "vec_id", v.filter("vec_id < 30"), "vec_id", "embedding", 64, k=5,
+                             n_tables=2, n_bits=2, max_bucket=3)   # nearly every bucket dropped
+    exact = search.topk_scan(v, "vec_id", search.Dense("embedding"), v.filter("vec_id < 30"), "vec_id",
+                             search.Dense("embedding"), k=5)
+    assert sorted((r.query_id, r.doc_id, r.rank) for r in capped.collect()) == \
+        sorted((r.query_id, r.doc_id, r.rank) for r in exact.collect())
