@@ -89,6 +89,31 @@ def densify(idx_col: str = "sv_idx", val_col: str = "sv_val",
                        lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)).cast(dtype))
 
 
+def densify_batches(df: DataFrame, idx_col: str = "sv_idx", val_col: str = "sv_val",
+                    dim: int = EMBED_DIM, out_col: str = "embedding") -> DataFrame:
+    """Sparse (idx, val) to a dense ``ARRAY<FLOAT>`` column, one numpy scatter
+    per Arrow batch (the SQL form needs a map lookup per dimension)."""
+    schema = T.StructType(df.schema.fields + [
+        T.StructField(out_col, T.ArrayType(T.FloatType(), False), True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+        for rb in batches:
+            n = rb.num_rows
+            ic, vc = rb.column(idx_col), rb.column(val_col)
+            lens = pc.fill_null(pc.list_value_length(ic), 0).to_numpy().astype(np.int64)
+            mat = np.zeros((n, dim), dtype=np.float32)
+            rows = np.repeat(np.arange(n), lens)
+            if rows.size:
+                mat[rows, ic.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = \
+                    vc.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim, type=pa.int32())
+            arr = pa.ListArray.from_arrays(offsets, pa.array(mat.reshape(-1), type=pa.float32()))
+            yield pa.RecordBatch.from_arrays(rb.columns + [arr], names=rb.schema.names + [out_col])
+
+    return df.mapInArrow(run, schema)
+
+
 # --------------------------------------------------------------------------
 # batching plan (C2) and checks
 

@@ -53,7 +53,7 @@ def build_index(documents: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: i
     ch = ch.repartition("bucket", salt)
     out = embed.embed_sparse(ch, "content", dim)
     if dense:
-        out = out.withColumn("embedding", embed.densify("sv_idx", "sv_val", dim, "float"))
+        out = embed.densify_batches(out, "sv_idx", "sv_val", dim, "embedding")
     return out
 
 
