@@ -82,16 +82,17 @@ def newest_version(batch: DataFrame, version_col: str = "version") -> DataFrame:
 def check_constraints(chunks: DataFrame) -> DataFrame:
     """D3: NOT NULL violations per column and duplicated chunk ids, in one row.
 
-    One pass for the null counts, one aggregation by chunk_id for uniqueness
-    (partial aggregation keeps the shuffle to distinct ids)."""
+    One aggregation by chunk_id (partial aggregation keeps the shuffle to
+    distinct ids) and one global aggregate over its output; no joins."""
     cols = ["chunk_id", "doc_id", "source_path", "chunk_index", "content", "embedding"]
     present = [c for c in cols if c in chunks.columns]
-    nulls = chunks.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(f"null_{c}") for c in present])
-    dups = (chunks.filter(F.col("chunk_id").isNotNull()).groupBy("chunk_id").count()
-            .filter(F.col("count") > 1)
-            .agg(F.count(F.lit(1)).alias("dup_ids"), F.coalesce(F.sum("count"), F.lit(0)).alias("dup_rows")))
-    n = nulls.withColumn("__one", F.lit(1))
-    return n.join(dups.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    per_id = chunks.groupBy("chunk_id").agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.sum(F.col(c).isNull().cast("long")).alias(f"null_{c}") for c in present])
+    dup = F.col("chunk_id").isNotNull() & (F.col("__n") > 1)
+    return per_id.agg(*[F.coalesce(F.sum(f"null_{c}"), F.lit(0)).alias(f"null_{c}") for c in present],
+                      F.sum(dup.cast("long")).alias("dup_ids"),
+                      F.coalesce(F.sum(F.when(dup, F.col("__n"))), F.lit(0)).alias("dup_rows"))
 
 
 def ingest_summary(documents: DataFrame, chunks: DataFrame) -> DataFrame:
