@@ -312,6 +312,9 @@ def topk_scan(index: DataFrame, index_id: str, index_vec, queries: DataFrame, qu
     nq = queries.count()
     per_row = dim * 8 + 64
     n_slices = max(1, math.ceil(nq * per_row / max_broadcast_bytes))
+    if n_slices > 1:
+        # every slice filters the question table: compute it once
+        queries = queries.checkpoint(eager=True)
     idx = ensure_parallelism(index.select(index_id, *_cols(index_vec)))
     id_type = _arrow_type(index.schema[index_id].dataType)
     qid_type = _arrow_type(queries.schema[query_id].dataType)
