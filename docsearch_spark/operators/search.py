@@ -354,6 +354,22 @@ def topk_scan(index: DataFrame, index_id: str, index_vec, queries: DataFrame, qu
     return hits, ranks
 
 
+MAX_BROADCAST_HIT_ROWS = 2_000_000
+
+
+def attach(hits: DataFrame, table: DataFrame, key: str, n_questions: int, k: int,
+           max_rows: int = MAX_BROADCAST_HIT_ROWS) -> DataFrame:
+    """Join top-k hits back to a (large) table on ``key``.
+
+    The hits hold at most ``n_questions * k`` rows; when that bound is below
+    ``max_rows`` they are broadcast so the large table is streamed, not
+    shuffled. Otherwise the planner's shuffle join is used.
+    """
+    if n_questions * k <= max_rows:
+        return table.join(F.broadcast(hits), key)
+    return hits.join(table, key)
+
+
 # --------------------------------------------------------------------------
 # Expression forms
 

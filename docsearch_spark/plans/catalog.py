@@ -77,7 +77,9 @@ def text_topk(spark: SparkSession, sf: str, k: int = 5, k_col=None, questions=No
     meta = idx.select("chunk_id", "doc_id", "source_path", "chunk_index", "content")
     # the hits (k rows per question) feed several consumers downstream (prompts,
     # citations, responses): keep them rather than re-running the scan for each
-    return (hits.withColumnRenamed("doc_id", "chunk_id").join(meta, "chunk_id")
+    joined = search.attach(hits.withColumnRenamed("doc_id", "chunk_id"), meta, "chunk_id",
+                           qv.count(), k)
+    return (joined
             .withColumn("dist", F.lit(1.0) - F.col("value"))
             .withColumn("score", F.lit(1.0) - F.col("dist")).drop("value")
             .persist(StorageLevel.MEMORY_AND_DISK))
