@@ -275,6 +275,8 @@ def metric_rows(index: DataFrame, index_id: str, index_vec, queries: DataFrame,
                 max_queries: int = 0, dim: int | None = None):
     """E1-E11 in one job. Returns (metrics (metric, k, value) incl. mrr, num_queries df,
     corpus size df)."""
+    from docsearch_spark.session import checkpoint_dir
+    checkpoint_dir(index.sparkSession)  # the shared folder named by spark.checkpoint.dir
     corpus = cap_by_id(index, index_id, max_corpus)
     # the embedded corpus feeds three jobs (pair scores, top-K scan, rank
     # counts): compute it once; partitions spill to disk and are recomputed

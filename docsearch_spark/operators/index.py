@@ -74,9 +74,12 @@ def replace_by_document(old: DataFrame, new: DataFrame, new_documents: DataFrame
 
 
 def newest_version(batch: DataFrame, version_col: str = "version") -> DataFrame:
-    """Keep the highest version of each document in a landing batch (replay-safe)."""
-    best = batch.groupBy("doc_id").agg(F.max(version_col).alias("__v"))
-    return batch.join(best, (batch["doc_id"] == best["doc_id"]) & (batch[version_col] == best["__v"]), "left_semi")
+    """Keep the highest version of each document in a landing batch (replay-safe).
+
+    One aggregation by doc_id (``max_by`` of the whole row, combined map-side)."""
+    cols = [c for c in batch.columns if c != "doc_id"]
+    best = batch.groupBy("doc_id").agg(F.max_by(F.struct(*cols), F.col(version_col)).alias("__r"))
+    return best.select("doc_id", *[F.col(f"__r.{c}").alias(c) for c in cols])
 
 
 def check_constraints(chunks: DataFrame) -> DataFrame:

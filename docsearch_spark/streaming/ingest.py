@@ -30,15 +30,15 @@ LANDING_SCHEMA = T.StructType([
 
 
 def _pointer_path(root: str) -> str:
-    return f"{root.rstrip('/')}/_pointer"
+    return f"{root.rstrip('/')}/pointer"  # no leading '_': Spark skips such paths
 
 
 def current_snapshot(spark: SparkSession, root: str) -> str | None:
     """Path of the newest committed snapshot, or None before the first batch."""
-    try:
-        p = spark.read.json(_pointer_path(root))
-    except Exception:  # noqa: BLE001 - no pointer yet
+    from docsearch_spark.sources.files import _exists
+    if not _exists(spark, _pointer_path(root)):
         return None
+    p = spark.read.json(_pointer_path(root))
     if "batch_id" not in p.columns:
         return None
     row = p.orderBy(F.col("batch_id").desc()).select("path").first()

@@ -131,6 +131,13 @@ def test_streaming_ingest_replay_safe(spark, tmpdir_path):
     assert sorted((r["doc_id"], r["content"]) for r in snap.collect()) == [(1, "one"), (2, "two new")]
 
 
+def test_newest_version_per_document(spark):
+    b = spark.createDataFrame([(1, "/1", "a5", 5), (1, "/1", "a2", 2), (2, "/2", "b3", 3)],
+                              "doc_id long, source_path string, text string, version long")
+    got = sorted((r["doc_id"], r["text"]) for r in IX.newest_version(b).collect())
+    assert got == [(1, "a5"), (2, "b3")]
+
+
 def test_scan_and_route(spark, tmpdir_path):
     root = tmpdir_path
     files = {"B.MD": b"# Title\n", "sub/c.markdown": b"c", "d.csv": b"x", "e.txt": b"a\xffb",
