@@ -141,10 +141,27 @@ def _prepare(mat: np.ndarray, valid: np.ndarray, mode: str) -> tuple[np.ndarray,
 
 
 def _prune(q, ids, s, key, kq):
-    """Best kq[q] rows per question by (key desc, id asc)."""
+    """Best kq[q] rows per question by (key desc, id asc).
+
+    The sort is numeric (question, key); ids are compared only inside runs of
+    exactly equal keys, so string ids cost nothing unless there are ties.
+    """
     if q.size == 0:
         return q, ids, s, key
-    order = np.lexsort((ids, -key, q))
+    if ids.dtype != object:
+        order = np.lexsort((ids, -key, q))
+    else:
+        order = np.lexsort((-key, q))
+        qs, ks = q[order], key[order]
+        same = np.flatnonzero((qs[1:] == qs[:-1]) & (ks[1:] == ks[:-1]))
+        if same.size:
+            starts = same[np.r_[True, np.diff(same) > 1]]
+            for st in starts:
+                en = st + 1
+                while en < qs.size - 1 and qs[en + 1] == qs[st] and ks[en + 1] == ks[st]:
+                    en += 1
+                seg = order[st:en + 1]
+                order[st:en + 1] = seg[np.argsort(ids[seg], kind="stable")]
     q, ids, s, key = q[order], ids[order], s[order], key[order]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
     sizes = np.diff(np.r_[starts, q.size])
@@ -173,7 +190,7 @@ def _scan_fn(bq, spec, dim: int, mode: str, id_col: str, exclude_same: bool,
         qn, qok = _prepare(qmat, qvalid, mode)
         kmax = int(kq.max()) if kq.size else 0
         counts = np.zeros(qids.size, dtype=np.int64) if thr is not None else None
-        acc = [np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0), np.zeros(0)]
+        acc = None
         budget = max(4 * kq.sum(), 1)
         pending = 0
         for rb in batches:
@@ -215,13 +232,15 @@ def _scan_fn(bq, spec, dim: int, mode: str, id_col: str, exclude_same: bool,
                              np.sqrt(((qmat[qi] - cmat[ci]) ** 2).sum(1)))
             k_ = (key[qi, ci] if mode != "l2"
                   else np.where(np.isnan(s), -np.inf, -np.round(s, TIE_DECIMALS)))
-            acc = [np.concatenate([acc[0], qi]), np.concatenate([acc[1], ids[ci].astype(object)]),
-                   np.concatenate([acc[2], s]), np.concatenate([acc[3], k_])]
+            new = [qi, _native(ids[ci]), s, k_]
+            acc = new if acc is None else [np.concatenate([a, b]) for a, b in zip(acc, new)]
             pending += qi.size
             if pending > budget:
-                acc = list(_prune(acc[0], _sortable(acc[1]), acc[2], acc[3], kq))
+                acc = list(_prune(*acc, kq))
                 pending = acc[0].size
-        q, ids, s, _ = _prune(acc[0], _sortable(acc[1]), acc[2], acc[3], kq)
+        if acc is None:
+            acc = [np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0), np.zeros(0)]
+        q, ids, s, _ = _prune(*acc, kq)
         if q.size:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(qids[q].tolist(), type=qid_arrow_type),
@@ -241,6 +260,13 @@ def _scan_fn(bq, spec, dim: int, mode: str, id_col: str, exclude_same: bool,
     return run
 
 
+def _native(ids: np.ndarray) -> np.ndarray:
+    """Integer ids as int64 (fast sorts), anything else as objects."""
+    if ids.dtype.kind in "iu":
+        return ids.astype(np.int64)
+    return ids.astype(object)
+
+
 def _sortable(ids: np.ndarray) -> np.ndarray:
     if ids.size and all(isinstance(x, (int, np.integer)) for x in ids[:1]):
         return ids.astype(np.int64)

@@ -144,3 +144,17 @@ def test_ann_bucket_cap_falls_back_to_exact(spark):
                              search.Dense("embedding"), k=5)
     assert sorted((r.query_id, r.doc_id, r.rank) for r in capped.collect()) == \
         sorted((r.query_id, r.doc_id, r.rank) for r in exact.collect())
+
+
+def test_string_ids_and_exact_ties(spark):
+    # duplicated vectors under string ids: ties must be cut by id ascending
+    base = [[1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [0.0, 0.0, 1.0]]
+    ds = [(f"id{j:03d}", base[j % 3]) for j in range(60)]
+    ddf = spark.createDataFrame(ds, "id string, v array<double>")
+    qdf = spark.createDataFrame([("q1", [1.0, 0.1, 0.0]), ("q2", [0.0, 0.0, 1.0])], "qid string, v array<double>")
+    h = search.topk_scan(ddf, "id", search.Dense("v"), qdf, "qid", search.Dense("v"), k=7, dim=3)
+    got = {}
+    for r in h.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    want = brute([("q1", [1.0, 0.1, 0.0]), ("q2", [0.0, 0.0, 1.0])], ds, 7)
+    assert got == want
