@@ -99,3 +99,62 @@ def test_cap_is_exact_under_aqe_coalescing(spark):
     capped = E.cap_by_id(v, "vec_id", 250).persist()
     assert sorted(r[0] for r in capped.select("vec_id").collect()) == want
     assert sorted(r[0] for r in capped.select("vec_id", "embedding").collect()) == want
+
+
+def _brute_metrics(docs, queries, qrels, ks):
+    """Plain-Python metrics: @k with the query's own id removed, MRR with it kept."""
+    import math
+
+    import numpy as np
+    rel = {}
+    for q, d, g in qrels:
+        if g > 0 and d in docs:
+            rel.setdefault(q, {})[d] = g
+    out = {}
+    per = {k: {"ndcg": [], "map": [], "recall": [], "precision": []} for k in ks}
+    rrs = []
+    for q in sorted(rel):
+        qv = np.array(queries[q]) / (np.linalg.norm(queries[q]) + 1e-12)
+        sims = {d: round(float(np.dot(qv, np.array(v) / (np.linalg.norm(v) + 1e-12))), 12) for d, v in docs.items()}
+        full = sorted(sims, key=lambda d: (-sims[d], d))
+        rr = 0.0
+        for i, d in enumerate(full, 1):
+            if d in rel[q]:
+                rr = 1.0 / i
+                break
+        rrs.append(rr)
+        ranked = [d for d in full if d != q]
+        grades = sorted(rel[q].values(), reverse=True)
+        for k in ks:
+            top = ranked[:k]
+            hits = [1 if d in rel[q] else 0 for d in top]
+            dcg = sum(rel[q].get(d, 0) / math.log2(i + 2) for i, d in enumerate(top))
+            idcg = sum(g / math.log2(i + 2) for i, g in enumerate(grades[:k]))
+            ap = sum(sum(hits[:i + 1]) / (i + 1) for i in range(len(top)) if hits[i]) / len(rel[q])
+            per[k]["ndcg"].append(dcg / idcg if idcg else 0.0)
+            per[k]["map"].append(ap)
+            per[k]["recall"].append(sum(hits) / len(rel[q]))
+            per[k]["precision"].append(sum(hits) / k)
+    for k in ks:
+        for m, vals in per[k].items():
+            out[(m, k)] = round(sum(vals) / len(vals), 5) if vals else 0.0
+    out[("mrr", None)] = sum(rrs) / len(rrs) if rrs else 0.0
+    return out
+
+
+def test_metrics_against_brute_force(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    docs = {i: rng.normal(size=4).tolist() for i in range(40)}
+    queries = {i: rng.normal(size=4).tolist() for i in range(0, 12, 2)}  # ids overlap doc ids
+    qrels = [(q, int(d), int(g)) for q in queries for d, g in
+             zip(rng.choice(40, 6, replace=False), rng.integers(-1, 4, 6))]
+    idx = spark.createDataFrame(list(docs.items()), "id long, v array<double>")
+    qs = spark.createDataFrame(list(queries.items()), "qid long, v array<double>")
+    qr = spark.createDataFrame(qrels, "query_id long, doc_id long, grade int")
+    ks = (1, 2, 5, 10)
+    rows, _, _ = E.metric_rows(idx, "id", search.Dense("v"), qs, "qid", search.Dense("v"), qr, k_values=ks)
+    got = {(r["metric"], r["k"]): r["value"] for r in rows.collect()}
+    want = _brute_metrics(docs, queries, qrels, ks)
+    for key, val in want.items():
+        assert got[key] == pytest.approx(val, abs=1e-9), key
