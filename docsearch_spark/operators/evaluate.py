@@ -209,6 +209,48 @@ def _unit_dot(q_spec, d_spec) -> Column:
     raise ValueError("query and index vectors must both be dense or both sparse")
 
 
+def _row_dots(pairs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, sim): row-wise dot of the unit vectors q_u, d_u, one
+    numpy product per Arrow batch (rounded like the ranking key)."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql import types as T
+
+    schema = T.StructType([pairs.schema["query_id"], pairs.schema["doc_id"],
+                           T.StructField("sim", T.DoubleType(), True)])
+    dec = search.TIE_DECIMALS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            q, d = rb.column("q_u"), rb.column("d_u")
+            lq = pc.fill_null(pc.list_value_length(q), 0).to_numpy()
+            ld = pc.fill_null(pc.list_value_length(d), 0).to_numpy()
+            sim = np.full(n, np.nan)
+            ok = (lq == ld) & (lq > 0)
+            if ok.all() and np.unique(lq).size == 1:
+                dim = int(lq[0])
+                qm = q.flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
+                dm = d.flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
+                sim = np.einsum("ij,ij->i", qm, dm)
+            else:  # ragged rows: per row
+                ql, dl = q.to_pylist(), d.to_pylist()
+                for i in range(n):
+                    if ok[i]:
+                        sim[i] = float(np.dot(ql[i], dl[i]))
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("query_id"), rb.column("doc_id"),
+                 pa.array(np.round(sim, dec), type=pa.float64(), from_pandas=True)],
+                names=["query_id", "doc_id", "sim"])
+
+    return pairs.mapInArrow(run, schema)
+
+
 def best_relevant(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id: str,
                   query_vec, qrels_f: DataFrame) -> DataFrame:
     """(query_id, best_sim, best_doc): each query's best judged document by
@@ -217,9 +259,12 @@ def best_relevant(index: DataFrame, index_id: str, index_vec, queries: DataFrame
     judged = qrels_f.select(F.col("doc_id").alias(index_id)).distinct()
     dside = (index.join(judged, index_id, "left_semi")
              .select(F.col(index_id).alias("doc_id"), _unit_eps(index_vec, "d_")))
-    pairs = (qrels_f.select("query_id", "doc_id").join(qside, "query_id").join(dside, "doc_id")
-             .select("query_id", "doc_id",
-                     F.round(_unit_dot(query_vec, index_vec), search.TIE_DECIMALS).alias("sim")))
+    joined = qrels_f.select("query_id", "doc_id").join(qside, "query_id").join(dside, "doc_id")
+    if isinstance(query_vec, search.Dense) and isinstance(index_vec, search.Dense):
+        pairs = _row_dots(joined.select("query_id", "doc_id", "q_u", "d_u"))
+    else:
+        pairs = joined.select("query_id", "doc_id",
+                              F.round(_unit_dot(query_vec, index_vec), search.TIE_DECIMALS).alias("sim"))
     return (pairs.groupBy("query_id")
             .agg(F.min(F.struct((-F.col("sim")).alias("neg"), F.col("doc_id").alias("d"))).alias("b"))
             .select("query_id", (-F.col("b.neg")).alias("best_sim"), F.col("b.d").alias("best_doc")))
