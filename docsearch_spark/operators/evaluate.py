@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from docsearch_spark.operators import search
 from docsearch_spark.schemas import ALLOWED_DATASETS, K_VALUES
 
+# Fixed values that must equal the application being re-built: the metric key
+# prefixes of the report maps and the note of an empty evaluation.
 METRIC_PREFIX = {"ndcg": "NDCG@", "map": "MAP@", "recall": "Recall@", "precision": "P@"}
 METRIC_MAP_COLUMN = {"recall": "recall_at_k", "ndcg": "ndcg_at_k", "map": "map_at_k",
                      "precision": "precision_at_k"}

@@ -22,14 +22,16 @@ SYSTEM_PROMPT = (
     "You are a careful assistant. Ground every factual claim in the provided sources using [S#] citations. "
     "Do not invent facts not present in sources."
 )
-USER_TEMPLATE_HEAD = "Question: "
-USER_TEMPLATE_MIDDLE = (
-    "\n\nUse ONLY the sources below. If the answer is not in the sources, say you cannot find it in the "
-    "documents.\n\nSources:\n"
-)
-USER_TEMPLATE_TAIL = (
-    "\n\nAnswer concisely. After each sentence or claim that uses a source, add a citation like [S1] or "
-    "[S2] matching the source label."
+USER_TEMPLATE = (
+    "Question: %s\n"
+    "\n"
+    "Use ONLY the sources below. If the answer is not in the sources, say you cannot find it in the documents.\n"
+    "\n"
+    "Sources:\n"
+    "%s\n"
+    "\n"
+    "Answer concisely. After each sentence or claim that uses a source, add a citation like [S1] or [S2] "
+    "matching the source label."
 )
 SOURCE_SEPARATOR = "\n\n---\n\n"
 NO_CONTEXT_ANSWER = "No retrieved context. Ingest documents first."
@@ -60,8 +62,7 @@ def build_prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
     q = questions.select("query_id", "question")
     return q.join(blocks, "query_id").select(
         "query_id", F.lit(SYSTEM_PROMPT).alias("system"),
-        F.concat(F.lit(USER_TEMPLATE_HEAD), or_empty("question"), F.lit(USER_TEMPLATE_MIDDLE),
-                 F.col("block"), F.lit(USER_TEMPLATE_TAIL)).alias("user"),
+        F.format_string(USER_TEMPLATE, or_empty("question"), F.col("block")).alias("user"),
         F.col("n_sources").cast("int").alias("n_sources"))
 
 
