@@ -77,7 +77,10 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     """
     sc = df.sparkSession.sparkContext
     target = min_partitions or sc.defaultParallelism
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. Spark Connect): leave as is
+        return df
     if any(node in plan for node in _SHUFFLED_NODES):
         # already spread by a shuffle (or cached); asking a plan with shuffles
         # for its partition count would run its stages under AQE

@@ -731,7 +731,7 @@ def q_replace_by_document(spark, sf):
 @register("ingest_summary", f"""
     WITH c AS ({S.documents_chunks()}),
     per AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id),
-    s AS (SELECT count(*) AS files_processed, coalesce(sum(per.n), 0) AS chunks_written
+    s AS (SELECT count(*) AS files_processed, CAST(coalesce(sum(per.n), 0) AS BIGINT) AS chunks_written
           FROM documents d LEFT JOIN per USING (doc_id))
     SELECT files_processed, chunks_written,
            'Ingested ' || files_processed || ' file(s), ' || chunks_written || ' chunk(s).' AS message FROM s""")
@@ -746,12 +746,12 @@ def q_ingest_summary(spark, sf):
                  doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source_path END AS source_path,
                  chunk_index, content FROM c0),
     d AS (SELECT chunk_id, count(*) AS n FROM c GROUP BY chunk_id HAVING count(*) > 1)
-    SELECT sum(CASE WHEN chunk_id IS NULL THEN 1 ELSE 0 END) AS null_chunk_id,
-           sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS null_doc_id,
-           sum(CASE WHEN source_path IS NULL THEN 1 ELSE 0 END) AS null_source_path,
-           sum(CASE WHEN chunk_index IS NULL THEN 1 ELSE 0 END) AS null_chunk_index,
-           sum(CASE WHEN content IS NULL THEN 1 ELSE 0 END) AS null_content,
-           (SELECT count(*) FROM d) AS dup_ids, (SELECT coalesce(sum(n), 0) FROM d) AS dup_rows
+    SELECT CAST(sum(CASE WHEN chunk_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_chunk_id,
+           CAST(sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_doc_id,
+           CAST(sum(CASE WHEN source_path IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_source_path,
+           CAST(sum(CASE WHEN chunk_index IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_chunk_index,
+           CAST(sum(CASE WHEN content IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_content,
+           (SELECT count(*) FROM d) AS dup_ids, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM d) AS dup_rows
     FROM c""")
 def q_check_constraints(spark, sf):
     c = document_chunks(spark, sf)
@@ -1261,9 +1261,9 @@ for _name, _key in (("recall", "recall_at_k"), ("precision", "precision_at_k"),
     register(_key, f"SELECT * FROM ({_SQL_EVAL}) WHERE metric = '{_name}'")(_metric_filter(_name))
 
 
-@register("empty_report", """SELECT 'labels' AS dataset, 0.0 AS mrr, 0 AS num_queries,
+@register("empty_report", """SELECT 'labels' AS dataset, CAST(0.0 AS DOUBLE) AS mrr, 0 AS num_queries,
     'No queries left after filtering qrels to embedded corpus; increase --max-corpus.' AS notes,
-    0.0 AS recall_at_10, 4 AS n_keys""")
+    CAST(0.0 AS DOUBLE) AS recall_at_10, 4 AS n_keys""")
 def q_empty_report(spark, sf):
     """Every qrel has grade <= 0, so no query survives: zeros and the note."""
     v = tables.vectors(spark, sf)
