@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from docsearch_spark.llm import bpe
+from docsearch_spark.llm import bpe, quotient, sharding
 
 QUERIES = {
+    "op3_exact_dedup": quotient.op3_exact_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_shards": sharding.op7_shards,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": quotient.OP3_SQL,
+}
