@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docsearch_spark.llm import bpe, langid, quotient, sharding
+from docsearch_spark.llm import bpe, langid, lattice, quotient, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op3_exact_dedup": quotient.op3_exact_dedup,
+    "op4_lattice_score": lattice.op4_lattice_score,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_shards": sharding.op7_shards,
 }
