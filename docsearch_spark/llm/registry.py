@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsearch_spark.llm import bpe, langid, lattice, quotient, sharding
+from docsearch_spark.llm import bpe, langid, lattice, quotient, sharding, vertical
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_lattice_score": lattice.op4_lattice_score,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_shards": sharding.op7_shards,
+    "op8_jaccard_join": vertical.op8_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
