@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsearch_spark.llm import bpe, langid, lattice, quotient, sharding, vertical
+from docsearch_spark.llm import bpe, langid, lattice, quotient, recompress, sharding, vertical
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_shards": sharding.op7_shards,
     "op8_jaccard_join": vertical.op8_jaccard_join,
+    "op9_substring_dedup": recompress.op9_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
