@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from docsearch_spark.llm import bpe, langid, lattice, quotient, recompress, sharding, vertical
+from docsearch_spark.llm import (bpe, decontaminate, langid, lattice, licenses, quotient, recompress,
+                                 sharding, vertical)
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op3_exact_dedup": quotient.op3_exact_dedup,
     "op4_lattice_score": lattice.op4_lattice_score,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_shards": sharding.op7_shards,
     "op8_jaccard_join": vertical.op8_jaccard_join,
     "op9_substring_dedup": recompress.op9_substring_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": quotient.OP3_SQL,
+    "op5_license_scan": licenses.OP5_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }
