@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docsearch_spark.llm import (bpe, decontaminate, langid, lattice, licenses, quotient, recompress,
+from docsearch_spark.llm import (bpe, decontaminate, langid, lattice, licenses, quotes, quotient, recompress,
                                  sharding, vertical)
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_quote_links": quotes.op2_quote_links,
     "op3_exact_dedup": quotient.op3_exact_dedup,
     "op4_lattice_score": lattice.op4_lattice_score,
     "op5_license_scan": licenses.op5_license_scan,
