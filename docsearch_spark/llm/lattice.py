@@ -33,6 +33,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsearch_spark.llm.util import LOWER_TABLE, WORD_PATTERN, documents, materialize, sliced
+from docsearch_spark.llm.util import documents, materialize, most_frequent, sliced
+from docsearch_spark.llm.words import utf8
 
 MARK = "▁"
 DISCOUNT = 0.8
@@ -52,10 +54,8 @@ SAMPLE_TYPES, SAMPLE_ROUNDS = 60_000, 6
 HEAD_WORDS = 150_000
 LINE_WORDS = 4
 LINES = "array<struct<line:bigint,score:double,rare:array<string>>>"
-LINES_ARROW = pa.list_(pa.struct([("line", pa.int64()), ("score", pa.float64()),
-                                  ("rare", pa.list_(pa.string()))]))
-#: Entries of a task's partial word counts, and lattice cells worked on at once.
-PARTIAL_WORDS = 300_000
+#: Entries of a task's partial counts, and lattice cells worked on at once.
+PARTIAL_UNITS = 500_000
 CELLS = 1 << 19
 LOG10 = math.log(10.0)
 
@@ -214,24 +214,9 @@ class Lattice:
 
 
 
-def word_splitter():
-    """text -> lower-cased words, split at the contract's white space only."""
-    import regex
-    find = regex.compile(WORD_PATTERN).findall
-    other = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-
-    def words_of(text: str) -> list[str]:
-        text = text.translate(LOWER_TABLE)
-        return find(text) if other(text) else text.split()
-
-    return words_of
-
-
-def line_hash(words: list[str]) -> int | None:
-    """Signed 64-bit name of a line's words; None for a short line."""
-    if len(words) < LINE_WORDS:
-        return None
-    h = xxhash.xxh3_64_intdigest(" ".join(words))
+def line_hash(words: list[bytes]) -> int:
+    """Signed 64-bit name of a line's words."""
+    h = xxhash.xxh3_64_intdigest(b" ".join(words))
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -241,37 +226,39 @@ def count_units(df: DataFrame, text: str = "text", train: str = "train") -> Data
     n counts uses in all rows, c in training rows; lines are counted there only.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: Counter = Counter()
         seen: Counter = Counter()
+        other: Counter = Counter()
         lines: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            words, names = list(every), list(lines)
+            words, names = list(seen), list(lines)
+            rest = [w for w in other if w not in seen]
+            c = list(seen.values()) + [0] * len(rest)
+            n = [x + other.get(w, 0) for w, x in seen.items()] + [other[w] for w in rest]
+            words = pa.array(words + rest, pa.binary()).cast(pa.string())
             out = pa.record_batch({
-                "word": pa.array(words + [None] * len(names), pa.string()),
+                "word": pa.concat_arrays([words, pa.nulls(len(names), pa.string())]),
                 "line": pa.array([None] * len(words) + names, pa.int64()),
-                "n": pa.array([every[w] for w in words] + [0] * len(names), pa.int64()),
-                "c": pa.array([seen[w] for w in words] + [lines[x] for x in names], pa.int64())})
-            for held in (every, seen, lines):
+                "n": pa.array(n + [0] * len(names), pa.int64()),
+                "c": pa.array(c + list(lines.values()), pa.int64())})
+            for held in (seen, other, lines):
                 held.clear()
             return out
 
         for batch in sliced(batches, text):
-            for t, use in zip(batch.column(text).to_pylist(), batch.column(train).to_pylist()):
-                for line in t.split("\n"):
-                    words = words_of(line)
-                    every.update(words)
-                    if use:
-                        seen.update(words)
-                        name = line_hash(words)
-                        if name is not None:
-                            lines[name] += 1
-                if len(every) + len(lines) >= PARTIAL_WORDS:
+            for t, use in zip(utf8(batch.column(text)), batch.column(train).to_pylist()):
+                t = t.lower()
+                if use:
+                    split = [x.split() for x in t.split(b"\n")]
+                    seen.update(chain.from_iterable(split))
+                    lines.update([line_hash(words) for words in split if len(words) >= LINE_WORDS])
+                else:
+                    other.update(t.split())
+                if len(seen) + len(other) + len(lines) >= PARTIAL_UNITS:
                     yield flush()
-        if every:
+        if seen or other:
             yield flush()
 
-    words_of = word_splitter()
     return df.select(text, train).mapInArrow(run, "word string, line bigint, n bigint, c bigint")
 
 
@@ -363,8 +350,8 @@ def score_documents(df: DataFrame, train: Column, pieces_path: str, key: str = "
 
     scored = materialize(table.select("word", "n", "c", "whole").mapInArrow(
         weigh, "word string, n bigint, c bigint, log_p double"), "scored")
-    head = scored.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
-    sent = spark.sparkContext.broadcast(([r["word"] for r in head],
+    head = most_frequent(scored, "n", HEAD_WORDS).collect()
+    sent = spark.sparkContext.broadcast(([r["word"].encode() for r in head],
                                          np.array([r["c"] for r in head], np.int64),
                                          np.array([r["log_p"] for r in head], float)))
 
@@ -374,49 +361,52 @@ def score_documents(df: DataFrame, train: Column, pieces_path: str, key: str = "
         c, log_p, last = np.r_[c, 0], np.r_[log_p, 0.0], len(names)
         known, base = (c > 0).astype(np.int64), np.log10(c + 1)
         for batch in sliced(batches):
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "lines")}
-            for t in batch.column("text").to_pylist():
-                split = [w for w in map(words_of, t.split("\n")) if w]
-                at = np.array([get(w, last) for words in split for w in words], np.int64)
-                starts = np.cumsum([0] + [len(w) for w in split])
-                rare: dict[int, list[str]] = {}
-                for i in np.flatnonzero(at == last):
-                    k = int(np.searchsorted(starts, i, "right")) - 1
-                    rare.setdefault(k, []).append(split[k][i - starts[k]])
-                logs = np.add.reduceat(log_p[at], starts[:-1]) if split else ()
-                loose, found = 0.0, []
-                for k, (words, x) in enumerate(zip(split, logs)):
-                    name = line_hash(words)
-                    if name is None and k not in rare:
-                        loose += x  # nothing more to learn about this line
-                    else:
-                        found.append({"line": name, "score": x, "rare": rare.get(k)})
-                found.append({"line": None, "score": loose, "rare": None})
-                out["n_tokens"].append(len(at) + 1)
-                out["n_known"].append(int(known[at].sum()))
-                out["base"].append(float(base[at].sum()))
-                out["lines"].append(found)
+            docs = [[x for x in map(bytes.split, t.lower().split(b"\n")) if x]
+                    for t in utf8(batch.column("text"))]
+            lines = list(chain.from_iterable(docs))
+            words = list(chain.from_iterable(lines))
+            at = np.fromiter((get(w, last) for w in words), np.int64, len(words))
+            sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+            line = np.repeat(np.arange(len(lines)), sizes)
+            doc = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
+            score = np.bincount(line, log_p[at], len(lines))
+            rare = np.flatnonzero(at == last)
+            n_rare = np.bincount(line[rare], minlength=len(lines))
+            long = sizes >= LINE_WORDS
+            kept = np.flatnonzero(long | (n_rare > 0))  # the others are done
+            loose = np.bincount(doc, np.where(long | (n_rare > 0), 0.0, score), len(docs))
+            per_doc = np.bincount(doc[kept], minlength=len(docs))
+            # a rare line lists its words; null: none
+            starts = np.r_[0, np.cumsum(n_rare[kept])].astype(np.int32)
+            parts = pa.StructArray.from_arrays([
+                pa.array([line_hash(lines[k]) if long[k] else None for k in kept], pa.int64()),
+                pa.array(score[kept]),
+                pa.ListArray.from_arrays(pa.array(starts), pa.array([words[i] for i in rare], pa.binary())
+                                         .cast(pa.string()))], ["line", "score", "rare"])
+            word_doc = doc[line]
             yield pa.record_batch({
-                "key": batch.column("key"), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-                "n_known": pa.array(out["n_known"], pa.int64()),
-                "base": pa.array(out["base"], pa.float64()),
-                "lines": pa.array(out["lines"], LINES_ARROW)})
+                "key": batch.column("key"),
+                "n_tokens": pa.array(np.bincount(word_doc, minlength=len(docs)) + 1),
+                "n_known": pa.array(np.bincount(word_doc, known[at], len(docs)).astype(np.int64)),
+                "base": pa.array(np.bincount(word_doc, base[at], len(docs))),
+                "loose": pa.array(loose),
+                "lines": pa.ListArray.from_arrays(
+                    pa.array(np.r_[0, np.cumsum(per_doc)].astype(np.int32)), parts)})
 
-    words_of = word_splitter()
     docs = src.select("key", "text").mapInArrow(
-        by_line, f"key {kind}, n_tokens bigint, n_known bigint, base double, lines {LINES}"
+        by_line, f"key {kind}, n_tokens bigint, n_known bigint, base double, loose double, lines {LINES}"
     ).withColumn("row", F.monotonically_increasing_id())
     docs = materialize(docs, "by_line")
     flat = materialize(docs.select("row", F.explode("lines").alias("x")).select("row", "x.*")
                        .withColumn("at", F.monotonically_increasing_id()), "flat")
-    met = (flat.where("rare IS NOT NULL").select("row", "at", F.explode("rare").alias("word"))
+    met = (flat.where("size(rare) > 0").select("row", "at", F.explode("rare").alias("word"))
            .join(scored.select("word", "c", "log_p"), "word").groupBy("row", "at")
            .agg(F.count(F.when(F.col("c") > 0, 1)).alias("n_known"),
                 F.sum(F.log10(F.col("c") + 1)).alias("base"), F.sum("log_p").alias("more")))
     # lines without rare words skip the join by line number
-    plain = flat.where("rare IS NULL").select(
+    plain = flat.where("size(rare) = 0").select(
         "row", "line", "score", F.lit(0).cast("bigint").alias("n_known"), F.lit(0.0).alias("base"))
-    mixed = (flat.where("rare IS NOT NULL").join(met, ["row", "at"])
+    mixed = (flat.where("size(rare) > 0").join(met, ["row", "at"])
              .select("row", "line", (F.col("score") + F.col("more")).alias("score"), "n_known", "base"))
     every = plain.unionByName(mixed)
     named = every.where("line IS NOT NULL").join(lines, "line", "left")
@@ -430,12 +420,14 @@ def score_documents(df: DataFrame, train: Column, pieces_path: str, key: str = "
              .groupBy("row").agg(F.sum("score").alias("score"), F.sum("n_known").alias("more_known"),
                                  F.sum("base").alias("more_base")))
     floor, end_base = math.log10(n_train + distinct + 1), math.log10(trained + 1)
-    return (docs.select("row", "key", "n_tokens", "n_known", "base").join(parts, "row").select(
+    zero = F.lit(0.0)
+    return (docs.select("row", "key", "n_tokens", "n_known", "base", "loose").join(parts, "row", "left").select(
         F.col("key").alias(key), "n_tokens",
-        (F.col("n_known") + F.col("more_known") + (1 if trained else 0)).alias("n_known"),
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + (1 if trained else 0)).alias("n_known"),
         F.lit(n_train).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.col("more_base") + end_base - F.col("n_tokens") * floor).alias("base_score"),
-        (F.col("score") + end).alias("score")))
+        (F.col("base") + F.coalesce("more_base", zero) + end_base
+         - F.col("n_tokens") * floor).alias("base_score"),
+        (F.col("loose") + F.coalesce("score", zero) + end).alias("score")))
 
 
 def held_out(key: str = "doc_id") -> Column:

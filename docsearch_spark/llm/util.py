@@ -7,20 +7,17 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the contracts: the white space that separates words, the
 # words themselves, and the shingle width and similarity of near duplicates.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 
 #: Bytes of text that one step of a Python worker holds at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -55,13 +52,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(text) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(text, ASCII_UPPER, ASCII_LOWER)
+def most_frequent(df: DataFrame, count: str, bound: int) -> DataFrame:
+    """The rows with the largest ``count``, ``bound`` at most; ties go or stay together.
 
-
-#: str.translate table for ``lower_ascii`` in Python workers.
-LOWER_TABLE = {ord(a): b for a, b in zip(ASCII_UPPER, ASCII_LOWER)}
+    A histogram over eighths of a power of two gives the least count, so no task
+    sorts or sends more rows than come out.
+    """
+    bucket = F.floor(F.log2(F.col(count)) * 8)
+    sizes = df.where(F.col(count) > 0).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
+    held, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["b"]):
+        held += r["n"]
+        if held > bound:
+            break
+        least = r["b"]
+    return df.where((F.col(count) > 0) & (bucket >= least)) if least is not None else df.limit(0)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: str = "text",
