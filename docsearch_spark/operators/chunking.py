@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsearch_spark.functions.text import col_, normalize_ws, or_empty, py_strip
+from docsearch_spark.functions.text import col_, let, normalize_ws, or_empty, py_strip
 from docsearch_spark.schemas import (DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE,
                                      LEGACY_CHUNK_OVERLAP, LEGACY_CHUNK_SIZE)
 
@@ -49,6 +49,33 @@ def drop_empty(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.filter(F.length(col_(text_col)) > 0)
 
 
+#: Windows cut from one coarse segment. ``substring`` counts characters from the
+#: start of its text, so windows are cut from short segments, not from the text.
+SEGMENT_WINDOWS = 16
+
+
+def segments(t: Column, size: int, overlap: int) -> Column:
+    """The text in consecutive pieces of ``SEGMENT_WINDOWS`` steps, each with what
+    its last window reaches over into the next: one linear pass, whatever the length."""
+    step = size - overlap
+    span = max(SEGMENT_WINDOWS, -(-max(overlap, 0) // step)) * step
+    return let(F.when(F.length(t) <= span, F.array(t)).otherwise(
+        F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % span), F.lit(0))),
+        lambda parts: parts if overlap <= 0 else F.transform(parts, lambda x, j: F.concat(
+            x, F.coalesce(F.substring(F.get(parts, j + 1), 1, overlap), F.lit("")))))
+
+
+def segment_windows(part: Column, j: Column, n: Column, size: int, overlap: int) -> Column:
+    """The trimmed windows that start in segment ``j`` of a text of ``n`` characters."""
+    step = size - overlap
+    per = max(SEGMENT_WINDOWS, -(-max(overlap, 0) // step))
+    here = F.least(F.lit(per), window_count(n, size, overlap) - j * F.lit(per))
+    return F.when(here > 0, F.transform(
+        F.sequence(F.lit(0), here - F.lit(1)),
+        lambda i: F.trim(F.substring(part, i * F.lit(step) + F.lit(1), F.lit(size))))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def chunk_fixed(df: DataFrame, text_col: str = "text",
                 size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
                 normalized: bool = False, keep_text: bool = False) -> DataFrame:
@@ -57,35 +84,40 @@ def chunk_fixed(df: DataFrame, text_col: str = "text",
     Output: every input column (the text column only with ``keep_text``) plus
     ``chunk_index INT`` (position among non-empty windows) and ``content``.
 
-    Window i is ``trim(substring(t, i*step + 1, size))``. On whitespace
-    normalised text a window of two or more characters can never be blank (no
-    two spaces are adjacent and the text does not end in one), so for
-    size >= 2 the window index is already the chunk index and the plan is a
-    single codegen'd Generate. With size == 1 blank windows exist and are
+    Window i is ``trim(substring(t, i*step + 1, size))``. A text is first cut into
+    coarse segments, which are exploded; the windows are cut inside a segment,
+    so time is linear in the length of the text. On whitespace normalised text a
+    window of two or more characters can never be blank (no two spaces are
+    adjacent and the text does not end in one), so for size >= 2 the window's
+    number follows from its segment. With size == 1 blank windows exist and are
     removed inside the row before numbering.
     """
     check_chunk_params(size, overlap)
     step = size - overlap
-    t = "__t"
+    t, n = "__t", "__n"
     base = df.withColumn(t, col_(text_col) if normalized else normalize_ws(or_empty(text_col)))
-    base = base.filter(F.length(t) > 0)
+    base = base.withColumn(n, F.length(t)).filter(F.col(n) > 0)
     if not keep_text:
         base = base.drop(text_col)
-    n = F.length(t)
-    idx = F.sequence(F.lit(0), window_count(n, size, overlap) - F.lit(1))
     if size >= 2:
-        out = base.select("*", F.posexplode(idx).alias("chunk_index", "__i"))
-        out = out.withColumn(
-            "content", F.trim(F.substring(F.col(t), F.col("__i") * F.lit(step) + F.lit(1),
-                                          F.lit(size))))
-        out = out.drop("__i")
+        per = max(SEGMENT_WINDOWS, -(-max(overlap, 0) // step))
+        cut = base.withColumn(t, segments(F.col(t), size, overlap))
+        cut = cut.select(*[c for c in cut.columns if c != t], F.posexplode(t).alias("__j", "__part"))
+        out = cut.select(*[c for c in cut.columns if c != "__part"], F.posexplode(
+            segment_windows(F.col("__part"), F.col("__j"), F.col(n), size, overlap)).alias("__i", "content"))
+        out = out.withColumn("chunk_index", F.col("__j") * F.lit(per) + F.col("__i"))
+        out = out.select(*[c for c in out.columns if c not in ("content", "chunk_index")],
+                         "chunk_index", "content").drop("__i", "__j")
     else:
-        wins = F.filter(
-            F.transform(idx, lambda i: F.trim(F.substring(F.col(t), i * F.lit(step) + F.lit(1),
-                                                          F.lit(size)))),
-            lambda c: F.length(c) > 0)
-        out = base.select("*", F.posexplode(wins).alias("chunk_index", "content"))
-    return out.drop(t).withColumn("chunk_index", F.col("chunk_index").cast("int"))
+        chars = F.filter(_windows(F.col(t), size, overlap), lambda c: F.length(c) > 0)
+        out = base.select("*", F.posexplode(chars).alias("chunk_index", "content")).drop(t)
+    return out.drop(n).withColumn("chunk_index", F.col("chunk_index").cast("int"))
+
+
+def _windows(t: Column, size: int, overlap: int) -> Column:
+    """All windows of a text in order, segment by segment."""
+    return let(F.length(t), lambda n: F.flatten(F.transform(
+        segments(t, size, overlap), lambda part, j: segment_windows(part, j, n, size, overlap))))
 
 
 def chunk_by_separator(df: DataFrame, text_col: str = "text",
@@ -95,23 +127,15 @@ def chunk_by_separator(df: DataFrame, text_col: str = "text",
     piece, drop empty pieces, apply ``chunk_fixed(size, overlap)`` per piece and
     number the chunks across the document by (piece, window).
 
-    Pieces and windows come out of nested generators of one input row, so the
-    numbering is a row-local ``posexplode`` over the flattened per-document
-    array: no window function and no shuffle.
+    The numbering is a row-local ``posexplode`` over the flattened per-document
+    array: no window function and no shuffle. Long pieces are cut by segments, as
+    in :func:`chunk_fixed`.
     """
     check_chunk_params(size, overlap)
-    step = size - overlap
     pieces = F.filter(F.transform(F.split(or_empty(text_col), r"\n+"), lambda p: normalize_ws(p)),
                       lambda p: F.length(p) > 0)
-
-    def windows(p):
-        idx = F.sequence(F.lit(0), window_count(F.length(p), size, overlap) - F.lit(1))
-        return F.filter(
-            F.transform(idx, lambda i: F.trim(F.substring(p, i * F.lit(step) + F.lit(1),
-                                                          F.lit(size)))),
-            lambda c: F.length(c) > 0)
-
-    flat = F.flatten(F.transform(pieces, windows))
+    flat = F.filter(F.flatten(F.transform(pieces, lambda p: _windows(p, size, overlap))),
+                    lambda c: F.length(c) > 0)
     out = df.select("*", F.posexplode(flat).alias("chunk_index", "content")).drop(text_col)
     return out.withColumn("chunk_index", F.col("chunk_index").cast("int"))
 

@@ -154,9 +154,12 @@ def normalize_vectors(df: DataFrame, vec_col: str = "embedding", out: str | None
 
 
 class EmbeddingProvider:
-    """A batch embedding model: ``embed(texts) -> float matrix (len(texts), dim)``.
+    """A batch embedding model: ``embed(texts) -> float matrix (len(texts), dim)``,
+    or, for services that answer out of order, ``[(index, vector), ...]`` with the
+    position of each text in the request.
 
-    Instances are created inside tasks (one per task), never on the driver.
+    ``identity`` names model and width; corpus and questions must agree on it
+    (:func:`same_provider`). Instances are created inside tasks (one per task), never on the driver.
     """
 
     name = "abstract"
@@ -165,6 +168,30 @@ class EmbeddingProvider:
     def embed(self, texts: list[str]) -> np.ndarray:  # pragma: no cover - interface
         raise NotImplementedError
 
+    @property
+    def identity(self) -> str:
+        return f"{self.name}:{self.dim}"
+
+
+def same_provider(corpus: EmbeddingProvider, questions: EmbeddingProvider) -> None:
+    """C4: questions must be embedded by the corpus' provider."""
+    if corpus.identity != questions.identity:
+        raise ValueError(f"questions are embedded by {questions.identity}, the corpus by {corpus.identity}")
+
+
+def in_request_order(response, n: int, name: str) -> np.ndarray:
+    """The vectors of a response, by their index in the request."""
+    if isinstance(response, np.ndarray):
+        if response.shape[0] != n:
+            raise ValueError(f"provider {name} returned {response.shape[0]} vectors for {n} texts")
+        return response.astype(np.float32)
+    by_index = {int(i): v for i, v in response}
+    missing = [i for i in range(n) if i not in by_index]
+    if missing or len(by_index) != n or len(response) != n:
+        raise ValueError(f"provider {name} returned {len(response)} vectors for {n} texts; "
+                         f"missing indexes {missing[:5]}")
+    return np.asarray([by_index[i] for i in range(n)], dtype=np.float32).reshape(n, -1)
+
 
 class HashedBowProvider(EmbeddingProvider):
     """Python twin of the native default embedder (used to test the stage)."""
@@ -185,13 +212,22 @@ class HashedBowProvider(EmbeddingProvider):
         return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
 
 
+class OutOfOrderProvider(HashedBowProvider):
+    """Answers like a service that works on a request's texts side by side: last first."""
+
+    name = "hashed-bow"
+
+    def embed(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
+        return list(enumerate(super().embed(texts)))[::-1]
+
+
 def embed_with_provider(df: DataFrame, text_col: str, provider_factory,
                         out_col: str = "embedding", batch: int = EMBED_BATCH) -> DataFrame:
     """C1 through an external model: ``mapInArrow`` over the table.
 
     Each task builds one provider, cuts its rows into requests of at most
-    ``batch`` texts in order, and writes vector j of a response back to row j
-    (C3). A response with the wrong number of vectors fails the task.
+    ``batch`` texts in order, and puts the vectors of a response back by their
+    index (C3). A response that lacks an index fails the task.
     """
     schema = T.StructType(df.schema.fields + [
         T.StructField(out_col, T.ArrayType(T.FloatType(), False), True)])
@@ -203,11 +239,7 @@ def embed_with_provider(df: DataFrame, text_col: str, provider_factory,
             vecs = []
             for s in range(0, len(texts), batch):
                 part = texts[s:s + batch]
-                res = np.asarray(provider.embed(part), dtype=np.float32)
-                if res.shape[0] != len(part):
-                    raise ValueError(f"provider {provider.name} returned {res.shape[0]} vectors "
-                                     f"for {len(part)} texts")
-                vecs.append(res)
+                vecs.append(in_request_order(provider.embed(part), len(part), provider.name))
             mat = np.concatenate(vecs) if vecs else np.zeros((0, provider.dim), np.float32)
             flat = pa.array(mat.reshape(-1), type=pa.float32())
             offsets = pa.array(np.arange(0, mat.shape[0] + 1, dtype=np.int32) * mat.shape[1],

@@ -2,9 +2,8 @@
 
 Shape of the job (all k values in one pass):
 
-1. E1/E3 caps use a distributed global rank (range sort + per-partition
-   offsets), never a single-task sort;
-2. E4/E5/E6: the broadcast scan keeps the top K = max(k) documents per query
+1. E1/E3 caps sort ids only, in a range-partitioned sort that is written once;
+2. E4/E5/E6: the block grid keeps the top K = max(k) documents per query
    (identical ids removed) with ``v/(|v|+1e-12)`` cosine;
 3. E7-E10: the <= K hits are left-joined to the qrels, a running count gives
    precision at each relevant rank, every hit row is expanded to the k values
@@ -16,13 +15,14 @@ Shape of the job (all k values in one pass):
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsearch_spark.operators import search
-from docsearch_spark.schemas import ALLOWED_DATASETS, K_VALUES
+from docsearch_spark.session import materialize
+from docsearch_spark.schemas import K_VALUES
+from docsearch_spark.sources.files import check_dataset  # noqa: F401
 
 # Fixed values that must equal the application being re-built: the metric key
 # prefixes of the report maps and the note of an empty evaluation.
@@ -33,54 +33,51 @@ EMPTY_NOTE = ("No queries left after filtering qrels to embedded corpus; "
               "increase --max-corpus.")
 
 
-def check_dataset(name: str) -> str:
-    """Lower-cased, trimmed, and one of the allowed names."""
-    ds = name.lower().strip()
-    if ds not in ALLOWED_DATASETS:
-        raise ValueError(f"dataset must be one of {sorted(ALLOWED_DATASETS)}, got {name!r}")
-    return ds
-
-
 # --------------------------------------------------------------------------
 # E1, E2, E3
 
 
-def global_rank(df: DataFrame, key: Column, out: str = "__grank") -> DataFrame:
-    """0-based position of every row in the order of ``key`` (ties by input order
-    within a partition), computed without a single-partition window.
+def first_ids(ids: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The first ``n`` distinct ids, compared **as text**.
 
-    A range-partitioned sort puts consecutive keys in consecutive partitions;
-    each row's rank is the number of rows of the earlier partitions (a small
-    per-partition count, one row per partition) plus its position inside its
-    partition.
+    Only ids are sorted. The range-partitioned sort is written once, with each
+    row's partition, so counts and rows can never disagree on the partitions;
+    whole partitions before the cut are taken, and the partition of the cut is
+    cut by its own rows.
     """
-    # an explicit partition count: AQE never coalesces a user-specified
-    # repartition, so both uses of ``s`` below see the same partitions (range
-    # bounds come from a deterministic sample of the same input)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.withColumn("__key", key).repartitionByRange(n, "__key").sortWithinPartitions("__key")
-         .withColumn("__pid", F.spark_partition_id())
-         .withColumn("__mid", F.monotonically_increasing_id()))
-    counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    pos = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    return (s.join(F.broadcast(offsets), "__pid")
-            .withColumn(out, F.col("__off") + pos)
-            .drop("__key", "__pid", "__mid", "__off"))
+    t = F.col(id_col).cast("string")
+    ranked = materialize(
+        ids.filter(F.col(id_col).isNotNull()).select(id_col).distinct().withColumn("__t", t)
+        .repartitionByRange("__t").sortWithinPartitions("__t")
+        .withColumn("__part", F.spark_partition_id())
+        .withColumn("__nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranked-ids")
+    sizes = ranked.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a partition
+    before = 0
+    for r in sorted(sizes, key=lambda r: r["__part"]):
+        if before + r["n"] > n:
+            return ranked.filter((F.col("__part") < r["__part"]) | (
+                (F.col("__part") == r["__part"]) & (F.col("__nth") < n - before))).select(id_col)
+        before += r["n"]
+    return ranked.select(id_col)
 
 
 def cap_by_id(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """Keep the first ``n`` rows by id compared **as text**; 0 keeps all."""
+    """Keep the rows of the first ``n`` ids compared **as text**; 0 keeps all.
+
+    The wide table is never sorted: it meets the list of ids in a semi join."""
     if not n:
         return df
-    return global_rank(df, F.col(id_col).cast("string")).filter(F.col("__grank") < n).drop("__grank")
+    return df.join(first_ids(df, id_col, n), id_col, "left_semi")
 
 
 def filter_qrels(qrels: DataFrame, corpus_ids: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """E2 (and B9): grade > 0 and the document is in the (capped) corpus."""
-    return (qrels.filter(F.col("grade") > 0)
+    """E2 (and B9): grade > 0 and the document is in the (capped) corpus; one
+    judgement per (query, document), the highest grade where several are given."""
+    kept = (qrels.filter(F.col("grade") > 0)
             .join(corpus_ids.select(doc_col).distinct(), doc_col, "left_semi"))
+    rest = [c for c in qrels.columns if c not in ("query_id", doc_col, "grade")]
+    return kept.groupBy("query_id", doc_col).agg(
+        F.max("grade").alias("grade"), *[F.first(c).alias(c) for c in rest]).select(*qrels.columns)
 
 
 def cap_queries(qrels_f: DataFrame, max_queries: int) -> tuple[DataFrame, DataFrame]:
@@ -159,33 +156,6 @@ def mean_metrics(per_query: DataFrame, k_values=K_VALUES, decimals: int = 5) ->
 # E11
 
 
-def pair_cosine_eps(q_spec, d_spec, qp: str = "q_", dp: str = "d_") -> Column:
-    """``dot(q, d) / ((|q| + 1e-12) (|d| + 1e-12))`` for one (query, doc) row.
-
-    Columns are the spec's columns prefixed with ``qp`` / ``dp``. Sparse
-    vectors are matched through a map of the document's entries; nothing is
-    densified.
-    """
-    from docsearch_spark.functions.text import let
-    from docsearch_spark.functions.vectors import as_double, dot, norm
-
-    def nrm(spec, p):
-        if isinstance(spec, search.Dense):
-            return norm(F.col(p + spec.col))
-        return F.sqrt(F.aggregate(F.col(p + spec.val), F.lit(0.0), lambda a, x: a + x * x))
-
-    if isinstance(q_spec, search.Dense) and isinstance(d_spec, search.Dense):
-        num = let(as_double(F.col(qp + q_spec.col)), lambda x: let(as_double(F.col(dp + d_spec.col)),
-                                                                     lambda y: dot(x, y)))
-    elif isinstance(q_spec, search.Sparse) and isinstance(d_spec, search.Sparse):
-        num = let(F.map_from_arrays(F.col(dp + d_spec.idx), F.col(dp + d_spec.val)), lambda m: F.aggregate(
-            F.arrays_zip(F.col(qp + q_spec.idx).alias("i"), F.col(qp + q_spec.val).alias("v")),
-            F.lit(0.0), lambda a, e: a + e["v"] * F.coalesce(F.try_element_at(m, e["i"]), F.lit(0.0))))
-    else:
-        raise ValueError("query and index vectors must both be dense or both sparse")
-    return num / ((nrm(q_spec, qp) + F.lit(1e-12)) * (nrm(d_spec, dp) + F.lit(1e-12)))
-
-
 def _unit_eps(spec, prefix: str) -> Column:
     """``v / (|v| + 1e-12)`` of a vector, once per row (dense: DOUBLE array;
     sparse: the weight array, buckets kept alongside)."""
@@ -267,7 +237,8 @@ def best_relevant(index: DataFrame, index_id: str, index_vec, queries: DataFrame
     else:
         pairs = joined.select("query_id", "doc_id",
                               F.round(_unit_dot(query_vec, index_vec), search.TIE_DECIMALS).alias("sim"))
-    return (pairs.groupBy("query_id")
+    # a pair without a score (a missing or misshapen vector) is never the best
+    return (pairs.filter(F.col("sim").isNotNull()).groupBy("query_id")
             .agg(F.min(F.struct((-F.col("sim")).alias("neg"), F.col("doc_id").alias("d"))).alias("b"))
             .select("query_id", (-F.col("b.neg")).alias("best_sim"), F.col("b.d").alias("best_doc")))
 
@@ -279,74 +250,35 @@ def mrr_from_ranks(query_ids: DataFrame, ranks: DataFrame) -> DataFrame:
     return per_q.agg(F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"))
 
 
-def mrr(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id: str,
-        query_vec, qrels_f: DataFrame, query_ids: DataFrame, dim: int | None = None) -> DataFrame:
-    """Mean over queries with a relevant document of 1 / rank of the first
-    relevant document in the full ranking (identical ids kept); 0.0 when there
-    are no queries.
-
-    Rank of the best relevant document = 1 + number of documents ranked
-    before it: the best relevant pair comes from an equi-join of the qrels
-    with both vector tables (only judged pairs are scored), the count from a
-    broadcast scan of the index. No ranking is sorted.
-    """
-    qcols = search._cols(query_vec)
-    dcols = search._cols(index_vec)
-    qv = queries.join(query_ids.withColumnRenamed("query_id", query_id), query_id, "left_semi")
-    qside = qv.select(F.col(query_id).alias("query_id"), *[F.col(c).alias("q_" + c) for c in qcols])
-    judged = qrels_f.select(F.col("doc_id").alias(index_id)).distinct()
-    # the semi join is pushed below the embedding projection: only judged
-    # documents are embedded for the pair scores
-    dside = (index.join(judged, index_id, "left_semi")
-             .select(F.col(index_id).alias("doc_id"), *[F.col(c).alias("d_" + c) for c in dcols]))
-    pairs = (qrels_f.select("query_id", "doc_id").join(qside, "query_id").join(dside, "doc_id")
-             .select("query_id", "doc_id",
-                     F.round(pair_cosine_eps(query_vec, index_vec), search.TIE_DECIMALS).alias("sim")))
-    best = (pairs.groupBy("query_id")
-            .agg(F.min(F.struct((-F.col("sim")).alias("neg"), F.col("doc_id").alias("d"))).alias("b"))
-            .select("query_id", (-F.col("b.neg")).alias("best_sim"), F.col("b.d").alias("best_doc")))
-    targets = best.join(qv.withColumnRenamed(query_id, "query_id"), "query_id")
-    ranks = search.rank_in_full_ranking(index, index_id, index_vec, targets, "query_id", query_vec,
-                                        "best_sim", "best_doc", mode="cosine_eps", dim=dim)
-    per_q = query_ids.join(ranks, "query_id", "left").select(
-        "query_id", F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0)).alias("rr"))
-    return per_q.agg(F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"))
-
-
 # --------------------------------------------------------------------------
 # E12, E13, E14
 
 
 def metric_rows(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id: str,
                 query_vec, qrels: DataFrame, k_values=K_VALUES, max_corpus: int = 0,
-                max_queries: int = 0, dim: int | None = None):
+                max_queries: int = 0):
     """E1-E11 in one job. Returns (metrics (metric, k, value) incl. mrr, num_queries df,
-    corpus size df)."""
-    from docsearch_spark.session import checkpoint_dir
-    checkpoint_dir(index.sparkSession)  # the shared folder named by spark.checkpoint.dir
-    corpus = cap_by_id(index, index_id, max_corpus)
-    # the embedded corpus feeds three jobs (pair scores, top-K scan, rank
-    # counts): compute it once; partitions spill to disk and are recomputed
-    # from lineage if an executor is lost
-    corpus = corpus.persist(StorageLevel.MEMORY_AND_DISK)
+    corpus size df).
+
+    One row per id is evaluated (the first of rows that repeat an id)."""
+    corpus = materialize(cap_by_id(index, index_id, max_corpus).dropDuplicates([index_id]), "corpus")
     corpus_ids = corpus.select(F.col(index_id).alias("doc_id"))
     qrels_f = filter_qrels(qrels, corpus_ids)
     qids, qrels_f = cap_queries(qrels_f, max_queries)
-    # judgements are small and used by several jobs below: cut their lineage
-    # once (reliable checkpoint in the shared folder, survives executor loss)
-    qrels_f = qrels_f.checkpoint(eager=True)
+    qrels_f = materialize(qrels_f, "qrels")  # small, read by several jobs below
     qids = qrels_f.select("query_id").distinct()
-    qv = queries.join(qids.withColumnRenamed("query_id", query_id), query_id, "left_semi")
+    qv = (queries.dropDuplicates([query_id])
+          .join(qids.withColumnRenamed("query_id", query_id), query_id, "left_semi"))
     kmax = max(int(k) for k in k_values)
     # one pass over the corpus: the @k top-K (identical ids removed) and, for
     # MRR, the rank of each query's best relevant document (identical ids kept)
     targets = best_relevant(corpus, index_id, index_vec, qv, query_id, query_vec, qrels_f)
-    # one row per query (its vector and target): read twice by the scan set-up
-    # (size check, gather), so its lineage is cut once
-    tq = targets.join(qv.withColumnRenamed(query_id, "query_id"), "query_id").checkpoint(eager=True)
+    tq = materialize(qv.withColumnRenamed(query_id, "query_id").join(targets, "query_id", "left"), "targets")
     hits, ranks = search.topk_scan(corpus, index_id, index_vec, tq, "query_id", query_vec, k=kmax,
-                                   mode="cosine_eps", exclude_same_id=True, dim=dim,
+                                   mode="cosine_eps", exclude_same_id=True,
                                    rank_targets=("best_sim", "best_doc"))
+    ranks = ranks.join(targets.select("query_id"), "query_id", "left_semi")
+    hits = materialize(hits, "hits")
     per_q = metrics_at_k(hits, qrels_f, qids, k_values)
     means = mean_metrics(per_q, k_values)
     m = mrr_from_ranks(qids, ranks)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docsearch_spark.functions.text import uuid_from
 from docsearch_spark.operators import chunking, embed
-from docsearch_spark.schemas import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, EMBED_DIM
+from docsearch_spark.schemas import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, EMBED_DIM, INDEX
 
 DEFAULT_BUCKETS = 64
 # Fixed value: the ingest message format of the re-built application.
@@ -40,17 +40,13 @@ def chunk_documents(documents: DataFrame, size: int = DEFAULT_CHUNK_SIZE,
 
 
 def build_index(documents: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
-                dim: int = EMBED_DIM, n_buckets: int = DEFAULT_BUCKETS, salts: int = 4,
-                dense: bool = True) -> DataFrame:
+                dim: int = EMBED_DIM, n_buckets: int = DEFAULT_BUCKETS, dense: bool = True) -> DataFrame:
     """D5 as a DataFrame: chunk, embed (default provider), bucket.
 
-    The chunk rows are hash-partitioned by (bucket, salt) before embedding: a
-    very long document spreads over ``salts`` tasks, and each task later
-    writes one file into one bucket directory.
+    Narrow: parallelism follows the input's splits. Rows are dealt to buckets
+    where they are written (:func:`write_index`).
     """
     ch = chunk_documents(documents, size, overlap).withColumn("bucket", doc_bucket("doc_id", n_buckets))
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(salts))
-    ch = ch.repartition("bucket", salt)
     out = embed.embed_sparse(ch, "content", dim)
     if dense:
         out = embed.densify_batches(out, "sv_idx", "sv_val", dim, "embedding")
@@ -110,9 +106,16 @@ def ingest_summary(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Typed write, partitioned by bucket; with dynamic partition overwrite
-    only the buckets present in ``index`` are replaced."""
-    (index.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    """Typed write (the columns of the index contract are cast to its types),
+    partitioned by bucket; with dynamic partition overwrite only the buckets
+    present in ``index`` are replaced.
+
+    Rows are rebalanced by bucket: the planner splits large buckets over several
+    tasks and merges small ones, by their actual sizes."""
+    # ids keep the caller's type; nothing casts between nullable and other elements
+    kinds = {f.name: f.dataType for f in INDEX.fields if f.name not in ("doc_id", "embedding")}
+    typed = index.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in index.columns])
+    (typed.hint("rebalance", "bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(path))
 
 

@@ -1,88 +1,64 @@
-"""Passage containment: which documents contain which passages verbatim.
+"""Passage containment: which documents hold a passage (judgements for E14).
 
-Used to derive relevance judgements (qrels) for text evaluation. A pairwise
-``contains`` test would be a theta join over all (passage, document) pairs;
-instead the passage set (bounded, size-checked) is compiled into one
-Aho-Corasick automaton per task and every document is scanned once, in time
-linear in its length. Documents are never shuffled.
+A passage is contained when its normalised text is a substring of the
+document's. The words inside a passage (all but its first and last, which may be
+parts of longer words in a document) then stand in the document as whole words,
+one after the other. So every passage offers one *anchor*, a run of at most
+``ANCHOR_WORDS`` of its inner words; documents offer all their runs of the
+anchors' lengths; an equi-join of the hashes gives the candidates, and
+``contains`` decides. Passages of fewer than three words have no inner word; all
+documents are tested for those that there are (a set of short strings whose
+number is checked).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from docsearch_spark.functions.text import normalize_ws, or_empty
-from docsearch_spark.operators.search import _arrow_type, ensure_parallelism
 
-MAX_PATTERN_BYTES = 256 * 1024 * 1024
+from docsearch_spark.functions.text import let, normalize_ws, or_empty
+from docsearch_spark.session import materialize
 
+ANCHOR_WORDS = 8
+#: Short passages that are tested as literals; more would need another plan.
+MAX_SHORT = 2000
 
-def passage_matches(documents: DataFrame, doc_id: str, text_col: str, passages: DataFrame,
-                    item_id: str, passage_col: str,
-                    max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """Distinct (item_id, doc_id) pairs whose whitespace-normalised document
-    text contains the whitespace-normalised passage. Empty passages match
-    nothing.
 
-    The passages are gathered in slices of at most ``max_pattern_bytes``; each
-    slice is one scan of the documents.
-    """
-    spark = documents.sparkSession
-    sc = spark.sparkContext
-    pats = (passages.select(F.col(item_id).alias("item_id"),
-                            normalize_ws(or_empty(passage_col)).alias("p"))
-            .filter(F.length("p") > 0))
-    total = pats.agg(F.coalesce(F.sum(F.octet_length("p")), F.lit(0)).alias("b"),
-                     F.count(F.lit(1)).alias("n")).first()
-    n_slices = max(1, -(-int(total["b"]) // max_pattern_bytes))
-    docs = ensure_parallelism(documents.select(F.col(doc_id).alias("doc_id"),
-                                               normalize_ws(or_empty(text_col)).alias("t")))
-    item_type = passages.schema[item_id].dataType
-    doc_type = documents.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("item_id", item_type, True),
-                           T.StructField("doc_id", doc_type, True)])
-    it_arrow, doc_arrow = _arrow_type(item_type), _arrow_type(doc_type)
-    out = None
-    for s in range(n_slices):
-        ps = pats if n_slices == 1 else pats.filter(
-            F.pmod(F.xxhash64("item_id"), F.lit(n_slices)) == s)
-        tbl = ps.toArrow()
-        items = tbl.column("item_id").to_pylist()
-        texts = tbl.column("p").to_pylist()
-        bp = sc.broadcast(list(zip(items, texts)))
+def _runs(words: Column, n: int) -> Column:
+    """(len, anchor) of every run of ``n`` words."""
+    return F.when(F.size(words) >= n, F.transform(
+        F.sequence(F.lit(1), F.size(words) - n + 1),
+        lambda i: F.struct(F.lit(n).alias("len"), F.xxhash64(F.slice(words, i, n)).alias("anchor"))
+    )).otherwise(F.array().cast("array<struct<len:int,anchor:bigint>>"))
 
-        def run(batches: Iterator[pa.RecordBatch], bp=bp) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-            auto = ahocorasick.Automaton()
-            by_text: dict[str, list] = {}
-            for it, p in bp.value:
-                by_text.setdefault(p, []).append(it)
-            for p, its in by_text.items():
-                auto.add_word(p, its)
-            if not by_text:
-                return
-            auto.make_automaton()
-            for rb in batches:
-                ids = rb.column("doc_id").to_pylist()
-                ts = rb.column("t").to_pylist()
-                oi, od = [], []
-                for d, t in zip(ids, ts):
-                    seen = set()
-                    for _, its in auto.iter(t or ""):
-                        for it in its:
-                            if it not in seen:
-                                seen.add(it)
-                                oi.append(it)
-                                od.append(d)
-                if oi:
-                    yield pa.RecordBatch.from_arrays([pa.array(oi, type=it_arrow), pa.array(od, type=doc_arrow)],
-                                                     names=["item_id", "doc_id"])
 
-        part = docs.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+def passage_matches(documents: DataFrame, doc_id: str, text_col: str, passages: DataFrame,
+                    item_id: str, passage_col: str) -> DataFrame:
+    """(item_id, doc_id) of every passage contained in a document. Blank passages
+    match nothing."""
+    pats = (passages.select(F.col(item_id).alias("item_id"), normalize_ws(or_empty(passage_col)).alias("p"))
+            .filter(F.length("p") > 0).withColumn("w", F.split("p", " ")))
+    inner = F.size("w") - F.lit(2)
+    anchored = materialize(pats.filter(F.size("w") >= 3).select(
+        "item_id", "p", F.least(inner, F.lit(ANCHOR_WORDS)).alias("len"),
+        F.xxhash64(F.slice("w", F.lit(2), F.least(inner, F.lit(ANCHOR_WORDS)))).alias("anchor")), "anchors")
+    lengths = sorted(r["len"] for r in anchored.select("len").distinct().collect())  # ANCHOR_WORDS at most
+    docs = documents.select(F.col(doc_id).alias("doc_id"), normalize_ws(or_empty(text_col)).alias("t"))
+    out = None
+    if lengths:
+        runs = let(F.split("t", " "), lambda w: F.concat(*[_runs(w, n) for n in lengths]))
+        found = (docs.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.len", "r.anchor")
+                 .join(anchored.select("item_id", "len", "anchor"), ["len", "anchor"])
+                 .select("item_id", "doc_id").distinct())
+        out = (found.join(docs, "doc_id").join(anchored.select("item_id", "p"), "item_id")
+               .filter(F.contains("t", "p")).select("item_id", "doc_id"))
+    short = pats.filter(F.size("w") < 3).select("item_id", "p").limit(MAX_SHORT + 1).collect()
+    if len(short) > MAX_SHORT:
+        raise ValueError(f"more than {MAX_SHORT} passages of fewer than three words")
+    if short:
+        tests = F.array(*[F.when(F.contains("t", F.lit(r["p"])), F.lit(r["item_id"])) for r in short])
+        some = docs.select(F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("item_id"), "doc_id")
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        out = pats.join(docs.limit(0), F.lit(True)).select("item_id", "doc_id")
     return out

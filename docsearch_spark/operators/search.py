@@ -1,39 +1,46 @@
 """Retrieval: cosine / L2 scoring and top-k.
 
-Exact top-k for a table of questions (R3) is a *broadcast scan*:
-
-1. the question vectors are gathered into one float64 matrix per slice; the
-   slice size is checked against ``max_broadcast_bytes`` before anything is
-   gathered, and larger question tables are cut into several slices;
-2. the index is read once per slice with ``mapInArrow``: each Arrow batch
-   becomes a matrix, ``Q @ C.T`` is one BLAS call, and each task keeps only the
-   best k candidates per question (exact, ties kept and cut by id);
-3. a ``row_number() <= k`` window over ``query_id`` (planned as
-   ``WindowGroupLimit``) merges the at most ``k x tasks`` rows per question.
-
-The index is never shuffled and no pair table is materialised: per task the
-memory is one Arrow batch plus ``k`` candidates per question.
+Exact top-k for a table of questions (R3) works on a *block grid*: index rows
+and question rows are dealt to groups by hash, so that a group's vectors fit
+``CELL_BYTES``; every pair of groups is a cell. A row goes to each cell of its
+group (index rows once for every group of questions, and the other way round),
+and a cogroup brings the two sides of a cell together:
+
+1. in a cell, tiles of questions and index rows are scored by one BLAS call each
+   and only the best k a question are kept (ties by id), so a task holds two
+   groups and one tile of scores, whatever the tables' sizes;
+2. a ``row_number() <= k`` window (planned as ``WindowGroupLimit``) merges the k
+   rows a question and cell, in two stages when there are many cells.
+
+Nothing is gathered on the driver but two row counts. With few questions there
+is one group of them, and the index is dealt once.
 """
 
 from __future__ import annotations
 
-import math
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsearch_spark.functions.text import col_
-from docsearch_spark.functions.vectors import cosine_distance, l2_distance
+from docsearch_spark.functions.vectors import cosine_distance
+from docsearch_spark.session import materialize
 from docsearch_spark.schemas import NORM_EPS, TOP_K_DEFAULT, TOP_K_MAX, TOP_K_MIN
 
-DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bytes of index vectors in a cell of the grid; questions take a quarter of it.
+CELL_BYTES = 32 * 1024 * 1024
+TILE_INDEX, TILE_QUESTIONS = 8192, 256
+#: Cells whose rows one task merges for a question.
+MERGE_CELLS = 256
+#: Keys of rows without a score, and of rows that are left out.
+UNSCORED, DROPPED = -1e300, -np.inf
 # Scores equal to this many decimal places are ties (cut by id ascending), so
 # results do not depend on floating-point summation order.
 TIE_DECIMALS = 12
@@ -41,9 +48,10 @@ TIE_DECIMALS = 12
 
 @dataclass(frozen=True)
 class Dense:
-    """A fixed-width ARRAY<FLOAT|DOUBLE> vector column."""
+    """An ARRAY<FLOAT|DOUBLE> vector column of the declared width ``dim``."""
 
     col: str
+    dim: int
 
 
 @dataclass(frozen=True)
@@ -69,41 +77,16 @@ def clamp_top_k(k) -> Column:
                       F.least(F.coalesce(col_(k), F.lit(TOP_K_DEFAULT)), F.lit(TOP_K_MAX))).cast("int")
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an under-partitioned input (e.g. one small file) over the cores.
-
-    Inputs that already have enough partitions (any real table) pass through
-    untouched, so no shuffle is added at scale.
-    """
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-    except Exception:  # noqa: BLE001 - no JVM handle (e.g. Spark Connect): leave as is
-        return df
-    if any(node in plan for node in _SHUFFLED_NODES):
-        # already spread by a shuffle (or cached); asking a plan with shuffles
-        # for its partition count would run its stages under AQE
-        return df
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
-_SHUFFLED_NODES = ("Repartition", "Aggregate", "Join", "Window", "Sort ", "InMemoryRelation",
-                   "LogicalRDD")
-
-
 # --------------------------------------------------------------------------
 # Arrow batch -> matrix
 
 
-def _matrix(rb: pa.RecordBatch, spec, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(rb: pa.RecordBatch, spec, dim: int, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
     """(rows x dim float64 matrix, valid mask) of a batch's vector column(s)."""
     nb = rb.num_rows
     if isinstance(spec, Sparse):
-        idx_col = rb.column(spec.idx)
-        val_col = rb.column(spec.val)
+        idx_col = rb.column(prefix + spec.idx)
+        val_col = rb.column(prefix + spec.val)
         lens = pc.fill_null(pc.list_value_length(idx_col), 0).to_numpy().astype(np.int64)
         rows = np.repeat(np.arange(nb), lens)
         mat = np.zeros((nb, dim), dtype=np.float64)
@@ -113,7 +96,7 @@ def _matrix(rb: pa.RecordBatch, spec, dim: int) -> tuple[np.ndarray, np.ndarray]
             mat[rows, flat_i] = flat_v
         valid = np.asarray(idx_col.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
         return mat, valid
-    col = rb.column(spec.col)
+    col = rb.column(prefix + spec.col)
     lens = pc.fill_null(pc.list_value_length(col), -1).to_numpy().astype(np.int64)
     valid = lens == dim
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -143,186 +126,120 @@ def _prepare(mat: np.ndarray, valid: np.ndarray, mode: str) -> tuple[np.ndarray,
     return out, ok
 
 
-def _prune(q, ids, s, key, kq):
-    """Best kq[q] rows per question by (key desc, id asc).
-
-    The sort is numeric (question, key); ids are compared only inside runs of
-    exactly equal keys, so string ids cost nothing unless there are ties.
-    """
-    if q.size == 0:
-        return q, ids, s, key
-    if ids.dtype != object:
-        order = np.lexsort((ids, -key, q))
-    else:
-        order = np.lexsort((-key, q))
-        qs, ks = q[order], key[order]
-        same = np.flatnonzero((qs[1:] == qs[:-1]) & (ks[1:] == ks[:-1]))
-        if same.size:
-            starts = same[np.r_[True, np.diff(same) > 1]]
-            for st in starts:
-                en = st + 1
-                while en < qs.size - 1 and qs[en + 1] == qs[st] and ks[en + 1] == ks[st]:
-                    en += 1
-                seg = order[st:en + 1]
-                order[st:en + 1] = seg[np.argsort(ids[seg], kind="stable")]
-    q, ids, s, key = q[order], ids[order], s[order], key[order]
-    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-    sizes = np.diff(np.r_[starts, q.size])
-    rank = np.arange(q.size) - np.repeat(starts, sizes)
-    keep = rank < kq[q]
-    return q[keep], ids[keep], s[keep], key[keep]
-
-
-def _count_before(key: np.ndarray, thr: np.ndarray, tid: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Per question: index rows with a higher score, or an equal score and a
-    smaller id, than the question's target (score thr, id tid)."""
-    n = (key > thr[:, None]).sum(axis=1)
-    qi, ci = np.nonzero(key == thr[:, None])
-    if qi.size:
-        smaller = np.fromiter((a < b for a, b in zip(ids[ci], tid[qi])), dtype=bool, count=qi.size)
-        n = n + np.bincount(qi[smaller], minlength=thr.size)
-    return n
-
-
-def _scan_fn(bq, spec, dim: int, mode: str, id_col: str, exclude_same: bool,
-             id_arrow_type: pa.DataType, qid_arrow_type: pa.DataType):
-    """Per-task function of the broadcast scan (closure shipped to executors)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat, qvalid, kq, thr, tid = bq.value
-        qn, qok = _prepare(qmat, qvalid, mode)
-        kmax = int(kq.max()) if kq.size else 0
-        counts = np.zeros(qids.size, dtype=np.int64) if thr is not None else None
-        acc = None
-        budget = max(4 * kq.sum(), 1)
-        pending = 0
-        for rb in batches:
-            if rb.num_rows == 0 or (kmax <= 0 and counts is None):
-                continue
-            ids = rb.column(id_col).to_numpy(zero_copy_only=False)
-            cmat, cvalid = _matrix(rb, spec, dim)
-            cn, cok = _prepare(cmat, cvalid, mode)
-            if mode == "l2":
-                sq = (qn * qn).sum(1)[:, None] + (cn * cn).sum(1)[None, :] - 2.0 * (qn @ cn.T)
-                val = np.sqrt(np.maximum(sq, 0.0))
-                key = -val
-            else:
-                val = qn @ cn.T
-                key = np.round(val, TIE_DECIMALS)
-            usable = qok[:, None] & cok[None, :]
-            val = np.where(usable, val, np.nan)
-            key = np.where(usable, key, -np.inf)
-            if counts is not None:  # rows ranked before each question's target (identical ids kept)
-                counts += _count_before(key, thr, tid, _sortable(ids.astype(object)))
-            if kmax <= 0:
-                continue
-            drop = None
-            if exclude_same:
-                drop = qids[:, None] == ids[None, :]
-                key = np.where(drop, -np.inf, key)
-            nb = key.shape[1]
-            if nb > kmax:
-                kth = np.partition(key, nb - kmax, axis=1)[:, nb - kmax]
-                mask = key >= kth[:, None]
-            else:
-                mask = np.ones_like(key, dtype=bool)
-            if drop is not None:
-                mask &= ~drop
-            qi, ci = np.nonzero(mask)
-            s = val[qi, ci]
-            if mode == "l2" and qi.size:  # exact distance for the kept pairs
-                s = np.where(np.isnan(s), np.nan,
-                             np.sqrt(((qmat[qi] - cmat[ci]) ** 2).sum(1)))
-            k_ = (key[qi, ci] if mode != "l2"
-                  else np.where(np.isnan(s), -np.inf, -np.round(s, TIE_DECIMALS)))
-            new = [qi, _native(ids[ci]), s, k_]
-            acc = new if acc is None else [np.concatenate([a, b]) for a, b in zip(acc, new)]
-            pending += qi.size
-            if pending > budget:
-                acc = list(_prune(*acc, kq))
-                pending = acc[0].size
-        if acc is None:
-            acc = [np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0), np.zeros(0)]
-        q, ids, s, _ = _prune(*acc, kq)
-        if q.size:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[q].tolist(), type=qid_arrow_type),
-                 pa.array(ids.tolist(), type=id_arrow_type),
-                 pa.array(s, type=pa.float64(), from_pandas=True),
-                 pa.array(kq[q].astype(np.int32), type=pa.int32())],
-                names=["query_id", "doc_id", "value", "top_k"])
-        if counts is not None and qids.size:
-            # one count row per question and task, marked by top_k = -1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids.tolist(), type=qid_arrow_type),
-                 pa.nulls(qids.size, type=id_arrow_type),
-                 pa.array(counts.astype(np.float64), type=pa.float64()),
-                 pa.array(np.full(qids.size, -1, np.int32), type=pa.int32())],
-                names=["query_id", "doc_id", "value", "top_k"])
-
-    return run
-
-
-def _native(ids: np.ndarray) -> np.ndarray:
-    """Integer ids as int64 (fast sorts), anything else as objects."""
-    if ids.dtype.kind in "iu":
-        return ids.astype(np.int64)
-    return ids.astype(object)
-
-
-def _sortable(ids: np.ndarray) -> np.ndarray:
-    if ids.size and all(isinstance(x, (int, np.integer)) for x in ids[:1]):
-        return ids.astype(np.int64)
-    return ids
-
-
 def _arrow_type(dt: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
     return to_arrow_type(dt)
 
 
-def _gather_queries(queries: DataFrame, qid_col: str, spec, dim: int, k_col, targets=None):
-    """Driver side of one slice: (ids, matrix, valid, k, thr, tid) as numpy arrays;
-    thr/tid (rank targets: score rounded like the ranking key, and id) are None
-    unless ``targets = (score_col, id_col)`` is given."""
-    cols = [F.col(qid_col).alias("__qid")] + [F.col(c) for c in _cols(spec)]
-    cols.append((k_col if k_col is not None else F.lit(TOP_K_DEFAULT)).cast("int").alias("__k"))
-    if targets is not None:
-        cols += [F.round(F.col(targets[0]), TIE_DECIMALS).alias("__thr"), F.col(targets[1]).alias("__tid")]
-    tbl = queries.select(*cols).toArrow()
-    rb = tbl.combine_chunks().to_batches()
-    if not rb:
-        z = np.zeros(0)
-        return (np.zeros(0, object), np.zeros((0, dim)), np.zeros(0, bool), np.zeros(0, np.int64),
-                z if targets else None, np.zeros(0, object) if targets else None)
-    b = rb[0]
-    mat, valid = _matrix(b, spec, dim)
-    qids = b.column("__qid").to_numpy(zero_copy_only=False)
-    k = pc.fill_null(b.column("__k"), 0).to_numpy().astype(np.int64)
-    thr = tid = None
-    if targets is not None:
-        thr = b.column("__thr").to_numpy(zero_copy_only=False).astype(np.float64)
-        tid = _sortable(b.column("__tid").to_numpy(zero_copy_only=False).astype(object))
-    return _sortable(qids.astype(object)), mat, valid, k, thr, tid
-
-
-def _vector_dim(df: DataFrame, spec) -> int:
-    if isinstance(spec, Sparse):
-        return spec.dim
-    row = df.select(F.max(F.size(spec.col)).alias("d")).first()
-    return int(row["d"] or 0)
+def _score_cell(index: pa.Table, asked: pa.Table, index_vec, query_vec, dim: int, mode: str,
+                kmax: int, exclude_same: bool, ranked: bool, schema: pa.Schema) -> pa.Table:
+    """One cell of the grid: the best ``kmax`` index rows of each question, and,
+    with ``ranked``, how many come before its target (marked by top_k -1)."""
+    if not index.num_rows or not asked.num_rows:
+        return schema.empty_table()
+    ids = index.column("id").to_pylist()
+    order = sorted((i for i in range(len(ids)) if ids[i] is not None), key=ids.__getitem__)
+    index = index.take(pa.array(order, pa.int64()))  # by id: equal scores are cut by position
+    ids = [ids[i] for i in order]
+    cmat, cvalid = _matrix(_one_batch(index), index_vec, dim)
+    qmat, qvalid = _matrix(_one_batch(asked), query_vec, dim, "q_")
+    qn, qok = _prepare(qmat, qvalid, mode)
+    cn, cok = _prepare(cmat, cvalid, mode)
+    n, m = len(qok), len(cok)
+    qids = asked.column("query_id")
+    own = np.full(n, -1)
+    if exclude_same:  # ids are compared as text
+        place = {str(x): i for i, x in enumerate(ids)}
+        own = np.array([place.get(str(x), -1) for x in qids.to_pylist()], np.int64)
+    thr = before = None
+    if ranked:
+        thr = asked.column("thr").to_numpy().astype(np.float64)
+        before = np.array([bisect.bisect_left(ids, x) if x is not None else 0
+                           for x in asked.column("tid").to_pylist()], np.int64)
+    counts = np.zeros(n, np.int64)
+    best_key = np.full((n, 0), DROPPED)
+    best_at = np.zeros((n, 0), np.int64)
+    for c0 in range(0, m, TILE_INDEX):
+        c1 = min(m, c0 + TILE_INDEX)
+        keys, ats = [], []
+        for q0 in range(0, n, TILE_QUESTIONS):
+            q1 = min(n, q0 + TILE_QUESTIONS)
+            dots = qn[q0:q1] @ cn[c0:c1].T
+            if mode == "l2":
+                sq = (qn[q0:q1] ** 2).sum(1)[:, None] + (cn[c0:c1] ** 2).sum(1)[None, :] - 2.0 * dots
+                key = -np.sqrt(np.maximum(sq, 0.0))
+            else:
+                key = np.round(dots, TIE_DECIMALS)
+            key[~qok[q0:q1]] = UNSCORED
+            key[:, ~cok[c0:c1]] = UNSCORED
+            if ranked:  # identical ids count here
+                t = thr[q0:q1, None]
+                counts[q0:q1] += ((key > t) | ((key == t) & (np.arange(c0, c1) < before[q0:q1, None]))).sum(1)
+            mine = np.flatnonzero((own[q0:q1] >= c0) & (own[q0:q1] < c1))
+            key[mine, own[q0:q1][mine] - c0] = DROPPED
+            at = _first_best(key, min(kmax, c1 - c0))
+            keys.append(np.take_along_axis(key, at, 1))
+            ats.append(at + c0)
+        key = np.concatenate([best_key, np.concatenate(keys)], axis=1)
+        at = np.concatenate([best_at, np.concatenate(ats)], axis=1)
+        top = np.argsort(-key, axis=1, kind="stable")[:, :kmax]
+        best_key, best_at = np.take_along_axis(key, top, 1), np.take_along_axis(at, top, 1)
+    q, slot = np.nonzero(best_key > DROPPED)
+    at, value = best_at[q, slot], best_key[q, slot]
+    if mode == "l2" and len(q):  # the exact distance of the rows that are left
+        value = np.concatenate([np.sqrt(((qmat[q[i:i + 4096]] - cmat[at[i:i + 4096]]) ** 2).sum(1))
+                                for i in range(0, len(q), 4096)])
+    elif len(q):
+        value = np.concatenate([np.einsum("ij,ij->i", qn[q[i:i + 4096]], cn[at[i:i + 4096]])
+                                for i in range(0, len(q), 4096)])
+    value = np.where(qok[q] & cok[at], value, np.nan)
+    hits = pa.table({"query_id": qids.take(pa.array(q)), "doc_id": index.column("id").take(pa.array(at)),
+                     "value": pa.array(value, pa.float64(), from_pandas=True),
+                     "top_k": asked.column("top_k").take(pa.array(q))})
+    if ranked:
+        hits = pa.concat_tables([hits.cast(schema), pa.table({
+            "query_id": qids, "doc_id": pa.nulls(n, schema.field("doc_id").type),
+            "value": pa.array(counts.astype(np.float64)), "top_k": pa.array(np.full(n, -1, np.int32))}
+        ).cast(schema)])
+    return hits.cast(schema)
+
+
+def _one_batch(table: pa.Table) -> pa.RecordBatch:
+    batches = table.combine_chunks().to_batches()
+    return batches[0] if batches else pa.RecordBatch.from_pylist([], schema=table.schema)
+
+
+def _first_best(key: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest keys of each row, ascending; of equal ones the first."""
+    n, m = key.shape
+    if k <= 0 or not n:
+        return np.zeros((n, 0), np.int64)
+    if m == k:
+        return np.broadcast_to(np.arange(m), (n, m))
+    kth = np.partition(key, m - k, axis=1)[:, m - k, None]
+    mask = key >= kth
+    over = np.flatnonzero(mask.sum(1) > k)
+    if len(over):
+        more, ties = key[over] > kth[over], key[over] == kth[over]
+        room = k - more.sum(1, keepdims=True)
+        mask[over] = more | (ties & (np.cumsum(ties, axis=1) <= room))
+    return np.nonzero(mask)[1].reshape(n, k)
 
 
 def topk_scan(index: DataFrame, index_id: str, index_vec, queries: DataFrame, query_id: str,
               query_vec, k: int | None = None, k_col: Column | None = None,
-              mode: str = "cosine", exclude_same_id: bool = False, dim: int | None = None,
-              max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES, rank_targets=None):
+              mode: str = "cosine", exclude_same_id: bool = False, rank_targets=None,
+              cell_bytes: int = CELL_BYTES):
     """Exact top-k of ``index`` for every row of ``queries`` (R3, E4/E5 truncated).
 
-    With ``rank_targets = (score_col, id_col)`` the same single pass over the
-    index also counts, per question, the rows ranked before the target
-    (identical ids kept), and ``(hits, ranks)`` is returned, ``ranks`` being
-    ``(query_id, rank)`` of the target in the full ranking.
+    The vector specs declare the width; a vector of another width, or with a NULL
+    or NaN inside, cannot be scored (C5 reports such rows). Both tables should be
+    stored ones: each is counted, which sets the grid, and read once.
+
+    With ``rank_targets = (score_col, id_col)`` the same pass also counts, per
+    question, the rows ranked before the target (identical ids kept), and
+    ``(hits, ranks)`` is returned, ``ranks`` being ``(query_id, rank)`` of the
+    target in the full ranking. ``k = 0`` counts only.
 
     ``mode``: ``cosine`` (NULL for zero vectors, as the ``<=>`` operator),
     ``cosine_eps`` (``v/(|v|+1e-12)``, zero vectors score 0, used by the
@@ -334,70 +251,61 @@ def topk_scan(index: DataFrame, index_id: str, index_vec, queries: DataFrame, qu
     if k is None and k_col is None:
         k = TOP_K_DEFAULT
     kexpr = F.lit(k) if k_col is None else (k_col if k is None else F.least(k_col, F.lit(k)))
-    if dim is None:
-        dim = _vector_dim(index, index_vec)
-    spark = index.sparkSession
-    sc = spark.sparkContext
-    nq = queries.count()
+    dim = index_vec.dim
+    if query_vec.dim != dim:
+        raise ValueError(f"question vectors have width {query_vec.dim}, index vectors {dim}")
+    kmax = k if k is not None else TOP_K_MAX
     per_row = dim * 8 + 64
-    n_slices = max(1, math.ceil(nq * per_row / max_broadcast_bytes))
-    if n_slices > 1:
-        # every slice filters the question table: compute it once
-        from docsearch_spark.session import checkpoint_dir
-        checkpoint_dir(spark)
-        queries = queries.checkpoint(eager=True)
-    idx = ensure_parallelism(index.select(index_id, *_cols(index_vec)))
-    id_type = _arrow_type(index.schema[index_id].dataType)
-    qid_type = _arrow_type(queries.schema[query_id].dataType)
-    out_schema = T.StructType([
+    groups = max(1, -(-index.count() * per_row // cell_bytes))
+    asked_groups = max(1, -(-queries.count() * per_row * 4 // cell_bytes))
+    idx = index.select(F.col(index_id).alias("id"), *[F.col(c).alias(c) for c in _cols(index_vec)],
+                       F.pmod(F.xxhash64(index_id), F.lit(groups)).cast("int").alias("g"),
+                       F.explode(F.sequence(F.lit(0), F.lit(asked_groups - 1))).alias("h"))
+    asked = [F.col(query_id).alias("query_id"), *[F.col(c).alias("q_" + c) for c in _cols(query_vec)],
+             F.coalesce(kexpr.cast("int"), F.lit(0)).alias("top_k"),
+             F.pmod(F.xxhash64(query_id), F.lit(asked_groups)).cast("int").alias("h")]
+    if rank_targets is not None:
+        asked += [F.round(F.col(rank_targets[0]), TIE_DECIMALS).alias("thr"),
+                  F.col(rank_targets[1]).alias("tid")]
+    asked_rows = queries.select(*asked).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    out = T.StructType([
         T.StructField("query_id", queries.schema[query_id].dataType, True),
         T.StructField("doc_id", index.schema[index_id].dataType, True),
         T.StructField("value", T.DoubleType(), True),
-        T.StructField("top_k", T.IntegerType(), True),
-    ])
-    parts = []
-    for s in range(n_slices):
-        qs = queries if n_slices == 1 else queries.filter(
-            F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_slices)) == s)
-        payload = _gather_queries(qs, query_id, query_vec, dim, kexpr, rank_targets)
-        bq = sc.broadcast(payload)
-        parts.append(idx.mapInArrow(
-            _scan_fn(bq, index_vec, dim, mode, index_id, exclude_same_id, id_type, qid_type),
-            out_schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    if rank_targets is not None:
-        # the scan output is small (<= k rows + 1 count row per question and
-        # task) and feeds two aggregations: keep it instead of scanning twice
-        cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
+        T.StructField("top_k", T.IntegerType(), True)])
+    arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in out])
+    ranked = rank_targets is not None
+
+    def cell(index_rows: pa.Table, question_rows: pa.Table) -> pa.Table:
+        return _score_cell(index_rows, question_rows, index_vec, query_vec, dim, mode, kmax,
+                           exclude_same_id, ranked, arrow)
+
+    cand = idx.groupBy("g", "h").cogroup(asked_rows.groupBy("g", "h")).applyInArrow(cell, out)
+    if ranked:
+        # small (k rows and a count per question and cell), read by two aggregations
+        cand = materialize(cand, "cells")
     rounded = F.round(F.col("value"), TIE_DECIMALS)
     order = rounded.asc_nulls_last() if mode == "l2" else rounded.desc_nulls_last()
     w = Window.partitionBy("query_id").orderBy(order, F.col("doc_id").asc())
-    kmax = k if k is not None else TOP_K_MAX
-    hits = (cand.filter(F.col("top_k") >= 0).withColumn("rank", F.row_number().over(w))
+    kept = cand.filter(F.col("top_k") >= 0)
+    if groups > MERGE_CELLS:  # two stages: no task merges more than MERGE_CELLS x k rows of a question
+        salts = -(-groups // MERGE_CELLS)
+        part = Window.partitionBy("query_id", "salt").orderBy(order, F.col("doc_id").asc())
+        kept = (kept.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+                .withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= F.lit(kmax))
+                .drop("salt", "rank"))
+    hits = (kept.withColumn("rank", F.row_number().over(w))
             .filter((F.col("rank") <= F.lit(kmax)) & (F.col("rank") <= F.col("top_k")))
             .drop("top_k"))
-    if rank_targets is None:
+    if not ranked:
         return hits
     ranks = (cand.filter(F.col("top_k") == -1).groupBy("query_id")
              .agg((F.sum("value").cast("long") + F.lit(1)).alias("rank")))
     return hits, ranks
 
 
-MAX_BROADCAST_HIT_ROWS = 2_000_000
-
-
-def attach(hits: DataFrame, table: DataFrame, key: str, n_questions: int, k: int,
-           max_rows: int = MAX_BROADCAST_HIT_ROWS) -> DataFrame:
-    """Join top-k hits back to a (large) table on ``key``.
-
-    The hits hold at most ``n_questions * k`` rows; when that bound is below
-    ``max_rows`` they are broadcast so the large table is streamed, not
-    shuffled. Otherwise the planner's shuffle join is used.
-    """
-    if n_questions * k <= max_rows:
-        return table.join(F.broadcast(hits), key)
+def attach(hits: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Join top-k hits back to a (large) table on ``key``; the planner picks the join."""
     return hits.join(table, key)
 
 
@@ -424,17 +332,16 @@ def topk_single(index: DataFrame, vec_col: str, query_vec: list[float], k: int =
             .withColumn("score", F.lit(1.0) - F.col("dist")))
 
 
-def topk_single_l2(index: DataFrame, vec_col: str, query_vec: list[float], k: int,
-                   id_col: str) -> DataFrame:
-    q = F.array(*[F.lit(float(x)) for x in query_vec])
-    return (index.withColumn("dist", l2_distance(vec_col, q))
-            .orderBy(F.col("dist").asc_nulls_last(), F.col(id_col).asc()).limit(k))
-
-
 # --------------------------------------------------------------------------
 # Random-hyperplane approximate search
 
 
+#: Planes of one table at most: plane ``t * MAX_BITS + b`` is bit b of table t.
+MAX_BITS = 48
+#: Rows that a bucket holds on average: the bits of a key grow with the index.
+BUCKET_ROWS = 16
+
+
 def plane_signs(p: int, dim: int) -> list[float]:
     """Plane p: sign in dimension d is +1 when the first hex digit of
     ``md5(p || ':' || d)`` is below '8', else -1 (a formula, not stored data)."""
@@ -443,76 +350,66 @@ def plane_signs(p: int, dim: int) -> list[float]:
             for d in range(dim)]
 
 
+def key_bits(rows: int) -> int:
+    """Bits of a bucket key, so that buckets hold about ``BUCKET_ROWS`` rows at any size."""
+    buckets = -(-max(1, rows) // BUCKET_ROWS)
+    return min(MAX_BITS, buckets.bit_length())
+
+
 def lsh_keys(df: DataFrame, id_col: str, vec_col: str, dim: int, n_tables: int, n_bits: int) -> DataFrame:
     """(id, tbl, key): one bucket key per table; bit = dot(v, plane) >= 0.
 
-    The ``n_tables * n_bits`` sign vectors are generated from a formula, so
-    they form a literal of fixed, parameter-bounded size (no data-dependent
-    broadcast): every key is a row-local expression.
+    One product with all planes per Arrow batch. Vectors of another width have no key.
     """
-    keys = []
-    for t in range(n_tables):
-        bits = []
-        for b in range(n_bits):
-            signs = plane_signs(t * n_bits + b, dim)
-            plane = F.array(*[F.lit(x) for x in signs])
-            proj = F.aggregate(F.zip_with(F.col(vec_col).cast("array<double>"), plane,
-                                          lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-            bits.append(F.when(proj >= 0, F.lit(1 << b)).otherwise(F.lit(0)))
-        key = bits[0]
-        for x in bits[1:]:
-            key = key + x
-        keys.append(F.struct(F.lit(t).alias("tbl"), key.alias("key")))
-    return (df.select(id_col, F.explode(F.array(*keys)).alias("k"))
-            .select(id_col, "k.tbl", "k.key"))
+    planes = np.array([plane_signs(t * MAX_BITS + b, dim) for t in range(n_tables) for b in range(n_bits)])
+    powers = 1 << np.arange(n_bits, dtype=np.int64)
+    schema = T.StructType([df.schema[id_col], T.StructField("tbl", T.IntegerType()),
+                           T.StructField("key", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            mat, valid = _matrix(rb, Dense(vec_col, dim), dim)
+            rows = np.flatnonzero(valid)
+            bits = (mat[rows] @ planes.T >= 0).reshape(len(rows), n_tables, n_bits)
+            keys = (bits * powers).sum(axis=2)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(id_col).take(pa.array(np.repeat(rows, n_tables))),
+                 pa.array(np.tile(np.arange(n_tables, dtype=np.int32), len(rows))),
+                 pa.array(keys.ravel())], names=[id_col, "tbl", "key"])
+
+    return df.select(id_col, vec_col).mapInArrow(run, schema)
 
 
 def ann_candidates(index: DataFrame, index_id: str, queries: DataFrame, query_id: str,
-                   vec_col: str, dim: int, n_tables: int = 8, n_bits: int = 4,
-                   max_bucket: int | None = None) -> DataFrame:
+                   vec_col: str, dim: int, n_tables: int, n_bits: int) -> DataFrame:
     """Distinct (query_id, doc_id) pairs sharing at least one (table, key) bucket.
 
-    ``max_bucket`` drops oversized buckets from the index side so the
-    equi-join cannot grow quadratically on a hot key (recall then drops, R5
-    reports it).
+    Nothing is dropped: with keys as wide as the index needs a bucket is small,
+    and one that is hot all the same (many equal vectors) is split by the
+    planner's skew join.
     """
     ik = lsh_keys(index, index_id, vec_col, dim, n_tables, n_bits).withColumnRenamed(index_id, "doc_id")
     qk = lsh_keys(queries, query_id, vec_col, dim, n_tables, n_bits).withColumnRenamed(query_id, "query_id")
-    if max_bucket is not None:
-        sizes = ik.groupBy("tbl", "key").count().filter(F.col("count") <= max_bucket).drop("count")
-        ik = ik.join(sizes, ["tbl", "key"], "left_semi")
     return qk.join(ik, ["tbl", "key"]).select("query_id", "doc_id").distinct()
 
 
 def ann_topk(index: DataFrame, index_id: str, queries: DataFrame, query_id: str, vec_col: str,
-             dim: int, k: int = 10, n_tables: int = 8, n_bits: int = 4,
-             max_bucket: int | None = None) -> DataFrame:
+             dim: int, k: int = 10, n_tables: int = 8, n_bits: int | None = None) -> DataFrame:
     """Candidates by hyperplane buckets, exact cosine re-rank, top k.
 
-    With ``max_bucket`` oversized buckets are dropped from the candidate join
-    (it cannot grow quadratically on a hot key); every question left with
-    fewer than k candidates is then answered by the exact broadcast scan, so
-    no question loses results because of the cap.
+    ``n_bits`` (default: :func:`key_bits` of the index's row count) keeps the
+    number of candidates per question level as the index grows.
     """
-    cand = ann_candidates(index, index_id, queries, query_id, vec_col, dim, n_tables, n_bits,
-                          max_bucket)
+    if n_bits is None:
+        n_bits = key_bits(index.count())
+    cand = ann_candidates(index, index_id, queries, query_id, vec_col, dim, n_tables, n_bits)
     iv = index.select(F.col(index_id).alias("doc_id"), F.col(vec_col).alias("__dv"))
     qv = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("__qv"))
     scored = (cand.join(qv, "query_id").join(iv, "doc_id")
               .select("query_id", "doc_id", (F.lit(1.0) - cosine_distance("__qv", "__dv")).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.round(F.col("score"), TIE_DECIMALS).desc_nulls_last(),
                                                F.col("doc_id"))
-    approx = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    if max_bucket is None:
-        return approx
-    short = (queries.select(F.col(query_id).alias("query_id"))
-             .join(approx.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
-             .filter(F.coalesce(F.col("n"), F.lit(0)) < k).select("query_id"))
-    lacking = queries.join(short.withColumnRenamed("query_id", query_id), query_id, "left_semi")
-    exact = topk_scan(index, index_id, Dense(vec_col), lacking, query_id, Dense(vec_col), k=k,
-                      mode="cosine", dim=dim).withColumnRenamed("value", "score")
-    return (approx.join(short, "query_id", "left_anti")
-            .unionByName(exact.select("query_id", "doc_id", "score", "rank")))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def ann_recall(exact: DataFrame, approx: DataFrame) -> DataFrame:
@@ -528,69 +425,16 @@ def ann_recall(exact: DataFrame, approx: DataFrame) -> DataFrame:
 # rank of a given (score, id) pair in a full ranking, without sorting
 
 
-def _count_fn(bq, spec, dim: int, mode: str, id_col: str, qid_arrow_type: pa.DataType,
-              decimals: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat, qvalid, thr, tid = bq.value
-        qn, qok = _prepare(qmat, qvalid, mode)
-        counts = np.zeros(qids.size, dtype=np.int64)
-        for rb in batches:
-            if rb.num_rows == 0 or qids.size == 0:
-                continue
-            ids = _sortable(rb.column(id_col).to_numpy(zero_copy_only=False).astype(object))
-            cmat, cvalid = _matrix(rb, spec, dim)
-            cn, cok = _prepare(cmat, cvalid, mode)
-            key = np.round(qn @ cn.T, decimals)
-            key = np.where(qok[:, None] & cok[None, :], key, -np.inf)
-            counts += _count_before(key, thr, tid, ids)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids.tolist(), type=qid_arrow_type), pa.array(counts, type=pa.int64())],
-            names=["query_id", "n_before"])
-    return run
-
-
 def rank_in_full_ranking(index: DataFrame, index_id: str, index_vec, targets: DataFrame,
                          query_id: str, query_vec, score_col: str, target_id_col: str,
-                         mode: str = "cosine_eps", dim: int | None = None, decimals: int = 12,
-                         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                         mode: str = "cosine_eps") -> DataFrame:
     """Rank (1-based) that the pair (score, target id) of each question would get in
     the question's full ranking of ``index`` (score desc, id asc).
 
-    Equals ``1 + #{d : s(q,d) > s or (s(q,d) = s and d < id)}``: one broadcast
-    scan counts, per task, how many index rows come first; a sum merges the
-    counts. Scores are compared at ``decimals`` places so that the target's own
-    score, computed elsewhere, ties with itself.
+    Equals ``1 + #{d : s(q,d) > s or (s(q,d) = s and d < id)}``, counted cell by
+    cell on the grid of :func:`topk_scan`. Scores are compared at ``TIE_DECIMALS``
+    places so that the target's own score, computed elsewhere, ties with itself.
     """
-    if dim is None:
-        dim = _vector_dim(index, index_vec)
-    sc = index.sparkSession.sparkContext
-    nq = targets.count()
-    n_slices = max(1, math.ceil(nq * (dim * 8 + 64) / max_broadcast_bytes))
-    idx = ensure_parallelism(index.select(index_id, *_cols(index_vec)))
-    qid_type = _arrow_type(targets.schema[query_id].dataType)
-    schema = T.StructType([T.StructField("query_id", targets.schema[query_id].dataType, True),
-                           T.StructField("n_before", T.LongType(), True)])
-    parts = []
-    for s in range(n_slices):
-        ts = targets if n_slices == 1 else targets.filter(
-            F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_slices)) == s)
-        tbl = ts.select(F.col(query_id).alias("__qid"), *[F.col(c) for c in _cols(query_vec)],
-                        F.round(F.col(score_col), decimals).alias("__thr"),
-                        F.col(target_id_col).alias("__tid")).toArrow()
-        bs = tbl.combine_chunks().to_batches()
-        if not bs:
-            continue
-        b = bs[0]
-        mat, valid = _matrix(b, query_vec, dim)
-        payload = (_sortable(b.column("__qid").to_numpy(zero_copy_only=False).astype(object)), mat, valid,
-                   b.column("__thr").to_numpy(zero_copy_only=False).astype(np.float64),
-                   _sortable(b.column("__tid").to_numpy(zero_copy_only=False).astype(object)))
-        bq = sc.broadcast(payload)
-        parts.append(idx.mapInArrow(_count_fn(bq, index_vec, dim, mode, index_id, qid_type, decimals),
-                                    schema))
-    if not parts:
-        return targets.sparkSession.createDataFrame([], schema.add("rank", T.LongType()))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return allp.groupBy("query_id").agg((F.sum("n_before") + F.lit(1)).alias("rank"))
+    _, ranks = topk_scan(index, index_id, index_vec, targets, query_id, query_vec, k=0, mode=mode,
+                         rank_targets=(score_col, target_id_col))
+    return ranks

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from docsearch_spark.functions.text import normalize_ws, or_empty, uuid_from
 from docsearch_spark.operators import chunking, embed, search
 from docsearch_spark.plans import sql as S
+from docsearch_spark.session import materialize
 from docsearch_spark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+VEC_DIM = 64         # declared width of the embeddings table
 TEXT_DIM = 1536     # width of the hashed text embedding (the reference's vector width)
 R3_K = 10           # cut-off of the all-vectors top-k
 R6_K = 4            # default k of the legacy retriever
@@ -44,7 +46,7 @@ def r6(c):
 
 def document_chunks(spark: SparkSession, sf: str, size: int = 1200, overlap: int = 200) -> DataFrame:
     """D1 over B3: (chunk_id, doc_id, source_path, chunk_index, content)."""
-    docs = search.ensure_parallelism(tables.documents(spark, sf).select("doc_id", "source_path", "text"))
+    docs = tables.documents(spark, sf).select("doc_id", "source_path", "text")
     ch = chunking.chunk_fixed(docs, "text", size, overlap)
     return ch.select(uuid_from("doc_id", "chunk_index").alias("chunk_id"), "doc_id",
                      "source_path", "chunk_index", "content")
@@ -64,25 +66,19 @@ def question_vectors(spark: SparkSession, sf: str, top_k=None) -> DataFrame:
 def text_topk(spark: SparkSession, sf: str, k: int = 5, k_col=None, questions=None) -> DataFrame:
     """R3 on text: every question against every chunk, cosine of hashed vectors.
 
-    The chunk index is built on the fly from ``documents`` here, and read twice
-    (scan, then metadata of the hits): it is persisted, standing in for the
-    stored index table of a deployment (see ``ingest``)."""
-    from pyspark import StorageLevel
-    idx = text_index(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    The chunk index is built here and stored, as in a deployment (see ``ingest``);
+    the scan and the join to the hits read the stored table."""
+    idx = materialize(text_index(spark, sf), "index")
     qv = (question_vectors(spark, sf) if questions is None
           else embed.embed_sparse(questions, "question", TEXT_DIM))
     spec = search.Sparse("sv_idx", "sv_val", TEXT_DIM)
     hits = search.topk_scan(idx, "chunk_id", spec, qv, "query_id", spec, k=k, k_col=k_col,
-                            mode="cosine", dim=TEXT_DIM)
+                            mode="cosine")
     meta = idx.select("chunk_id", "doc_id", "source_path", "chunk_index", "content")
-    # the hits (k rows per question) feed several consumers downstream (prompts,
-    # citations, responses): keep them rather than re-running the scan for each
-    joined = search.attach(hits.withColumnRenamed("doc_id", "chunk_id"), meta, "chunk_id",
-                           qv.count(), k)
-    return (joined
-            .withColumn("dist", F.lit(1.0) - F.col("value"))
-            .withColumn("score", F.lit(1.0) - F.col("dist")).drop("value")
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    joined = search.attach(hits.withColumnRenamed("doc_id", "chunk_id"), meta, "chunk_id")
+    # k rows per question, read by several consumers (prompts, citations, responses)
+    return materialize(joined.withColumn("dist", F.lit(1.0) - F.col("value"))
+                       .withColumn("score", F.lit(1.0) - F.col("dist")).drop("value"), "hits")
 
 
 def _sql_text_scores() -> str:
@@ -141,7 +137,7 @@ def q_chunk_fixed(spark, sf):
 
 def _chunk_query(size, overlap):
     def fn(spark, sf):
-        d = search.ensure_parallelism(tables.read_table(spark, sf, "documents").select("doc_id", "text"))
+        d = tables.read_table(spark, sf, "documents").select("doc_id", "text")
         return chunking.chunk_fixed(d, "text", size, overlap).select("doc_id", "chunk_index", "content")
     return fn
 
@@ -194,8 +190,8 @@ def q_doc_text(spark, sf):
     WHERE rank <= {R3_K}""")
 def q_topk_batch(spark, sf):
     v = tables.vectors(spark, sf)
-    hits = search.topk_scan(v, "vec_id", search.Dense("embedding"), v, "vec_id",
-                            search.Dense("embedding"), k=R3_K, mode="cosine")
+    hits = search.topk_scan(v, "vec_id", search.Dense("embedding", VEC_DIM), v, "vec_id",
+                            search.Dense("embedding", VEC_DIM), k=R3_K, mode="cosine")
     dist = F.lit(1.0) - F.col("value")
     return hits.select("query_id", "rank", "doc_id", r6(dist).alias("dist"),
                        r6(F.lit(1.0) - dist).alias("score"))
@@ -211,8 +207,8 @@ def q_topk_batch(spark, sf):
     WHERE rank <= {R6_K}""")
 def q_topk_l2(spark, sf):
     v = tables.vectors(spark, sf)
-    hits = search.topk_scan(v, "vec_id", search.Dense("embedding"), v, "vec_id",
-                            search.Dense("embedding"), k=R6_K, mode="l2")
+    hits = search.topk_scan(v, "vec_id", search.Dense("embedding", VEC_DIM), v, "vec_id",
+                            search.Dense("embedding", VEC_DIM), k=R6_K, mode="l2")
     return hits.select("query_id", "rank", "doc_id", r6(F.col("value")).alias("dist"))
 
 
@@ -250,14 +246,18 @@ from docsearch_spark.operators import passages  # noqa: E402
 EVAL_KS = (1, 3, 5, 10)
 
 
+QREL_REACH = 20     # a judgement reaches over this many following ids
+
+
 def vec_qrels(spark, sf, graded: bool = False) -> DataFrame:
-    """Every vector is a query; its relevant documents share its label."""
+    """Every vector is a query; of the ``QREL_REACH`` ids after it, those with its
+    label are relevant (a few per query, whatever the table's size)."""
     v = tables.vectors(spark, sf).select("vec_id", "label")
-    a, b = v.alias("a"), v.alias("b")
-    g = (F.lit(1) + F.pmod(F.col("b.vec_id"), F.lit(3))) if graded else F.lit(1)
-    return (a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id")))
-            .select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("doc_id"),
-                    g.cast("int").alias("grade")))
+    near = v.select(F.col("vec_id").alias("query_id"), "label",
+                    F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + QREL_REACH)).alias("doc_id"))
+    g = (F.lit(1) + F.pmod(F.col("doc_id"), F.lit(3))) if graded else F.lit(1)
+    return (near.join(v.withColumnRenamed("vec_id", "doc_id"), ["doc_id", "label"])
+            .select("query_id", "doc_id", g.cast("int").alias("grade")))
 
 
 def _metric_out(rows: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def _metric_out(rows: DataFrame) -> DataFrame:
 
 def eval_vectors(spark, sf, graded=False, max_corpus=0, max_queries=0):
     v = tables.vectors(spark, sf)
-    spec = search.Dense("embedding")
+    spec = search.Dense("embedding", VEC_DIM)
     return E.metric_rows(v, "vec_id", spec, v, "vec_id", spec, vec_qrels(spark, sf, graded),
                          EVAL_KS, max_corpus=max_corpus, max_queries=max_queries)
 
@@ -274,7 +274,8 @@ def eval_vectors(spark, sf, graded=False, max_corpus=0, max_queries=0):
 def _sql_vec_qrels(graded=False):
     g = "1 + b.vec_id % 3" if graded else "1"
     return f"""SELECT a.vec_id AS query_id, b.vec_id AS doc_id, CAST({g} AS INTEGER) AS grade
-               FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id"""
+               FROM embeddings a JOIN embeddings b ON a.label = b.label
+                    AND b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + {QREL_REACH}"""
 
 
 def _sql_metrics(qrels_sql: str, sims_sql: str, corpus_sql: str, ks=EVAL_KS, max_queries: int = 0) -> str:
@@ -373,11 +374,23 @@ def q_positive_qrels(spark, sf):
     return q.filter(F.col("grade") > 0)
 
 
-@register("filter_qrels", f"""
+@register("filter_qrels", """
+    SELECT toxic AS query_id, doc_id, max(quality) AS grade FROM labels
+    WHERE quality > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE length(text) > 0)
+    GROUP BY toxic, doc_id""")
+def q_filter_qrels(spark, sf):
+    """Every judgement is given twice; the corpus is every document with a text."""
+    q = tables.read_table(spark, sf, "labels").select(F.col("toxic").alias("query_id"), "doc_id",
+                                                      F.col("quality").alias("grade"))
+    corpus = tables.read_table(spark, sf, "documents").filter(F.length("text") > 0).select("doc_id")
+    return E.filter_qrels(q.unionByName(q), corpus)
+
+
+@register("filter_qrels_capped", f"""
     SELECT toxic AS query_id, doc_id, quality AS grade FROM labels
     WHERE quality > 0 AND doc_id IN (SELECT doc_id FROM documents ORDER BY CAST(doc_id AS VARCHAR)
                                      LIMIT {_CAP_CORPUS})""")
-def q_filter_qrels(spark, sf):
+def q_filter_qrels_capped(spark, sf):
     q = tables.read_table(spark, sf, "labels").select(F.col("toxic").alias("query_id"), "doc_id",
                                                       F.col("quality").alias("grade"))
     corpus = E.cap_by_id(tables.read_table(spark, sf, "documents").select("doc_id"), "doc_id", _CAP_CORPUS)
@@ -388,8 +401,7 @@ def q_filter_qrels(spark, sf):
     WITH m AS ({_sql_metrics(_sql_vec_qrels(), _SQL_VEC_SIMS, _SQL_VEC_CORPUS)})
     SELECT 'embeddings' AS dataset,
            (SELECT value FROM m WHERE metric = 'mrr') AS mrr,
-           (SELECT CAST(count(DISTINCT a.vec_id) AS INTEGER) FROM embeddings a JOIN embeddings b
-              ON a.label = b.label AND a.vec_id <> b.vec_id) AS num_queries,
+           (SELECT CAST(count(DISTINCT query_id) AS INTEGER) FROM ({_sql_vec_qrels()})) AS num_queries,
            (SELECT count(*) FROM embeddings) AS corpus_size,
            (SELECT value FROM m WHERE metric = 'recall' AND k = 10) AS recall_at_10,
            (SELECT value FROM m WHERE metric = 'ndcg' AND k = 10) AS ndcg_at_10,
@@ -440,8 +452,7 @@ def eval_text(spark, sf):
             F.concat(F.lit("Q"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("t")),
         "t", TEXT_DIM)
     spec = search.Sparse("sv_idx", "sv_val", TEXT_DIM)
-    return E.metric_rows(corpus, "doc_id", spec, qs, "query_id", spec, passage_qrels(spark, sf), EVAL_KS,
-                         dim=TEXT_DIM)
+    return E.metric_rows(corpus, "doc_id", spec, qs, "query_id", spec, passage_qrels(spark, sf), EVAL_KS)
 
 
 def _sql_text_eval_sims() -> str:
@@ -766,7 +777,7 @@ def q_check_constraints(spark, sf):
     SELECT doc_id, CAST(chunk_index // 64 AS INTEGER) AS batch_id, count(*) AS n_texts
     FROM ({S.chunk_rows('documents', 'text', 7, 3, 'doc_id')}) GROUP BY ALL""")
 def q_plan_batches(spark, sf):
-    d = search.ensure_parallelism(tables.read_table(spark, sf, "documents").select("doc_id", "text"))
+    d = tables.read_table(spark, sf, "documents").select("doc_id", "text")
     ch = chunking.chunk_fixed(d, "text", 7, 3)
     return embed.plan_batches(ch).groupBy("doc_id", "batch_id").agg(F.count(F.lit(1)).alias("n_texts"))
 
@@ -796,29 +807,35 @@ def _built_index(spark, sf) -> DataFrame:
 
 
 @register("ingest", f"""
-    SELECT chunk_id, doc_id, chunk_index, CAST(hash(doc_id) % 16 AS INTEGER) IS NOT NULL AS has_bucket,
-           1536 AS n_dims FROM ({S.documents_chunks()})""")
+    WITH c AS ({S.documents_chunks()}), w AS ({S.sparse_weights('c', 'chunk_id', 'content', TEXT_DIM)})
+    SELECT c.chunk_id, c.doc_id, c.source_path, c.chunk_index, c.content, {TEXT_DIM} AS n_dims,
+           CAST(count(w.b) AS INTEGER) AS n_set, round(coalesce(sum(CAST(CAST(w.w AS FLOAT) AS DOUBLE) * (w.b + 1)), 0), 3) AS moment
+    FROM c LEFT JOIN w ON w.chunk_id = c.chunk_id GROUP BY ALL""")
 def q_ingest(spark, sf):
-    """D5 + A8: build, write partitioned by bucket, read back."""
+    """D5 + A8: build, write partitioned by bucket, read back: contents, and of every
+    vector its width, its non-zero elements and their sum weighted by position."""
     idx = _built_index(spark, sf)
-    return idx.select("chunk_id", "doc_id", "chunk_index", F.col("bucket").isNotNull().alias("has_bucket"),
-                      F.size("embedding").alias("n_dims"))
+    moment = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0),
+                         lambda a, x: a + x)
+    return idx.select("chunk_id", "doc_id", "source_path", "chunk_index", "content",
+                      F.size("embedding").alias("n_dims"),
+                      F.size(F.filter("embedding", lambda x: x != 0)).alias("n_set"),
+                      F.round(moment, 3).alias("moment"))
 
 
 def _stream_ingest(spark, sf) -> DataFrame:
-    """Two versioned landing batches through the streaming merge."""
-    from docsearch_spark.streaming.ingest import current_snapshot, start_incremental_ingest
+    """Three landing batches, each by a stream with a checkpoint of its own: all
+    documents, the changed ones, and last an older version of those, which loses."""
+    from docsearch_spark.streaming.ingest import current_index, start_incremental_ingest
     root = scratch_path(spark, "stream")
-    landing = f"{root}/landing"
-    v1 = tables.documents(spark, sf).select("doc_id", "source_path", "text", F.lit(1).cast("long").alias("version"))
-    v1.write.mode("append").parquet(landing)
-    q = start_incremental_ingest(spark, landing, f"{root}/index", f"{root}/ckpt", n_buckets=16)
-    q.awaitTermination()
-    v2 = reingest_batch(spark, sf).withColumn("version", F.lit(2).cast("long"))
-    v2.write.mode("append").parquet(landing)
-    q = start_incremental_ingest(spark, landing, f"{root}/index", f"{root}/ckpt", n_buckets=16)
-    q.awaitTermination()
-    return spark.read.parquet(current_snapshot(spark, f"{root}/index"))
+    docs = tables.documents(spark, sf).select("doc_id", "source_path", "text")
+    changed = reingest_batch(spark, sf)
+    stale = changed.select("doc_id", "source_path", F.lit("a text that came late").alias("text"))
+    for n, (batch, version) in enumerate(((docs, 2), (changed, 3), (stale, 1))):
+        batch.withColumn("version", F.lit(version).cast("long")).write.parquet(f"{root}/landing{n}")
+        start_incremental_ingest(spark, f"{root}/landing{n}", f"{root}/index", f"{root}/ckpt{n}",
+                                 n_buckets=16).awaitTermination()
+    return current_index(spark, f"{root}/index")
 
 
 @register("incremental_ingest", _SQL_REPLACED)
@@ -826,6 +843,15 @@ def q_incremental_ingest(spark, sf):
     return _stream_ingest(spark, sf).select("chunk_id", "doc_id", "source_path", "chunk_index", "content")
 
 
+@register("reingest", _SQL_REPLACED)
+def q_reingest(spark, sf):
+    """D2 on storage: the written index after a batch of changed documents."""
+    path = scratch_path(spark, "index")
+    IX.write_index(IX.build_index(tables.documents(spark, sf), n_buckets=16), path)
+    IX.reingest(spark, path, reingest_batch(spark, sf), scratch_path(spark, "stage"), n_buckets=16)
+    return spark.read.parquet(path).select("chunk_id", "doc_id", "source_path", "chunk_index", "content")
+
+
 # --------------------------------------------------------------------------
 # A5, C5, C6, R2, R4, R5
 
@@ -833,12 +859,14 @@ from docsearch_spark.sources import html as H  # noqa: E402
 
 
 def _sql_html(expr: str) -> str:
+    """The page's text by other means than ``html.py``: blocks, tags, and the
+    references that the pages hold."""
     t = f"coalesce({expr}, '')"
-    for pat in H.DROP_BLOCKS:
+    for pat in ("(?is)<(script|style)[^>]*>.*?</(script|style)[ ]*>", "(?s)<!--.*?-->", "<[^>]+>"):
         t = f"regexp_replace({t}, '{pat}', ' ', 'g')"
-    t = f"regexp_replace({t}, '{H.TAG}', ' ', 'g')"
-    for ent, ch in H.ENTITIES:
-        t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    for ref, code in (("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("nbsp", 160), ("copy", 169),
+                      ("middot", 183), ("amp", 38)):
+        t = f"replace({t}, '&{ref};', chr({code}))"
     return S.norm_ws(t)
 
 
@@ -905,18 +933,19 @@ def q_topk_single(spark, sf):
     return hits.select("vec_id", r6(F.col("dist")).alias("dist"), r6(F.col("score")).alias("score"))
 
 
-ANN_TABLES, ANN_BITS, ANN_K = 8, 3, 10
+ANN_TABLES, ANN_K = 24, 10
 
 
 def _sql_lsh_keys(src: str, id_col: str) -> str:
-    """(id, tbl, key) with plane signs from md5, like search.plane_signs."""
+    """(id, tbl, key) with plane signs from md5, and the bits that the row count asks for."""
     return f"""
-      SELECT id, tbl, CAST(sum(CASE WHEN proj >= 0 THEN 1 << bit ELSE 0 END) AS INTEGER) AS key FROM (
+      SELECT id, tbl, CAST(sum(CASE WHEN proj >= 0 THEN 1 << bit ELSE 0 END) AS BIGINT) AS key FROM (
         SELECT e.{id_col} AS id, p.tbl, p.bit,
-               sum(CAST(x AS DOUBLE) * CASE WHEN substr(md5(CAST(p.tbl * {ANN_BITS} + p.bit AS VARCHAR) || ':' ||
+               sum(CAST(x AS DOUBLE) * CASE WHEN substr(md5(CAST(p.tbl * {search.MAX_BITS} + p.bit AS VARCHAR) || ':' ||
                                         CAST(d - 1 AS VARCHAR)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END) AS proj
         FROM (SELECT {id_col}, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM {src}) e,
-             (SELECT t AS tbl, b AS bit FROM range(0, {ANN_TABLES}) r1(t), range(0, {ANN_BITS}) r2(b)) p
+             (SELECT t AS tbl, b AS bit FROM range(0, {ANN_TABLES}) r1(t), range(0, {search.MAX_BITS}) r2(b)
+              WHERE b < (SELECT length(bin(CAST(ceil(count(*) / {search.BUCKET_ROWS}.0) AS BIGINT))) FROM {src})) p
         GROUP BY ALL)
       GROUP BY id, tbl"""
 
@@ -934,7 +963,7 @@ _SQL_ANN = f"""
     SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= {ANN_K}""")
 def q_ann_topk(spark, sf):
     v = tables.vectors(spark, sf)
-    a = search.ann_topk(v, "vec_id", v, "vec_id", "embedding", 64, ANN_K, ANN_TABLES, ANN_BITS)
+    a = search.ann_topk(v, "vec_id", v, "vec_id", "embedding", VEC_DIM, ANN_K, ANN_TABLES)
     return a.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), r6(F.col("score")).alias("score"))
 
 
@@ -949,8 +978,8 @@ def q_ann_topk(spark, sf):
     WHERE ex.rank <= {ANN_K} GROUP BY ex.query_id""")
 def q_ann_recall(spark, sf):
     v = tables.vectors(spark, sf)
-    approx = search.ann_topk(v, "vec_id", v, "vec_id", "embedding", 64, ANN_K, ANN_TABLES, ANN_BITS)
-    exact = search.topk_scan(v, "vec_id", search.Dense("embedding"), v, "vec_id", search.Dense("embedding"),
+    approx = search.ann_topk(v, "vec_id", v, "vec_id", "embedding", VEC_DIM, ANN_K, ANN_TABLES)
+    exact = search.topk_scan(v, "vec_id", search.Dense("embedding", VEC_DIM), v, "vec_id", search.Dense("embedding", VEC_DIM),
                              k=ANN_K, mode="cosine")
     rec = search.ann_recall(exact, approx)
     return rec.select("query_id", r6(F.col("recall")).alias("recall"))
@@ -1013,6 +1042,7 @@ def q_load_eval_qrels(spark, sf):
 # Three report runs written as JSON and read back
 #   dense  : the vector evaluation (k = 1, 3, 5, 10), label given
 #   short  : the same run cut to k <= 5 except NDCG (so recall and NDCG axes differ)
+#   again  : the whole run again under the dataset's name: two runs with one label
 #   copy   : the same values, empty dataset name (label falls back to the file stem)
 
 
@@ -1020,37 +1050,40 @@ def _report_runs(spark, sf) -> DataFrame:
     rows, nq, cs = eval_vectors(spark, sf)
     root = scratch_path(spark, "reports")
     short = rows.filter(F.col("k").isNull() | (F.col("k") <= 5) | (F.col("metric") == "ndcg"))
-    for name, r, ds in (("dense", rows, "embeddings"), ("short", short, "embeddings"), ("copy", rows, "")):
+    for name, r, ds in (("dense", rows, "embeddings"), ("short", short, "embeddings"),
+                        ("again", rows, "embeddings"), ("copy", rows, "")):
         rep = E.metric_report(r, nq, cs, ds, "dense retrieval on the embeddings table")
         FS.write_report(rep.coalesce(1), f"{root}/{name}.json")
-    reps = FS.read_reports(spark, [f"{root}/{n}.json" for n in ("dense", "short", "copy")])
+    reps = FS.read_reports(spark, [f"{root}/{n}.json" for n in ("dense", "short", "again", "copy")])
     stem = F.regexp_extract("path", r"([^/]+)\.json/[^/]*$", 1)
     label = F.when(stem == "dense", F.lit("dense run"))
-    return reps.withColumn("run", P.run_label(label, F.col("dataset"), F.concat(stem, F.lit(".json"))))
+    return reps.withColumn("run", stem).withColumn(
+        "label", P.run_label(label, F.col("dataset"), F.concat(stem, F.lit(".json"))))
 
 
 def _sql_runs() -> str:
     m = _sql_metrics(_sql_vec_qrels(), _SQL_VEC_SIMS, _SQL_VEC_CORPUS)
     return f"""
       WITH m AS ({m}),
-      runs AS (SELECT 'dense run' AS run, * FROM m
-               UNION ALL SELECT 'embeddings', * FROM m WHERE k IS NULL OR k <= 5 OR metric = 'ndcg'
-               UNION ALL SELECT 'copy', * FROM m),
-      series AS (SELECT run, CASE metric WHEN 'recall' THEN 'recall_at_k' WHEN 'ndcg' THEN 'ndcg_at_k'
+      runs AS (SELECT 'dense' AS run, 'dense run' AS label, * FROM m
+               UNION ALL SELECT 'short', 'embeddings', * FROM m WHERE k IS NULL OR k <= 5 OR metric = 'ndcg'
+               UNION ALL SELECT 'again', 'embeddings', * FROM m
+               UNION ALL SELECT 'copy', 'copy', * FROM m),
+      series AS (SELECT run, label, CASE metric WHEN 'recall' THEN 'recall_at_k' WHEN 'ndcg' THEN 'ndcg_at_k'
                                          WHEN 'map' THEN 'map_at_k' ELSE 'precision_at_k' END AS metric_map,
                         CAST(k AS INTEGER) AS k, value FROM runs WHERE k IS NOT NULL)"""
 
 
-@register("explode_metrics", f"{_sql_runs()} SELECT run, metric_map, k, round(value, 6) AS value FROM series")
+@register("explode_metrics", f"{_sql_runs()} SELECT run, label, metric_map, k, round(value, 6) AS value FROM series")
 def q_explode_metrics(spark, sf):
-    s = P.explode_metrics(_report_runs(spark, sf))
-    return s.select("run", "metric_map", "k", r6(F.col("value")).alias("value"))
+    s = P.explode_metrics(_report_runs(spark, sf), label_col="label")
+    return s.select("run", "label", "metric_map", "k", r6(F.col("value")).alias("value"))
 
 
 @register("paired_series", f"""{_sql_runs()},
     ax AS (SELECT run, metric_map, list(k ORDER BY k) AS axis FROM series GROUP BY ALL),
     pairs AS (SELECT 'recall_at_k' AS l, 'ndcg_at_k' AS r UNION ALL SELECT 'map_at_k', 'precision_at_k')
-    SELECT a.run, p.l AS left_map, CAST(a.k AS INTEGER) AS k, round(a.value, 6) AS left_value,
+    SELECT a.run, a.label, p.l AS left_map, CAST(a.k AS INTEGER) AS k, round(a.value, 6) AS left_value,
            round(b.value, 6) AS right_value
     FROM pairs p JOIN series a ON a.metric_map = p.l
     JOIN series b ON b.metric_map = p.r AND b.run = a.run AND b.k = a.k
@@ -1058,10 +1091,10 @@ def q_explode_metrics(spark, sf):
     JOIN ax ra ON ra.run = a.run AND ra.metric_map = p.r
     WHERE la.axis = ra.axis""")
 def q_paired_series(spark, sf):
-    s = P.explode_metrics(_report_runs(spark, sf))
+    s = P.explode_metrics(_report_runs(spark, sf), label_col="label")
     out = None
     for left, right in (("recall_at_k", "ndcg_at_k"), ("map_at_k", "precision_at_k")):
-        p = P.paired_series(s, left, right).select("run", F.lit(left).alias("left_map"), "k",
+        p = P.paired_series(s, left, right).select("run", "label", F.lit(left).alias("left_map"), "k",
                                                    r6(F.col("left_value")).alias("left_value"),
                                                    r6(F.col("right_value")).alias("right_value"))
         out = p if out is None else out.unionByName(p)
@@ -1070,22 +1103,40 @@ def q_paired_series(spark, sf):
 
 @register("compare_runs", f"""{_sql_runs()},
     ax AS (SELECT run, metric_map, list(k ORDER BY k) AS axis FROM series GROUP BY ALL),
-    a0 AS (SELECT axis FROM ax WHERE run = 'dense run' AND metric_map = 'recall_at_k')
-    SELECT s.metric_map, s.k, s.run, round(s.value, 6) AS value
+    a0 AS (SELECT axis FROM ax WHERE run = 'dense' AND metric_map = 'recall_at_k')
+    SELECT s.metric_map, s.k, s.run, s.label, round(s.value, 6) AS value
     FROM series s JOIN ax ON ax.run = s.run AND ax.metric_map = s.metric_map
     WHERE s.metric_map IN ('recall_at_k', 'ndcg_at_k') AND ax.axis = (SELECT axis FROM a0)""")
 def q_compare_runs(spark, sf):
+    c = P.compare_runs(*_series_and_order(spark, sf))
+    return c.select("metric_map", "k", "run", "label", r6(F.col("value")).alias("value"))
+
+
+RUNS = ("dense", "short", "again", "copy")
+
+
+def _series_and_order(spark, sf):
     reps = _report_runs(spark, sf)
-    order = reps.select("run", F.when(F.col("run") == "dense run", 0)
-                        .when(F.col("run") == "embeddings", 1).otherwise(2).alias("ord"))
-    c = P.compare_runs(P.explode_metrics(reps), order)
-    return c.select("metric_map", "k", "run", r6(F.col("value")).alias("value"))
+    order = reps.select("run", F.array_position(F.array(*[F.lit(r) for r in RUNS]), F.col("run")).alias("ord"))
+    return P.explode_metrics(reps, label_col="label"), order
+
+
+@register("compare_runs_wide", f"""
+    WITH c AS ({ORACLE['compare_runs']})
+    SELECT metric_map, k, max(value) FILTER (run = 'dense') AS dense, max(value) FILTER (run = 'short') AS short,
+           max(value) FILTER (run = 'again') AS again, max(value) FILTER (run = 'copy') AS copy
+    FROM c GROUP BY metric_map, k""")
+def q_compare_runs_wide(spark, sf):
+    """P3 as a table: a column per run."""
+    w = P.compare_runs_wide(*_series_and_order(spark, sf), list(RUNS))
+    return w.select("metric_map", "k", *[r6(F.col(r)).alias(r) for r in RUNS])
 
 
-@register("run_labels", """SELECT * FROM (VALUES ('dense run', 'embeddings'), ('embeddings', 'embeddings'),
-                                               ('copy', '')) t(run, dataset)""")
+@register("run_labels", """
+    SELECT * FROM (VALUES ('dense', 'dense run', 'embeddings'), ('short', 'embeddings', 'embeddings'),
+                          ('again', 'embeddings', 'embeddings'), ('copy', 'copy', '')) t(run, label, dataset)""")
 def q_run_labels(spark, sf):
-    return _report_runs(spark, sf).select("run", "dataset")
+    return _report_runs(spark, sf).select("run", "label", "dataset")
 
 
 @register("write_report", f"""
@@ -1127,12 +1178,18 @@ def q_route_by_type(spark, sf):
             .unionByName(rejected.select(doc, F.lit("rejected").alias("route"))))
 
 
-@register("read_reports", """SELECT * FROM (VALUES ('dense run', 3), ('embeddings', 3), ('copy', 3)) t(run, n_maps)""")
+@register("read_reports", f"""{_sql_runs()}
+    SELECT run, CAST(count(DISTINCT metric_map) AS INTEGER) AS n_maps, count(*) AS n_entries,
+           (SELECT round(value, 6) FROM m WHERE metric = 'mrr') AS mrr,
+           (SELECT count(*) FROM embeddings) AS corpus_size
+    FROM series GROUP BY run""")
 def q_read_reports(spark, sf):
     """The saved report files read back with the report schema."""
     r = _report_runs(spark, sf)
-    n = sum((F.size(c) > 0).cast("int") for c in ("recall_at_k", "ndcg_at_k", "map_at_k"))
-    return r.select("run", n.alias("n_maps"))
+    maps = ("recall_at_k", "ndcg_at_k", "map_at_k", "precision_at_k")
+    return r.select("run", sum((F.size(c) > 0).cast("int") for c in maps).alias("n_maps"),
+                    sum(F.size(c) for c in maps).cast("bigint").alias("n_entries"),
+                    r6(F.col("mrr")).alias("mrr"), F.col("extra")["corpus_size"].cast("bigint").alias("corpus_size"))
 
 
 @register("write_index", f"""
@@ -1144,15 +1201,17 @@ def q_write_index(spark, sf):
 
 
 @register("drop_empty_documents", f"""
-    WITH r AS ({_SQL_REINGEST}),
+    WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(9) || chr(10) WHEN doc_id % 7 = 1 THEN NULL
+                                   ELSE text END AS text FROM documents),
     c AS ({S.chunk_rows('r', 'text', 1200, 200, 'doc_id')})
     SELECT r.doc_id, CAST(count(c.doc_id) AS BIGINT) AS n_chunks, length({S.norm_ws('r.text')}) = 0 AS empty
     FROM r LEFT JOIN c ON c.doc_id = r.doc_id GROUP BY r.doc_id, r.text""")
 def q_drop_empty_documents(spark, sf):
-    """B2: re-ingested documents, blank ones yield no chunks but are still listed."""
-    r = reingest_batch(spark, sf)
-    c = chunking.chunk_fixed(r.select("doc_id", "text"), "text").groupBy("doc_id") \
-        .agg(F.count(F.lit(1)).alias("n_chunks"))
+    """B2: all documents, some blank or null: those yield no chunks but are still listed."""
+    m = F.pmod("doc_id", F.lit(7))
+    r = tables.read_table(spark, sf, "documents").select("doc_id", F.when(m == 0, F.lit(" \t\n"))
+                                                         .when(m != 1, F.col("text")).alias("text"))
+    c = chunking.chunk_fixed(r, "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     return r.select("doc_id", (F.length(normalize_ws(or_empty("text"))) == 0).alias("empty")) \
         .join(c, "doc_id", "left") \
         .select("doc_id", F.coalesce("n_chunks", F.lit(0)).cast("bigint").alias("n_chunks"), "empty")
@@ -1170,10 +1229,10 @@ def q_score_from_distance(spark, sf):
     WITH c AS ({S.documents_chunks()}), w AS ({S.sparse_weights('c', 'chunk_id', 'content', TEXT_DIM)})
     SELECT chunk_id, b AS bucket, round(CAST(CAST(w AS FLOAT) AS DOUBLE), 6) AS weight FROM w""")
 def q_restore_order(spark, sf):
-    """C1/C3 through the provider stage (mapInArrow, requests of 64, vectors put
-    back by position), compared with the native embedder's output."""
+    """C1/C3 through the provider stage (mapInArrow, requests of 64) with a provider
+    that answers out of order, compared with the native embedder's output."""
     ch = document_chunks(spark, sf)
-    e = embed.embed_with_provider(ch, "content", lambda: embed.HashedBowProvider(TEXT_DIM),
+    e = embed.embed_with_provider(ch, "content", lambda: embed.OutOfOrderProvider(TEXT_DIM),
                                   out_col="embedding")
     return (e.select("chunk_id", F.posexplode("embedding").alias("bucket", "w"))
             .filter(F.col("w") != 0)
@@ -1197,7 +1256,7 @@ def q_empty_context_fallback(spark, sf):
     idx = embed.embed_sparse(IX.chunk_documents(docs), "content", TEXT_DIM)
     q = question_vectors(spark, sf)
     spec = search.Sparse("sv_idx", "sv_val", TEXT_DIM)
-    hits = search.topk_scan(idx, "chunk_id", spec, q, "query_id", spec, k=5, dim=TEXT_DIM)
+    hits = search.topk_scan(idx, "chunk_id", spec, q, "query_id", spec, k=5)
     hits = (hits.withColumnRenamed("doc_id", "chunk_id")
             .join(idx.select("chunk_id", "doc_id", "source_path", "chunk_index", "content"), "chunk_id")
             .withColumn("score", F.col("value")))
@@ -1224,7 +1283,7 @@ def q_cap_queries(spark, sf):
 
 def _eval_topk(spark, sf, exclude: bool) -> DataFrame:
     v = tables.vectors(spark, sf)
-    h = search.topk_scan(v, "vec_id", search.Dense("embedding"), v, "vec_id", search.Dense("embedding"),
+    h = search.topk_scan(v, "vec_id", search.Dense("embedding", VEC_DIM), v, "vec_id", search.Dense("embedding", VEC_DIM),
                          k=10, mode="cosine_eps", exclude_same_id=exclude)
     return h.select("query_id", "doc_id", "rank", r6(F.col("value")).alias("sim"))
 
@@ -1269,7 +1328,7 @@ def q_empty_report(spark, sf):
     v = tables.vectors(spark, sf)
     lab = tables.read_table(spark, sf, "labels").select(F.col("toxic").alias("query_id"), "doc_id",
                                                         (F.col("quality") - F.lit(1)).alias("grade"))
-    spec = search.Dense("embedding")
+    spec = search.Dense("embedding", VEC_DIM)
     rows, nq, cs = E.metric_rows(v, "vec_id", spec, v.withColumnRenamed("vec_id", "query_id"), "query_id",
                                  spec, lab, EVAL_KS)
     rep = E.metric_report(rows, nq, cs, "labels", "unused")
@@ -1296,7 +1355,7 @@ def q_full_ranking(spark, sf):
     is never materialised."""
     v = tables.vectors(spark, sf)
     qrels = vec_qrels(spark, sf)
-    spec = search.Dense("embedding")
+    spec = search.Dense("embedding", VEC_DIM)
     q = v.select(F.col("vec_id").alias("query_id"), E._unit_eps(spec, "q_"))
     d = v.select(F.col("vec_id").alias("doc_id"), E._unit_eps(spec, "d_"))
     pairs = qrels.join(q, "query_id").join(d, "doc_id").select(
@@ -1304,7 +1363,7 @@ def q_full_ranking(spark, sf):
     targets = (pairs.join(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
                .select(F.concat_ws(":", "query_id", "doc_id").alias("pair"), "embedding", "sim", "doc_id"))
     ranks = search.rank_in_full_ranking(v, "vec_id", spec, targets, "pair", spec, "sim", "doc_id",
-                                        mode="cosine_eps", dim=64)
+                                        mode="cosine_eps")
     parts = F.split("query_id", ":")
     return ranks.select(parts[0].cast("bigint").alias("query_id"), parts[1].cast("bigint").alias("doc_id"),
                         F.col("rank").cast("bigint").alias("rank"))

@@ -16,16 +16,8 @@ TOP_K_MIN = 1
 TOP_K_MAX = 50
 K_VALUES = (1, 3, 5, 10)
 NORM_EPS = 1e-12
-SUPPORTED_SUFFIXES = (".pdf", ".txt", ".md", ".markdown")
 ALLOWED_DATASETS = ("scifact", "fiqa")
 
-DOCUMENTS = T.StructType([
-    T.StructField("doc_id", T.StringType(), False),
-    T.StructField("source_path", T.StringType(), False),
-    T.StructField("title", T.StringType(), True),
-    T.StructField("text", T.StringType(), True),
-])
-
 CHUNKS = T.StructType([
     T.StructField("chunk_id", T.StringType(), False),
     T.StructField("doc_id", T.StringType(), False),
@@ -40,18 +32,6 @@ INDEX = T.StructType(CHUNKS.fields + [
     T.StructField("bucket", T.IntegerType(), False),
 ])
 
-QUESTIONS = T.StructType([
-    T.StructField("query_id", T.StringType(), False),
-    T.StructField("question", T.StringType(), True),
-    T.StructField("top_k", T.IntegerType(), True),
-])
-
-QRELS = T.StructType([
-    T.StructField("query_id", T.StringType(), False),
-    T.StructField("doc_id", T.StringType(), False),
-    T.StructField("grade", T.IntegerType(), False),
-])
-
 CORPUS = T.StructType([
     T.StructField("_id", T.StringType(), True),
     T.StructField("title", T.StringType(), True),
@@ -80,25 +60,3 @@ REPORT = T.StructType([
     T.StructField("notes", T.StringType(), True),
     T.StructField("extra", T.MapType(T.StringType(), T.StringType()), True),
 ])
-
-METRICS = T.StructType([
-    T.StructField("dataset", T.StringType(), True),
-    T.StructField("metric", T.StringType(), False),
-    T.StructField("k", T.IntegerType(), True),
-    T.StructField("value", T.DoubleType(), True),
-])
-
-CITATION = T.StructType([
-    T.StructField("chunk_id", T.StringType()),
-    T.StructField("doc_id", T.StringType()),
-    T.StructField("source_path", T.StringType()),
-])
-
-RETRIEVED = T.StructType([
-    T.StructField("chunk_id", T.StringType()),
-    T.StructField("doc_id", T.StringType()),
-    T.StructField("source_path", T.StringType()),
-    T.StructField("chunk_index", T.IntegerType()),
-    T.StructField("content", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-])

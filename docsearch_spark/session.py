@@ -6,32 +6,42 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: Read option for local runs: spread tables of one small file over this many tasks.
+SPREAD = "spark.docsearch.read.spread"
 
 
 def get_spark(app: str = "docsearch_spark", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
-    """Session tuned for DataFrame work.
+    """A session; whatever the cluster or spark-submit has set is left as it is.
 
-    On a cluster the master and most settings come from spark-submit; the
-    values here only apply when the session is created by us (tests, bench).
+    Only where nothing names a master (tests, bench on one machine) a local one
+    is used, with settings that fit it: shuffle partitions, driver memory, and
+    ``spark.docsearch.read.spread`` so that a single small file keeps all cores busy.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.appName(app)
-        .master(master or os.environ.get("SPARK_MASTER", f"local[{cpus}]"))
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions",
-                str(shuffle_partitions or int(cpus) * 2))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
-    )
+    from pyspark import SparkConf
+    set_ = SparkConf()
+    builder = SparkSession.builder.appName(app)
+
+    def default(key: str, value: str) -> None:
+        nonlocal builder
+        if not set_.contains(key):
+            builder = builder.config(key, value)
+
+    named = master or set_.get("spark.master", None) or os.environ.get("SPARK_MASTER")
+    if not named:
+        cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 1))
+        named = f"local[{cpus}]"
+        default("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
+        default("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "4g"))
+        default("spark.ui.showConsoleProgress", "false")
+        default(SPREAD, cpus)
+    default("spark.master", named)
+    default("spark.ui.enabled", "false")
+    default("spark.sql.session.timeZone", "UTC")
+    default("spark.sql.sources.partitionOverwriteMode", "dynamic")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -41,13 +51,16 @@ def get_spark(app: str = "docsearch_spark", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) do
-    we create a private folder under the system temp directory.
+    The cluster's setting always wins, and a cluster must have one: a folder of
+    one machine would be invisible to the others. Only a local master gets a
+    private folder under the system temp directory.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="docsearch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     spark.sparkContext.setCheckpointDir(conf)
@@ -55,6 +68,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path inside the shared checkpoint folder (never machine-local)."""
+    """A fresh path inside the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: a stored
+    table that several jobs read, survives lost executors, and has a known size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch_spark.functions.text import file_suffix
-from docsearch_spark.schemas import CORPUS, QRELS_TSV, QUERIES_JSON, REPORT
+from docsearch_spark.schemas import ALLOWED_DATASETS, CORPUS, QRELS_TSV, QUERIES_JSON, REPORT
 
 TEXT_SUFFIXES = (".txt", ".md", ".markdown")
 PDF_SUFFIX = ".pdf"
@@ -25,6 +25,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _is_file(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -33,7 +47,8 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 def scan_documents(spark: SparkSession, root: str) -> DataFrame:
-    """A1: supported files under ``root`` (recursive), in path order.
+    """A1: supported files under ``root`` (recursive). A table has no order; a
+    caller that lists files sorts by path.
 
     Suffixes are compared lower-cased ({.pdf,.txt,.md,.markdown}); unsupported
     files in a directory are skipped; a single unsupported file is an error; a
@@ -47,9 +62,16 @@ def scan_documents(spark: SparkSession, root: str) -> DataFrame:
         name = root.rsplit("/", 1)[-1].lower()
         if not any(name.endswith(s) for s in (PDF_SUFFIX,) + TEXT_SUFFIXES):
             raise ValueError(f"Unsupported file: {root}")
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-          .filter(F.lower(F.col("path")).rlike(SUFFIX_PATTERN)))
-    return df.orderBy("path")
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+            .filter(F.lower(F.col("path")).rlike(SUFFIX_PATTERN)))
+
+
+def read_documents(spark: SparkSession, root: str) -> DataFrame:
+    """A1, A2, A4: the text files under ``root`` as (doc_id, source_path, text).
+
+    The path names a document; its id is a hash of the path, the same at every scan."""
+    text, _, _ = route_by_type(scan_documents(spark, root))
+    return text.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("source_path"), "text")
 
 
 def decode_text(content) -> F.Column:
@@ -79,9 +101,21 @@ def route_by_type(files: DataFrame, strict: bool = False):
     return text, pdf, rejected
 
 
-def load_eval_dataset(spark: SparkSession, folder: str, split: str = "test"):
+def check_dataset(name: str) -> str:
+    """Lower-cased, trimmed, and one of the allowed names."""
+    ds = name.lower().strip()
+    if ds not in ALLOWED_DATASETS:
+        raise ValueError(f"dataset must be one of {sorted(ALLOWED_DATASETS)}, got {name!r}")
+    return ds
+
+
+def load_eval_dataset(spark: SparkSession, folder: str, split: str = "test", dataset: str | None = None):
     """(corpus, queries, qrels) from a BEIR-layout folder:
-    corpus.jsonl, queries.jsonl, qrels/<split>.tsv (header, tab separated)."""
+    corpus.jsonl, queries.jsonl, qrels/<split>.tsv (header, tab separated).
+
+    A ``dataset`` name must be one of the allowed ones (``check_dataset``)."""
+    if dataset is not None:
+        check_dataset(dataset)
     base = folder.rstrip("/")
     corpus = (spark.read.schema(CORPUS).json(f"{base}/corpus.jsonl")
               .select(F.col("_id").alias("doc_id"), "title", "text"))

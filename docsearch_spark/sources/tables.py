@@ -6,24 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch_spark.schemas import TOP_K_DEFAULT
+from docsearch_spark.session import SPREAD
 
 TABLES = ("documents", "embeddings", "benchmark", "labels", "conversations",
           "pages")
 
 
-# Tables whose rows carry heavy per-row work (long texts, vectors): when one
-# is read as fewer partitions than cores (a single small file), it is spread
-# round-robin. Real tables come in many files and pass through unchanged.
+# Tables whose rows carry heavy per-row work (long texts, vectors).
 HEAVY = ("documents", "pages", "embeddings")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One parquet table; Catalyst prunes columns and pushes filters into the scan."""
+    """One parquet table; Catalyst prunes columns and pushes filters into the scan.
+
+    The scan's own splits are kept. Only where ``spark.docsearch.read.spread`` is set
+    (one machine, tables of one small row group) heavy tables are spread.
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in HEAVY:
-        from docsearch_spark.operators.search import ensure_parallelism
-        df = ensure_parallelism(df)
-    return df
+    spread = int(spark.conf.get(SPREAD, "0"))
+    return df.repartition(spread) if spread > 1 and name in HEAVY else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 New document versions land as Parquet files (a new file name per version:
 the file source does not re-deliver a file rewritten in place, trap T4).
-Each micro-batch keeps the newest version per document, chunks and embeds it,
-and replaces those documents in the current index snapshot:
-
-* snapshots are immutable directories ``<root>/snap-<batch_id>``;
-* the pointer to the current snapshot is a small file written *after* the
-  snapshot, keyed by batch id, so a replayed batch (at-least-once
-  ``foreachBatch``, trap T5) recomputes the same snapshot from the same
-  parent and overwrites it with identical rows.
+Each micro-batch keeps the newest version per document, drops those that the
+index already holds in the same or a newer version, chunks and embeds the rest,
+and rewrites only the buckets they fall into:
+
+* ``<root>/data/commit=<n>/bucket=<b>``: immutable bucket directories;
+* ``<root>/manifest/<n>``: for every bucket the directory that is live since
+  commit n, written last. A reader follows the highest complete manifest, so it
+  never sees a half-written commit;
+* a replayed batch (at-least-once ``foreachBatch``, trap T5) finds its versions
+  in the index and commits nothing; commits are numbered by the manifests, so a
+  stream that starts with a fresh checkpoint goes on where the index stands;
+* directories that neither of the last two manifests names are removed.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from pyspark.sql import types as T
 
 from docsearch_spark.operators import index as I
 from docsearch_spark.schemas import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE
+from docsearch_spark.session import materialize
+from docsearch_spark.sources.files import delete_path, list_names
 
 LANDING_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType(), True),
@@ -27,45 +33,76 @@ LANDING_SCHEMA = T.StructType([
     T.StructField("text", T.StringType(), True),
     T.StructField("version", T.LongType(), True),
 ])
+MANIFEST = "bucket INT, path STRING"
+
+
+def _commits(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete manifests, ascending."""
+    folder = f"{root.rstrip('/')}/manifest"
+    return sorted(int(n) for n in list_names(spark, folder)
+                  if n.isdigit() and "_SUCCESS" in list_names(spark, f"{folder}/{n}"))
+
+
+def _live(spark: SparkSession, root: str, commit: int) -> dict[int, str]:
+    """Bucket -> live directory, at most one entry a bucket."""
+    rows = spark.read.schema(MANIFEST).json(f"{root.rstrip('/')}/manifest/{commit}").collect()
+    return {r["bucket"]: r["path"] for r in rows}
+
 
+def current_index(spark: SparkSession, root: str) -> DataFrame | None:
+    """The index as of the newest commit, or None before the first one."""
+    commits = _commits(spark, root)
+    paths = sorted(_live(spark, root, commits[-1]).values()) if commits else []
+    return spark.read.parquet(*paths) if paths else None
 
-def _pointer_path(root: str) -> str:
-    return f"{root.rstrip('/')}/pointer"  # no leading '_': Spark skips such paths
-
-
-def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    """Path of the newest committed snapshot, or None before the first batch."""
-    from docsearch_spark.sources.files import _exists
-    if not _exists(spark, _pointer_path(root)):
-        return None
-    p = spark.read.json(_pointer_path(root))
-    if "batch_id" not in p.columns:
-        return None
-    row = p.orderBy(F.col("batch_id").desc()).select("path").first()
-    return row["path"] if row else None
-
-
-def _merge_batch(root: str, size: int, overlap: int, dim: int, n_buckets: int):
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = I.newest_version(batch).drop("version")
-        chunks = I.build_index(newest, size, overlap, dim, n_buckets, dense=False)
-        prev = current_snapshot(spark, root)
-        # parent of this batch: the snapshot of the latest *earlier* batch (replay-safe)
-        if prev is not None and prev.endswith(f"snap-{batch_id}"):
-            ptr = spark.read.json(_pointer_path(root)).filter(F.col("batch_id") < batch_id)
-            row = ptr.orderBy(F.col("batch_id").desc()).select("path").first()
-            prev = row["path"] if row else None
-        if prev is None:
-            merged = chunks
-        else:
-            old = spark.read.parquet(prev)
-            merged = I.replace_by_document(old, chunks.select(*old.columns))
-        out = f"{root.rstrip('/')}/snap-{batch_id}"
-        merged.write.mode("overwrite").parquet(out)
-        spark.createDataFrame([(batch_id, out)], "batch_id LONG, path STRING") \
-            .write.mode("append").json(_pointer_path(root))
-    return run
+
+def merge_batch(batch: DataFrame, root: str, size: int, overlap: int, dim: int, n_buckets: int,
+                dense: bool = True) -> list[int]:
+    """Merge (doc_id, source_path, text, version) rows; the buckets rewritten."""
+    spark = batch.sparkSession
+    root = root.rstrip("/")
+    newest = materialize(I.newest_version(batch).withColumn("__bucket", I.doc_bucket("doc_id", n_buckets)),
+                         "landed")
+    commits = _commits(spark, root)
+    live = _live(spark, root, commits[-1]) if commits else {}
+    touched = [r[0] for r in newest.select("__bucket").distinct().collect()]  # at most n_buckets
+    paths = [live[b] for b in touched if b in live]
+    old = spark.read.parquet(*paths) if paths else None
+    if old is not None:
+        held = old.groupBy("doc_id").agg(F.max("version").alias("held"))
+        newest = (newest.join(held, "doc_id", "left")
+                  .filter(F.col("held").isNull() | (F.col("version") > F.col("held"))).drop("held"))
+    chunks = I.build_index(newest.drop("version", "__bucket"), size, overlap, dim, n_buckets, dense)
+    chunks = materialize(chunks.join(newest.select("doc_id", "version"), "doc_id"), "chunks")
+    changed = sorted(r[0] for r in chunks.select("bucket").distinct().collect())
+    if not changed:
+        return []
+    merged = chunks
+    if old is not None:
+        carried = old.withColumn("bucket", I.doc_bucket("doc_id", n_buckets)).filter(F.col("bucket").isin(changed))
+        merged = I.replace_by_document(carried.select(*chunks.columns), chunks)
+    number = commits[-1] + 1 if commits else 0
+    data = f"{root}/data/commit={number}"
+    I.write_index(merged, data)
+    live.update({b: f"{data}/bucket={b}" for b in changed})
+    spark.createDataFrame(sorted(live.items()), MANIFEST).coalesce(1) \
+        .write.mode("overwrite").json(f"{root}/manifest/{number}")
+    _clean(spark, root)
+    return changed
+
+
+def _clean(spark: SparkSession, root: str) -> None:
+    """Remove bucket directories that the last two manifests do not name."""
+    commits = _commits(spark, root)
+    named = {p for c in commits[-2:] for p in _live(spark, root, c).values()}
+    for commit in list_names(spark, f"{root}/data"):
+        for bucket in list_names(spark, f"{root}/data/{commit}"):
+            path = f"{root}/data/{commit}/{bucket}"
+            if bucket.startswith("bucket=") and path not in named \
+                    and int(commit.split("=")[1]) <= commits[-1]:
+                delete_path(spark, path)
+    for c in commits[:-2]:
+        delete_path(spark, f"{root}/manifest/{c}")
 
 
 def start_incremental_ingest(spark: SparkSession, landing_dir: str, index_root: str, checkpoint: str,
@@ -74,7 +111,10 @@ def start_incremental_ingest(spark: SparkSession, landing_dir: str, index_root:
                              available_now: bool = True):
     """Start the stream; with ``available_now`` it processes what has landed and stops."""
     stream = spark.readStream.schema(LANDING_SCHEMA).parquet(landing_dir)
-    w = (stream.writeStream.foreachBatch(_merge_batch(index_root, size, overlap, dim, n_buckets))
-         .option("checkpointLocation", checkpoint))
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_batch(batch, index_root, size, overlap, dim, n_buckets)
+
+    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

@@ -22,7 +22,7 @@ def golden_rows(spark):
              .join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id")))
              .select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("doc_id"),
                      F.lit(1).alias("grade")))
-    spec = search.Dense("embedding")
+    spec = search.Dense("embedding", 64)
     rows, nq, cs = E.metric_rows(v, "vec_id", spec, v, "vec_id", spec, qrels)
     return {(r["metric"], r["k"]): r["value"] for r in rows.collect()}, nq.first()[0], cs.first()[0]
 
@@ -50,7 +50,7 @@ def test_identities(golden_rows):
 def test_empty_report(spark):
     v = spark.read.parquet(f"{SF01}/embeddings.parquet")
     qrels = spark.createDataFrame([(1, 2, 0), (3, 4, -1)], "query_id long, doc_id long, grade int")
-    spec = search.Dense("embedding")
+    spec = search.Dense("embedding", 64)
     rows, nq, cs = E.metric_rows(v, "vec_id", spec, v, "vec_id", spec, qrels)
     report = E.metric_report(rows, nq, cs, "x", "n")
     rep = report.first()
@@ -67,7 +67,7 @@ def test_graded_ndcg_by_hand(spark):
                                 "id long, v array<double>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "qid long, v array<double>")
     qrels = spark.createDataFrame([(9, 2, 3), (9, 4, 1), (9, 3, 0)], "query_id long, doc_id long, grade int")
-    rows, _, _ = E.metric_rows(idx, "id", search.Dense("v"), q, "qid", search.Dense("v"), qrels, k_values=(3,))
+    rows, _, _ = E.metric_rows(idx, "id", search.Dense("v", 2), q, "qid", search.Dense("v", 2), qrels, k_values=(3,))
     vals = {(r["metric"], r["k"]): r["value"] for r in rows.collect()}
     import math
     dcg = 3 / math.log2(3)
@@ -153,8 +153,40 @@ def test_metrics_against_brute_force(spark):
     qs = spark.createDataFrame(list(queries.items()), "qid long, v array<double>")
     qr = spark.createDataFrame(qrels, "query_id long, doc_id long, grade int")
     ks = (1, 2, 5, 10)
-    rows, _, _ = E.metric_rows(idx, "id", search.Dense("v"), qs, "qid", search.Dense("v"), qr, k_values=ks)
+    rows, _, _ = E.metric_rows(idx, "id", search.Dense("v", 4), qs, "qid", search.Dense("v", 4), qr, k_values=ks)
     got = {(r["metric"], r["k"]): r["value"] for r in rows.collect()}
     want = _brute_metrics(docs, queries, qrels, ks)
     for key, val in want.items():
         assert got[key] == pytest.approx(val, abs=1e-9), key
+
+
+def _one_query(spark, qrels, extra=()):
+    ds = [(f"d{i}", [1.0, 0.1 * i, 0.0]) for i in range(8)] + list(extra)
+    idx = spark.createDataFrame(ds, "id string, v array<double>")
+    q = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "qid string, v array<double>")
+    qr = spark.createDataFrame(qrels, "query_id string, doc_id string, grade int")
+    rows, _, _ = E.metric_rows(idx, "id", search.Dense("v", 3), q, "qid", search.Dense("v", 3), qr, k_values=(10,))
+    return {(r["metric"], r["k"]): r["value"] for r in rows.collect()}
+
+
+def test_a_judgement_given_twice_counts_once(spark):
+    once = _one_query(spark, [("q", "d0", 1), ("q", "d3", 2)])
+    assert _one_query(spark, [("q", "d0", 1), ("q", "d3", 2), ("q", "d0", 1), ("q", "d3", 1)]) == once
+    assert once["map", 10] <= 1.0 and once["ndcg", 10] <= 1.0
+
+
+def test_a_judged_document_without_a_vector_does_not_lead(spark):
+    judged = [("q", "d5", 1), ("q", "x", 1), ("q", "w", 1)]
+    got = _one_query(spark, judged, [("x", None), ("w", [1.0, 2.0])])
+    assert abs(got["mrr", None] - 1 / 6) < 1e-9
+
+
+def test_cap_of_two_million_wide_rows_equals_sorted_ids(spark):
+    n, cap = 2_000_000, 1_000_000
+    wide = spark.range(n).select("id", F.array(*[F.col("id").cast("double")] * 4).alias("v"))
+    got = E.cap_by_id(wide, "id", cap)
+    want = sorted(map(str, range(n)))[:cap]
+    r = got.agg(F.count("*").alias("n"), F.max(F.col("id").cast("string")).alias("last"),
+                F.sum("id").alias("s"), F.sum(F.element_at("v", 4)).alias("v")).first()
+    assert (r["n"], r["last"]) == (cap, want[-1])
+    assert r["s"] == sum(map(int, want)) == int(r["v"])

@@ -115,20 +115,81 @@ def test_write_and_reingest(spark, tmpdir_path):
                   .collect()) == before
 
 
-def test_streaming_ingest_replay_safe(spark, tmpdir_path):
-    from docsearch_spark.streaming.ingest import current_snapshot, start_incremental_ingest
-    landing = os.path.join(tmpdir_path, "landing")
-    v1 = spark.createDataFrame([(1, "/1", "one", 1), (2, "/2", "two", 1)],
-                               "doc_id long, source_path string, text string, version long")
-    v1.write.parquet(landing)
-    root, ck = os.path.join(tmpdir_path, "idx"), os.path.join(tmpdir_path, "ck")
-    start_incremental_ingest(spark, landing, root, ck, n_buckets=2).awaitTermination()
-    v2 = spark.createDataFrame([(2, "/2", "two old", 2), (2, "/2", "two new", 3)],
-                               "doc_id long, source_path string, text string, version long")
-    v2.write.mode("append").parquet(landing)
-    start_incremental_ingest(spark, landing, root, ck, n_buckets=2).awaitTermination()
-    snap = spark.read.parquet(current_snapshot(spark, root))
-    assert sorted((r["doc_id"], r["content"]) for r in snap.collect()) == [(1, "one"), (2, "two new")]
+def test_streaming_ingest_keeps_newest_and_touches_few_buckets(spark, tmpdir_path):
+    from docsearch_spark.sources.files import list_names
+    from docsearch_spark.streaming import ingest as D
+
+    def land(n, rows):
+        spark.createDataFrame(rows, "doc_id long, source_path string, text string, version long") \
+            .write.parquet(os.path.join(tmpdir_path, f"landing{n}"))
+        # a checkpoint of its own each time: the stream starts anew, the index goes on
+        D.start_incremental_ingest(spark, os.path.join(tmpdir_path, f"landing{n}"), root,
+                                   os.path.join(tmpdir_path, f"ck{n}"), n_buckets=8, dim=8).awaitTermination()
+        return sorted((r["doc_id"], r["content"]) for r in D.current_index(spark, root).collect())
+
+    root = os.path.join(tmpdir_path, "idx")
+    assert D.current_index(spark, root) is None
+    first = [(i, f"/{i}", f"text {i}", 5) for i in range(40)]
+    land(0, first)
+    old = D._live(spark, root, 0)
+    want = dict((i, f"text {i}") for i in range(40))
+    want[2] = "two new"
+    assert land(1, [(2, "/2", "two mid", 6), (2, "/2", "two new", 7)]) == sorted(want.items())
+    new = D._live(spark, root, 1)
+    assert sum(old[b] != new[b] for b in new) == 1  # one document, one bucket
+    assert land(2, [(2, "/2", "two old", 6)]) == sorted(want.items())  # older, lands last
+    want[99] = "late document"
+    assert land(3, [(99, "/99", "late document", 1)]) == sorted(want.items())
+    assert "embedding" in D.current_index(spark, root).columns
+    live = set(D._live(spark, root, D._commits(spark, root)[-1]).values())
+    assert len(D._commits(spark, root)) == 2 and len(live) == len(new)
+    kept = [f"{root}/data/{c}/{b}" for c in list_names(spark, f"{root}/data")
+            for b in list_names(spark, f"{root}/data/{c}") if b.startswith("bucket=")]
+    assert live <= set(kept) and len(kept) <= len(live) + 1
+
+
+def test_a_replayed_batch_commits_nothing(spark, tmpdir_path):
+    from docsearch_spark.streaming import ingest as D
+    batch = spark.createDataFrame([(1, "/1", "one", 1), (2, "/2", "two", 1)],
+                                  "doc_id long, source_path string, text string, version long")
+    assert D.merge_batch(batch, tmpdir_path, 1200, 200, 8, 2)
+    before = D._commits(spark, tmpdir_path)
+    assert D.merge_batch(batch, tmpdir_path, 1200, 200, 8, 2) == []
+    assert D._commits(spark, tmpdir_path) == before
+
+
+def test_provider_answers_are_matched_by_index(spark):
+    import numpy as np
+    from docsearch_spark.operators import embed
+    df = spark.createDataFrame([(i, f"text number {i}") for i in range(150)], "id long, t string")
+    a = embed.embed_with_provider(df, "t", lambda: embed.HashedBowProvider(16)).collect()
+    b = embed.embed_with_provider(df, "t", lambda: embed.OutOfOrderProvider(16)).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    for response in ([(0, [1.0])], [(0, [1.0]), (0, [2.0])], np.zeros((3, 1))):
+        with pytest.raises(ValueError):
+            embed.in_request_order(response, 2, "p")
+    with pytest.raises(ValueError):
+        embed.same_provider(embed.HashedBowProvider(16), embed.HashedBowProvider(32))
+
+
+def test_html_character_references(spark):
+    from docsearch_spark.sources.html import html_to_text
+    page = "<p>it&#8217;s &mdash; A&apos;s &#x41;&amp;lt; &unknown; &amp;amp;</p><!-- x --><script>&lt;</script>"
+    got = spark.createDataFrame([(page,), (None,), ("plain",)], "h string").select(html_to_text("h").alias("t"))
+    assert [r["t"] for r in got.collect()] == ["it\u2019s \u2014 A's A&lt; &unknown; &amp;", "", "plain"]
+
+
+def test_passages_equal_contains(spark):
+    from docsearch_spark.operators.passages import passage_matches
+    docs = [(1, "the quick  brown fox jumps over the lazy dog"), (2, "xthe quick brown foxy"), (3, None), (4, "fox"),
+            (5, "a b c d e f g h i j k l m n")]
+    items = [(1, "the quick brown fox"), (2, "fox"), (3, "quick brown"), (4, " "), (5, None),
+             (6, "b c d e f g h i j k l m"), (7, "b c x"), (8, "he quick brown fo")]
+    got = passage_matches(spark.createDataFrame(docs, "d long, t string"), "d", "t",
+                          spark.createDataFrame(items, "i long, p string"), "i", "p")
+    norm = lambda x: " ".join((x or "").split())
+    want = {(i, d) for i, p in items for d, t in docs if norm(p) and norm(p) in norm(t)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
 
 
 def test_newest_version_per_document(spark):
@@ -150,7 +211,7 @@ def test_scan_and_route(spark, tmpdir_path):
     f = FS.scan_documents(spark, root)
     paths = [r["path"] for r in f.collect()]
     names = [p.rsplit("/", 1)[-1] for p in paths]
-    assert paths == sorted(paths) and set(names) == {"B.MD", "c.markdown", "e.txt", "f.txt", "g.pdf"}
+    assert set(names) == {"B.MD", "c.markdown", "e.txt", "f.txt", "g.pdf"}
     text, pdf, rejected = FS.route_by_type(f)
     decoded = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in text.collect()}
     assert decoded["e.txt"] == b"a\xffb".decode("utf-8", errors="replace")
@@ -174,18 +235,32 @@ def test_report_roundtrip_and_series(spark, tmpdir_path):
     FS.write_report(rep.filter("dataset = ''"), os.path.join(tmpdir_path, "run_b.json"))
     back = FS.read_reports(spark, [os.path.join(tmpdir_path, "run_a.json"), os.path.join(tmpdir_path, "run_b.json")])
     stem = F.regexp_extract("path", r"([^/]+)\.json/[^/]*$", 1)
-    back = back.withColumn("run", P.run_label(F.lit(None).cast("string"), F.col("dataset"),
+    back = back.withColumn("run", stem).withColumn("label", P.run_label(F.lit(None).cast("string"), F.col("dataset"),
                                               F.concat(stem, F.lit(".json"))))
-    assert sorted(r["run"] for r in back.collect()) == ["a", "run_b"]
-    s = P.explode_metrics(back)
-    assert sorted(r["k"] for r in s.filter("run = 'a' AND metric_map = 'recall_at_k'").collect()) == [1, 3]
+    assert sorted(r["label"] for r in back.collect()) == ["a", "run_b"]
+    s = P.explode_metrics(back, label_col="label")
+    assert sorted(r["k"] for r in s.filter("run = 'run_a' AND metric_map = 'recall_at_k'").collect()) == [1, 3]
     pairs = P.paired_series(s, "recall_at_k", "ndcg_at_k")
-    assert sorted((r["run"], r["k"]) for r in pairs.collect()) == [("a", 1), ("a", 3), ("run_b", 1)]
+    assert sorted((r["run"], r["k"]) for r in pairs.collect()) == [
+        ("run_a", 1), ("run_a", 3), ("run_b", 1)]
     mp = P.paired_series(s, "map_at_k", "precision_at_k")
     assert mp.count() == 0  # axes [1] and [1, 3] differ
-    order = back.select("run", F.when(F.col("run") == "a", 0).otherwise(1).alias("ord"))
+    order = back.select("run", F.when(F.col("run") == "run_a", 0).otherwise(1).alias("ord"))
     comp = P.compare_runs(s, order)
-    assert sorted(set(r["run"] for r in comp.collect())) == ["a"]  # run_b has axis [1] only
+    assert sorted(set(r["run"] for r in comp.collect())) == ["run_a"]  # run_b has axis [1] only
+
+
+def test_runs_with_one_label_stay_apart(spark):
+    from docsearch_spark.operators import report as P
+    s = spark.createDataFrame([(r, "scifact", m, k, float(k + n)) for n, r in enumerate(("x", "y"))
+                               for m in ("recall_at_k", "ndcg_at_k") for k in (1, 3)],
+                              "run string, label string, metric_map string, k int, value double")
+    order = spark.createDataFrame([("x", 0), ("y", 1)], "run string, ord int")
+    assert P.paired_series(s, "recall_at_k", "ndcg_at_k").count() == 4
+    assert P.compare_runs(s, order).count() == 8
+    wide = P.compare_runs_wide(s, order, ["x", "y"]).filter("metric_map = 'ndcg_at_k'").orderBy("k").collect()
+    assert [(r["k"], r["x"], r["y"]) for r in wide] == [(1, 1.0, 2.0), (3, 3.0, 4.0)]
+    assert P.compare_runs(s.filter("run = 'x'"), order.filter("run = 'x'")).count() == 0
 
 
 def test_driver_contract(spark):

@@ -37,7 +37,7 @@ def brute(qs, ds, k, mode="cosine", exclude=False):
 def run(spark, qs, ds, k, **kw):
     qdf = spark.createDataFrame(qs, "qid long, v array<double>")
     ddf = spark.createDataFrame(ds, "id long, v array<double>")
-    h = search.topk_scan(ddf, "id", search.Dense("v"), qdf, "qid", search.Dense("v"), k=k, dim=3, **kw)
+    h = search.topk_scan(ddf, "id", search.Dense("v", 3), qdf, "qid", search.Dense("v", 3), k=k, **kw)
     got = {}
     for r in h.orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["doc_id"])
@@ -64,21 +64,25 @@ def test_exclude_same_id_and_per_query_k(spark):
     assert got == want
     qdf = spark.createDataFrame([(i, v, i % 4) for i, v in qs], "qid long, v array<double>, k int")
     ddf = spark.createDataFrame(ds, "id long, v array<double>")
-    h = search.topk_scan(ddf, "id", search.Dense("v"), qdf, "qid", search.Dense("v"), k=50,
-                         k_col=F.col("k"), dim=3)
+    h = search.topk_scan(ddf, "id", search.Dense("v", 3), qdf, "qid", search.Dense("v", 3), k=50,
+                         k_col=F.col("k"))
     counts = {r["query_id"]: r["n"] for r in h.groupBy("query_id").agg(F.count("*").alias("n")).collect()}
     assert counts == {i: i % 4 for i, _ in qs if i % 4 > 0}
 
 
-def test_broadcast_slices_give_same_result(spark):
+def test_many_cells_give_same_result(spark, monkeypatch):
     rng = np.random.default_rng(5)
     ds = [(i, rng.normal(size=3).tolist()) for i in range(60)]
     qs = ds[:25]
     qdf = spark.createDataFrame(qs, "qid long, v array<double>")
     ddf = spark.createDataFrame(ds, "id long, v array<double>")
-    a = search.topk_scan(ddf, "id", search.Dense("v"), qdf, "qid", search.Dense("v"), k=3, dim=3)
-    b = search.topk_scan(ddf, "id", search.Dense("v"), qdf, "qid", search.Dense("v"), k=3, dim=3,
-                         max_broadcast_bytes=200)  # forces several question slices
+    a = search.topk_scan(ddf, "id", search.Dense("v", 3), qdf, "qid", search.Dense("v", 3), k=3)
+    b = search.topk_scan(ddf, "id", search.Dense("v", 3), qdf, "qid", search.Dense("v", 3), k=3,
+                         cell_bytes=700)  # several groups of either side
+    monkeypatch.setattr(search, "MERGE_CELLS", 2)
+    c = search.topk_scan(ddf, "id", search.Dense("v", 3), qdf, "qid", search.Dense("v", 3), k=3, cell_bytes=700)
+    assert sorted((r.query_id, r.doc_id, r.rank) for r in c.collect()) == sorted(
+        (r.query_id, r.doc_id, r.rank) for r in a.collect())
     ra, rb = sorted(a.collect()), sorted(b.collect())
     assert [(r.query_id, r.doc_id, r.rank) for r in ra] == [(r.query_id, r.doc_id, r.rank) for r in rb]
     assert all(abs(x.value - y.value) < 1e-12 for x, y in zip(ra, rb))  # BLAS order differs by shape
@@ -92,7 +96,7 @@ def test_sparse_equals_dense(spark):
     q = spark.createDataFrame([(9, [0], [1.0])], "qid long, i array<int>, w array<double>")
     qd = spark.createDataFrame([(9, [1.0, 0.0, 0.0])], "qid long, v array<double>")
     a = search.topk_scan(df, "id", search.Sparse("i", "w", 3), q, "qid", search.Sparse("i", "w", 3), k=3)
-    b = search.topk_scan(dense, "id", search.Dense("v"), qd, "qid", search.Dense("v"), k=3)
+    b = search.topk_scan(dense, "id", search.Dense("v", 3), qd, "qid", search.Dense("v", 3), k=3)
     assert [(r.doc_id, r.value) for r in a.orderBy("rank").collect()] == \
         [(r.doc_id, r.value) for r in b.orderBy("rank").collect()]
 
@@ -109,8 +113,7 @@ def test_rank_in_full_ranking(spark):
         s = sims[target]
         rows.append((qid, qv, s, target, 1 + sum(1 for i, x in sims.items() if x > s or (x == s and i < target))))
     t = spark.createDataFrame([r[:4] for r in rows], "qid long, v array<double>, s double, t long")
-    got = search.rank_in_full_ranking(ddf, "id", search.Dense("v"), t, "qid", search.Dense("v"), "s", "t",
-                                      dim=3).collect()
+    got = search.rank_in_full_ranking(ddf, "id", search.Dense("v", 3), t, "qid", search.Dense("v", 3), "s", "t").collect()
     assert {r["query_id"]: r["rank"] for r in got} == {r[0]: r[4] for r in rows}
 
 
@@ -118,41 +121,71 @@ def test_plans(spark):
     v = spark.read.parquet(f"{SF01}/embeddings.parquet")
     one = search.topk_single(v, "embedding", [0.1] * 64, 5, id_col="vec_id")
     assert "TakeOrderedAndProject" in one._jdf.queryExecution().executedPlan().toString()
-    many = search.topk_scan(v, "vec_id", search.Dense("embedding"), v.limit(3), "vec_id",
-                            search.Dense("embedding"), k=5)
+    many = search.topk_scan(v, "vec_id", search.Dense("embedding", 64), v.limit(3), "vec_id",
+                            search.Dense("embedding", 64), k=5)
     many.collect()
     plan = many._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "MapInArrow" in plan and "CartesianProduct" not in plan \
-        and "NestedLoopJoin" not in plan
+    assert "WindowGroupLimit" in plan and "CoGroupsInArrow" in plan and "CartesianProduct" not in plan \
+        and "NestedLoopJoin" not in plan and "BroadcastExchange" not in plan
 
 
 def test_ann_hits_are_true_cosines(spark):
     v = spark.read.parquet(f"{SF01}/embeddings.parquet")
     a = search.ann_topk(v, "vec_id", v, "vec_id", "embedding", 64, k=5, n_tables=8, n_bits=3)
-    e = search.topk_scan(v, "vec_id", search.Dense("embedding"), v, "vec_id", search.Dense("embedding"), k=5)
+    e = search.topk_scan(v, "vec_id", search.Dense("embedding", 64), v, "vec_id", search.Dense("embedding", 64), k=5)
     j = a.join(e.select("query_id", "doc_id", "value"), ["query_id", "doc_id"])
     assert all(abs(r["score"] - r["value"]) < 1e-9 for r in j.collect())
     rec = search.ann_recall(e, a).agg(F.avg("recall")).first()[0]
     assert 0.0 < rec <= 1.0
 
 
-def test_ann_bucket_cap_falls_back_to_exact(spark):
-    v = spark.read.parquet(f"{SF01}/embeddings.parquet")
-    capped = search.ann_topk(v, "vec_id", v.filter("vec_id < 30"), "vec_id", "embedding", 64, k=5,
-                             n_tables=2, n_bits=2, max_bucket=3)   # nearly every bucket dropped
-    exact = search.topk_scan(v, "vec_id", search.Dense("embedding"), v.filter("vec_id < 30"), "vec_id",
-                             search.Dense("embedding"), k=5)
-    assert sorted((r.query_id, r.doc_id, r.rank) for r in capped.collect()) == \
+def test_ann_finds_every_near_copy(spark):
+    rng = np.random.default_rng(2)
+    center = rng.normal(size=64)
+    ds = [(i, (center + 1e-4 * rng.normal(size=64)).tolist()) for i in range(60)]
+    ds += [(100 + i, rng.normal(size=64).tolist()) for i in range(40)]
+    v = spark.createDataFrame(ds, "vec_id long, embedding array<double>")
+    q = v.filter("vec_id < 5")
+    exact = search.topk_scan(v, "vec_id", search.Dense("embedding", 64), q, "vec_id",
+                             search.Dense("embedding", 64), k=5)
+    approx = search.ann_topk(v, "vec_id", q, "vec_id", "embedding", 64, k=5, n_tables=8)
+    assert sorted((r.query_id, r.doc_id, r.rank) for r in approx.collect()) == \
         sorted((r.query_id, r.doc_id, r.rank) for r in exact.collect())
 
 
+def test_key_bits_grow_with_the_index():
+    bits = [search.key_bits(n) for n in (0, 10, 1000, 10**6, 10**12)]
+    assert bits == sorted(bits) and bits[0] == 1 and 10**12 / 2 ** bits[-1] <= search.BUCKET_ROWS
+
+
+def test_one_row_of_another_width_leaves_the_others_alone(spark):
+    ds = [(i, [1.0, float(i), 0.5]) for i in range(20)]
+    bad = ds + [(99, [1.0, 2.0, 3.0, 4.0])]
+    want, got = run(spark, ds[:3], ds, 5), run(spark, ds[:3], bad, 5)
+    assert got == want
+
+
+def test_unscorable_questions_and_mixed_id_types(spark):
+    ds = [(f"{j:05d}", [1.0, float(j), 0.0]) for j in range(3000)]
+    ddf = spark.createDataFrame(ds, "id string, v array<double>")
+    qdf = spark.createDataFrame([(i, [0.0, 0.0, 0.0]) for i in range(50)], "qid long, v array<double>")
+    h = search.topk_scan(ddf, "id", search.Dense("v", 3), qdf, "qid", search.Dense("v", 3), k=2).collect()
+    assert {(r.doc_id, r.value) for r in h} == {("00000", None), ("00001", None)} and len(h) == 100
+    # identical ids are compared as text
+    ints = spark.createDataFrame([(2, [1.0, 2.0, 0.0])], "qid long, v array<double>")
+    text = spark.createDataFrame([("2", [1.0, 2.0, 0.0]), ("3", [1.0, 0.0, 0.0])], "id string, v array<double>")
+    h = search.topk_scan(text, "id", search.Dense("v", 3), ints, "qid", search.Dense("v", 3), k=1,
+                         exclude_same_id=True).collect()
+    assert [r.doc_id for r in h] == ["3"]
+
+
 def test_string_ids_and_exact_ties(spark):
     # duplicated vectors under string ids: ties must be cut by id ascending
     base = [[1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [0.0, 0.0, 1.0]]
     ds = [(f"id{j:03d}", base[j % 3]) for j in range(60)]
     ddf = spark.createDataFrame(ds, "id string, v array<double>")
     qdf = spark.createDataFrame([("q1", [1.0, 0.1, 0.0]), ("q2", [0.0, 0.0, 1.0])], "qid string, v array<double>")
-    h = search.topk_scan(ddf, "id", search.Dense("v"), qdf, "qid", search.Dense("v"), k=7, dim=3)
+    h = search.topk_scan(ddf, "id", search.Dense("v", 3), qdf, "qid", search.Dense("v", 3), k=7)
     got = {}
     for r in h.orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["doc_id"])

@@ -113,3 +113,39 @@ def test_uuid_is_deterministic(spark):
     a = [r[0] for r in df.select(uuid_from("doc_id", "chunk_index")).collect()]
     b = [r[0] for r in df.select(uuid_from("doc_id", "chunk_index")).collect()]
     assert a == b and len(set(a)) == 2 and all(len(x) == 36 and x.count("-") == 4 for x in a)
+
+
+def test_chunks_of_long_texts_equal_plain_windows(spark):
+    from docsearch_spark.operators import chunking as C
+    from pyspark.sql import functions as F
+    text = " ".join(f"w{i}é😀" for i in range(30_000))
+    df = spark.createDataFrame([(1, text), (2, "short one")], "doc_id long, text string")
+    for size, overlap in ((1200, 200), (7, 3), (10, -5), (50, 49), (500, 50)):
+        got = C.chunk_fixed(df, "text", size, overlap)
+        step = size - overlap
+        for d, t in ((1, text), (2, "short one")):
+            want, at = [], 0
+            while at < len(t):
+                want.append(t[at:at + size].strip())
+                if at + size >= len(t):
+                    break
+                at += step
+            rows = got.filter(F.col("doc_id") == d).orderBy("chunk_index").collect()
+            assert [r["content"] for r in rows] == want, (size, overlap, d)
+            assert [r["chunk_index"] for r in rows] == list(range(len(want)))
+
+
+def test_chunking_time_is_linear_in_the_text(spark):
+    import time
+    from docsearch_spark.operators import chunking as C
+    from pyspark.sql import functions as F
+
+    def seconds(n):
+        df = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), n // 11).alias("text"))
+        t = time.time()
+        C.chunk_fixed(df, "text").agg(F.sum(F.length("content"))).collect()
+        return time.time() - t
+
+    seconds(500_000)
+    a, b = min(seconds(2_000_000) for _ in range(2)), min(seconds(8_000_000) for _ in range(2))
+    assert b < 8 * a + 1.0  # 4 times the text; quadratic would be 16 times
