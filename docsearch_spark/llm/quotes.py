@@ -117,20 +117,26 @@ def link(found: DataFrame) -> DataFrame:
 
 
 def reply_trees(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, root_turn, level) for distinct (conv_id, turn, parent_turn)."""
+    """(conv_id, turn, root_turn, level) for distinct (conv_id, turn, parent_turn).
+
+    Every round an open message takes over what the message it points to points
+    to, so the distance doubles; messages that point to their root are settled and
+    take no part in later rounds.
+    """
     state = materialize(parents.select(
         "conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"),
-        F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("bigint").alias("level")), "tree")
-    for _ in range(64):  # the distance covered doubles
-        over = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"),
-                            F.col("level").alias("more"))
-        state = materialize(state.join(over, ["conv_id", "up"]).select(
+        F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("bigint").alias("level"),
+        F.col("parent_turn").isNull().alias("settled")), "tree")
+    done, active = state.where("settled"), state.where("NOT settled")
+    while active.limit(1).count():
+        over = done.unionByName(active).select(
+            "conv_id", F.col("turn").alias("up"), F.col("up").alias("next"),
+            F.col("level").alias("more"), "settled")
+        moved = materialize(active.drop("settled").join(over, ["conv_id", "up"]).select(
             "conv_id", "turn", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"),
-            (F.col("more") > 0).alias("moved")), "tree")
-        if state.where("moved").limit(1).count() == 0:
-            break
-        state = state.drop("moved")
-    return state.select("conv_id", "turn", F.col("up").alias("root_turn"), "level")
+            "settled"), "tree")
+        done, active = done.unionByName(moved.where("settled")), moved.where("NOT settled")
+    return done.select("conv_id", "turn", F.col("up").alias("root_turn"), "level")
 
 
 def numbered(df: DataFrame, within: list[str], order: list[str], name: str) -> DataFrame:
