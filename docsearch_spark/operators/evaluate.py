@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsearch_spark.operators import search
+from docsearch_spark.operators import embed, search
+from docsearch_spark.operators.chunking import doc_text
 from docsearch_spark.session import materialize
 from docsearch_spark.schemas import K_VALUES
-from docsearch_spark.sources.files import check_dataset  # noqa: F401
+from docsearch_spark.sources.files import check_dataset, load_eval_dataset
 
 # Fixed values that must equal the application being re-built: the metric key
 # prefixes of the report maps and the note of an empty evaluation.
@@ -327,4 +328,15 @@ def metric_report(rows: DataFrame, num_queries: DataFrame, corpus_size: DataFram
                      F.lit("data_path"), F.lit(data_path)).alias("extra"))
 
 
-REPORT_MAP_TYPE = T.MapType(T.StringType(), T.DoubleType())
+def evaluate_dataset(spark, folder: str, dataset: str, dim: int, k_values=K_VALUES, split: str = "test",
+                     max_corpus: int = 0, max_queries: int = 0) -> DataFrame:
+    """Load a dataset folder by its allowed name (A6), embed title and text with
+    the default provider, evaluate (E1-E11), and report (E12)."""
+    name = check_dataset(dataset)
+    corpus, queries, qrels = load_eval_dataset(spark, folder, split, name)
+    corpus = embed.embed_sparse(corpus.select("doc_id", doc_text(F.col("title"), F.col("text")).alias("t")), "t", dim)
+    queries = embed.embed_sparse(queries.select("query_id", F.col("text").alias("t")), "t", dim)
+    spec = search.Sparse("sv_idx", "sv_val", dim)
+    rows, nq, cs = metric_rows(corpus, "doc_id", spec, queries, "query_id", spec, qrels, k_values,
+                               max_corpus, max_queries)
+    return metric_report(rows, nq, cs, name, f"dense retrieval on {name}", folder)

@@ -7,6 +7,8 @@ row-local expression; chat histories are windows per conversation.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,6 +93,19 @@ class AnswerProvider:
         raise NotImplementedError
 
 
+class CountingProvider(AnswerProvider):
+    """A deterministic provider for checks: tells the prompt's length and cites its
+    last and first source, and one that is not there."""
+
+    name = "counting"
+
+    def answer(self, system: str, user: str) -> str:
+        if system != SYSTEM_PROMPT:
+            raise ValueError("unexpected system prompt")
+        n = max(int(x) for x in re.findall(r"^\[S(\d+)\] \(chunk_id=", user, re.M))
+        return f"  Read {len(user)} characters, {n} sources [S{n}] [S1] [S0]. "
+
+
 def answers_with_provider(prompts: DataFrame, provider_factory) -> DataFrame:
     """G4 through an external model (``mapInArrow``): the reply is stripped and a
     missing reply becomes ''."""
@@ -176,22 +191,38 @@ def assemble_responses(questions: DataFrame, hits: DataFrame, answers: DataFrame
 # G9, A3
 
 
-def chat_history(conversations: DataFrame) -> DataFrame:
-    """For each user turn, the earlier (question, answer) pairs of the conversation.
+def chat_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G9 in the form to store: (pairs, turns), both linear in the conversation.
 
-    System turns are dropped; a pair is a user turn directly followed by an
-    assistant turn. Returns (conv_id, turn, question, history ARRAY<STRUCT<question, answer>>).
+    pairs: (conv_id, pairs ARRAY<STRUCT<question, answer>>), one ordered list a
+    conversation; turns: (conv_id, turn, question, n_history), a user turn's
+    history being the first ``n_history`` pairs. System turns are dropped; a pair is
+    a user turn directly followed by an assistant turn.
     """
     c = conversations.filter(F.col("role") != "system")
     w = Window.partitionBy("conv_id").orderBy("turn")
     paired = (c.withColumn("next_role", F.lead("role").over(w))
               .withColumn("next_text", F.lead("text").over(w))
-              .filter(F.col("role") == "user"))
-    pair = F.when(F.col("next_role") == "assistant",
-                  F.struct(F.col("text").alias("question"), F.col("next_text").alias("answer")))
-    wp = w.rowsBetween(Window.unboundedPreceding, -1)
-    return paired.select("conv_id", "turn", F.col("text").alias("question"),
-                         F.collect_list(pair).over(wp).alias("history"))
+              .filter(F.col("role") == "user")
+              .withColumn("is_pair", F.coalesce(F.col("next_role") == "assistant", F.lit(False))))
+    turns = paired.select("conv_id", "turn", F.col("text").alias("question"), F.coalesce(
+        F.sum(F.col("is_pair").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).cast("int").alias("n_history"))
+    pairs = (paired.filter("is_pair").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("turn").alias("t"), F.col("text").alias("question"), F.col("next_text").alias("answer")))).alias("p"))
+        .select("conv_id", F.transform("p", lambda x: F.struct(
+            x["question"].alias("question"), x["answer"].alias("answer"))).alias("pairs")))
+    return pairs, turns
+
+
+def chat_history(conversations: DataFrame) -> DataFrame:
+    """For each user turn, the earlier (question, answer) pairs of the conversation,
+    sliced from the stored list. (conv_id, turn, question, history)."""
+    pairs, turns = chat_turns(conversations)
+    none = F.array().cast(pairs.schema["pairs"].dataType)
+    return turns.join(pairs, "conv_id", "left").select(
+        "conv_id", "turn", "question",
+        F.when(F.col("n_history") > 0, F.slice("pairs", F.lit(1), F.col("n_history"))).otherwise(none).alias("history"))
 
 
 def assemble_fragments(frags: DataFrame, doc_col: str, part_col: str, text_col: str,

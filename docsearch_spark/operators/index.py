@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from docsearch_spark.functions.text import uuid_from
 from docsearch_spark.operators import chunking, embed
+from docsearch_spark.session import scratch_path
+from docsearch_spark.sources.files import path_exists, read_documents
 from docsearch_spark.schemas import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, EMBED_DIM, INDEX
 
 DEFAULT_BUCKETS = 64
@@ -135,3 +137,25 @@ def reingest(spark, index_path: str, new_documents: DataFrame, staging_path: str
     merged.write.mode("overwrite").partitionBy("bucket").parquet(staging_path)
     staged = spark.read.parquet(staging_path)
     write_index(staged, index_path)
+
+
+def ingest_files(spark, root: str, index_path: str, size: int = DEFAULT_CHUNK_SIZE,
+                 overlap: int = DEFAULT_CHUNK_OVERLAP, dim: int = EMBED_DIM,
+                 n_buckets: int = DEFAULT_BUCKETS) -> None:
+    """D5 from files: scan, decode and route (A1, A2, A4), chunk and embed (B1-B3, C1,
+    D1), check the vectors (C5), and write; files that the index already holds are
+    replaced by document (D2)."""
+    documents = read_documents(spark, root)
+    if path_exists(spark, index_path):
+        reingest(spark, index_path, documents, scratch_path(spark, "stage"), size, overlap, dim, n_buckets)
+        return
+    write_index(accepted(build_index(documents, size, overlap, dim, n_buckets), dim), index_path)
+
+
+def accepted(index: DataFrame, dim: int) -> DataFrame:
+    """The index; a vector that C5 rejects fails the job with its reason."""
+    v = F.col("embedding")
+    wrong = v.isNull() | (F.size(v) != dim)
+    return index.withColumn("embedding", F.when(wrong, F.raise_error(
+        F.format_string("chunk %s: not a vector of %d dimensions", "chunk_id", F.lit(dim))
+    ).cast("array<float>")).otherwise(v))

@@ -500,24 +500,22 @@ _SQL_FORMULA_ANSWERS = """SELECT item_id AS query_id,
     FROM benchmark"""
 
 
-def _sql_prompts(hits_sql: str) -> str:
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_prompts(hits_sql: str, questions_sql: str = "SELECT item_id AS query_id, text AS question FROM benchmark") -> str:
     line = ("'[S' || CAST(rank AS VARCHAR) || '] (chunk_id=' || chunk_id || ', file=' || source_path || ')' "
             "|| chr(10) || content")
-    sep = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
-    head = "'Question: '"
-    mid = ("chr(10) || chr(10) || 'Use ONLY the sources below. If the answer is not in the sources, say you "
-           "cannot find it in the documents.' || chr(10) || chr(10) || 'Sources:' || chr(10)")
-    tail = ("chr(10) || chr(10) || 'Answer concisely. After each sentence or claim that uses a source, add a "
-            "citation like [S1] or [S2] matching the source label.'")
-    system = ("'You are a careful assistant. Ground every factual claim in the provided sources using [S#] "
-              "citations. Do not invent facts not present in sources.'")
+    head, mid, tail = map(_sql_text, G.USER_TEMPLATE.split("%s"))
     return f"""
       WITH h AS ({hits_sql}),
-      b AS (SELECT query_id, string_agg({line}, {sep} ORDER BY rank) AS block, count(*) AS n FROM h GROUP BY query_id)
-      SELECT q.item_id AS query_id, {system} AS system,
-             {head} || coalesce(q.text, '') || {mid} || b.block || {tail} AS "user",
+      b AS (SELECT query_id, string_agg({line}, {_sql_text(G.SOURCE_SEPARATOR)} ORDER BY rank) AS block,
+                   count(*) AS n FROM h GROUP BY query_id)
+      SELECT q.query_id, {_sql_text(G.SYSTEM_PROMPT)} AS system,
+             {head} || coalesce(q.question, '') || {mid} || b.block || {tail} AS "user",
              CAST(b.n AS INTEGER) AS n_sources
-      FROM benchmark q JOIN b ON b.query_id = q.item_id"""
+      FROM ({questions_sql}) q JOIN b ON b.query_id = q.query_id"""
 
 
 def _hits(spark, sf, k=5):
@@ -612,32 +610,42 @@ def q_validate_questions(spark, sf):
 
 
 def answer_questions(spark, sf) -> DataFrame:
-    """Validate, clamp, embed, retrieve (per-question k), prompt, answer, cite."""
+    """Validate, clamp, embed, retrieve (per-question k), prompt (G2), answer
+    through a provider (G4), cite, assemble."""
     q = question_fixture(spark, sf).filter(~is_blank("question"))
     q = q.withColumn("top_k", search.clamp_top_k("top_k"))
     hits = text_topk(spark, sf, k=50, k_col=F.col("top_k"), questions=q)
-    return G.assemble_responses(q, hits, formula_answers(q))
+    answers = G.answers_with_provider(G.build_prompts(q, hits), G.CountingProvider)
+    return G.assemble_responses(q, hits, materialize(answers, "answers"))
 
 
-@register("answer_questions", f"""
+_SQL_ANSWERED = f"""
     WITH q AS (SELECT query_id, question, {_SQL_CLAMP} AS top_k FROM ({_SQL_QFIX})
                WHERE length({S.py_strip("coalesce(question, '')")}) > 0),
     s AS ({_sql_text_scores()}),
-    r AS (SELECT s.query_id, s.chunk_id, row_number() OVER (PARTITION BY s.query_id
+    r AS (SELECT s.query_id, s.chunk_id, s.sim, row_number() OVER (PARTITION BY s.query_id
               ORDER BY round(s.sim, 12) DESC NULLS LAST, s.chunk_id) AS rank FROM s),
-    h AS (SELECT r.* FROM r JOIN q ON q.query_id = r.query_id WHERE r.rank <= q.top_k),
     ch AS ({S.documents_chunks()}),
-    labs AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1))) AS lab
-             FROM ({_SQL_FORMULA_ANSWERS})),
+    h AS (SELECT r.*, ch.source_path, ch.content FROM r JOIN q ON q.query_id = r.query_id
+          JOIN ch ON ch.chunk_id = r.chunk_id WHERE r.rank <= q.top_k),
+    p AS ({_sql_prompts('SELECT * FROM h', 'SELECT * FROM q')}),
+    a AS (SELECT query_id, 'Read ' || length("user") || ' characters, ' || n_sources || ' sources [S'
+                 || n_sources || '] [S1] [S0].' AS answer FROM p),
+    labs AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1))) AS lab FROM a),
     c AS (SELECT labs.query_id, h.chunk_id,
                  row_number() OVER (PARTITION BY labs.query_id ORDER BY CAST(lab AS DECIMAL(38,0)), lab) AS pos
           FROM labs JOIN h ON h.query_id = labs.query_id AND labs.lab = CAST(h.rank AS VARCHAR)),
     cagg AS (SELECT query_id, count(*) AS n, string_agg(chunk_id, ',' ORDER BY pos) AS ids FROM c GROUP BY query_id),
-    hagg AS (SELECT query_id, count(*) AS n, string_agg(chunk_id, ',' ORDER BY rank) AS ids FROM h GROUP BY query_id)
+    hagg AS (SELECT query_id, count(*) AS n, string_agg(chunk_id, ',' ORDER BY rank) AS ids,
+                    md5(string_agg(content, chr(10) ORDER BY rank)) AS contents, sum(sim) AS score
+             FROM h GROUP BY query_id)"""
+
+
+@register("answer_questions", f"""{_SQL_ANSWERED}
     SELECT q.query_id, a.answer, CAST(coalesce(cagg.n, 0) AS INTEGER) AS n_citations,
            coalesce(cagg.ids, '') AS raw_citation_ids, CAST(hagg.n AS INTEGER) AS n_retrieved,
            hagg.ids AS retrieved_ids
-    FROM q JOIN ({_SQL_FORMULA_ANSWERS}) a ON a.query_id = q.query_id
+    FROM q JOIN a ON a.query_id = q.query_id
     LEFT JOIN cagg ON cagg.query_id = q.query_id
     LEFT JOIN hagg ON hagg.query_id = q.query_id""")
 def q_answer_questions(spark, sf):
@@ -1158,24 +1166,58 @@ def q_write_report(spark, sf):
 # One key per remaining inventory item (views of the jobs above, or small jobs)
 
 
-@register("decode_text", f"""SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS n_chars FROM documents""")
+def _file_table(spark, sf) -> DataFrame:
+    """documents as a table of files (path, content): four suffixes, and some contents
+    that end in bytes which are not UTF-8."""
+    d = tables.read_table(spark, sf, "documents")
+    m = F.pmod("doc_id", F.lit(4))
+    suffix = F.when(m == 0, ".txt").when(m == 1, ".MD").when(m == 2, ".pdf").otherwise(".csv")
+    bad = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.unhex(F.lit("FF62E282"))).otherwise(F.unhex(F.lit("")))
+    return d.select(F.concat(F.lit("/files/"), F.col("doc_id").cast("string"), suffix).alias("path"),
+                    F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), bad).alias("content"))
+
+
+def _doc_of_path():
+    return F.regexp_extract("path", r"/(-?\d+)\.", 1).cast("bigint").alias("doc_id")
+
+
+_SQL_DECODED = """coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(65533) || 'b' || chr(65533) ELSE '' END"""
+
+
+@register("decode_text", f"SELECT doc_id, md5({_SQL_DECODED}) AS digest FROM documents")
 def q_decode_text(spark, sf):
-    """A2: bytes of the staged files decoded as UTF-8 (invalid bytes -> U+FFFD)."""
-    root = _documents_as_files(spark, sf)
-    f = FS.scan_documents(spark, root)
-    return f.select(F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("bigint").alias("doc_id"),
-                    F.length(FS.decode_text("content")).cast("bigint").alias("n_chars"))
+    """A2: bytes decoded as UTF-8, invalid ones become U+FFFD."""
+    return _file_table(spark, sf).select(_doc_of_path(), F.md5(FS.decode_text("content")).alias("digest"))
 
 
-@register("route_by_type", """SELECT doc_id, 'text' AS route FROM documents""")
+@register("route_by_type", f"""
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'pdf' ELSE 'rejected' END AS route,
+           CASE WHEN doc_id % 4 < 2 THEN CAST(length({_SQL_DECODED}) AS BIGINT) END AS n_chars
+    FROM documents""")
 def q_route_by_type(spark, sf):
-    """A4: extractor chosen by suffix for every staged file."""
-    root = _documents_as_files(spark, sf)
-    text, pdf, rejected = FS.route_by_type(FS.scan_documents(spark, root))
-    doc = F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("bigint").alias("doc_id")
-    return (text.select(doc, F.col("route"))
-            .unionByName(pdf.select(doc, F.col("route")))
-            .unionByName(rejected.select(doc, F.lit("rejected").alias("route"))))
+    """A4: extractor chosen by suffix; text of the text files."""
+    text, pdf, rejected = FS.route_by_type(_file_table(spark, sf))
+    none = F.lit(None).cast("bigint").alias("n_chars")
+    return (text.select(_doc_of_path(), "route", F.length("text").cast("bigint").alias("n_chars"))
+            .unionByName(pdf.select(_doc_of_path(), "route", none))
+            .unionByName(rejected.select(_doc_of_path(), F.lit("rejected").alias("route"), none)))
+
+
+@register("ingest_files", f"""
+    WITH c AS ({S.documents_chunks()}), w AS ({S.sparse_weights('c', 'chunk_id', 'content', TEXT_DIM)})
+    SELECT c.doc_id, c.chunk_index, c.content, CAST(count(w.b) AS INTEGER) AS n_set,
+           round(coalesce(sum(CAST(CAST(w.w AS FLOAT) AS DOUBLE) * (w.b + 1)), 0), 3) AS moment
+    FROM c LEFT JOIN w ON w.chunk_id = c.chunk_id GROUP BY c.chunk_id, c.doc_id, c.chunk_index, c.content""")
+def q_ingest_files(spark, sf):
+    """D5 as a chain: files scanned, decoded, routed, chunked, embedded, checked, written, read back."""
+    path = scratch_path(spark, "index")
+    IX.ingest_files(spark, _documents_as_files(spark, sf), path, n_buckets=16)
+    idx = spark.read.parquet(path)
+    moment = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0),
+                         lambda a, x: a + x)
+    return idx.select(F.regexp_extract("source_path", r"doc_id=(-?\d+)", 1).cast("bigint").alias("doc_id"),
+                      "chunk_index", "content", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_set"),
+                      F.round(moment, 3).alias("moment"))
 
 
 @register("read_reports", f"""{_sql_runs()}
@@ -1265,10 +1307,15 @@ def q_empty_context_fallback(spark, sf):
                     F.size("retrieved").alias("n_retrieved"))
 
 
-@register("assemble_response", ORACLE["answer_questions"])
+@register("assemble_response", f"""{_SQL_ANSWERED}
+    SELECT q.query_id, hagg.contents, round(coalesce(hagg.score, 0), 5) AS score
+    FROM q LEFT JOIN hagg ON hagg.query_id = q.query_id""")
 def q_assemble_response(spark, sf):
-    """The nested response, flattened for comparison."""
-    return q_answer_questions(spark, sf)
+    """Contents and scores of the retrieved list of the nested response."""
+    r = answer_questions(spark, sf)
+    total = F.aggregate("retrieved", F.lit(0.0), lambda a, x: a + F.coalesce(x["score"], F.lit(0.0)))
+    return r.select("query_id", F.md5(F.array_join(F.transform("retrieved", lambda x: x["content"]), "\n"))
+                    .alias("contents"), F.round(total, 5).alias("score"))
 
 
 @register("cap_queries", f"""
@@ -1320,8 +1367,8 @@ for _name, _key in (("recall", "recall_at_k"), ("precision", "precision_at_k"),
     register(_key, f"SELECT * FROM ({_SQL_EVAL}) WHERE metric = '{_name}'")(_metric_filter(_name))
 
 
-@register("empty_report", """SELECT 'labels' AS dataset, CAST(0.0 AS DOUBLE) AS mrr, 0 AS num_queries,
-    'No queries left after filtering qrels to embedded corpus; increase --max-corpus.' AS notes,
+@register("empty_report", f"""SELECT 'labels' AS dataset, CAST(0.0 AS DOUBLE) AS mrr, 0 AS num_queries,
+    {_sql_text(E.EMPTY_NOTE)} AS notes,
     CAST(0.0 AS DOUBLE) AS recall_at_10, 4 AS n_keys""")
 def q_empty_report(spark, sf):
     """Every qrel has grade <= 0, so no query survives: zeros and the note."""
@@ -1337,10 +1384,21 @@ def q_empty_report(spark, sf):
                       F.size("recall_at_k").alias("n_keys"))
 
 
-@register("evaluate", ORACLE["eval_text"])
+@register("evaluate", f"""
+    WITH m AS ({ORACLE['eval_text']})
+    SELECT 'scifact' AS dataset, (SELECT value FROM m WHERE metric = 'mrr') AS mrr,
+           (SELECT CAST(count(DISTINCT query_id) AS INTEGER) FROM ({_SQL_PASSAGE_QRELS})) AS num_queries,
+           (SELECT count(*) FROM documents) AS corpus_size,
+           (SELECT value FROM m WHERE metric = 'recall' AND k = 10) AS recall_at_10,
+           (SELECT value FROM m WHERE metric = 'ndcg' AND k = 10) AS ndcg_at_10""")
 def q_evaluate(spark, sf):
-    """The composite evaluation on text (benchmark passages x documents)."""
-    return q_eval_text(spark, sf)
+    """E14 as a chain: a dataset folder loaded by an allowed name (A6), embedded,
+    evaluated, and reported (E12)."""
+    rep = E.evaluate_dataset(spark, _staged_eval_dataset(spark, sf), "SciFact ", TEXT_DIM, EVAL_KS)
+    return rep.select("dataset", r6(F.col("mrr")).alias("mrr"), "num_queries",
+                      F.col("extra")["corpus_size"].cast("bigint").alias("corpus_size"),
+                      r6(F.col("recall_at_k")["Recall@10"]).alias("recall_at_10"),
+                      r6(F.col("ndcg_at_k")["NDCG@10"]).alias("ndcg_at_10"))
 
 
 @register("full_ranking", f"""

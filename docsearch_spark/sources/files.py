@@ -18,7 +18,7 @@ PDF_SUFFIX = ".pdf"
 SUFFIX_PATTERN = r"\.(pdf|txt|md|markdown)$"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -56,7 +56,7 @@ def scan_documents(spark: SparkSession, root: str) -> DataFrame:
     with '.' or '_' (documented difference). Output: path, length, content.
     """
     empty = spark.createDataFrame([], "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
-    if not _exists(spark, root):
+    if not path_exists(spark, root):
         return empty
     if _is_file(spark, root):
         name = root.rsplit("/", 1)[-1].lower()
