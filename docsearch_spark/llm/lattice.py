@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsearch_spark.llm.util import documents, materialize, most_frequent, sliced
+from docsearch_spark.llm.util import documents, materialize, most_frequent, short_batches, sliced
 from docsearch_spark.llm.words import utf8
 
 MARK = "▁"
@@ -55,8 +55,8 @@ HEAD_WORDS = 150_000
 LINE_WORDS = 4
 LINES = "array<struct<line:bigint,score:double,rare:array<string>>>"
 #: Entries of a task's partial counts, and lattice cells worked on at once.
-PARTIAL_UNITS = 500_000
-CELLS = 1 << 19
+PARTIAL_UNITS = 300_000
+CELLS = 1 << 18
 LOG10 = math.log(10.0)
 
 
@@ -321,6 +321,7 @@ def learn(words: DataFrame, ends: int, line_mass: float, pieces: list[str],
 def score_documents(df: DataFrame, train: Column, pieces_path: str, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score), one row per row."""
+    short_batches(df.sparkSession)
     spark = df.sparkSession
     src = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                     train.alias("train"))
@@ -369,12 +370,12 @@ def score_documents(df: DataFrame, train: Column, pieces_path: str, key: str = "
             sizes = np.fromiter(map(len, lines), np.int64, len(lines))
             line = np.repeat(np.arange(len(lines)), sizes)
             doc = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
-            score = np.bincount(line, log_p[at], len(lines))
+            score = np.bincount(line, log_p[at], len(lines)).astype(float)
             rare = np.flatnonzero(at == last)
             n_rare = np.bincount(line[rare], minlength=len(lines))
             long = sizes >= LINE_WORDS
             kept = np.flatnonzero(long | (n_rare > 0))  # the others are done
-            loose = np.bincount(doc, np.where(long | (n_rare > 0), 0.0, score), len(docs))
+            loose = np.bincount(doc, np.where(long | (n_rare > 0), 0.0, score), len(docs)).astype(float)
             per_doc = np.bincount(doc[kept], minlength=len(docs))
             # a rare line lists its words; null: none
             starts = np.r_[0, np.cumsum(n_rare[kept])].astype(np.int32)
@@ -388,7 +389,7 @@ def score_documents(df: DataFrame, train: Column, pieces_path: str, key: str = "
                 "key": batch.column("key"),
                 "n_tokens": pa.array(np.bincount(word_doc, minlength=len(docs)) + 1),
                 "n_known": pa.array(np.bincount(word_doc, known[at], len(docs)).astype(np.int64)),
-                "base": pa.array(np.bincount(word_doc, base[at], len(docs))),
+                "base": pa.array(np.bincount(word_doc, base[at], len(docs)).astype(float)),
                 "loose": pa.array(loose),
                 "lines": pa.ListArray.from_arrays(
                     pa.array(np.r_[0, np.cumsum(per_doc)].astype(np.int32)), parts)})
