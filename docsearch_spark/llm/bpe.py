@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsearch_spark.llm.util import documents, sliced
+from docsearch_spark.llm.util import documents, short_batches, sliced
 
 #: Entries of a task's table of encoded matches; a full table starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Longer matches are not kept.
 CACHE_BYTES = 64
 
@@ -135,6 +135,7 @@ def roundtrip(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
     ``ids`` is binary: little-endian unsigned 32-bit integers.
     """
+    short_batches(df.sparkSession)
     spark = df.sparkSession
     shipped = spark.sparkContext.broadcast(load_ranks(ranks_path))
     src = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsearch_spark.llm.util import documents, sliced
+from docsearch_spark.llm.util import documents, short_batches, sliced
 
 UNKNOWN = "und"
 #: Words of each label that the model is fitted on, and words of one window.
@@ -53,8 +53,10 @@ SEQUENCE, STEP, PASSES = 48, 32, 4
 LEXICON_COUNT = 3
 #: Steps of a piece of the chain, and entries of a task's table of scored words.
 PIECE = 256
-CACHE_WORDS = 500_000
-CACHE_GRAMS = 200_000
+CACHE_WORDS = 150_000
+CACHE_GRAMS = 100_000
+#: Words scored side by side.
+STEP_WORDS = 20_000
 EDGE = "\"'`.,;:!?()[]{}<>|*#%&$~_-+=/\\…«»„“”‚‘’¿¡"
 
 
@@ -316,7 +318,8 @@ class Labeller:
                     fresh.append(form)
                 index[w] = row
         if fresh:
-            self.scores = np.concatenate([self.scores, self.model.emission(fresh, self.grams)])
+            self.scores = np.concatenate([self.scores, *(self.model.emission(fresh[i:i + STEP_WORDS], self.grams)
+                                                         for i in range(0, len(fresh), STEP_WORDS))])
             self.letters = np.concatenate([self.letters, np.array([has_letter(w) for w in fresh], bool)])
         return np.array([index[w] for w in words], np.int64)
 
@@ -398,6 +401,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def label(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, spans): spans are runs of words with one label."""
+    short_batches(df.sparkSession)
     src = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = src.schema["key"].dataType.simpleString()
     shipped = src.sparkSession.sparkContext.broadcast(vars(model))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsearch_spark.llm.util import materialize, sliced
+from docsearch_spark.llm.util import materialize, short_batches, sliced
 
 QUOTED = re.compile(r"^((?:[ \t]*>)+)[ \t]?(.*)$", re.S)
 INTRODUCED = re.compile(r"\bwrote:\s*$")
@@ -172,6 +172,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     conv_id, turn, role, position, root_turn, level, parent_turn, n_passages,
     n_linked, max_depth, own_text.
     """
+    short_batches(messages.sparkSession)
     src = messages.select("conv_id", "turn", "role", "text")
     found = materialize(parsed(src), "parsed")
     links = materialize(link(found), "links")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsearch_spark.llm.util import documents, materialize, sliced
+from docsearch_spark.llm.util import documents, materialize, short_batches, sliced
 from docsearch_spark.llm.words import STEP, mix, named, utf8
 
 WINDOW = 13
@@ -226,6 +226,7 @@ def intervals(marks: DataFrame) -> DataFrame:
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept): ``kept`` holds the words that stay, one space between."""
+    short_batches(df.sparkSession)
     src = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     digests = materialize(src.where("text <> ''").select("doc_id", F.sha2("text", 256).alias("sha")), "digests")
     firsts = digests.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")

@@ -17,7 +17,7 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 
 #: Bytes of text that one step of a Python worker holds at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -52,6 +52,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that may go to every task: a few numbers each, so some MB at most.
+SMALL_ROWS = 400_000
+#: Records of an Arrow batch; texts are long, and the default holds ten times as many.
+BATCH_RECORDS = 1000
+
+
+def sized(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it has at most
+    ``rows`` rows; beyond that the planner shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in small batches, unless the session asks for another size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_RECORDS))
+
+
 def most_frequent(df: DataFrame, count: str, bound: int) -> DataFrame:
     """The rows with the largest ``count``, ``bound`` at most; ties go or stay together.
 
@@ -82,3 +101,4 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text",
                 start, held = i + 1, 0
         if start < len(sizes):
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker lives on for later tasks
