@@ -1409,7 +1409,7 @@ def q_evaluate(spark, sf):
     FROM ({_sql_vec_qrels()}) q JOIN r USING (query_id, doc_id)""")
 def q_full_ranking(spark, sf):
     """E5: position of every judged document in its query's full ranking (score
-    desc, id asc), counted by a broadcast scan; the ranking itself (all pairs)
+    desc, id asc), counted on the block grid; the ranking itself (all pairs)
     is never materialised."""
     v = tables.vectors(spark, sf)
     qrels = vec_qrels(spark, sf)
