@@ -11,16 +11,17 @@ pair is counted fragment by fragment and the partial counts are summed.
    all names, in order of frequency. Any total order gives the same result; this
    one keeps common passages out of the prefixes.
 3. Two sets of similarity s share a key among the first n - ceil(s n) + 1 of each.
-   Those prefixes are the postings, dealt by key and sorted by set size.
-4. Stars: along each list a document pairs with a few others that stand before
-   it and whose size allows a link; pairs that meet in too few lists are left
-   out. What verification confirms grows components. This costs a few rows a
-   posting, however large a group of near copies is.
+   Those prefixes are the postings, dealt by key.
+4. Stars: in each list every document pairs with a few leaders of the list that
+   are in another component; pairs that meet often enough are verified, and
+   confirmed links grow the components. A round costs a few rows a posting,
+   however large a group of near copies is, and joins most of it.
 5. Rest: in lists that still hold several components, the rows outside the
-   list's largest component are joined with the others. Only pairs of different
-   components come out, each once a common prefix key. With c common prefix keys
-   a pair's overlap is at most c plus the longer rest, which prunes nearly all.
-   After this step every link between different components is known.
+   list's largest component are joined with the others. A linked pair has a least
+   number of prefix keys in common (its overlap is at most those and the longer
+   rest), so of each side's keys the last few need no look, and pairs that meet
+   are counted exactly before they are verified. Only pairs of different
+   components come out; after this step no link between components is missing.
 6. Verification: both documents' segments of one fragment are intersected, and
    the counts summed over the fragments: 100 * overlap >= 80 * union.
 
@@ -42,16 +43,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch_spark.llm.components import components
-from docsearch_spark.llm.util import SIMILARITY_PERCENT, documents, materialize, sliced
+from docsearch_spark.llm.util import SIMILARITY_PERCENT, documents, materialize, most_frequent
+from docsearch_spark.llm.util import short_batches, sized, sliced
 from docsearch_spark.llm.words import shingle_sets, utf8
 
 #: Shingles whose place in the order follows their frequency.
 FREQUENT = 1 << 17
 #: A task reports a shingle that this many of its documents hold ...
-LOCAL_COUNT = 3
+LOCAL_COUNT = 2
 #: ... among at most this many shingles counted together.
-LOCAL_SHINGLES = 4_000_000
+LOCAL_SHINGLES = 1_000_000
 TOP = np.uint64(1 << 63)
+#: Rounds of stars, and the leaders of a list in each.
+ROUNDS, LEADERS = 1, 3
+#: How much more than the one before a leader may depart from the order of company.
+VARIETY = 0.05
 #: Fragments that hold the names; one more holds the frequent shingles.
 FRAGMENT_BITS = 2
 
@@ -116,50 +122,88 @@ def ordered_sets(texts: list[bytes], frequent: np.ndarray, rank: np.ndarray) ->
     return out
 
 
-def star(postings: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """Postings of lists of two and more, each with up to three documents before it.
+def in_company(postings: DataFrame) -> DataFrame:
+    """(key, n, doc) of the lists that hold two postings and more.
 
-    Expects rows dealt by key and sorted by (key, n, doc). Lists that reach over
-    Arrow batches go on with the last row of the batch before.
+    Expects rows dealt by key and sorted by key. A list may reach over Arrow
+    batches: the last row of one is looked at again with the next.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row (key, n, doc), and whether it went out
-
         for batch in batches:
-            key, n, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "doc"))
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "doc")]
             if held is not None:
-                key, n, doc = np.r_[held[0], key], np.r_[held[1], n], np.r_[held[2], doc]
+                cols = [np.r_[x, c] for x, c in zip(held, cols)]
+            key = cols[0]
             if not len(key):
                 continue
-            opens = np.r_[True, key[1:] != key[:-1]]
-            first = np.maximum.accumulate(np.where(opens, np.arange(len(key)), 0))
-            # the first row whose size allows a link: sizes ascend within a list
-            rows = np.arange(len(key))
-            low, high = first.copy(), rows.copy()
-            while (low < high).any():  # bisection, all rows at once
-                mid = (low + high) // 2
-                fits = n[mid] * 100 >= n * percent
-                high, low = np.where(fits, mid, high), np.where(fits, low, np.minimum(mid + 1, high))
-            span = rows - low
-            third = low + (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                           ).astype(np.int64) % np.maximum(span, 1)
-            shared = ~opens | np.r_[~opens[1:], False]
-            skip = 0 if held is None else int(held[3])
-            held = (key[-1], n[-1], doc[-1], bool(shared[-1]))
-            shared[:skip] = False
-            keep = np.flatnonzero(shared)
-            if not len(keep):
-                continue
-            has = span[keep] > 0
-            none = ~has
-            cols = {"key": pa.array(key[keep]), "n": pa.array(n[keep]), "doc": pa.array(doc[keep])}
-            for name, at in (("l1", low[keep]), ("l2", rows[keep] - 1), ("l3", third[keep])):
-                cols[name] = pa.array(doc[at], mask=none)
-                cols[name + "n"] = pa.array(n[at], mask=none)
-            yield pa.record_batch(cols)
+            same = np.r_[False, key[1:] == key[:-1]]
+            shared = same | np.r_[same[1:], False]
+            out = shared.copy()
+            if held is not None and held[3]:
+                out[0] = False
+            held = (*(c[-1] for c in cols), bool(shared[-1]) and (len(key) > 1 or bool(held and held[3])))
+            yield pa.record_batch([pa.array(c[out]) for c in cols], names=["key", "n", "doc"])
+
+    return postings.mapInArrow(run, "key bigint, n bigint, doc bigint")
+
+
+def rest_length(n: Column) -> Column:
+    """Keys of a set behind its prefix: ceil(80 % of n) - 1."""
+    return F.floor((F.lit(SIMILARITY_PERCENT) * n + 99) / 100) - 1
+
+
+def needed(na: str = "na", nb: str = "nb") -> Column:
+    """Prefix keys that linked sets of these sizes have in common at least.
+
+    Their overlap is at most the common prefix keys and the longer rest.
+    """
+    return least_overlap(F.col(na), F.col(nb)) - rest_length(F.greatest(na, nb))
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """Rows (d1, n1, d2, n2) whose sizes let link, as (a, na, b, nb) with a < b."""
+    first = F.col("d1") < F.col("d2")
+    fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * SIMILARITY_PERCENT
+    return rows.where(fits).select(
+        F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"),
+        F.when(first, F.col("n1")).otherwise(F.col("n2")).alias("na"),
+        F.when(first, F.col("n2")).otherwise(F.col("n1")).alias("nb"))
+
+
+def stars(lists: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each row with ``LEADERS`` others of its list and another component.
 
-    return postings.mapInArrow(run, "key bigint, n bigint, doc bigint, l1 bigint, l1n bigint, "
-                                    "l2 bigint, l2n bigint, l3 bigint, l3n bigint")
+    Leaders are the documents with the most company (``pull``), varied by a hash
+    of the round: of near copies those with the fewest edits, which link most, and
+    the same ones in most of their lists.
+    """
+    picks = []
+    for k in range(LEADERS):
+        vary = F.pmod(F.xxhash64("doc", F.lit(turn * LEADERS + k)), F.lit(1000)) / 1000
+        order = F.col("pull") * (1 - vary * VARIETY * (turn * LEADERS + k))
+        picks += [F.max_by(c, order).alias(f"{c}{k}") for c in ("doc", "n", "held", "component")]
+    rows = lists.join(lists.groupBy("key").agg(*picks), "key").select(
+        F.col("doc").alias("d1"), F.col("n").alias("n1"), F.col("held").alias("h1"), "component",
+        F.explode(F.array(*[
+            F.struct(F.col(f"doc{k}").alias("d2"), F.col(f"n{k}").alias("n2"), F.col(f"held{k}").alias("h2"),
+                     F.col(f"component{k}").alias("c2")) for k in range(LEADERS)])).alias("x"))
+    # who shares fewer keys with all others than a link needs is no partner
+    rows = rows.select("d1", "n1", "h1", "component", "x.*").where(
+        (F.col("component") != F.col("c2")) & (F.least("h1", "h2") >= needed("n1", "n2")))
+    return (paired(rows).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
+            .where(F.col("c") * 2 >= needed()).drop("c"))
+
+
+def labelled(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Postings (key, n, doc, pull, place, held, component) of the lists that hold several components."""
+    if label is None:
+        return shared.withColumn("component", F.col("doc"))
+    posted = materialize(shared.join(sized(label.withColumnRenamed("id", "doc")), "doc", "left").select(
+        "key", "n", "doc", "pull", "place", "held", F.coalesce("component", "doc").alias("component")), "posted")
+    several = posted.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
+        .where("x <> y").select("key")
+    return materialize(posted.join(several, "key"), "open")
 
 
 def verify(src: DataFrame, pairs: DataFrame, frequent, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -184,7 +228,7 @@ def verify(src: DataFrame, pairs: DataFrame, frequent, percent: int = SIMILARITY
                                    "fragment": pa.array(fragment, pa.int32()),
                                    "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-    segments = materialize(src.join(wanted, "doc_id", "left_semi").mapInArrow(
+    segments = materialize(src.join(sized(wanted), "doc_id", "left_semi").mapInArrow(
         cut, "doc bigint, fragment int, keys array<bigint>"), "segments")
     left = segments.select(F.col("doc").alias("a"), "fragment", F.col("keys").alias("ka"))
     right = segments.select(F.col("doc").alias("b"), "fragment", F.col("keys").alias("kb"))
@@ -198,14 +242,16 @@ def verify(src: DataFrame, pairs: DataFrame, frequent, percent: int = SIMILARITY
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id), one row per input row; see the module."""
     spark = df.sparkSession
+    short_batches(spark)
     src = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     told = materialize(describe(src), "sets")
     sets = told.where("sig IS NOT NULL").select("doc_id", "n", "sig")
     classes = materialize(sets.where("n > 0").groupBy("sig").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    common = (told.where("sig IS NULL").groupBy("key").agg(F.sum("seen").alias("seen"))
-              .orderBy(F.desc("seen"), "key").limit(FREQUENT).select("key").collect())
-    keys = np.array([r["key"] for r in common], np.int64).view(np.uint64)
+    common = sorted(((r["seen"], r["key"]) for r in most_frequent(
+        told.where("sig IS NULL").groupBy("key").agg(F.sum("seen").alias("seen")), "seen", FREQUENT).collect()),
+        reverse=True)
+    keys = np.array([key for _, key in common], np.int64).view(np.uint64)
     order = np.argsort(keys)
     # the most frequent has the highest rank
     rank = (np.uint64(len(keys)) - order.astype(np.uint64))
@@ -216,54 +262,49 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
             sets = ordered_sets(utf8(batch.column("text")), *frequent.value)
             yield pa.record_batch({
                 "rep": batch.column("doc_id"),
-                "prefix": pa.array([s[:prefix_length(len(s))].view(np.int64) if len(s) else None
+                "prefix": pa.array([(s[:prefix_length(len(s))] ^ TOP).view(np.int64) if len(s) else None
                                     for s in sets], pa.list_(pa.int64()))})
 
     reps = classes.select("rep", "n")
     postings = (src.mapInArrow(prefixes, "rep bigint, prefix array<bigint>").dropna(subset=["prefix"])
-                .join(reps, "rep").select(F.explode("prefix").alias("key"), "n", F.col("rep").alias("doc"))
-                .repartition("key").sortWithinPartitions("key", "n", "doc"))
-    shared = materialize(star(postings), "shared")
-    # common prefix keys that a linked pair has at least: overlap less the longer rest
-    rest = F.floor((F.lit(SIMILARITY_PERCENT) * F.greatest("na", "nb") + 99) / 100) - 1
-    need = least_overlap(F.col("na"), F.col("nb")) - rest
-    met = None
-    for name in ("l1", "l2", "l3"):
-        one = shared.where(F.col(name).isNotNull() & (F.col(name) != F.col("doc"))).select(
-            "key", F.least("doc", name).alias("a"), F.greatest("doc", name).alias("b"),
-            F.when(F.col("doc") < F.col(name), F.col("n")).otherwise(F.col(name + "n")).alias("na"),
-            F.when(F.col("doc") < F.col(name), F.col(name + "n")).otherwise(F.col("n")).alias("nb"))
-        met = one if met is None else met.unionByName(one)
-    # a pair may come twice from one list
-    pairs = materialize(met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
-                        .where(F.col("c") >= need).drop("c"), "star")
-    links = materialize(verify(src, pairs, frequent).select("a", "b"), "links")
-    label = components(links)
-
-    posted = shared.select("key", "n", "doc").join(
-        label.withColumnRenamed("id", "doc"), "doc", "left").select(
-        "key", "n", "doc", F.coalesce("component", "doc").alias("component"))
-    posted = materialize(posted, "posted")
-    several = posted.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
-        .where("x <> y").select("key")
-    open_lists = materialize(posted.join(several, "key"), "open")
-    held = open_lists.groupBy("key", "component").agg(F.count("*").alias("m"))
-    largest = held.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top")).select(
-        "key", F.col("top.component").alias("main"))
-    some = open_lists.join(largest, "key")
+                .join(sized(reps), "rep").select(F.explode("prefix").alias("key"), "n", F.col("rep").alias("doc"))
+                .repartition("key").sortWithinPartitions("key"))
+    shared = materialize(in_company(postings), "company")
+    # of each document: its prefix keys that others have too, in order, and its company,
+    # the mean size of their lists
+    sizes = shared.groupBy("key").agg(F.count("*").alias("m"))
+    own = materialize(shared.join(sizes, "key").groupBy("doc", "n").agg(
+        F.round(F.sum("m") * 16 / F.col("n")).cast("int").alias("pull"), F.sort_array(F.collect_list("key")).alias("keys")), "own")
+    shared = materialize(own.select("doc", "n", "pull", F.size("keys").alias("held"),
+                                    F.posexplode("keys").alias("place", "key")), "shared")
+    links, label, lists = None, None, labelled(shared, None)
+    for turn in range(ROUNDS):
+        pairs = materialize(stars(lists, turn), "stars")
+        found = materialize(verify(src, pairs, frequent).select("a", "b"), "links")
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+        lists = labelled(shared, label)
+        if found.limit(1).count() == 0:
+            break
+    # what the stars left: the rows outside a list's largest component with all others
+    held = lists.groupBy("key", "component").agg(F.count("*").alias("m"))
+    largest = held.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
+    some = lists.join(largest, "key")
     minor = some.where("component <> main").select(
-        "key", F.col("n").alias("n1"), F.col("doc").alias("d1"), F.col("component").alias("c1"))
-    every = some.select("key", F.col("n").alias("n2"), F.col("doc").alias("d2"),
-                        F.col("component").alias("c2"), (F.col("component") == F.col("main")).alias("main2"))
-    met = minor.join(every, "key").where(
-        (F.col("c1") != F.col("c2")) & (F.col("main2") | (F.col("d1") < F.col("d2")))
-        & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * SIMILARITY_PERCENT))
-    first = F.col("d1") < F.col("d2")
-    met = met.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"),
-                     F.when(first, F.col("n1")).otherwise(F.col("n2")).alias("na"),
-                     F.when(first, F.col("n2")).otherwise(F.col("n1")).alias("nb"))
-    left = materialize(met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
-                       .where(F.col("c") >= need).drop("c"), "rest")
+        "key", F.col("n").alias("n1"), F.col("held").alias("h1"), F.col("place").alias("p1"),
+        F.col("doc").alias("d1"), F.col("component").alias("c1"))
+    every = some.select("key", F.col("n").alias("n2"), F.col("held").alias("h2"), F.col("place").alias("p2"),
+                        F.col("doc").alias("d2"), F.col("component").alias("c2"),
+                        (F.col("component") == F.col("main")).alias("main2"))
+    # of the keys that either side has, the last needed() - 1 can be left out: one of
+    # the others is common
+    early = F.least(F.col("h1") - F.col("p1"), F.col("h2") - F.col("p2")) >= needed("n1", "n2")
+    rows = minor.join(every, "key").where(
+        (F.col("c1") != F.col("c2")) & (F.col("main2") | (F.col("d1") < F.col("d2"))) & early)
+    left = materialize(paired(rows).distinct(), "met")
+    keys = [own.select(F.col("doc").alias(x), F.col("keys").alias("k" + x)) for x in ("a", "b")]
+    left = materialize(left.join(keys[0], "a").join(keys[1], "b").where(
+        F.size(F.array_intersect("ka", "kb")) >= needed()).drop("ka", "kb"), "rest")
     links = links.unionByName(verify(src, left, frequent).select("a", "b"))
     label = components(links)
     by_sig = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
