@@ -10,11 +10,11 @@ product over its words; a word's sum comes from a forward recursion in log space
 
 Learning. The vocabulary's scores give the first weights. Expectation
 maximisation over the training words turns them into weights of this corpus:
-every distinct word counts with its uses in the whole corpus. First rounds run
-over a bounded sample of distinct words, the last one over all of them. Units of
-whole words and lines are discounted by ``DISCOUNT``, so that rare words still
-teach the pieces. Word and line tables stay distributed; one expected count for
-each vocabulary piece reaches the driver.
+every distinct word counts with its uses in the whole corpus, in each of the
+``ROUNDS`` rounds. Units of whole words and lines are discounted by ``DISCOUNT``,
+so that rare words still teach the pieces. Word and line tables stay distributed;
+a round hands the weights of the words' own units on in a table and brings one
+expected count for each vocabulary piece to the driver.
 
 Scoring. The ``HEAD_WORDS`` most frequent words (a fixed bound) go to every task;
 the other words, and the lines by their 64-bit names, meet their tables in
@@ -41,15 +41,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsearch_spark.llm.util import documents, materialize, most_frequent, short_batches, sliced
+from docsearch_spark.llm.util import BATCH_BYTES, documents, materialize, most_frequent, short_batches, sliced
 from docsearch_spark.llm.words import utf8
 
 MARK = "▁"
 DISCOUNT = 0.8
 #: Expected uses that every piece starts with.
 PIECE_PRIOR = 1e-3
-#: The first rounds run over this many distinct words, drawn by hash.
-SAMPLE_TYPES, SAMPLE_ROUNDS = 60_000, 6
+#: Rounds of expectation maximisation, each over all distinct training words.
+ROUNDS = 7
 #: Words that go to every task, and the least words of a line that is a unit.
 HEAD_WORDS = 150_000
 LINE_WORDS = 4
@@ -57,6 +57,8 @@ LINES = "array<struct<line:bigint,score:double,rare:array<string>>>"
 #: Entries of a task's partial counts, and lattice cells worked on at once.
 PARTIAL_UNITS = 300_000
 CELLS = 1 << 18
+#: Words whose lattices are worked on together: those of one length go side by side.
+STEP_WORDS = 30_000
 LOG10 = math.log(10.0)
 
 
@@ -94,7 +96,9 @@ class Lattice:
     STEP = np.uint64(0x9E3779B97F4A7C15)
     BITS = 20
 
-    def __init__(self, pieces: list[str], log_p: np.ndarray, by_byte: list[int]):
+    def __init__(self, pieces: list[str], log_p: np.ndarray, by_byte: list[int],
+                 placed: tuple[np.ndarray, np.ndarray, np.ndarray, int] | None = None):
+        """``placed``: the table of another lattice over the same pieces."""
         self.log_p = np.r_[np.asarray(log_p, float), -np.inf]  # the last: no such piece
         self.none = len(pieces)
         self.by_byte = by_byte
@@ -102,6 +106,15 @@ class Lattice:
         self.slots = np.zeros(1 << self.BITS, np.uint64)
         self.ids = np.full(1 << self.BITS, self.none, np.int32)
         self.probes = 1
+        if placed is None:
+            self._place(pieces)
+            at = np.flatnonzero(self.ids != self.none)
+            placed = at, self.slots[at], self.ids[at], self.probes
+        self.placed = placed
+        at, hashes, ids, self.probes = placed
+        self.slots[at], self.ids[at] = hashes, ids
+
+    def _place(self, pieces: list[str]) -> None:
         for i, piece in enumerate(pieces):
             if piece:
                 h = np.uint64(0)
@@ -206,7 +219,7 @@ class Lattice:
                     hit = np.flatnonzero(arc != self.none)
                     if len(hit):
                         via = self.log_p[arc[hit]] + beta[hit, i + size]
-                        uses += np.bincount(arc[hit], np.exp(alpha[hit, i] + via), len(uses))
+                        np.add.at(uses, arc[hit], np.exp(alpha[hit, i] + via))
                         acc[hit] = np.logaddexp(acc[hit], via)
                 beta[:, i] = acc
         return uses[:-1], kept
@@ -262,60 +275,68 @@ def count_units(df: DataFrame, text: str = "text", train: str = "train") -> Data
     return df.select(text, train).mapInArrow(run, "word string, line bigint, n bigint, c bigint")
 
 
-def whole_logs(batch: pa.RecordBatch) -> np.ndarray:
-    """The column of whole-word log weights; null: no such unit."""
-    own = batch.column("whole").to_numpy(zero_copy_only=False).astype(float)
-    return np.where(np.isnan(own), -np.inf, own)
+def whole_logs(uses: np.ndarray, mass: float) -> np.ndarray:
+    """Log weights of the words' own units; no uses: no such unit."""
+    with np.errstate(divide="ignore"):
+        return np.log(uses) - math.log(mass)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of words put together to about ``STEP_WORDS`` rows or ``BATCH_BYTES``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= STEP_WORDS or sum(b.nbytes for b in held) >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def learn(words: DataFrame, ends: int, line_mass: float, pieces: list[str],
           log_p: list[float], by_byte: list[int]) -> tuple[np.ndarray, DataFrame, float]:
     """(log weights of the pieces, (word, uses of the whole word), total mass).
 
-    First rounds run over a bounded sample of distinct words, the last one over
-    every distinct training word.
+    Every round runs over every distinct training word.
     """
     spark = words.sparkSession
     seen = words.where("c > 0")
-    total = seen.agg(F.sum("c").alias("c"), F.count("*").alias("v")).first()
-    tokens, share = total["c"] or 0, min(1.0, SAMPLE_TYPES / max(1, total["v"]))
-    sample = sorted((r["word"], r["c"]) for r in seen.select("word", "c").where(
-        F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SAMPLE_TYPES).collect())
-    names, c = [w for w, _ in sample], np.array([n for _, n in sample], float)
-    weights = np.array(log_p) + math.log(0.5)
-    whole = np.full(len(c), -np.inf)
-    whole[c > 1] = np.log((c[c > 1] - DISCOUNT) / max(1.0, c.sum())) + math.log(0.5)
-    for _ in range(SAMPLE_ROUNDS if names else 0):
-        uses, kept = Lattice(pieces, weights, by_byte).expected(names, c, whole)
-        uses, kept = uses + PIECE_PRIOR, np.maximum(0.0, kept - DISCOUNT)
-        mass = uses.sum() + kept.sum()
-        with np.errstate(divide="ignore"):
-            weights, whole = np.log(uses / mass), np.log(kept / mass)
-    shipped = spark.sparkContext.broadcast((pieces, weights, by_byte))
-    unit = math.log(max(1, tokens + ends))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*shipped.value)
-        uses = np.zeros(lattice.none)
-        for batch in batches:
-            c = batch.column("c").to_numpy(zero_copy_only=False).astype(float)
-            own = np.where(c > 1, np.log(np.maximum(c - DISCOUNT, 1e-9)) - unit, -np.inf)
-            got, kept = lattice.expected(batch.column("word").to_pylist(), c, own)
-            uses += got
-            yield pa.record_batch({"word": batch.column("word"), "piece": pa.nulls(len(c), pa.int32()),
-                                   "uses": pa.array(np.maximum(0.0, kept - DISCOUNT))})
-        used = np.flatnonzero(uses)
-        yield pa.record_batch({"word": pa.nulls(len(used), pa.string()),
-                               "piece": pa.array(used.astype(np.int32)), "uses": pa.array(uses[used])})
-
-    counted = materialize(seen.select("word", "c").mapInArrow(
-        run, "word string, piece int, uses double"), "expected")
-    uses = np.full(len(pieces), PIECE_PRIOR)  # every piece stays possible
-    for r in counted.where("piece IS NOT NULL").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
-        uses[r["piece"]] += r["uses"]
-    wholes = counted.where("piece IS NULL AND uses > 0").select("word", "uses")
-    mass = uses.sum() + (wholes.agg(F.sum("uses").alias("u")).first()["u"] or 0.0) + line_mass + ends + 1
-    return np.log(uses / mass), wholes, float(mass)
+    tokens = seen.agg(F.sum("c").alias("c")).first()["c"] or 0
+    weights, mass = np.array(log_p) + math.log(0.5), float(max(1, tokens + ends))
+    placed = Lattice(pieces, weights, by_byte).placed
+    # words used once have no unit of their own in any round
+    once = seen.where("c = 1").select("word", "c", F.lit(0.0).alias("uses"))
+    several = seen.where("c > 1").select("word", "c", ((F.col("c") - DISCOUNT) / 2).alias("uses"))
+    for _ in range(ROUNDS):
+        shipped = spark.sparkContext.broadcast((pieces, weights, by_byte, placed))
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, mass=mass) -> Iterator[pa.RecordBatch]:
+            lattice = Lattice(*shipped.value)
+            uses = np.zeros(lattice.none)
+            for batch in gathered(batches):
+                c = batch.column("c").to_numpy(zero_copy_only=False).astype(float)
+                own = whole_logs(batch.column("uses").to_numpy(zero_copy_only=False), mass)
+                got, kept = lattice.expected(batch.column("word").to_pylist(), c, own)
+                uses += got
+                more = pa.array(c > 1)
+                word, c = batch.column("word").filter(more), batch.column("c").filter(more)
+                yield pa.record_batch({
+                    "word": word, "c": c, "piece": pa.nulls(len(word), pa.int32()),
+                    "uses": pa.array(np.maximum(0.0, kept - DISCOUNT)).filter(more)})
+            used = np.flatnonzero(uses)
+            yield pa.record_batch({"word": pa.nulls(len(used), pa.string()), "c": pa.nulls(len(used), pa.int64()),
+                                   "piece": pa.array(used.astype(np.int32)), "uses": pa.array(uses[used])})
+
+        counted = materialize(once.unionByName(several).mapInArrow(
+            run, "word string, c bigint, piece int, uses double"), "expected")
+        uses = np.full(len(pieces), PIECE_PRIOR)  # every piece stays possible
+        for r in counted.where("piece IS NOT NULL").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
+            uses[r["piece"]] += r["uses"]
+        several = counted.where("piece IS NULL").select("word", "c", "uses")
+        mass = float(uses.sum() + (several.agg(F.sum("uses").alias("u")).first()["u"] or 0.0)
+                     + line_mass + ends + 1)
+        weights = np.log(uses / mass)
+    return weights, several.where("uses > 0").select("word", "uses"), mass
 
 
 def score_documents(df: DataFrame, train: Column, pieces_path: str, key: str = "doc_id",
@@ -338,18 +359,19 @@ def score_documents(df: DataFrame, train: Column, pieces_path: str, key: str = "
     pieces, log_p, by_byte = load_pieces(pieces_path)
     line_mass = lines.agg(F.sum("uses").alias("u")).first()["u"] or 0.0
     weights, wholes, mass = learn(words, trained, line_mass, pieces, log_p, by_byte)
-    table = words.join(wholes, "word", "left").withColumn("whole", F.log(F.col("uses") / F.lit(mass)))
+    table = words.join(wholes, "word", "left").select("word", "n", "c", F.coalesce("uses", F.lit(0.0)).alias("uses"))
     end = math.log10((trained + 1) / mass)
     shipped = spark.sparkContext.broadcast((pieces, weights, by_byte))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shipped.value)
-        for batch in batches:
-            logs = np.logaddexp(lattice.log_sums(batch.column("word").to_pylist()), whole_logs(batch))
+        for batch in gathered(batches):
+            own = whole_logs(batch.column("uses").to_numpy(zero_copy_only=False), mass)
+            logs = np.logaddexp(lattice.log_sums(batch.column("word").to_pylist()), own)
             yield pa.record_batch({"word": batch.column("word"), "n": batch.column("n"),
                                    "c": batch.column("c"), "log_p": pa.array(logs / LOG10)})
 
-    scored = materialize(table.select("word", "n", "c", "whole").mapInArrow(
+    scored = materialize(table.mapInArrow(
         weigh, "word string, n bigint, c bigint, log_p double"), "scored")
     head = most_frequent(scored, "n", HEAD_WORDS).collect()
     sent = spark.sparkContext.broadcast(([r["word"].encode() for r in head],

@@ -171,6 +171,28 @@ def test_lattice_base_scores_equal_brute_force(spark):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_every_round_sees_every_word(spark):
+    """More distinct words than any fixed sample would hold: EM over all of them, in plain numpy."""
+    pieces = ["▁", *"abcdefghijklmnop", "▁ab", "cd", "fgh", "no", "kl"] + [""] * 256
+    by_byte = list(range(len(pieces) - 256, len(pieces)))
+    log_p = np.log(np.random.default_rng(4).dirichlet(np.ones(len(pieces))))
+    names = ["".join(x) for x in itertools.islice(itertools.product("abcdefghijklmnop", repeat=5), 0, 1 << 20, 13)]
+    c = np.array([1 + i % 3 for i in range(len(names))], float)
+    ends, line_mass = 500, 20.0
+    weights, mass, own = log_p + math.log(0.5), c.sum() + ends, np.where(c > 1, (c - 0.8) / 2, 0.0)
+    for _ in range(7):
+        with np.errstate(divide="ignore"):
+            uses, kept = lattice.Lattice(pieces, weights, by_byte).expected(names, c, np.log(own / mass))
+        own, uses = np.maximum(0.0, kept - lattice.DISCOUNT), uses + lattice.PIECE_PRIOR
+        mass = uses.sum() + own.sum() + line_mass + ends + 1
+        weights = np.log(uses / mass)
+    words = spark.createDataFrame(list(zip(names, c.astype(int).tolist())), "word string, c bigint")
+    got, wholes, total = lattice.learn(words, ends, line_mass, pieces, log_p.tolist(), by_byte)
+    assert len(names) > 80_000 and math.isclose(total, mass, rel_tol=1e-9)
+    assert np.allclose(got, weights, atol=1e-9)
+    assert math.isclose(sum(r.uses for r in wholes.collect()), own.sum(), rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_lattice_prefers_text_to_noise(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
     text = docs.where("doc_id = 28").first().text[:400]
