@@ -27,8 +27,9 @@ pair is counted fragment by fragment and the partial counts are summed.
 
 Defined cases: null or empty text: no shingles, linked with nothing, its own
 component; fewer than five words: one shingle, the whole sequence; repeated rows
-and equal texts are one class; an empty table gives an empty table; other
-columns are ignored. Names are 63 bits of a mixed hash: only a collision inside
+and equal texts are one class; a doc_id with several texts is one document, told by
+the longest of them (white space aside; ties: the last in order), and all its rows
+get its component; an empty table gives an empty table; other columns are ignored. Names are 63 bits of a mixed hash: only a collision inside
 one pair could change its counts.
 """
 
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch_spark.llm.components import components
-from docsearch_spark.llm.util import SIMILARITY_PERCENT, documents, materialize, most_frequent
+from docsearch_spark.llm.util import SIMILARITY_PERCENT, SPACE_CLASS, documents, materialize, most_frequent
 from docsearch_spark.llm.util import short_batches, sized, sliced
 from docsearch_spark.llm.words import shingle_sets, utf8
 
@@ -239,6 +240,14 @@ def verify(src: DataFrame, pairs: DataFrame, frequent, percent: int = SIMILARITY
                         >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
+def one_text(src: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ``repeated`` documents, one row each."""
+    plain = F.length(F.regexp_replace("text", SPACE_CLASS, ""))
+    return src.join(sized(repeated), "doc_id", "left_semi").withColumn(
+        "text", F.coalesce("text", F.lit(""))).groupBy("doc_id").agg(
+        F.max(F.struct(plain.alias("size"), "text")).alias("x")).select("doc_id", "x.text")
+
+
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id), one row per input row; see the module."""
     spark = df.sparkSession
@@ -246,7 +255,18 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     src = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     told = materialize(describe(src), "sets")
     sets = told.where("sig IS NOT NULL").select("doc_id", "n", "sig")
-    classes = materialize(sets.where("n > 0").groupBy("sig").agg(
+    # from here on every document has one row; repeated rows come back at the end
+    repeated = materialize(sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m"))
+                           .where("m > 1").select("doc_id"), "repeated")
+    single = sets
+    if repeated.limit(1).count():
+        chosen = materialize(one_text(src, repeated), "chosen")
+        src = src.join(sized(repeated), "doc_id", "left_anti").unionByName(chosen)
+        counted = materialize(describe(chosen).where("sig IS NOT NULL").select("doc_id", "n", "sig"), "counted")
+        single = sets.join(sized(repeated), "doc_id", "left_anti").unionByName(counted)
+        sets = sets.join(counted.select("doc_id", F.col("sig").alias("own")), "doc_id", "left").select(
+            "doc_id", "n", F.coalesce("own", "sig").alias("sig"))
+    classes = materialize(single.where("n > 0").groupBy("sig").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     common = sorted(((r["seen"], r["key"]) for r in most_frequent(
         told.where("sig IS NULL").groupBy("key").agg(F.sum("seen").alias("seen")), "seen", FREQUENT).collect()),
@@ -311,7 +331,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
         "sig", F.coalesce("component", "rep").alias("component"))
     return sets.join(by_sig, "sig", "left").select(
         F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,29 @@ def test_components_of_a_long_chain(spark):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == want
 
 
+def test_repeated_rows_give_no_false_links(spark):
+    """Half-equal pairs, both sides twice; then documents with a second text."""
+    def some(n, name):
+        return [f"{name}x{i}" for i in range(n)]
+
+    ones = [(k, " ".join(some(49, f"both{k}") + some(55, f"a{k}"))) for k in range(12)]
+    twos = [(100 + k, " ".join(some(49, f"both{k}") + some(55, f"b{k}"))) for k in range(12)]
+    near = [(200, ones[0][1] + " more"), (201, None), (201, ""), (201, " \n")]
+    docs = ones + ones + twos + twos + near
+    want = components(docs)
+    assert want[0][1] == want[200][1] == 0 and want[100][1] == 100
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartitionByRange(8, "doc_id")
+    got = vertical.similar_components(df).collect()
+    assert len(got) == len(docs)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, n, c) for d, (n, c) in want.items()}
+    # the longest text tells the document
+    second = spark.createDataFrame([(0, "short text"), (300, "short text"), (100, " " * 5000)],
+                                   "doc_id bigint, text string")
+    got = vertical.similar_components(df.unionByName(second)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, c) for d, (_, c) in want.items()} | {(300, 300)}
+    assert sorted(r.n_shingles for r in got if r.doc_id == 0) == [1, 100, 100]
+
+
 # ---- substring dedup
 
 @settings(max_examples=80, deadline=None)
