@@ -1,11 +1,13 @@
 """Operator 1: word-level language ID with a linear-chain conditional random field.
 
-Words are white-space runs. A word's features are its affixes, its letter
+Words are white-space runs; a run of more than ``LONG`` characters (text without
+spaces) is cut into consecutive parts, each a position of the chain like a word, in
+fitting and in labelling. A word's features are its affixes, its letter
 n-grams (both hashed), and lexicon features (languages whose frequent words hold
 it). Together with learned start and transition weights they score label
 sequences; forward-backward gives every word's marginal for every language, so a
-code-switched text gets a label per word. Runs of equal labels are the spans; a
-text's language is the one with the largest sum of marginals over words that
+code-switched text gets a label per word. Runs of equal labels are the spans, told
+by words; a long run whose parts differ stands in the spans of each. A text's language is the one with the largest sum of marginals over words that
 have a letter, and its score is that sum's share.
 
 Fitting. Documents with a non-null label train. The sample is bounded:
@@ -45,6 +47,8 @@ UNKNOWN = "und"
 #: Words of each label that the model is fitted on, and words of one window.
 SAMPLE_WORDS = 24_000
 WINDOW = 16
+#: Characters of a part of a long run.
+LONG = 62
 #: Hash buckets of the affix and n-gram features.
 BUCKETS = 1 << 16
 #: Words of a training sequence, sequences of a step, and passes over the sample.
@@ -69,6 +73,21 @@ def has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
 
+def positions(text: str) -> tuple[list[str], list[int] | None]:
+    """(words and parts of long runs, the word of each; None: all are words)."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONG:
+        return words, None
+    parts: list[str] = []
+    owner: list[int] = []
+    for i, w in enumerate(words):
+        inner = w.strip(EDGE) if len(w) > LONG else w
+        cut = [w] if len(inner) <= LONG else [inner[k:k + LONG] for k in range(0, len(inner), LONG)]
+        parts += cut
+        owner += [i] * len(cut)
+    return parts, owner
+
+
 class Grams(dict):
     """n-gram -> hash bucket, computed once; a full table starts afresh."""
 
@@ -82,8 +101,6 @@ class Grams(dict):
 def word_features(word: str, grams: Grams) -> list[int]:
     """Hashed affixes and n-grams of a lower-cased word without edge signs."""
     w = f"^{word}$"
-    if len(w) > 64:  # a monster is told by its ends
-        w = w[:32] + w[-32:]
     n = len(w)
     parts = [f"a{w[:k]}" for k in (2, 3, 4)] + [f"z{w[-k:]}" for k in (2, 3, 4)]
     ids = [grams[x] for x in parts]
@@ -325,7 +342,8 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple]:
         """(label, score, spans) of each text."""
-        split = [(t or "").split() for t in texts]
+        cut = [positions(t or "") for t in texts]
+        split = [parts for parts, _ in cut]
         rows = self._rows([w for words in split for w in words])
         ends = np.cumsum([len(w) for w in split])
         first = np.zeros(len(rows), bool)
@@ -340,7 +358,7 @@ class Labeller:
         mass = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p * letters[:, None], axis=0)])
         sure = np.r_[0.0, np.cumsum(p.max(axis=1))]
         out, labels = [], self.model.labels
-        for e, words in zip(ends, split):
+        for e, (words, owner) in zip(ends, cut):
             s = e - len(words)
             total = mass[e] - mass[s]
             if not letters[s:e].any():
@@ -351,6 +369,9 @@ class Labeller:
             stops = np.r_[runs[a + 1:b], e]
             spans = [{"start": int(x - s), "end": int(y - s), "lang": labels[best[x]],
                       "p": float((sure[y] - sure[x]) / (y - x))} for x, y in zip(runs[a:b], stops)]
+            if owner is not None:  # from positions to words
+                for span in spans:
+                    span["start"], span["end"] = owner[span["start"]], owner[span["end"] - 1] + 1
             out.append((labels[k], float(min(1.0, max(0.0, total[k] / total.sum()))), spans))
         return out
 
@@ -377,7 +398,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         for batch in sliced(batches):
             out: dict[str, list] = {"lang": [], "words": [], "at": []}
             for r in batch.to_pylist():
-                words = r["text"].split()
+                words, _ = positions(r["text"])
                 if words:
                     h = zlib.crc32(r["id"].encode() if r["id"] else b"")
                     s = h % max(1, len(words) - WINDOW + 1)

@@ -108,6 +108,27 @@ def test_code_switched_text_gets_spans_of_both_languages(spark):
     assert by_word[:40].count("en") >= 36 and by_word[40:].count("de") >= 36
 
 
+def test_a_run_without_spaces_counts_whole():
+    """The ends of a long run are of one language, all between of another."""
+    en = "the quick brown fox jumps over lazy dogs while this water with them thought".split()
+    de = "der schnelle braune fuchs springt über zwölf faule hunde während dieses wasser".split()
+    rng = random.Random(6)
+
+    def some(words, n):
+        return [rng.choice(words) for _ in range(n)]
+
+    model = langid.fit([(lang, some(words, 16)) for lang, words in (("en", en), ("de", de)) for _ in range(60)])
+    run = "".join(some(en, 14)) + "".join(some(de, 200)) + "".join(some(en, 14))
+    found = langid.Labeller(model).label([run, "the " + run + " fox", " ".join(en), "." * 100])
+    assert found[0][0] == "de" and found[0][1] > 0.7
+    assert [(x["start"], x["end"], x["lang"]) for x in found[0][2]] == [(0, 1, "en"), (0, 1, "de"), (0, 1, "en")]
+    assert found[1][0] == "de"
+    assert [(x["start"], x["end"], x["lang"]) for x in found[1][2]] == [(0, 2, "en"), (1, 2, "de"), (1, 3, "en")]
+    assert found[2][0] == "en" and found[3][0] == langid.UNKNOWN
+    parts, owner = langid.positions("a " + run)
+    assert "".join(parts[1:]) == run and owner == [0] + [1] * (len(parts) - 1)
+
+
 def test_language_id_edge_rows(edge):
     got = rows(langid.identify(edge))
     assert len(got) == len(EDGE_ROWS)
