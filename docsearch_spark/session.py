@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -48,23 +49,33 @@ def get_spark(app: str = "docsearch_spark", master: str | None = None,
     return spark
 
 
+#: Application id -> private folder, for local sessions without the setting (which
+#: cannot be set on a running session).
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins, and a cluster must have one: a folder of
-    one machine would be invisible to the others. Only a local master gets a
-    private folder under the system temp directory.
+    one machine would be invisible to the others. Only a local master may go
+    without; it gets a private folder under the system temp directory, the same one
+    for the life of the application.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        # local-cluster has executors of its own, with folders of their own
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        conf = tempfile.mkdtemp(prefix="docsearch-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    spark.sparkContext.setCheckpointDir(conf)
-    return conf
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="docsearch-ckpt-")
+            spark.sparkContext.setCheckpointDir(_LOCAL_FOLDERS[app])
+        return _LOCAL_FOLDERS[app]
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

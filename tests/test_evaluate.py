@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from sf_paths import SF01
 from docsearch_spark.operators import evaluate as E
 from docsearch_spark.operators import search
 

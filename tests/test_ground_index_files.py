@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from sf_paths import SF001
 from docsearch_spark.operators import ground as G
 from docsearch_spark.operators import index as IX
 from docsearch_spark.sources import files as FS

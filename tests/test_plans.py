@@ -1,7 +1,7 @@
 """Every registered query plans without cross joins (Cartesian product or
 broadcast nested-loop join)."""
 
-from conftest import SF001
+from sf_paths import SF001
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
 

@@ -4,7 +4,7 @@ slicing of the broadcast side, and plan shapes."""
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from sf_paths import SF01
 from docsearch_spark.operators import search
 
 

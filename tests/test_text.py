@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from sf_paths import SF01
 from docsearch_spark.functions.text import normalize_ws, py_strip, uuid_from
 from docsearch_spark.operators import chunking
 
