@@ -5,21 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-EDGE_ROWS = [
-    # doc_id, text, lang, source
-    (0, "The quick brown fox jumps over the lazy dog near the old river bank today.", "en", "a"),
-    (1, "The quick brown fox  jumps over the lazy dog near the old river bank today. ", "en", "a"),
-    (2, None, None, None),
-    (3, "", "en", "b"),
-    (4, " \t\n", None, "b"),
-    (5, "word", "en", "b"),
-    (6, "!!! ### 123", "en", "b"),
-    (7, "é" * 3 + "ß 日本語 naïve space\x1cfs", "fr", "b"),
-    (8, "ab " * 6000, "en", "c"),
-    (9, "x" * 20000, "en", "c"),
-    (10, "same words here and there again and again until the very end of it all", "en", "c"),
-    (11, "same words here and there again and again until the very end of it all", "en", "c"),
-]
+from llm_helpers import EDGE_ROWS  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -30,7 +16,3 @@ def edge(spark):
     for name in ("key", "n", "size", "shard", "word", "rep", "sha", "at", "score", "row", "id"):
         docs = docs.withColumn(name, F.lit("x"))
     return docs
-
-
-def rows(df, key="doc_id"):
-    return {r[key]: r for r in df.collect()}

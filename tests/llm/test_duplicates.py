@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from brute import components, contained, exact, repeats
-from conftest import EDGE_ROWS, rows
+from llm_helpers import EDGE_ROWS, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

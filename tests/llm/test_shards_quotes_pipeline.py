@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 from brute import components, contained, exact
-from conftest import EDGE_ROWS, rows
+from llm_helpers import EDGE_ROWS, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

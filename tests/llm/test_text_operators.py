@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from brute import base_scores
-from conftest import EDGE_ROWS, rows
+from llm_helpers import EDGE_ROWS, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
