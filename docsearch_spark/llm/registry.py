@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docsearch_spark.llm import (bpe, decontaminate, langid, lattice, licenses, quotes, quotient, recompress,
-                                 sharding, vertical)
+from docsearch_spark.llm import (balance, bpe, collocations, decontaminate, infill, langid, lattice, licenses, quotes,
+                                 quotient, recompress, sharding, vertical)
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -16,10 +16,15 @@ QUERIES = {
     "op8_jaccard_join": vertical.op8_jaccard_join,
     "op9_substring_dedup": recompress.op9_substring_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_entropy_mix": balance.op11_entropy_mix,
+    "op12_fill_in_middle": infill.op12_fill_in_middle,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": quotient.OP3_SQL,
     "op5_license_scan": licenses.OP5_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op12_fill_in_middle": infill.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
