@@ -221,7 +221,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     duals = multipliers(classes, sources, most)
     rate = F.least(F.lit(float(most)), F.exp(F.col("lambda") * F.col("size") / F.col("scale")))
     rated = classes.join(duals, SOURCE, "left").select(
-        *SOURCE, "size", "n", F.coalesce(rate, F.lit(1.0)).alias("rate"))
+        *SOURCE, "size", "n", F.when(F.col("lambda").isNull(), 1.0).otherwise(rate).alias("rate"))
     copies = class_copies(materialize(rated, "rates"), sources, most)
     return (dealt(rows, copies).join(sources.select(*SOURCE, "total", "target"), SOURCE)
             .select(F.col("id").alias(key), "size", F.col("total").alias("source_size"), "target", "rate",
