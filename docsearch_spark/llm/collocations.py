@@ -173,10 +173,12 @@ def full_buckets(src: DataFrame, count: int, least: int) -> np.ndarray:
             values = np.repeat(values, np.minimum(times, least))
             part = values // PART_BUCKETS
             borders = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-            low = (values % PART_BUCKETS).astype("<u2")
+            # steps between sorted numbers, upper bytes first: most are zero, and shrink
+            low = [np.diff(x, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T[::-1].tobytes()
+                   for x in np.split(values % PART_BUCKETS, borders[1:])][:len(borders)]
             yield pa.record_batch({
                 "part": pa.array(part[borders], pa.int32()),
-                "low": pa.array([x.tobytes() for x in np.split(low, borders[1:])][:len(borders)], pa.binary())})
+                "low": pa.array(low, pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums = None, np.zeros(PART_BUCKETS, np.int64)
@@ -191,7 +193,8 @@ def full_buckets(src: DataFrame, count: int, least: int) -> np.ndarray:
                     if now is not None:
                         yield close()
                     now, sums = part, np.zeros(PART_BUCKETS, np.int64)
-                sums += np.bincount(np.frombuffer(low, "<u2"), minlength=PART_BUCKETS)
+                steps = np.frombuffer(low, np.uint8).reshape(2, -1).astype(np.int64)
+                sums += np.bincount(np.cumsum(steps[0] * 256 + steps[1]), minlength=PART_BUCKETS)
         if now is not None:
             yield close()
 
@@ -354,7 +357,7 @@ def collocations(df: DataFrame, lang: str = "lang", text: str = "text", least: i
     short_batches(df.sparkSession)
     src = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"),
                     F.coalesce(F.col(text), F.lit("")).alias("text")).where("text <> ''")
-    windows = materialize(window_stream(src, least), "windows")
+    windows = materialize(window_stream(src, least), "windows", "zstd")
     counted = materialize(phrases(windows, least), "phrases")
     found = materialize(candidates(counted, drop_percent), "candidates")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
