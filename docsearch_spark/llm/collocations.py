@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -107,8 +108,12 @@ class Words:
         size = ends - starts + 1
         self.at = np.r_[0, np.cumsum(size)]
         coded = strings(self.flat, self.at).dictionary_encode()
-        self.code = coded.indices.to_numpy()
-        every = coded.dictionary.to_pylist()
+        # numbers by the words' order, so that windows come out sorted and compress well
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.zeros(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.code = place[coded.indices.to_numpy()]
+        every = coded.dictionary.take(pa.array(order)).to_pylist()
         self.name = np.fromiter(map(xxhash.xxh3_64_intdigest, every), np.uint64, len(every))
         self.langs, number = np.unique(np.array(langs, object), return_inverse=True)
         borders = np.cumsum([len(t) + 1 for t in texts])
