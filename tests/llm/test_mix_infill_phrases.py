@@ -231,7 +231,9 @@ def test_runs_of_any_partitions_sum_to_the_counts(windows, cuts, least):
 
 def test_cut_scores_are_exact_beyond_64_bits():
     a = 10 ** 17
-    assert collocations.lowest_cut(a, [a + 1, a + 2], [a, a]) == (2000000 * a // (2 * a + 2), a + 2, a)
+    # both cuts score 999999 after flooring (a double would say 1000000): the first counts
+    assert collocations.lowest_cut(a, [a + 1, a + 2], [a, a]) == (999999, a + 1, a)
+    assert collocations.lowest_cut(a, [a, a * 3], [a, a]) == (500000, a * 3, a)
     assert collocations.lowest_cut(1, [5, 5], [5, 5]) == (200000, 5, 5)
 
 
