@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsearch_spark.functions.text import uuid_from
-from docsearch_spark.operators import chunking, embed
+from docsearch_spark.operators import chunking, embed, store
 from docsearch_spark.session import scratch_path
 from docsearch_spark.sources.files import path_exists, read_documents
 from docsearch_spark.schemas import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, EMBED_DIM, INDEX
@@ -42,13 +42,19 @@ def chunk_documents(documents: DataFrame, size: int = DEFAULT_CHUNK_SIZE,
 
 
 def build_index(documents: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
-                dim: int = EMBED_DIM, n_buckets: int = DEFAULT_BUCKETS, dense: bool = True) -> DataFrame:
-    """D5 as a DataFrame: chunk, embed (default provider), bucket.
-
-    Narrow: parallelism follows the input's splits. Rows are dealt to buckets
-    where they are written (:func:`write_index`).
+                dim: int = EMBED_DIM, n_buckets: int = DEFAULT_BUCKETS, dense: bool = True,
+                provider_factory=None, vectors: str | None = None) -> DataFrame:
+    """D5 as a DataFrame: chunk, embed, bucket.
+
+    With the default embedder this is narrow: parallelism follows the input's splits.
+    A ``provider_factory`` embeds with another model, through the content store at
+    ``vectors`` if there is one, so that only contents it has not seen are sent. Rows are
+    dealt to buckets where they are written (:func:`write_index`).
     """
     ch = chunk_documents(documents, size, overlap).withColumn("bucket", doc_bucket("doc_id", n_buckets))
+    if provider_factory is not None:
+        return (store.embed_through_store(ch, "content", provider_factory, vectors) if vectors
+                else embed.embed_with_provider(ch, "content", provider_factory))
     out = embed.embed_sparse(ch, "content", dim)
     if dense:
         out = embed.densify_batches(out, "sv_idx", "sv_val", dim, "embedding")
@@ -123,13 +129,18 @@ def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def reingest(spark, index_path: str, new_documents: DataFrame, staging_path: str,
              size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
-             dim: int = EMBED_DIM, n_buckets: int = DEFAULT_BUCKETS) -> None:
+             dim: int = EMBED_DIM, n_buckets: int = DEFAULT_BUCKETS,
+             provider_factory=None, vectors: str | None = None) -> None:
     """D2 on storage: read only the touched buckets (partition pruning), replace
-    the documents, stage the result, then overwrite just those buckets.
+    the documents, stage the result, then overwrite just those buckets. New vectors are
+    checked first (C5): a wrong one fails the job before anything is written.
 
-    Staging first means the path being read is never overwritten while read.
+    Staging first means the path being read is never overwritten while read. Readers of
+    the path can see some buckets before and some after; where that matters, use
+    ``streaming.ingest.replace_documents``, which commits through a manifest.
     """
-    new_idx = build_index(new_documents, size, overlap, dim, n_buckets)
+    new_idx = accepted(build_index(new_documents, size, overlap, dim, n_buckets,
+                                   provider_factory=provider_factory, vectors=vectors), dim)
     touched = [r["bucket"] for r in new_documents.select(doc_bucket("doc_id", n_buckets).alias("bucket"))
                .distinct().collect()]  # at most n_buckets small ints
     old = spark.read.parquet(index_path).filter(F.col("bucket").isin(touched))
@@ -141,21 +152,23 @@ def reingest(spark, index_path: str, new_documents: DataFrame, staging_path: str
 
 def ingest_files(spark, root: str, index_path: str, size: int = DEFAULT_CHUNK_SIZE,
                  overlap: int = DEFAULT_CHUNK_OVERLAP, dim: int = EMBED_DIM,
-                 n_buckets: int = DEFAULT_BUCKETS) -> None:
+                 n_buckets: int = DEFAULT_BUCKETS, provider_factory=None, vectors: str | None = None) -> None:
     """D5 from files: scan, decode and route (A1, A2, A4), chunk and embed (B1-B3, C1,
     D1), check the vectors (C5), and write; files that the index already holds are
-    replaced by document (D2)."""
+    replaced by document (D2). ``vectors`` is the content store of ``provider_factory``."""
     documents = read_documents(spark, root)
     if path_exists(spark, index_path):
-        reingest(spark, index_path, documents, scratch_path(spark, "stage"), size, overlap, dim, n_buckets)
+        reingest(spark, index_path, documents, scratch_path(spark, "stage"), size, overlap, dim, n_buckets,
+                 provider_factory, vectors)
         return
-    write_index(accepted(build_index(documents, size, overlap, dim, n_buckets), dim), index_path)
+    write_index(accepted(build_index(documents, size, overlap, dim, n_buckets, provider_factory=provider_factory,
+                                     vectors=vectors), dim), index_path)
 
 
 def accepted(index: DataFrame, dim: int) -> DataFrame:
     """The index; a vector that C5 rejects fails the job with its reason."""
     v = F.col("embedding")
-    wrong = v.isNull() | (F.size(v) != dim)
+    wrong = v.isNull() | (F.size(v) != dim) | F.exists(v, lambda x: x.isNull())
     return index.withColumn("embedding", F.when(wrong, F.raise_error(
         F.format_string("chunk %s: not a vector of %d dimensions", "chunk_id", F.lit(dim))
     ).cast("array<float>")).otherwise(v))

@@ -6,9 +6,14 @@ parts of longer words in a document) then stand in the document as whole words,
 one after the other. So every passage offers one *anchor*, a run of at most
 ``ANCHOR_WORDS`` of its inner words; documents offer all their runs of the
 anchors' lengths; an equi-join of the hashes gives the candidates, and
-``contains`` decides. Passages of fewer than three words have no inner word; all
-documents are tested for those that there are (a set of short strings whose
-number is checked).
+``contains`` decides.
+
+Passages of fewer than three words have no inner word. Their anchor is a run of
+``GRAM`` characters, the one of theirs that the fewest documents hold: documents offer
+their distinct runs, one aggregation counts those that passages have, each passage keeps
+its rarest, and an equi-join gives the candidates. A passage of at most ``GRAM``
+characters is its own anchor and needs no further test. There is no limit to the number
+of passages, and nothing is collected but lengths.
 """
 
 from __future__ import annotations
@@ -17,11 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsearch_spark.functions.text import let, normalize_ws, or_empty
+from docsearch_spark.operators.chunking import segments
 from docsearch_spark.session import materialize
 
 ANCHOR_WORDS = 8
-#: Short passages that are tested as literals; more would need another plan.
-MAX_SHORT = 2000
+#: Characters of the anchor of a passage of one or two words.
+GRAM = 4
+#: Steps of a text's coarse pieces, from which the runs of characters are cut.
+STEP = 16
 
 
 def _runs(words: Column, n: int) -> Column:
@@ -32,6 +40,36 @@ def _runs(words: Column, n: int) -> Column:
     )).otherwise(F.array().cast("array<struct<len:int,anchor:bigint>>"))
 
 
+def _grams(t: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text, cut from short pieces of it."""
+    return F.array_distinct(F.flatten(F.transform(segments(t, STEP + n - 1, n - 1), lambda part: F.when(
+        F.length(part) >= n, F.transform(F.sequence(F.lit(1), F.length(part) - n + 1),
+                                         lambda i: F.substring(part, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>")))))
+
+
+def short_matches(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """(item_id, doc_id) for passages ``short`` (item_id, p) of any length and number, by
+    their rarest run of characters. ``docs`` is (doc_id, t), normalised."""
+    texts = materialize(short.select("p").distinct(), "short")
+    own = materialize(texts.select("p", F.explode(F.when(F.length("p") <= GRAM, F.array("p")).otherwise(
+        _grams(F.col("p"), GRAM))).alias("gram")), "grams")
+    lengths = sorted(r["n"] for r in own.select(F.length("gram").alias("n")).distinct().collect())  # GRAM at most
+    if not lengths:
+        return short.join(docs.select("doc_id").limit(0), F.lit(True)).select("item_id", "doc_id")
+    offered = docs.select("doc_id", F.explode(F.concat(*[_grams(F.col("t"), n) for n in lengths])).alias("gram"))
+    held = (offered.join(own.select("gram").distinct(), "gram")
+            .groupBy("gram").agg(F.count(F.lit(1)).alias("n")))  # a document offers a run once
+    anchors = materialize(own.join(held, "gram").groupBy("p").agg(
+        F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "gram")).alias("least"))
+        .join(own.groupBy("p").agg(F.count(F.lit(1)).alias("all")), "p").where("met = all")  # else in no document
+        .select("p", F.col("least.gram").alias("gram")), "anchors")
+    found = offered.join(anchors, "gram").select("doc_id", "p")
+    sure = found.where(F.length("p") <= GRAM)
+    tested = (found.where(F.length("p") > GRAM).join(docs, "doc_id").where(F.contains("t", "p")).select("doc_id", "p"))
+    return short.join(sure.unionByName(tested), "p").select("item_id", "doc_id")
+
+
 def passage_matches(documents: DataFrame, doc_id: str, text_col: str, passages: DataFrame,
                     item_id: str, passage_col: str) -> DataFrame:
     """(item_id, doc_id) of every passage contained in a document. Blank passages
@@ -52,12 +90,9 @@ def passage_matches(documents: DataFrame, doc_id: str, text_col: str, passages:
                  .select("item_id", "doc_id").distinct())
         out = (found.join(docs, "doc_id").join(anchored.select("item_id", "p"), "item_id")
                .filter(F.contains("t", "p")).select("item_id", "doc_id"))
-    short = pats.filter(F.size("w") < 3).select("item_id", "p").limit(MAX_SHORT + 1).collect()
-    if len(short) > MAX_SHORT:
-        raise ValueError(f"more than {MAX_SHORT} passages of fewer than three words")
-    if short:
-        tests = F.array(*[F.when(F.contains("t", F.lit(r["p"])), F.lit(r["item_id"])) for r in short])
-        some = docs.select(F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("item_id"), "doc_id")
+    short = materialize(pats.filter(F.size("w") < 3).select("item_id", "p"), "short-passages")
+    if short.limit(1).count():
+        some = short_matches(docs, short)
         out = some if out is None else out.unionByName(some)
     if out is None:
         out = pats.join(docs.limit(0), F.lit(True)).select("item_id", "doc_id")

@@ -7,15 +7,16 @@ columns are cast explicitly (T8).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch_spark.functions.text import normalize_ws, or_empty, uuid_from
-from docsearch_spark.operators import chunking, embed, search
+from docsearch_spark.operators import chunking, embed, ivf, recursive, search, store
 from docsearch_spark.plans import sql as S
-from docsearch_spark.session import materialize
+from docsearch_spark.session import materialize, scratch_path
 from docsearch_spark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +166,68 @@ def q_chunk_by_separator(spark, sf):
     return chunking.chunk_by_separator(d, "text", 500, 50)
 
 
+def _sql_recursive(size: int, overlap: int) -> str:
+    """The recursive splitter: cuts by level as tables of spans, then a recursive CTE that
+    packs a chunk of every run of small pieces per step."""
+    levels, leaves = ["n0 AS (SELECT doc_id, 0 AS a, coalesce(text, '') AS t FROM documents WHERE text <> '')"], []
+    for k, sep in enumerate(("chr(10) || chr(10)", "chr(10)", "' '")):
+        levels.append(f"""
+    s{k} AS (
+      SELECT doc_id, a AS node, unnest(string_split(t, {sep})) AS part,
+             generate_subscripts(string_split(t, {sep}), 1) AS nth
+      FROM n{k} WHERE contains(t, {sep})),
+    p{k} AS (
+      SELECT doc_id, node, nth, CASE WHEN nth > 1 THEN {sep} || part ELSE part END AS t FROM s{k}),
+    q{k} AS (
+      SELECT doc_id, node, t, node + coalesce(sum(length(t)) OVER (
+               PARTITION BY doc_id, node ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+      FROM p{k}),
+    n{k + 1} AS (
+      SELECT doc_id, a, t FROM n{k} WHERE NOT contains(t, {sep})
+      UNION ALL SELECT doc_id, a, t FROM q{k} WHERE length(t) >= {size})""")
+        leaves.append(f"SELECT doc_id, {k} AS level, node, a, length(t) AS len FROM q{k} "
+                      f"WHERE length(t) BETWEEN 1 AND {size - 1}")
+    leaves.append("SELECT doc_id, 3, a, a + unnest(range(0, length(t))), 1 FROM n3")
+    return f"""
+    WITH RECURSIVE {",".join(levels)},
+    leaves AS ({" UNION ALL ".join(leaves)}),
+    marked AS (
+      SELECT *, CASE WHEN lag(level) OVER o = level AND lag(node) OVER o = node THEN 0 ELSE 1 END AS opens
+      FROM leaves WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
+    runs AS (
+      SELECT doc_id, a, a + len AS b, sum(opens) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM marked),
+    ends AS (SELECT doc_id, run, min(a) AS a, max(b) AS b FROM runs GROUP BY ALL),
+    -- a chunk that starts at a piece: where it ends, and where the piece behind it ends
+    reach AS (
+      SELECT x.doc_id, x.run, x.a, max(y.b) AS b
+      FROM runs x JOIN runs y ON y.doc_id = x.doc_id AND y.run = x.run AND y.b > x.a AND y.b <= x.a + {size}
+      GROUP BY ALL),
+    step AS (
+      SELECT r.doc_id, r.run, r.a, r.b, n.b AS after
+      FROM reach r LEFT JOIN runs n ON n.doc_id = r.doc_id AND n.run = r.run AND n.a = r.b),
+    jump AS (
+      SELECT s.doc_id, s.run, s.a, s.b, min(least(z.a, s.b)) AS next_a
+      FROM step s LEFT JOIN runs z ON z.doc_id = s.doc_id AND z.run = s.run AND s.after IS NOT NULL
+           AND z.a BETWEEN greatest(s.b - {overlap}, s.after - {size}) AND s.b
+      GROUP BY ALL),
+    chunks AS (
+      SELECT j.doc_id, j.run, j.a, j.b, j.next_a FROM jump j JOIN ends e USING (doc_id, run, a)
+      UNION ALL
+      SELECT j.doc_id, j.run, j.a, j.b, j.next_a
+      FROM chunks c JOIN jump j ON j.doc_id = c.doc_id AND j.run = c.run AND j.a = c.next_a),
+    cut AS (
+      SELECT c.doc_id, c.run, c.b, {S.py_strip("substr(d.text, CAST(c.a + 1 AS BIGINT), CAST(c.b - c.a AS BIGINT))")} AS content
+      FROM chunks c JOIN documents d USING (doc_id))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run, b) - 1 AS INTEGER) AS chunk_index, content
+    FROM cut WHERE content <> ''"""
+
+
+@register("chunk_recursive", _sql_recursive(500, 50))
+def q_chunk_recursive(spark, sf):
+    d = tables.read_table(spark, sf, "documents").select("doc_id", "text")
+    return recursive.chunk_recursive(d, "text", 500, 50)
+
+
 _DOC_TEXT_SQL = S.py_strip(S.py_strip("coalesce(source, '')") + " || chr(10) || "
                            + S.py_strip("coalesce(text, '')"))
 
@@ -442,6 +505,25 @@ def q_passage_qrels(spark, sf):
     return passage_qrels(spark, sf)
 
 
+@register("short_passages", f"""
+    WITH p AS (
+      SELECT item_id, {S.norm_ws('text')} AS t FROM benchmark),
+    s AS (
+      SELECT item_id, split_part(t, ' ', 1) AS p FROM p
+      UNION ALL SELECT item_id + 1000000, split_part(t, ' ', 2) || ' ' || split_part(t, ' ', 3) FROM p
+      UNION ALL SELECT item_id + 2000000, substr(t, 5, 3) FROM p)
+    SELECT s.item_id, d.doc_id FROM s, documents d
+    WHERE length({S.norm_ws('s.p')}) > 0 AND contains({S.norm_ws('d.text')}, {S.norm_ws('s.p')})""")
+def q_short_passages(spark, sf):
+    """Passages of one word, two words and three characters, from every benchmark item."""
+    b = tables.read_table(spark, sf, "benchmark").select("item_id", normalize_ws(or_empty("text")).alias("t"))
+    w = F.split("t", " ")
+    parts = F.array(F.get(w, 0), F.concat(F.get(w, 1), F.lit(" "), F.get(w, 2)), F.substring("t", 5, 3))
+    short = b.select("item_id", F.posexplode(parts).alias("n", "p")).select(
+        (F.col("item_id") + F.col("n").cast("bigint") * 1000000).alias("item_id"), "p")
+    return passages.passage_matches(tables.read_table(spark, sf, "documents"), "doc_id", "text", short, "item_id", "p")
+
+
 def eval_text(spark, sf):
     d = tables.read_table(spark, sf, "documents")
     corpus = embed.embed_sparse(
@@ -860,6 +942,38 @@ def q_reingest(spark, sf):
     return spark.read.parquet(path).select("chunk_id", "doc_id", "source_path", "chunk_index", "content")
 
 
+@register("reingest_commit", _SQL_REPLACED)
+def q_reingest_commit(spark, sf):
+    """D2 in batch through the manifest: all documents, then the changed ones, one commit each."""
+    from docsearch_spark.streaming.ingest import current_index, replace_documents
+    root = scratch_path(spark, "commits")
+    for batch in (tables.documents(spark, sf), reingest_batch(spark, sf)):
+        replace_documents(spark, root, batch, n_buckets=16)
+    return current_index(spark, root).select("chunk_id", "doc_id", "source_path", "chunk_index", "content")
+
+
+@register("embed_store", f"""
+    WITH old AS ({_sql_chunks_of('documents')}),
+    new AS ({_sql_chunks_of(f'({_SQL_REINGEST})')}),
+    every AS (SELECT content FROM old UNION SELECT content FROM new)
+    SELECT n.chunk_id, n.content NOT IN (SELECT content FROM old) AS sent, {TEXT_DIM} AS n_dims,
+           (SELECT count(*) FROM every) AS n_stored
+    FROM new n""")
+def q_embed_store(spark, sf):
+    """C1 through the content store: all documents, then the changed ones, of which only
+    the contents that are new are sent."""
+    path = scratch_path(spark, "vectors")
+    provider = functools.partial(embed.HashedBowProvider, TEXT_DIM)
+    store.embed_through_store(IX.chunk_documents(tables.documents(spark, sf)), "content", provider, path)
+    new = IX.chunk_documents(reingest_batch(spark, sf)).select("chunk_id", "content")
+    sent = materialize(store.unseen(new, "content", path, provider).select("content", F.lit(True).alias("sent")), "sent")
+    done = store.embed_through_store(new, "content", provider, path)
+    n = store.stored(spark, path, provider).count()
+    return done.join(sent, "content", "left").select(
+        "chunk_id", F.coalesce("sent", F.lit(False)).alias("sent"), F.size("embedding").alias("n_dims"),
+        F.lit(n).cast("bigint").alias("n_stored"))
+
+
 # --------------------------------------------------------------------------
 # A5, C5, C6, R2, R4, R5
 
@@ -993,6 +1107,56 @@ def q_ann_recall(spark, sf):
     return rec.select("query_id", r6(F.col("recall")).alias("recall"))
 
 
+# --------------------------------------------------------------------------
+# R4, R5 on the trained index
+
+ANN_TARGET, ANN_SHARE = 0.9, 0.05  # least mean recall, most exactly scored pairs of all
+
+
+def tuned_index(spark, sf):
+    """(vectors, index of all of them, with measured settings)."""
+    v = tables.vectors(spark, sf)
+    built = ivf.build(v, "vec_id", "embedding", VEC_DIM, scratch_path(spark, "ivf"))
+    ivf.tune(built, v, "vec_id", "embedding", ANN_K, ANN_TARGET)
+    return v, ivf.open_index(spark, built.path)
+
+
+@register("ivf_nearest", f"""
+    SELECT query_id, doc_id, round(score, 6) AS score FROM (
+      SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {S.cosine('q.embedding', 'd.embedding')} AS score,
+             row_number() OVER (PARTITION BY q.vec_id ORDER BY round({S.cosine('q.embedding', 'd.embedding')}, 12)
+                                DESC NULLS LAST, d.vec_id) AS rank
+      FROM embeddings q, embeddings d) WHERE rank = 1""")
+def q_ivf_nearest(spark, sf):
+    v, index = tuned_index(spark, sf)
+    hits = ivf.topk(index, v, "vec_id", "embedding", ANN_K)
+    return hits.where("rank = 1").select("query_id", "doc_id", r6(F.col("score")).alias("score"))
+
+
+@register("ivf_recall", """
+    SELECT count(*) AS questions, true AS recall_met, true AS share_met FROM embeddings""")
+def q_ivf_recall(spark, sf):
+    v, index = tuned_index(spark, sf)
+    exact = search.topk_scan(v, "vec_id", search.Dense("embedding", VEC_DIM), v, "vec_id",
+                             search.Dense("embedding", VEC_DIM), k=ANN_K, mode="cosine")
+    rec = search.ann_recall(exact, ivf.topk(index, v, "vec_id", "embedding", ANN_K))
+    n = F.count(F.lit(1))
+    return rec.agg(n.alias("questions"), (F.avg("recall") >= ANN_TARGET).alias("recall_met"),
+                   (F.lit(index.depth) <= n * ANN_SHARE).alias("share_met"))
+
+
+@register("ivf_insert", f"""
+    SELECT vec_id, CAST(1 AS BIGINT) AS n_rows, {VEC_DIM} // {ivf.SUBSPACE} AS code_bytes FROM embeddings""")
+def q_ivf_insert(spark, sf):
+    """Four fifths built, then everything inserted, twice: each id is there once."""
+    v = tables.vectors(spark, sf)
+    index = ivf.build(v.where("vec_id % 5 <> 0"), "vec_id", "embedding", VEC_DIM, scratch_path(spark, "ivf"))
+    for _ in range(2):
+        ivf.insert(spark, index, v, "vec_id", "embedding")
+    return (index.lists(spark).groupBy(F.col("id").alias("vec_id"))
+            .agg(F.count("*").alias("n_rows"), F.max(F.octet_length("code")).alias("code_bytes")))
+
+
 # --------------------------------------------------------------------------
 # File sources over files derived from the tables
 

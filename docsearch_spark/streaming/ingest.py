@@ -91,6 +91,19 @@ def merge_batch(batch: DataFrame, root: str, size: int, overlap: int, dim: int,
     return changed
 
 
+def replace_documents(spark: SparkSession, root: str, documents: DataFrame, size: int = DEFAULT_CHUNK_SIZE,
+                      overlap: int = DEFAULT_CHUNK_OVERLAP, dim: int = 1536,
+                      n_buckets: int = I.DEFAULT_BUCKETS) -> list[int]:
+    """D2 in batch with one commit: (doc_id, source_path, text) replace the index's rows
+    of these documents under ``root``. Readers see the index before or after, never a
+    mixture, and a job that fails before its manifest has changed nothing."""
+    held = current_index(spark, root)
+    newest = held.agg(F.max("version")).first()[0] if held is not None else None
+    batch = documents.select("doc_id", "source_path", "text").withColumn(
+        "version", F.lit((newest if newest is not None else -1) + 1).cast("long"))
+    return merge_batch(batch, root, size, overlap, dim, n_buckets)
+
+
 def _clean(spark: SparkSession, root: str) -> None:
     """Remove bucket directories that the last two manifests do not name."""
     commits = _commits(spark, root)
