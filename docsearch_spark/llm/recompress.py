@@ -19,16 +19,21 @@ symbol there.
 4. Verification. The remaining windows come out with a 96-bit name of all their
    words; the smallest document of each name is found and joined back, and each
    window of a larger document marks its words.
-5. The marks of a document, as intervals, meet its text, which is cut.
+5. The marks of a row, as intervals, meet its text, which is cut.
 
-Sums are partial before the shuffles and joins back can be split, so a passage
-that a third of all texts hold stays spread out.
+Sums are partial before the shuffles, and the smallest documents are a table of their
+own, so that the join back reads plain shuffles, which the planner splits where a passage
+that a third of all texts hold fills a partition.
+
+A row is told by doc_id and ``tag``: 0 where the doc_id has one text, as all should,
+else eight bytes of the text's SHA-256. Rows are judged and cut each on its own text.
 
 Defined cases: null or empty text: no words, nothing removed, digest of the
 empty string; fewer words than a window: nothing removed; repeats within one
-document do not count; rows are told apart by doc_id, so a row repeated with its
-doc_id is never the earlier one; an empty table gives an empty table; other
-columns are ignored.
+document do not count; rows with one doc_id are never earlier than each other, whether their
+texts are equal or not, and each is cut by the smaller doc_ids alone; a null doc_id is
+neither smaller nor larger than any, so such rows stay whole and remove nothing; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch_spark.llm.util import documents, materialize, short_batches, sliced
@@ -155,7 +160,7 @@ def split_texts(column: pa.Array) -> list[list[bytes]]:
 
 
 def anchor_keys(src: DataFrame) -> DataFrame:
-    """(doc, keys): the distinct anchor keys of each text that has a window."""
+    """(doc, tag, keys): the distinct anchor keys of each text that has a window."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             parse = Parse(split_texts(batch.column("text")))
@@ -169,13 +174,14 @@ def anchor_keys(src: DataFrame) -> DataFrame:
             offsets = np.r_[np.searchsorted(text, ids), len(text)].astype(np.int32)
             yield pa.record_batch({
                 "doc": batch.column("doc_id").take(pa.array(ids)),
+                "tag": batch.column("tag").take(pa.array(ids)),
                 "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))})
 
-    return src.mapInArrow(run, "doc bigint, keys array<bigint>")
+    return src.select("doc_id", "tag", "text").mapInArrow(run, "doc bigint, tag bigint, keys array<bigint>")
 
 
 def candidate_windows(src: DataFrame) -> DataFrame:
-    """(name, check, doc, at) of the windows whose anchor key is in ``keys``."""
+    """(name, check, doc, tag, at) of the windows whose anchor key is in ``keys``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             parse = Parse(split_texts(batch.column("text")))
@@ -201,13 +207,14 @@ def candidate_windows(src: DataFrame) -> DataFrame:
                 "name": pa.array(name.view(np.int64)),
                 "check": pa.array((check >> np.uint64(33)).astype(np.int32)),
                 "doc": batch.column("doc_id").take(pa.array(text)),
+                "tag": batch.column("tag").take(pa.array(text)),
                 "at": pa.array((at - parse.starts[text]).astype(np.int32))})
 
-    return src.mapInArrow(run, "name bigint, check int, doc bigint, at int")
+    return src.mapInArrow(run, "name bigint, check int, doc bigint, tag bigint, at int")
 
 
 def intervals(marks: DataFrame) -> DataFrame:
-    """(doc, cuts, n): the marked words of each document, as flat from-to pairs."""
+    """(doc, tag, cuts, n): the marked words of each row, as flat from-to pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -216,38 +223,51 @@ def intervals(marks: DataFrame) -> DataFrame:
                 gap = np.flatnonzero(x[1:] - x[:-1] > WINDOW)
                 a, b = np.r_[x[:1], x[gap + 1]], np.r_[x[gap], x[-1:]] + WINDOW
                 out.append(np.stack([a, b], 1).ravel().tolist())
-            yield pa.record_batch({"doc": batch.column("doc"),
+            yield pa.record_batch({"doc": batch.column("doc"), "tag": batch.column("tag"),
                                    "cuts": pa.array(out, pa.list_(pa.int32())),
                                    "n": pa.array([len(x) // 2 for x in out], pa.int64())})
 
-    grouped = marks.groupBy("doc").agg(F.collect_list("at").alias("starts"))
-    return grouped.mapInArrow(run, "doc bigint, cuts array<int>, n bigint")
+    grouped = marks.groupBy("doc", "tag").agg(F.collect_list("at").alias("starts"))
+    return grouped.mapInArrow(run, "doc bigint, tag bigint, cuts array<int>, n bigint")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept): ``kept`` holds the words that stay, one space between."""
     short_batches(df.sparkSession)
-    src = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    digests = materialize(src.where("text <> ''").select("doc_id", F.sha2("text", 256).alias("sha")), "digests")
+    every = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    digests = materialize(every.where("text <> '' AND doc_id IS NOT NULL").select(
+        "doc_id", F.unhex(F.sha2("text", 256)).alias("sha")), "digests")
+    many = materialize(digests.groupBy("doc_id").agg(F.min("sha").alias("x"), F.max("sha").alias("y"))
+                       .where("x <> y").select("doc_id", F.lit(True).alias("many")), "many")
+    sha = F.unhex(F.sha2("text", 256))
+
+    def tagged(rows: DataFrame, sha: Column) -> DataFrame:
+        eight = F.conv(F.hex(F.substring(sha, 1, 8)), 16, -10).cast("bigint")
+        return (rows.join(many, "doc_id", "left")
+                .withColumn("tag", F.when(F.col("many"), eight).otherwise(F.lit(0))).drop("many"))
+
+    src = tagged(every, sha)
     firsts = digests.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = materialize(digests.join(firsts, "sha").where("doc_id > first").select("doc_id").distinct(),
-                         "copies")
-    unique = src.join(copies, "doc_id", "left_anti")
+    copies = materialize(tagged(digests.join(firsts, "sha").where("doc_id > first"), F.col("sha"))
+                         .select("doc_id", "tag").distinct(), "copies")
+    own = ["doc_id", "tag"]
+    unique = src.where("doc_id IS NOT NULL").join(copies, own, "left_anti")
     told = materialize(anchor_keys(unique), "anchors")
-    flat = told.select("doc", F.explode("keys").alias("key"))
+    flat = told.select("doc", "tag", F.explode("keys").alias("key"))
     shared = materialize(flat.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y"))
                          .where("x < y").select("key"), "shared")
-    wanted = (flat.join(shared, "key").groupBy(F.col("doc").alias("doc_id"))
+    wanted = (flat.join(shared, "key").groupBy(F.col("doc").alias("doc_id"), "tag")
               .agg(F.collect_list("key").alias("keys")))
-    found = materialize(candidate_windows(unique.join(wanted, "doc_id")), "windows")
-    first = (found.groupBy("name", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-             .where("first < last").drop("last"))
-    marks = found.join(first, ["name", "check"]).where("doc > first").select("doc", "at")
+    found = materialize(candidate_windows(unique.join(wanted, own)), "windows", "zstd")
+    # written, so that the join below reads two plain shuffles, whose hot partitions can be split
+    first = materialize(found.groupBy("name", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                        .where("first < last").drop("last"), "firsts")
+    marks = found.join(first, ["name", "check"]).where("doc > first").select("doc", "tag", "at")
     cuts = materialize(intervals(marks), "cuts")
     total = cuts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    cuts = cuts.select(F.col("doc").alias("doc_id"), "cuts")
-    joined = (src.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
-              .join(F.broadcast(cuts) if total <= SENT_INTERVALS else cuts, "doc_id", "left"))
+    cuts = cuts.select(F.col("doc").alias("doc_id"), "tag", "cuts")
+    joined = (src.join(copies.withColumn("copy", F.lit(True)), own, "left")
+              .join(F.broadcast(cuts) if total <= SENT_INTERVALS else cuts, own, "left"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Exact dedup, Jaccard join, substring dedup, containment searches."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -49,7 +50,6 @@ def small(spark):
 @given(parts=st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 5), max_size=40), max_size=5),
        bits=st.integers(14, 30))
 def test_filters_pack_and_merge_losslessly(parts, bits):
-    from collections import Counter
     packed = []
     for part in parts:
         p, c = np.unique(np.array(part, np.uint64), return_counts=True)
@@ -149,6 +149,36 @@ def test_substring_dedup_equals_brute_force(small, spark, edge):
     assert recompress.remove_repeats(edge.limit(0)).count() == 0
 
 
+def plain_rows(data, size=recompress.WINDOW):
+    """(doc, words, removed, kept) of each row, judged on its own text."""
+    split = [(d, (t or "").encode().split()) for d, t in data]
+    first = {}
+    for d, w in split:
+        for i in range(len(w) - size + 1):
+            if d is not None:
+                first[tuple(w[i:i + size])] = min(d, first.get(tuple(w[i:i + size]), d))
+    for d, w in split:
+        gone = [False] * len(w)
+        for i in range(len(w) - size + 1):
+            if d is not None and first[tuple(w[i:i + size])] < d:
+                gone[i:i + size] = [True] * size
+        yield d, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()
+
+
+def test_rows_with_one_doc_id_are_judged_each_on_its_own_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rng = random.Random(9)
+    parts = [a, b, c, "x y z", ""] + [" ".join(f"{x}{i}" for i in range(14)) for x in "defg"]
+    many = [(rng.choice([1, 1, 2, 3, 5, None]), " ".join(rng.choice(parts) for _ in range(rng.randrange(4))))
+            for _ in range(60)]
+    for data in ([(1, a), (5, a), (5, b), (6, f"{c} {b}")],
+                 [(1, f"{a} {c}"), (5, f"x y z {a}"), (5, b)],
+                 [(2, a), (2, a), (1, f"{a} x"), (2, None)], many):
+        df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+        got = recompress.remove_repeats(df).collect()
+        assert Counter(map(tuple, got)) == Counter(plain_rows(data))
+
+
 def test_intervals_by_shuffle_give_the_same(small, monkeypatch):
     docs, df = small
     monkeypatch.setattr(recompress, "SENT_INTERVALS", -1)
