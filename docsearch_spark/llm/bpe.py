@@ -5,12 +5,12 @@ its own. Over the byte positions of a match stands a segment tree whose leaf i
 holds the merge rank of the token that starts at i with its right neighbour, and
 whose inner nodes hold the minimum, leftmost first. The root names the next
 merge. A merge changes three leaves (the pair itself, the swallowed neighbour,
-the token on the left), each a point update of logarithmic cost, so a match of n
+the token on the left), point updates of logarithmic cost, so a match of n
 bytes takes O(n log n) and long unbroken texts stay cheap.
 
 The job is narrow: every Spark task encodes its own rows, nothing is shuffled.
 The rank table (about 1 MB; a fixed file, not data) goes to the executors as a
-broadcast. Matches repeat, so each task keeps a bounded table of those it has
+broadcast. Matches repeat, so each worker keeps a bounded table of those it has
 encoded.
 
 Defined cases: a null text is the empty text; an empty text has no ids; repeated
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from docsearch_spark.llm.util import documents, short_batches, sliced
 
-#: Entries of a task's table of encoded matches; a full table starts afresh.
-CACHE_ENTRIES = 150_000
+#: Entries of each of a worker's two tables of encoded matches.
+CACHE_ENTRIES = 120_000
 #: Longer matches are not kept.
 CACHE_BYTES = 64
 
@@ -63,32 +63,35 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     end = list(range(1, n + 1))   # end[i]: where the token that starts at i ends
     prev = list(range(-1, n - 1))  # prev[i]: start of the token on the left
 
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        while k > 1:
-            a, b = tree[k], tree[k ^ 1]
-            k >>= 1
-            low = a if a < b else b
-            if tree[k] == low:
-                break
-            tree[k] = low
-
     while tree[1] < none:
         i = tree[1] % size
         j = end[i]
         stop = end[i] = end[j]
-        put(j, none)
+        tree[size + j] = tree[size + i] = none
+        low = i
         if stop < n:
             prev[stop] = i
             r = get(piece[i:end[stop]])
-            put(i, none if r is None else r * size + i)
-        else:
-            put(i, none)
+            if r is not None:
+                tree[size + i] = r * size + i
         if i:
-            h = prev[i]
-            r = get(piece[h:stop])
-            put(h, none if r is None else r * size + h)
+            low = prev[i]
+            r = get(piece[low:stop])
+            tree[size + low] = none if r is None else r * size + low
+        # the three leaves' paths to the root, level by level; they soon meet
+        a, b, c = (size + low) >> 1, (size + i) >> 1, (size + j) >> 1
+        while c:
+            x, y = tree[2 * c], tree[2 * c + 1]
+            tree[c] = x if x < y else y
+            if b != c:
+                x, y = tree[2 * b], tree[2 * b + 1]
+                tree[b] = x if x < y else y
+            if a != b:
+                x, y = tree[2 * a], tree[2 * a + 1]
+                tree[a] = x if x < y else y
+            a >>= 1
+            b >>= 1
+            c >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:end[i]]])
@@ -97,7 +100,11 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one Python worker.
+
+    Encoded matches are kept in two tables of at most ``CACHE_ENTRIES``: a full one
+    becomes the older one, whose entries that are still met move over again.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -106,21 +113,27 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _miss(self, match: str) -> bytes:
-        raw = match.encode()
-        ids = encode_piece(raw, self.ranks)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(raw) <= CACHE_BYTES:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[match] = packed
+        packed = self.older.get(match)
+        if packed is None:
+            raw = match.encode()
+            ids = encode_piece(raw, self.ranks)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(raw) > CACHE_BYTES:
+                return packed
+        if len(self.cache) >= CACHE_ENTRIES:
+            self.older, self.cache = self.cache, {}
+        self.cache[match] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        get, miss = self.cache.get, self._miss
-        return b"".join([get(m) or miss(m) for m in self.find(text)])
+        miss, out = self._miss, []
+        for m in self.find(text):
+            out.append(self.cache.get(m) or miss(m))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         numbers = array("I", ids)
@@ -137,11 +150,13 @@ def roundtrip(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     """
     short_batches(df.sparkSession)
     spark = df.sparkSession
-    shipped = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    # a worker keeps the value of a broadcast from task to task, and its codec with it
+    shipped = spark.sparkContext.broadcast({"ranks": load_ranks(ranks_path)})
     src = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shipped.value, pattern)
+        kept = shipped.value
+        codec = kept.get("codec") or kept.setdefault("codec", Codec(kept["ranks"], pattern))
         for batch in sliced(batches):
             ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({
