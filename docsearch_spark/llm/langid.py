@@ -307,7 +307,7 @@ def pair_marginals(scores: np.ndarray, p: np.ndarray, first: np.ndarray,
 
 
 class Labeller:
-    """Labels batches of texts within one task."""
+    """Labels batches of texts within one Python worker."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -425,10 +425,12 @@ def label(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     short_batches(df.sparkSession)
     src = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = src.schema["key"].dataType.simpleString()
-    shipped = src.sparkSession.sparkContext.broadcast(vars(model))
+    # a worker keeps the value of a broadcast from task to task, and its scored words with it
+    shipped = src.sparkSession.sparkContext.broadcast({"model": vars(model)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(Model(**shipped.value))
+        kept = shipped.value
+        labeller = kept.get("labeller") or kept.setdefault("labeller", Labeller(Model(**kept["model"])))
         for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             if labeller.model.labels:
