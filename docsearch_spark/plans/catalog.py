@@ -1161,6 +1161,7 @@ def q_ivf_insert(spark, sf):
 # File sources over files derived from the tables
 
 from docsearch_spark.sources import files as FS  # noqa: E402
+from docsearch_spark.sources import snapshots  # noqa: E402
 from docsearch_spark.operators import report as P  # noqa: E402
 
 
@@ -1367,6 +1368,22 @@ def q_route_by_type(spark, sf):
             .unionByName(rejected.select(_doc_of_path(), F.lit("rejected").alias("route"), none)))
 
 
+@register("folder_changes", """
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'added' WHEN doc_id % 4 = 1 THEN 'removed' ELSE 'changed' END AS state
+    FROM documents WHERE doc_id % 4 < 3""")
+def q_folder_changes(spark, sf):
+    """A1 in snapshots: every document as a listed file, before and after some were added,
+    removed and changed."""
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    now = tables.documents(spark, sf).select(
+        F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "doc_id",
+        F.octet_length("text").cast("bigint").alias("length"), at.alias("modified"))
+    part = F.pmod("doc_id", F.lit(4))
+    before = now.where(part != 0).withColumn("length", F.when(part == 2, F.col("length") + 1).otherwise(F.col("length")))
+    diff = snapshots.differences(now.where(part != 1).drop("doc_id"), before.drop("doc_id"))
+    return diff.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint").alias("doc_id"), "state")
+
+
 @register("ingest_files", f"""
     WITH c AS ({S.documents_chunks()}), w AS ({S.sparse_weights('c', 'chunk_id', 'content', TEXT_DIM)})
     SELECT c.doc_id, c.chunk_index, c.content, CAST(count(w.b) AS INTEGER) AS n_set,

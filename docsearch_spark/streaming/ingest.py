@@ -10,14 +10,19 @@ and rewrites only the buckets they fall into:
 * ``<root>/manifest/<n>``: for every bucket the directory that is live since
   commit n, written last. A reader follows the highest complete manifest, so it
   never sees a half-written commit;
+* ``<root>/versions``: (doc_id, version) of every version that was merged, also of one
+  whose text has no chunks and so leaves no row in the index: an older version that
+  lands later loses against it, too;
 * a replayed batch (at-least-once ``foreachBatch``, trap T5) finds its versions
-  in the index and commits nothing; commits are numbered by the manifests, so a
+  there or in the index and commits nothing; commits are numbered by the manifests, so a
   stream that starts with a fresh checkpoint goes on where the index stands;
 * directories that neither of the last two manifests names are removed.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +30,7 @@ from pyspark.sql import types as T
 from docsearch_spark.operators import index as I
 from docsearch_spark.schemas import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE
 from docsearch_spark.session import materialize
-from docsearch_spark.sources.files import delete_path, list_names
+from docsearch_spark.sources.files import delete_path, list_names, path_exists
 
 LANDING_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType(), True),
@@ -34,6 +39,7 @@ LANDING_SCHEMA = T.StructType([
     T.StructField("version", T.LongType(), True),
 ])
 MANIFEST = "bucket INT, path STRING"
+VERSIONS = "doc_id BIGINT, version BIGINT, bucket INT"
 
 
 def _commits(spark: SparkSession, root: str) -> list[int]:
@@ -68,14 +74,19 @@ def merge_batch(batch: DataFrame, root: str, size: int, overlap: int, dim: int,
     touched = [r[0] for r in newest.select("__bucket").distinct().collect()]  # at most n_buckets
     paths = [live[b] for b in touched if b in live]
     old = spark.read.parquet(*paths) if paths else None
-    if old is not None:
-        held = old.groupBy("doc_id").agg(F.max("version").alias("held"))
-        newest = (newest.join(held, "doc_id", "left")
-                  .filter(F.col("held").isNull() | (F.col("version") > F.col("held"))).drop("held"))
+    seen = [old.select("doc_id", "version")] if old is not None else []
+    if path_exists(spark, f"{root}/versions"):
+        seen.append(spark.read.schema(VERSIONS).parquet(f"{root}/versions")
+                    .filter(F.col("bucket").isin(touched)).select("doc_id", "version"))
+    if seen:
+        held = functools.reduce(DataFrame.unionByName, seen).groupBy("doc_id").agg(F.max("version").alias("held"))
+        newest = materialize(newest.join(held, "doc_id", "left").filter(
+            F.col("held").isNull() | (F.col("version") > F.col("held"))).drop("held"), "newer")
     chunks = I.build_index(newest.drop("version", "__bucket"), size, overlap, dim, n_buckets, dense)
     chunks = materialize(chunks.join(newest.select("doc_id", "version"), "doc_id"), "chunks")
     changed = sorted(r[0] for r in chunks.select("bucket").distinct().collect())
     if not changed:
+        _note(newest, root)
         return []
     merged = chunks
     if old is not None:
@@ -87,10 +98,17 @@ def merge_batch(batch: DataFrame, root: str, size: int, overlap: int, dim: int,
     live.update({b: f"{data}/bucket={b}" for b in changed})
     spark.createDataFrame(sorted(live.items()), MANIFEST).coalesce(1) \
         .write.mode("overwrite").json(f"{root}/manifest/{number}")
+    _note(newest, root)  # after the commit: a replay in between finds the versions in the index
     _clean(spark, root)
     return changed
 
 
+def _note(newest: DataFrame, root: str) -> None:
+    """Append the versions that a batch has merged."""
+    (newest.select("doc_id", "version", F.col("__bucket").alias("bucket"))
+     .hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{root}/versions"))
+
+
 def replace_documents(spark: SparkSession, root: str, documents: DataFrame, size: int = DEFAULT_CHUNK_SIZE,
                       overlap: int = DEFAULT_CHUNK_OVERLAP, dim: int = 1536,
                       n_buckets: int = I.DEFAULT_BUCKETS) -> list[int]:
