@@ -11,7 +11,7 @@ product over its words; a word's sum comes from a forward recursion in log space
 Learning. The vocabulary's scores give the first weights. Expectation
 maximisation over the training words turns them into weights of this corpus:
 every distinct word counts with its uses in the whole corpus, in each of the
-``ROUNDS`` rounds. Units of whole words and lines are discounted by ``DISCOUNT``,
+``ROUNDS`` rounds at most. Units of whole words and lines are discounted by ``DISCOUNT``,
 so that rare words still teach the pieces. Word and line tables stay distributed;
 a round hands the weights of the words' own units on in a table and brings one
 expected count for each vocabulary piece to the driver.
@@ -48,8 +48,9 @@ MARK = "▁"
 DISCOUNT = 0.8
 #: Expected uses that every piece starts with.
 PIECE_PRIOR = 1e-3
-#: Rounds of expectation maximisation, each over all distinct training words.
-ROUNDS = 7
+#: Rounds of expectation maximisation, each over all distinct training words: until the
+#: pieces' weights move by less than ``SETTLED`` (relative entropy, nats), ``ROUNDS`` at most.
+ROUNDS, SETTLED = 7, 0.05
 #: Words that go to every task, and the least words of a line that is a unit.
 HEAD_WORDS = 150_000
 LINE_WORDS = 4
@@ -335,7 +336,10 @@ def learn(words: DataFrame, ends: int, line_mass: float, pieces: list[str],
         several = counted.where("piece IS NULL").select("word", "c", "uses")
         mass = float(uses.sum() + (several.agg(F.sum("uses").alias("u")).first()["u"] or 0.0)
                      + line_mass + ends + 1)
-        weights = np.log(uses / mass)
+        old, weights = weights, np.log(uses / mass)
+        moved = float((np.exp(weights) * (weights - old)).sum() / np.exp(weights).sum())
+        if abs(moved) < SETTLED:
+            break
     return weights, several.where("uses > 0").select("word", "uses"), mass
 
 
