@@ -10,8 +10,8 @@ product over its words; a word's sum comes from a forward recursion in log space
 
 Learning. The vocabulary's scores give the first weights. Expectation
 maximisation over the training words turns them into weights of this corpus:
-every distinct word counts with its uses in the whole corpus, in each of the
-``ROUNDS`` rounds at most. Units of whole words and lines are discounted by ``DISCOUNT``,
+every distinct word counts with its uses in the whole corpus, in every round,
+until the weights have settled. Units of whole words and lines are discounted by ``DISCOUNT``,
 so that rare words still teach the pieces. Word and line tables stay distributed;
 a round hands the weights of the words' own units on in a table and brings one
 expected count for each vocabulary piece to the driver.
