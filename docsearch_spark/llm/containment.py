@@ -13,12 +13,16 @@ text is next to nothing. So:
    ``bands_for`` takes as many as that the chance to share none stays under
    ``MISS`` at that similarity.
 3. A window can only share a least hash with an item if it holds a shingle of an
-   item. So the texts' shingles first meet the items' shingles (the join is the
-   only pass over all shingles); windows without such a shingle are never hashed.
-4. The other windows are hashed and meet the items' bands: candidates.
-5. Candidates are verified exactly, over the whole text: distinct shingles of
-   the item found in the text / distinct shingles of the item.
-
+   item. So the texts' shingles first meet the distinct shingles of all items, which
+   tell nothing but the classes they occur in; windows without one are never hashed.
+4. The other windows are hashed and meet the items' bands. Only this names the
+   (document, item) pairs: the candidates.
+5. Candidates are verified exactly, over the whole text: an item's shingles, brought
+   along by the candidate, meet the document's (one row a document and shingle);
+   distinct shingles found / distinct shingles of the item.
+
+Rows with one doc_id are one document, rows without doc_id another one. Repeated rows
+of an item are one; an item_id with several texts is several items.
 An item of fewer words than a shingle is one shingle, its whole sequence, and
 only a text that is that sequence holds it. Items without words are never found.
 """
@@ -34,7 +38,7 @@ from docsearch_spark.functions.text import let
 from docsearch_spark.llm.util import SHINGLE_WORDS, SIMILARITY_PERCENT, materialize
 
 #: Chance that a window with a whole item shares no band with it.
-MISS = 1e-4
+MISS = 1e-6
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -77,33 +81,44 @@ def find_contained(docs: DataFrame, items: DataFrame, words=plain_words,
     last_word bound the item's shingles in the text, by word number.
     """
     bands = bands_for(percent)
-    sets = items.select("item_id", F.array_distinct(shingles(words(F.col("text")))).alias("sh"))
-    sets = sets.where(F.size("sh") > 0).withColumn("q", F.size("sh"))
+    sets = items.select("item_id", F.sort_array(F.array_distinct(shingles(words(F.col("text"))))).alias("sh"))
+    # an item is told by its id and its set, so repeated rows of it are one
+    sets = (sets.where(F.size("sh") > 0).withColumn("q", F.size("sh"))
+            .withColumn("name", F.xxhash64("sh")).dropDuplicates(["item_id", "name"]))
     pieces = materialize(sets.select(
-        "item_id", "q", F.pow(F.lit(2.0), F.ceil(F.log2("q"))).cast("int").alias("u"),
+        "item_id", "name", "q", F.pow(F.lit(2.0), F.ceil(F.log2("q"))).cast("int").alias("u"),
         F.explode("sh").alias("shingle")), "items")
-    sketch = banded(least_hashes(pieces.groupBy("item_id", "u"), bands), bands, "item_id", "u")
+    sketch = banded(least_hashes(pieces.groupBy("item_id", "name", "u"), bands), bands,
+                    "item_id", "name", "u")
+    # written, so that its size is known where all shingles of the texts meet it
+    classes = materialize(pieces.groupBy("shingle").agg(F.collect_set("u").alias("classes")), "classes")
 
     numbered = docs.select("doc_id", F.posexplode(shingles(words(F.col("text")))).alias("pos", "shingle"))
-    hits = materialize(numbered.join(pieces, "shingle").select(
-        "doc_id", "pos", "shingle", "item_id", "q", "u"), "hits")
+    hits = materialize(numbered.join(classes, "shingle").select("doc_id", "pos", "shingle", "classes"), "hits")
     at = F.floor(F.col("pos") / F.col("u")).cast("int")
-    windows = (hits.select("doc_id", "u", F.explode(F.array(at, at - 1)).alias("w")).where("w >= 0")
+    windows = (hits.select("doc_id", "pos", F.explode("classes").alias("u"))
+               .select("doc_id", "u", F.explode(F.array(at, at - 1)).alias("w")).where("w >= 0")
                .distinct())
-    wanted = materialize(windows.groupBy("doc_id").agg(
+    wanted = materialize(windows.groupBy(F.col("doc_id").alias("wanted_id")).agg(
         F.collect_list(F.struct("u", "w")).alias("windows")), "wanted")
-    texts = docs.join(wanted, "doc_id").select(
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select(
         "doc_id", shingles(words(F.col("text"))).alias("sh"), "windows")
     parts = texts.select("doc_id", "sh", F.explode("windows").alias("x")).select(
         "doc_id", "x.u", "x.w",
         F.explode(F.slice("sh", F.col("x.w") * F.col("x.u") + 1, F.col("x.u") * 2)).alias("shingle"))
     found = banded(least_hashes(parts.groupBy("doc_id", "u", "w"), bands), bands, "doc_id", "u")
-    candidates = found.join(sketch, ["u", "band", "least"]).select("doc_id", "item_id").distinct()
-    n_found = F.count_distinct("shingle")
-    return (hits.join(candidates, ["doc_id", "item_id"], "left_semi")
-            .groupBy("doc_id", "item_id", "q")
-            .agg(n_found.alias("n_found"), F.min("pos").cast("bigint").alias("first_word"),
-                 (F.max("pos") + SHINGLE_WORDS - 1).cast("bigint").alias("last_word"))
+    candidates = (found.select("doc_id", "u", "band", "least").distinct()
+                  .join(sketch, ["u", "band", "least"])
+                  .select("doc_id", "item_id", "name").distinct())
+    due = candidates.join(pieces, (candidates["name"] == pieces["name"])
+                          & candidates["item_id"].eqNullSafe(pieces["item_id"])).select(
+        candidates["doc_id"].alias("due_id"), candidates["item_id"], candidates["name"], "q",
+        F.col("shingle").alias("due"))
+    held = hits.groupBy("doc_id", "shingle").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return (due.join(held, (F.col("due") == F.col("shingle")) & F.col("due_id").eqNullSafe(F.col("doc_id")))
+            .groupBy("doc_id", "item_id", "name", "q")
+            .agg(F.count("*").alias("n_found"), F.min("first").cast("bigint").alias("first_word"),
+                 (F.max("last") + SHINGLE_WORDS - 1).cast("bigint").alias("last_word"))
             .where(F.col("n_found") * 100 >= F.col("q") * percent)
             .select("doc_id", "item_id", F.col("q").cast("bigint").alias("n_shingles"), "n_found",
                     (F.col("n_found") / F.col("q")).alias("containment"), "first_word", "last_word"))

@@ -5,8 +5,10 @@ five-word shingles anywhere in the document. Retrieval and verification are in
 ``containment``; everything runs in DataFrame functions.
 
 Defined cases: a null or empty document holds nothing; a null or empty item is
-never found; repeated items are found each; rows with one doc_id count as one
-document; empty tables give an empty table; other columns are ignored.
+never found; repeated rows of an item are one item, an item_id with two texts is
+found for each; rows with one doc_id count as one
+document, and so are rows without doc_id (found with a null doc_id); empty tables
+give an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ half, the number of bands follows from the wanted collision probability, and a
 template counts as found when 80 % of its shingles are in the text.
 
 Defined cases: a null or empty text has no license; a text may hold several
-templates, one row each; repeated rows with one doc_id are one document; an
+templates, one row each; rows with one doc_id are one document, and so are rows
+without doc_id (found with a null doc_id); repeated rows of a template are one; an
 empty table gives an empty table; other columns are ignored. The table of
 templates is a parameter (name, text); these are the defaults.
 """

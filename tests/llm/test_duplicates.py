@@ -211,6 +211,41 @@ def test_decontamination_equals_brute_force(small, spark, edge):
     assert decontaminate.contaminated(edge, bench.limit(0)).count() == 0
 
 
+def test_containment_of_repeated_rows_and_rows_without_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(12)) for c in "ab")
+    docs = spark.createDataFrame(
+        [(1, a), (1, a), (None, a), (None, "x y z " + b), (2, "nothing of it is in here")],
+        "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, a), (7, a), (7, b), (None, b), (8, a), (9, None)],
+                                  "item_id bigint, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert all(r.n_shingles == r.n_found == 8 and r.containment == 1.0 for r in got)
+    found = Counter((r.doc_id, r.item_id) for r in got)
+    assert found == {(1, 7): 1, (1, 8): 1, (None, 7): 2, (None, 8): 1, (None, None): 1}
+    scanned = licenses.scan(docs, bench.select(F.col("item_id").cast("string"), "text")).collect()
+    assert Counter((r.doc_id, r.license) for r in scanned) == {
+        (d, i if i is None else str(i)): n for (d, i), n in found.items()}
+    assert licenses.scan(docs.limit(0), licenses.templates(spark)).count() == 0
+    assert licenses.scan(docs, licenses.templates(spark).limit(0)).count() == 0
+
+
+def test_planted_passages_are_all_retrieved(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(5, 90))))
+             for i in range(400)]
+    docs = []
+    for i, t in items:  # whole, or with as many changed words as still leave 80 % of the shingles
+        w = t.split()
+        if len(w) > 34:
+            w[rng.randrange(5, len(w) - 5)] = "changed"
+        around = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(3000))]
+        at = rng.randrange(len(around) + 1)
+        docs.append((i, " ".join(around[:at] + w + around[at:])))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"),
+                                     spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in got.collect()} == contained(docs, items)
+
+
 def test_license_scan(spark, edge):
     mit = licenses.TEMPLATES["mit-permission"]
     words = mit.split()
