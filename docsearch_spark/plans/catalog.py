@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch_spark.functions.text import normalize_ws, or_empty, uuid_from
-from docsearch_spark.operators import chunking, embed, ivf, recursive, search, store
+from docsearch_spark.operators import chunking, embed, ivf, postings, recursive, search, store
 from docsearch_spark.plans import sql as S
 from docsearch_spark.session import materialize, scratch_path
 from docsearch_spark.sources import tables
@@ -294,6 +294,19 @@ def q_text_topk(spark, sf):
                     r6(F.col("dist")).alias("dist"), r6(F.col("score")).alias("score"))
 
 
+@register("text_topk_postings", f"""
+    WITH s AS ({_sql_text_scores()}),
+    r AS (SELECT query_id, chunk_id, sim,
+                 row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, chunk_id) AS rank
+          FROM s WHERE sim > 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(sim, 6) AS score FROM r WHERE rank <= 5""")
+def q_text_topk_postings(spark, sf):
+    """R3 on text without dense vectors: chunks that share a token with the question."""
+    index = postings.build(text_index(spark, sf), "chunk_id")
+    hits, _ = postings.topk(index, question_vectors(spark, sf), "query_id", 5)
+    return hits.select("query_id", "rank", F.col("doc_id").alias("chunk_id"), r6(F.col("value")).alias("score"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Minimum slice: which passages of the corpus match each benchmark question."""
     h = text_topk(spark, "/root/testdata/sf0.001", k=5)
