@@ -8,6 +8,7 @@ row-local expression; chat histories are windows per conversation.
 from __future__ import annotations
 
 import re
+import time
 
 from collections.abc import Iterator
 
@@ -123,6 +124,43 @@ def answers_with_provider(prompts: DataFrame, provider_factory) -> DataFrame:
     return prompts.select("query_id", "system", "user").mapInArrow(run, schema)
 
 
+def answers_or_errors(prompts: DataFrame, provider_factory, attempts: int = 3, wait: float = 1.0) -> DataFrame:
+    """G4 with failures as rows: (query_id, answer, attempts, error).
+
+    A call that raises is tried again, up to ``attempts`` calls, after ``wait`` seconds and
+    twice as long each time. A prompt whose calls all raise has a null answer and the last
+    error's text; the other prompts of the job are not lost with it. Rows of
+    ``error IS NOT NULL`` can be asked again later.
+    """
+    if attempts < 1:
+        raise ValueError("attempts must be at least 1")
+    schema = T.StructType([T.StructField("query_id", prompts.schema["query_id"].dataType),
+                           T.StructField("answer", T.StringType()),
+                           T.StructField("attempts", T.IntegerType()),
+                           T.StructField("error", T.StringType())])
+
+    def ask(prov, system: str, user: str):
+        for n in range(1, attempts + 1):
+            try:
+                return (prov.answer(system, user) or "").strip(), n, None
+            except Exception as e:  # a provider may raise anything
+                error = f"{type(e).__name__}: {e}"
+                if n < attempts:
+                    time.sleep(wait * 2 ** (n - 1))
+        return None, attempts, error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prov = provider_factory()
+        for rb in batches:
+            got = [ask(prov, s, u) for s, u in zip(rb.column("system").to_pylist(), rb.column("user").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("query_id"), pa.array([g[0] for g in got], pa.string()),
+                 pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.string())],
+                names=schema.names)
+
+    return prompts.select("query_id", "system", "user").mapInArrow(run, schema)
+
+
 # --------------------------------------------------------------------------
 # G5-G8
 

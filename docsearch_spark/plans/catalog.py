@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch_spark.functions.text import normalize_ws, or_empty, uuid_from
-from docsearch_spark.operators import chunking, embed, ivf, postings, recursive, search, store
+from docsearch_spark.operators import chunking, embed, ivf, postings, recursive, scan, search, store
 from docsearch_spark.plans import sql as S
 from docsearch_spark.session import materialize, scratch_path
 from docsearch_spark.sources import tables
@@ -637,6 +637,30 @@ def q_answer_stage(spark, sf):
     return G.extractive_answers(_hits(spark, sf))
 
 
+class UnsteadyModel(G.AnswerProvider):
+    """A stand-in that fails by a formula on the prompt's length: always where 5 divides it,
+    else on the first call where 3 does."""
+
+    def __init__(self):
+        self.asked = None
+
+    def answer(self, system, user):
+        again, self.asked = self.asked == user, user
+        if len(user) % 5 == 0 or len(user) % 3 == 0 and not again:
+            raise TimeoutError(f"no reply to {len(user)} characters")
+        return f" {len(user)} characters [S1] "
+
+
+@register("answer_failures", f"""
+    WITH p AS (SELECT query_id, length("user") AS n FROM ({_sql_prompts(_sql_text_topk(5))}))
+    SELECT query_id, CASE WHEN n % 5 > 0 THEN n || ' characters [S1]' END AS answer,
+           CAST(CASE WHEN n % 5 = 0 THEN 3 WHEN n % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+           CASE WHEN n % 5 = 0 THEN 'TimeoutError: no reply to ' || n || ' characters' END AS error FROM p""")
+def q_answer_failures(spark, sf):
+    prompts = G.build_prompts(tables.questions(spark, sf), _hits(spark, sf))
+    return G.answers_or_errors(prompts, UnsteadyModel, attempts=3, wait=0.0)
+
+
 @register("extract_citations", f"""
     SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1))) AS label
     FROM ({_SQL_FORMULA_ANSWERS})""")
@@ -798,6 +822,44 @@ def q_assemble_deltas(spark, sf):
     return G.assemble_fragments(turn_fragments(spark, sf), "doc", "part_no", "text", "")
 
 
+# A3, G9 by blocks
+
+
+_SQL_TURNS = """
+    WITH c AS (SELECT * FROM conversations WHERE role <> 'system'),
+    p AS (SELECT conv_id, turn, role, text,
+                 lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+                 lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM c),
+    u AS (SELECT *, coalesce(next_role = 'assistant', false) AS is_pair FROM p WHERE role = 'user')
+    SELECT conv_id, turn, text AS question, is_pair, CASE WHEN is_pair THEN next_text END AS answer,
+           CAST(coalesce(sum(CASE WHEN is_pair THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT) AS n_history,
+           CAST(coalesce(sum(CASE WHEN is_pair THEN length(coalesce(text, '')) + length(coalesce(next_text, '')) END)
+                OVER w, 0) AS BIGINT) AS history_chars
+    FROM u
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+@register("chat_positions", _SQL_TURNS)
+def q_chat_positions(spark, sf):
+    return scan.chat_positions(tables.read_table(spark, sf, "conversations"))
+
+
+@register("chat_pairs", f"""SELECT conv_id, n_history + 1 AS pair_no, question, answer
+                             FROM ({_SQL_TURNS}) WHERE is_pair""")
+def q_chat_pairs(spark, sf):
+    t = scan.chat_positions(tables.read_table(spark, sf, "conversations"))
+    return t.filter("is_pair").select("conv_id", (F.col("n_history") + 1).alias("pair_no"), "question", "answer")
+
+
+@register("fragment_offsets", f"""
+    SELECT doc, part_no, CAST(coalesce(sum(length(coalesce(text, '')) + 1) OVER w, 0) AS BIGINT) AS start,
+           length(coalesce(text, '')) AS n_chars
+    FROM ({_SQL_FRAGS})
+    WINDOW w AS (PARTITION BY doc ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def q_fragment_offsets(spark, sf):
+    return scan.fragment_offsets(turn_fragments(spark, sf), "doc", "part_no", "text").drop("text")
+
+
 # --------------------------------------------------------------------------
 # D: index maintenance
 
@@ -1011,6 +1073,39 @@ def q_html_to_text(spark, sf):
     return p.select("page_id", "url", H.html_to_text("html").alias("text"))
 
 
+_IN_TAG = """(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+
+
+def _sql_states(expr: str) -> str:
+    """Markup of hard pages by patterns; what is left goes through ``_sql_html``."""
+    t = f"coalesce({expr}, '')"
+    for pat in (r"(?s)<!--.*?(?:-->|\z)", rf"(?is)<script{_IN_TAG}>.*?(?:</script[ ]*>|\z)",
+                rf"(?is)<style{_IN_TAG}>.*?(?:</style[ ]*>|\z)", f"(?i)</?[a-z]{_IN_TAG}>"):
+        t = f"regexp_replace({t}, '{pat}', ' ', 'g')"
+    return _sql_html(t)
+
+
+def hard_pages(spark, sf) -> DataFrame:
+    """The pages, three in four with markup that a chain of patterns reads wrong."""
+    p = tables.read_table(spark, sf, "pages")
+    h, kind = or_empty("html"), F.pmod(F.col("page_id"), F.lit(4))
+    return p.select("page_id", F.when(kind == 0, F.concat(h, F.lit("end <!-- <b>left</b> open "), "url"))
+                    .when(kind == 1, F.concat(F.lit("""<img alt='1 > 0' title="a > b">"""), h))
+                    .when(kind == 2, F.concat(h, F.lit("end <script>if (a < b) { '<p>'")))
+                    .otherwise(h).alias("html"))
+
+
+_SQL_HARD = """SELECT page_id, CASE page_id % 4 WHEN 0 THEN coalesce(html, '') || 'end <!-- <b>left</b> open ' || url
+                 WHEN 1 THEN '<img alt=''1 > 0'' title="a > b">' || coalesce(html, '')
+                 WHEN 2 THEN coalesce(html, '') || 'end <script>if (a < b) { ''<p>'''
+                 ELSE coalesce(html, '') END AS html FROM pages"""
+
+
+@register("html_by_states", f"SELECT page_id, {_sql_states('html')} AS text FROM ({_SQL_HARD})")
+def q_html_by_states(spark, sf):
+    return hard_pages(spark, sf).select("page_id", H.html_text_by_states("html").alias("text"))
+
+
 def bad_vectors(spark, sf) -> DataFrame:
     """embeddings with a null vector for vec_id % 50 = 0 and one element cut for vec_id % 50 = 1."""
     v = tables.vectors(spark, sf)
