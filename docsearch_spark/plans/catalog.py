@@ -1008,6 +1008,35 @@ def q_incremental_ingest(spark, sf):
     return _stream_ingest(spark, sf).select("chunk_id", "doc_id", "source_path", "chunk_index", "content")
 
 
+@register("newest_versions", f"""
+    WITH landed AS (SELECT doc_id, 1 AS batch, 2 AS version, text FROM documents
+                    UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END,
+                                     CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE coalesce(text, '') || ' again' END
+                    FROM documents)
+    SELECT doc_id, CAST(version AS BIGINT) AS version, length(coalesce(text, '')) AS n_chars,
+           length({S.py_strip("coalesce(text, '')")}) = 0 AS tombstone
+    FROM landed WHERE batch = 1 OR version = 3""")
+def q_newest_versions(spark, sf):
+    """D6 by streaming state: all documents land in version 2, then again in version 3 (each
+    sixth blank) or, too late, in version 1. What passes is written batch by batch."""
+    from docsearch_spark.streaming import newest
+    root = scratch_path(spark, "newest")
+    docs = tables.documents(spark, sf).select("doc_id", "source_path", "text")
+    even, sixth = F.col("doc_id") % 2 == 0, F.col("doc_id") % 6 == 0
+    later = (docs.withColumn("version", F.when(even, 3).otherwise(1).cast("long"))
+             .withColumn("text", F.when(sixth, " ").otherwise(F.concat(or_empty("text"), F.lit(" again")))))
+    for batch in (docs.withColumn("version", F.lit(2).cast("long")), later):
+        batch.write.mode("append").parquet(f"{root}/landing")
+        landed = spark.readStream.schema(newest.LANDING_SCHEMA).parquet(f"{root}/landing")
+
+        def keep(rows, batch_id):
+            rows.write.mode("overwrite").parquet(f"{root}/passed/batch={batch_id}")
+
+        newest.start(spark, newest.newest_versions(landed), keep, f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/passed").select(
+        "doc_id", "version", F.length(or_empty("text")).cast("bigint").alias("n_chars"), "tombstone")
+
+
 @register("reingest", _SQL_REPLACED)
 def q_reingest(spark, sf):
     """D2 on storage: the written index after a batch of changed documents."""

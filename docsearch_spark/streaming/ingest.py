@@ -63,8 +63,9 @@ def current_index(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def merge_batch(batch: DataFrame, root: str, size: int, overlap: int, dim: int, n_buckets: int,
-                dense: bool = True) -> list[int]:
-    """Merge (doc_id, source_path, text, version) rows; the buckets rewritten."""
+                dense: bool = True, versions_known: bool = False) -> list[int]:
+    """Merge (doc_id, source_path, text, version) rows; the buckets rewritten. With
+    ``versions_known`` the caller has left out what is not newer than the index."""
     spark = batch.sparkSession
     root = root.rstrip("/")
     newest = materialize(I.newest_version(batch).withColumn("__bucket", I.doc_bucket("doc_id", n_buckets)),
@@ -74,8 +75,8 @@ def merge_batch(batch: DataFrame, root: str, size: int, overlap: int, dim: int,
     touched = [r[0] for r in newest.select("__bucket").distinct().collect()]  # at most n_buckets
     paths = [live[b] for b in touched if b in live]
     old = spark.read.parquet(*paths) if paths else None
-    seen = [old.select("doc_id", "version")] if old is not None else []
-    if path_exists(spark, f"{root}/versions"):
+    seen = [old.select("doc_id", "version")] if old is not None and not versions_known else []
+    if not versions_known and path_exists(spark, f"{root}/versions"):
         seen.append(spark.read.schema(VERSIONS).parquet(f"{root}/versions")
                     .filter(F.col("bucket").isin(touched)).select("doc_id", "version"))
     if seen:
