@@ -6,10 +6,13 @@ partial partitions with the largest spread (largest minus smallest total) are
 combined, the larger totals of one on the smaller totals of the other, until one
 is left.
 
-The differencing runs in two levels, since it is the same step at each: groups
+The differencing runs in levels, since it is the same step at each: groups
 are dealt to buckets of bounded size by the hash of their text, every task
 differences one bucket, and the buckets' final vectors (``shards`` numbers for
-``BUCKET_GROUPS`` groups) are differenced against each other. Slots come from
+``BUCKET_GROUPS`` groups) are dealt to buckets of ``BUCKET_VECTORS`` in turn, until
+one bucket is left, so no task's work grows with the table. Buckets are balanced
+in themselves and cannot make up for one group larger than a shard, so such groups
+get a shard each beforehand. Slots come from
 row numbers within (shard, block) plus the block's offset, so no shard is sorted
 in one task.
 
@@ -32,6 +35,8 @@ from docsearch_spark.llm.util import documents, materialize
 SHARDS = 16
 #: Groups that one task differences.
 BUCKET_GROUPS = 20_000
+#: Vectors that one task differences at the levels above.
+BUCKET_VECTORS = 4_000
 #: Rows of the blocks within which slots are numbered.
 BLOCK_ROWS = 20_000
 
@@ -72,8 +77,27 @@ def difference(vectors: Iterable[list[int]], shards: int) -> list[list[int]]:
 
 
 def balance(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(key, shard) for groups (key, size): near-equal bytes, groups whole."""
-    n = groups.count()
+    """(key, shard) for groups (key, size): near-equal bytes, groups whole.
+
+    A group at least as large as the mean of the shards left has a shard of its own (at
+    most ``shards`` - 1 groups); the others are differenced over the rest.
+    """
+    rest, n = groups.agg(F.sum("size"), F.count("*")).first()
+    alone, free = [], shards
+    for r in groups.orderBy(F.desc("size"), "key").limit(shards - 1).collect():
+        if r["size"] * free < rest:
+            break
+        alone.append((r["key"], len(alone)))
+        rest, free = rest - r["size"], free - 1
+    if not alone:
+        return difference_groups(groups, n, shards)
+    own = F.broadcast(groups.sparkSession.createDataFrame(alone, "key binary, shard int"))
+    others = difference_groups(groups.join(own, "key", "left_anti"), n - len(alone), free)
+    return others.select("key", (F.col("shard") + len(alone)).alias("shard")).unionByName(own)
+
+
+def difference_groups(groups: DataFrame, n: int, shards: int) -> DataFrame:
+    """(key, shard) for ``n`` groups (key, size) by differencing alone."""
     buckets = max(1, -(-n // BUCKET_GROUPS))
 
     def local(table: pa.Table) -> pa.Table:
@@ -87,22 +111,47 @@ def balance(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
         groups.select("key", "size", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
         .groupBy("bucket").applyInArrow(local, "key binary, bucket bigint, size bigint, part int"),
         "parts")
-    totals = parts.groupBy("bucket", "part").agg(F.sum("size").alias("size"))
-
-    def top(table: pa.Table) -> pa.Table:
-        vectors: dict[int, list[int]] = {}
-        for r in table.sort_by("bucket").to_pylist():
-            vectors.setdefault(r["bucket"], [0] * shards)[r["part"]] = r["size"]
-        rows = [(b, part, shard) for b, p in zip(vectors, difference(vectors.values(), shards))
-                for part, shard in enumerate(p)]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()),
-                         "part": pa.array([r[1] for r in rows], pa.int32()),
-                         "shard": pa.array([r[2] for r in rows], pa.int32())})
-
-    # one row for each shard of a bucket: a BUCKET_GROUPS / shards fraction of the groups
-    placed = (totals.groupBy(F.lit(0).alias("all")).applyInArrow(
-        lambda t: top(t.select(["bucket", "part", "size"])), "bucket bigint, part int, shard int"))
-    return parts.join(placed, ["bucket", "part"]).select("key", "shard")
+    # one row a bucket: a BUCKET_GROUPS-th of the groups
+    vectors = parts.groupBy(F.col("bucket").alias("unit")).agg(F.array(*[
+        F.sum(F.when(F.col("part") == i, F.col("size")).otherwise(0)) for i in range(shards)]).alias("totals"))
+    placed = place_vectors(vectors, buckets, shards).select(F.col("unit").alias("bucket"), "place")
+    return parts.join(placed, "bucket").select("key", F.col("place")[F.col("part")].alias("shard"))
+
+
+def place_vectors(vectors: DataFrame, n: int, shards: int) -> DataFrame:
+    """(unit, place) for ``n`` vectors (unit, totals): the shard of each entry.
+
+    Level by level, as long as one task could not hold all of them: the vectors are dealt
+    to buckets, each bucket is differenced to one vector, and these are the next level's.
+    On the way back a level's entries follow those of the level above.
+    """
+    def local(table: pa.Table) -> pa.Table:
+        table = table.sort_by("unit")
+        totals = table["totals"].to_pylist()
+        places = difference(totals, shards)
+        united = [0] * shards
+        for vector, place in zip(totals, places):
+            for size, i in zip(vector, place):
+                united[i] += size
+        return pa.table({"unit": table["unit"], "bucket": table["bucket"],
+                         "place": pa.array(places, pa.list_(pa.int32())),
+                         "totals": pa.array([united] * len(places), pa.list_(pa.int64()))})
+
+    levels = []
+    while not levels or n > 1:
+        n = max(1, -(-n // BUCKET_VECTORS))
+        level = materialize(
+            vectors.select("unit", "totals", F.pmod(F.xxhash64("unit"), F.lit(n)).alias("bucket"))
+            .groupBy("bucket").applyInArrow(local, "unit bigint, bucket bigint, place array<int>, totals array<bigint>"),
+            "level")
+        levels.append(level.select("unit", "bucket", "place"))
+        vectors = level.groupBy(F.col("bucket").alias("unit")).agg(F.first("totals").alias("totals"))
+    placed = levels[-1].select("unit", "place")
+    for level in reversed(levels[:-1]):
+        above = placed.select(F.col("unit").alias("bucket"), F.col("place").alias("above"))
+        placed = level.join(above, "bucket").select(
+            "unit", F.transform("place", lambda i: F.col("above")[i]).alias("place"))
+    return placed
 
 
 def shard(df: DataFrame, shards: int = SHARDS, key: str = "doc_id",

@@ -39,6 +39,31 @@ def test_differencing_beats_largest_first():
     assert max(totals) - min(totals) <= 2
 
 
+def test_levels_of_buckets_balance_whole_groups(spark, monkeypatch):
+    """130 buckets, then 33, 9, 3 and 1; one group larger than a shard, and null doc_ids."""
+    monkeypatch.setattr(sharding, "BUCKET_GROUPS", 20)
+    monkeypatch.setattr(sharding, "BUCKET_VECTORS", 4)
+    rng = random.Random(8)
+    data = [(None if i % 50 == 0 else i, f"text {i} " + "x" * int(rng.lognormvariate(4, 1))) for i in range(2600)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    out = sharding.shard(df).collect()
+    assert len(out) == len(data) and {r.shard for r in out} <= set(range(16))
+    totals = [0] * 16
+    for r in out:
+        totals[r.shard] += r.size
+    assert max(totals) - min(totals) <= max(r.size for r in out)
+    for s in range(16):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    big = df.unionByName(spark.createDataFrame([(9000 + i, "same " * 100_000) for i in range(3)], df.schema))
+    out = sharding.shard(big).collect()
+    assert len({r.shard for r in out if r.doc_id and r.doc_id >= 9000}) == 1
+    totals = [0] * 16
+    for r in out:
+        totals[r.shard] += r.size
+    assert sorted(totals)[-1] == 3 * 500_001  # the group is alone, the rest is even
+    assert sorted(totals)[-2] - min(totals) <= max(r.size for r in out if r.size < 500_000)
+
+
 def test_shards_of_edge_rows_and_many_buckets(spark, edge, monkeypatch):
     got = rows(sharding.shard(edge))
     text = {d: t or "" for d, t, *_ in EDGE_ROWS}
