@@ -4,8 +4,9 @@ Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
 
-1. language ID: texts without letters go, and texts of which no language holds
-   ``MIN_SHARE`` of the words.
+1. language ID: texts without letters go, and texts whose words are no language's: the
+   mean probability of a word's best label is below ``MIN_CONFIDENCE``. A text in several
+   languages whose words are told well stays, however its words are shared out.
 2. exact dedup: of equal texts (white space aside) one stays.
 3. near duplicates: of each group linked by Jaccard similarity the document with
    the smallest doc_id stays.
@@ -13,19 +14,20 @@ stage's docs. All but the last return the columns of documents.
 5. byte-level BPE: token counts, digests of the ids and of what they decode to.
 
 A document is told by its doc_id: a decision holds for every row with it, and a
-row without doc_id is kept. Null texts have no letters and go in stage 1.
+row without doc_id is kept, but for stage 4, which tells such rows by their text.
+Null texts have no letters and go in stage 1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch_spark.llm import bpe, decontaminate, langid, quotient, vertical
 from docsearch_spark.llm.util import materialize
 
-#: A language must hold this share of a text's words.
-MIN_SHARE = 0.4
+#: The least mean probability of the words' labels.
+MIN_CONFIDENCE = 0.5
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -35,9 +37,15 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
 
 
+def confidence() -> Column:
+    """The mean of the words' best probabilities, from the spans of equal labels."""
+    words = F.aggregate("spans", F.lit(0.0), lambda a, s: a + (s["end"] - s["start"]))
+    return F.aggregate("spans", F.lit(0.0), lambda a, s: a + s["p"] * (s["end"] - s["start"])) / words
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs)
-    return without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_SHARE)))
+    return without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (confidence() < MIN_CONFIDENCE)))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +57,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, decontaminate.contaminated(docs, decontaminate.benchmark_items(spark, sf_dir)))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256)))
+    found = decontaminate.contaminated(docs.select(name.alias("doc_id"), "text"),
+                                       decontaminate.benchmark_items(spark, sf_dir))
+    gone = materialize(found.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    return docs.join(gone, name == F.col("gone_id"), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,12 +132,46 @@ def test_reply_order_of_one_long_conversation(spark):
     assert all(got[t].own_text == lines[t] for t in got)
 
 
+def sure(row):
+    """Mean probability of the words' labels."""
+    return (sum(s["p"] * (s["end"] - s["start"]) for s in row.spans)
+            / sum(s["end"] - s["start"] for s in row.spans))
+
+
+def test_mixed_languages_stay(spark):
+    """Texts of three or more languages in equal parts, which no language dominates."""
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    parts = {}
+    for r in docs.where("lang is not null and text is not null").orderBy("doc_id").collect():
+        words = r.text.split()
+        if len(words) >= 20:
+            parts.setdefault(r.lang, []).append(" ".join(words[:20]))
+    n = min(5, min(map(len, parts.values())))
+    mixed = [(100_000 + i, " ".join(texts[i] for texts in parts.values())) for i in range(n)]
+    assert len(parts) >= 3
+    extra = spark.createDataFrame(mixed, "doc_id long, text string")
+    out = corpus_pipeline.language(spark, docs.unionByName(extra, allowMissingColumns=True), SF001)
+    assert {d for d, _ in mixed} <= {r.doc_id for r in out.collect()}
+
+
+def test_leaks_without_doc_id_go(spark):
+    import corpus_pipeline
+    item = spark.read.parquet(f"{SF001}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(None, "before " + item), (None, "clean words that stand in no item at all"),
+                                  (5, item + " after"), (6, None), (None, None)], "doc_id long, text string")
+    out = corpus_pipeline.leaks(spark, docs, SF001)
+    assert sorted((str(r.doc_id), r.text) for r in out.collect() if r.text) == [
+        ("None", "clean words that stand in no item at all")]
+    assert out.count() == 3 and out.columns == docs.columns
+
+
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     found = rows(langid.identify(docs))
     left = [(r.doc_id, r.text) for r in docs.collect()
-            if found[r.doc_id].lang_pred != langid.UNKNOWN and found[r.doc_id].score >= corpus_pipeline.MIN_SHARE]
+            if found[r.doc_id].lang_pred != langid.UNKNOWN and sure(found[r.doc_id]) >= corpus_pipeline.MIN_CONFIDENCE]
     kept = exact(left)
     left = [(d, t) for d, t in left if kept[d][2]]
     groups = components(left)
