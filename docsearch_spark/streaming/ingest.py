@@ -83,19 +83,20 @@ def merge_batch(batch: DataFrame, root: str, size: int, overlap: int, dim: int,
         held = functools.reduce(DataFrame.unionByName, seen).groupBy("doc_id").agg(F.max("version").alias("held"))
         newest = materialize(newest.join(held, "doc_id", "left").filter(
             F.col("held").isNull() | (F.col("version") > F.col("held"))).drop("held"), "newer")
-    chunks = I.build_index(newest.drop("version", "__bucket"), size, overlap, dim, n_buckets, dense)
-    chunks = materialize(chunks.join(newest.select("doc_id", "version"), "doc_id"), "chunks")
+    # sparse up to the write: dense vectors take part in no join and no shuffle
+    chunks = materialize(I.build_index(newest, size, overlap, dim, n_buckets, dense=False, keep=("version",)), "chunks")
     changed = sorted(r[0] for r in chunks.select("bucket").distinct().collect())
     if not changed:
         _note(newest, root)
         return []
     merged = chunks
     if old is not None:
-        carried = old.withColumn("bucket", I.doc_bucket("doc_id", n_buckets)).filter(F.col("bucket").isin(changed))
+        carried = (old.drop("embedding").withColumn("bucket", I.doc_bucket("doc_id", n_buckets))
+                   .filter(F.col("bucket").isin(changed)))
         merged = I.replace_by_document(carried.select(*chunks.columns), chunks)
     number = commits[-1] + 1 if commits else 0
     data = f"{root}/data/commit={number}"
-    I.write_index(merged, data)
+    I.write_index(I.late_dense(merged, dim) if dense else merged, data)
     live.update({b: f"{data}/bucket={b}" for b in changed})
     spark.createDataFrame(sorted(live.items()), MANIFEST).coalesce(1) \
         .write.mode("overwrite").json(f"{root}/manifest/{number}")
