@@ -77,3 +77,18 @@ def test_a_batch_that_failed_is_run_again_with_the_same_rows(spark, tmpdir_path)
     except Exception as e:
         assert "lost" in str(e)
     assert passed(spark, tmpdir_path) == sorted(tried) and len(tried) == 2
+
+
+def test_documents_of_one_group_have_their_own_versions(spark, tmpdir_path):
+    def run():
+        out = []
+        stream = spark.readStream.schema(ingest.LANDING_SCHEMA).parquet(os.path.join(tmpdir_path, "landing"))
+        newest.start(spark, newest.newest_versions(stream, groups=1),
+                     lambda batch, _: out.extend((r["doc_id"], r["version"]) for r in batch.collect()),
+                     os.path.join(tmpdir_path, "ck")).awaitTermination()
+        return sorted(out)
+
+    land(spark, tmpdir_path, 0, [(i, f"/{i}", f"text {i}", 2) for i in range(-3, 30)])
+    assert run() == [(i, 2) for i in range(-3, 30)]
+    land(spark, tmpdir_path, 1, [(i, f"/{i}", "later", 3 if i % 2 else 1) for i in range(-3, 31)])
+    assert run() == sorted([(i, 3) for i in range(-3, 30) if i % 2] + [(30, 1)])
