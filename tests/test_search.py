@@ -2,6 +2,7 @@
 slicing of the broadcast side, and plan shapes."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sf_paths import SF01
@@ -191,3 +192,26 @@ def test_string_ids_and_exact_ties(spark):
         got.setdefault(r["query_id"], []).append(r["doc_id"])
     want = brute([("q1", [1.0, 0.1, 0.0]), ("q2", [0.0, 0.0, 1.0])], ds, 7)
     assert got == want
+
+
+def test_a_cell_makes_dense_only_a_tile_of_its_rows(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6)).astype(np.float32)
+    index = pa.table({"id": list(range(40)), "v": list(x)})
+    asked = pa.table({"query_id": list(range(40)), "q_v": list(x), "top_k": pa.array([3] * 40, pa.int32())})
+    out = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("value", pa.float64()), ("top_k", pa.int32())])
+
+    def best(mode):
+        spec = search.Dense("v", 6)
+        return search._score_cell(index, asked, spec, spec, 6, mode, 3, False, False, out).to_pylist()
+
+    made, real = [], search._matrix
+    whole = {mode: best(mode) for mode in ("cosine", "l2")}
+    monkeypatch.setattr(search, "TILE_BYTES", 7 * 8 * 6)
+    monkeypatch.setattr(search, "_matrix", lambda rb, spec, dim, prefix="": (
+        made.append(rb.num_rows) if not prefix else None) or real(rb, spec, dim, prefix))
+    for mode, want in whole.items():
+        got = best(mode)
+        assert [(r["query_id"], r["doc_id"]) for r in got] == [(r["query_id"], r["doc_id"]) for r in want]
+        assert np.allclose([r["value"] for r in got], [r["value"] for r in want], atol=1e-12)
+    assert max(made) == 7
