@@ -25,3 +25,17 @@ def test_a_chunking_normalises_a_text_once(spark):
     plan = chunks._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
     assert [r["content"] for r in chunks.where("doc_id = 0").orderBy("chunk_index").collect()] == ["a b", "0"]
+
+
+def test_staged_texts_are_files_of_their_folders(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(catalog, "FOLDER_FILES", 4)
+    texts = [(i, f"té  {i}\n") for i in range(10)] + [(3, "other"), (11, None), (12, ""), (None, "no id")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(os.path.join(tmpdir_path, "documents.parquet"))
+    root = catalog._documents_as_files(spark, tmpdir_path).removeprefix("file:")
+    held = {}
+    for folder, inner, names in os.walk(root):
+        assert folder == root or not inner  # files lie in the folders, not in a directory each
+        held.update((n, open(os.path.join(folder, n), encoding="utf-8").read()) for n in names if not n.startswith("."))
+    want = {f"doc_id={i}.txt": t + "\n" for i, t in texts[:10]}
+    want["doc_id=3.txt"] = "other\n" + want["doc_id=3.txt"]
+    assert held == want | {"doc_id=11.txt": "\n", "doc_id=12.txt": "\n", f"doc_id={catalog.NO_ID}.txt": "no id\n"}
