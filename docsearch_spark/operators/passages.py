@@ -9,17 +9,23 @@ anchors' lengths; an equi-join of the hashes gives the candidates, and
 ``contains`` decides.
 
 Passages of fewer than three words have no inner word. Their anchor is a run of
-``GRAM`` characters, the one of theirs that the fewest documents hold: documents offer
-their distinct runs, one aggregation counts those that passages have, each passage keeps
-its rarest, and an equi-join gives the candidates. A passage of at most ``GRAM``
+``GRAM`` characters, the one of theirs that the fewest documents hold: tasks look the runs of
+their documents up in a table of ``BUCKETS`` bits and hand on only those that passages (but for
+collisions) have, first counted, then, of the rarest run of each passage, with the documents'
+ids; equi-joins by the run itself decide. A passage of at most ``GRAM``
 characters is its own anchor and needs no further test. There is no limit to the number
 of passages, and nothing is collected but lengths.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsearch_spark.functions.text import let, normalize_ws, or_empty
 from docsearch_spark.operators.chunking import segments
@@ -28,6 +34,9 @@ from docsearch_spark.session import materialize
 ANCHOR_WORDS = 8
 #: Characters of the anchor of a passage of one or two words.
 GRAM = 4
+#: Buckets of the table of wanted runs of characters, and characters that a task works on at a time.
+BUCKETS = 1 << 20
+STEP_CHARS = 1 << 20
 #: Steps of a text's coarse pieces, from which the runs of characters are cut.
 STEP = 16
 
@@ -48,6 +57,99 @@ def _grams(t: Column, n: int) -> Column:
         F.array().cast("array<string>")))))
 
 
+def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, the text of each)."""
+    strings = [(t or b"").decode("utf-8", "replace") for t in texts]
+    codes = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
+    return codes, np.repeat(np.arange(len(strings)), [len(x) for x in strings])
+
+
+def _buckets(codes: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of the ``n`` characters from each place on."""
+    h = np.full(max(0, len(codes) - n + 1), n, np.uint64)
+    for i in range(n):
+        h = (h + codes[i:len(codes) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(44)).astype(np.int64)
+
+
+def _found(codes: np.ndarray, row: np.ndarray, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of the distinct wanted runs of ``n`` (``GRAM`` at most) characters in each text."""
+    at = np.flatnonzero(wanted[_buckets(codes, n)])
+    at = at[row[at] == row[at + n - 1]]
+    c = [codes[at + i].astype(np.int64) if i < n else np.zeros(len(at), np.int64) for i in range(GRAM)]
+    high, low = (row[at] << 42) + (c[0] << 21) + c[1], (c[2] << 21) + c[3]
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    first = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])][:len(order)]
+    return row[at[order[first]]], at[order[first]]
+
+
+def _runs_at(codes: np.ndarray, at: np.ndarray, n: int) -> list[str]:
+    text = codes[at[:, None] + np.arange(n)].tobytes().decode("utf-32-le")
+    return [text[i:i + n] for i in range(0, len(text), n)]
+
+
+def wanted_buckets(grams: DataFrame) -> np.ndarray:
+    """The table of wanted runs: which of the ``BUCKETS`` hold one of ``grams`` (gram)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            codes, row = _codes(rb.column("gram").cast(pa.binary()).to_pylist())
+            size = np.bincount(row, minlength=rb.num_rows)
+            start = np.cumsum(size) - size
+            for n in range(1, GRAM + 1):
+                own = start[size == n]
+                if len(own):
+                    yield pa.record_batch({"bucket": pa.array(np.unique(_buckets(codes, n)[own]))})
+
+    held = grams.select("gram").mapInArrow(run, "bucket bigint").distinct().toArrow()  # BUCKETS at most
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[held.column("bucket").to_numpy()] = True
+    return wanted
+
+
+def offered_grams(docs: DataFrame, grams: DataFrame, lengths: list[int], count: bool = False) -> DataFrame:
+    """(doc_id, gram): the runs of characters that documents (doc_id, t) have in common with
+    ``grams`` (gram), once a document; with ``count``, (gram, n), the documents that hold each.
+
+    A task looks its texts' runs up in :func:`wanted_buckets`, so only wanted runs leave it."""
+    shipped = docs.sparkSession.sparkContext.broadcast(wanted_buckets(grams))
+    id_type = docs.schema["doc_id"].dataType
+
+    def steps(rb: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+        texts = rb.column("t").cast(pa.binary()).to_pylist()
+        start = held = 0
+        for i, t in enumerate(texts):
+            held += len(t or b"")
+            if held >= STEP_CHARS or i == len(texts) - 1:
+                yield start, texts[start:i + 1]
+                start, held = i + 1, 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shipped.value
+        for rb in batches:
+            for start, texts in steps(rb):
+                codes, row = _codes(texts)
+                for n in lengths:
+                    of, at = _found(codes, row, n, wanted)
+                    if not len(at):
+                        continue
+                    if not count:
+                        yield pa.record_batch({"doc_id": rb.column("doc_id").take(pa.array(of + start)),
+                                               "gram": pa.array(_runs_at(codes, at, n), pa.string())})
+                        continue
+                    _, one, times = np.unique(codes[at[:, None] + np.arange(n)], axis=0, return_index=True,
+                                              return_counts=True)
+                    yield pa.record_batch({"gram": pa.array(_runs_at(codes, at[one], n), pa.string()),
+                                           "n": pa.array(times.astype(np.int64))})
+
+    gram = T.StructField("gram", T.StringType())
+    if count:
+        met = docs.select("t").mapInArrow(run, T.StructType([gram, T.StructField("n", T.LongType())]))
+        return met.groupBy("gram").agg(F.sum("n").alias("n")).join(grams.select("gram").distinct(), "gram")
+    met = docs.select("doc_id", "t").mapInArrow(run, T.StructType([T.StructField("doc_id", id_type), gram]))
+    return met.join(grams.select("gram").distinct(), "gram").select("doc_id", "gram")
+
+
 def short_matches(docs: DataFrame, short: DataFrame) -> DataFrame:
     """(item_id, doc_id) for passages ``short`` (item_id, p) of any length and number, by
     their rarest run of characters. ``docs`` is (doc_id, t), normalised."""
@@ -57,14 +159,12 @@ def short_matches(docs: DataFrame, short: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in own.select(F.length("gram").alias("n")).distinct().collect())  # GRAM at most
     if not lengths:
         return short.join(docs.select("doc_id").limit(0), F.lit(True)).select("item_id", "doc_id")
-    offered = docs.select("doc_id", F.explode(F.concat(*[_grams(F.col("t"), n) for n in lengths])).alias("gram"))
-    held = (offered.join(own.select("gram").distinct(), "gram")
-            .groupBy("gram").agg(F.count(F.lit(1)).alias("n")))  # a document offers a run once
+    held = offered_grams(docs, own, lengths, count=True)  # a document offers a run once
     anchors = materialize(own.join(held, "gram").groupBy("p").agg(
         F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "gram")).alias("least"))
         .join(own.groupBy("p").agg(F.count(F.lit(1)).alias("all")), "p").where("met = all")  # else in no document
         .select("p", F.col("least.gram").alias("gram")), "anchors")
-    found = offered.join(anchors, "gram").select("doc_id", "p")
+    found = offered_grams(docs, anchors, lengths).join(anchors, "gram").select("doc_id", "p")
     sure = found.where(F.length("p") <= GRAM)
     tested = (found.where(F.length("p") > GRAM).join(docs, "doc_id").where(F.contains("t", "p")).select("doc_id", "p"))
     return short.join(sure.unionByName(tested), "p").select("item_id", "doc_id")

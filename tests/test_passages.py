@@ -2,6 +2,7 @@
 
 import random
 
+from docsearch_spark.operators import passages
 from docsearch_spark.operators.passages import passage_matches
 
 
@@ -38,3 +39,15 @@ def test_short_and_long_passages_together(spark):
              (8, "x" * 4000), (9, "x" * 5001), (10, "cat"), (11, "e th"), (12, "x end")]
     assert found(spark, docs, items) == searched(docs, items)
     assert found(spark, docs, items[4:6]) == set()
+
+
+def test_only_wanted_runs_leave_the_documents(spark):
+    texts = [(1, "abcab cab" * 300), (2, "xyz𝒳é日"), (3, ""), (4, None), (5, "q" * 3), (6, "bca")]
+    docs = spark.createDataFrame(texts, "doc_id long, t string")
+    grams = ["bca", "cab ", "é日", "q", "𝒳", "none", "ab"]
+    wanted = spark.createDataFrame([(g,) for g in grams], "gram string")
+    want = sorted((d, g) for d, t in texts for g in grams if g in (t or ""))
+    assert sorted(map(tuple, passages.offered_grams(docs, wanted, [1, 2, 3, 4]).collect())) == want
+    counts = {r["gram"]: r["n"] for r in passages.offered_grams(docs, wanted, [1, 2, 3, 4], count=True).collect()}
+    assert counts == {g: sum(x == g for _, x in want) for g in grams if any(x == g for _, x in want)}
+    assert passages.wanted_buckets(wanted).sum() <= len(grams)
