@@ -1,6 +1,6 @@
 """Embedding stage.
 
-Default embedder: hashed bag of words. Spark cuts the tokens, numpy counts them.
+Default embedder: hashed bag of words. Spark lowers the texts, numpy cuts and counts the tokens.
 
 * tokens  = letter/digit runs of the lower-cased text
 * bucket  = first 32 bits of md5(token) modulo ``dim``
@@ -25,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsearch_spark.functions.text import col_, tokens
+from docsearch_spark.functions.text import TOKEN_PATTERN, or_empty
 from docsearch_spark.functions.vectors import l2_normalize
 from docsearch_spark.schemas import EMBED_BATCH, EMBED_DIM, NORM_EPS
 
@@ -42,26 +42,89 @@ from docsearch_spark.schemas import EMBED_BATCH, EMBED_DIM, NORM_EPS
 KEPT_TOKENS = 1 << 20
 _HASHES: dict[str, int] = {}
 
+#: Application id -> :func:`token_edges` of its Java.
+_EDGES: dict[str, np.ndarray] = {}
+#: ASCII letters and digits stay, all other ASCII characters become a space.
+_ASCII = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
+
+
+def token_edges(spark: SparkSession) -> np.ndarray:
+    """Code points beyond ASCII at which runs of token characters begin and end, in turn.
+
+    Spark itself tells them, by the pattern that it would cut tokens with, once an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _EDGES:
+        char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        held = spark.range(128, 0x110000, 1, 1).where(
+            ~F.col("id").between(0xD800, 0xDFFF)).where(char.rlike(f"^{TOKEN_PATTERN}$")).toArrow()
+        ids = held.column("id").to_numpy()
+        starts = np.r_[True, np.diff(ids) > 1][:len(ids)]
+        ends = np.r_[np.diff(ids) > 1, True][:len(ids)]
+        _EDGES[app] = np.stack([ids[starts], ids[ends] + 1], axis=1).ravel()
+    return _EDGES[app]
+
+
+def in_edges(edges: np.ndarray):
+    """Which of some code points are token characters."""
+    return lambda codes: np.searchsorted(edges, codes, "right") % 2 == 1
+
+
+def cut_tokens(texts: pa.Array, is_token) -> tuple[np.ndarray, pa.Array]:
+    """(text of each token, tokens in order) of lower-cased texts; null has none.
+
+    Works on the UTF-8 bytes: separators become spaces of the same length. ``is_token``
+    tells for an array of distinct code points beyond ASCII which belong to tokens."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    low, high = int(ends[0]), int(ends[-1])
+    raw = (data.slice(low, high - low).to_pybytes() if high > low else b"").translate(_ASCII)
+    held = np.frombuffer(raw, np.uint8)
+    lead = np.flatnonzero(held >= 0xC0)
+    if len(lead):
+        held = held.copy()
+        size = 2 + (held[lead] >= 0xE0) + (held[lead] >= 0xF0)
+        code = held[lead].astype(np.int64) & (0xFF >> (size + 1))
+        for i in range(1, 4):
+            more = size > i
+            code[more] = (code[more] << 6) | (held[lead[more] + i] & 0x3F)
+        kinds, kind = np.unique(code, return_inverse=True)
+        other = ~is_token(kinds)[kind]
+        for i in range(4):
+            held[lead[other & (size > i)] + i] = 32
+    spaced = pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends - low).astype(np.int32)), pa.py_buffer(held))
+    words = pc.ascii_split_whitespace(spaced)
+    flat = words.flatten()
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+    real = pc.not_equal(pc.binary_length(flat), 0)  # a text that begins or ends with a separator has empty ones
+    return row[real.to_numpy(zero_copy_only=False)], flat.filter(real)
+
 
 def _token_hashes(words: list[str]) -> np.ndarray:
     """First 32 bits of each word's md5 (:func:`hash_bucket` before the modulo)."""
     if len(_HASHES) > KEPT_TOKENS:
         _HASHES.clear()
-    for w in words:
-        if w not in _HASHES:
-            _HASHES[w] = int.from_bytes(hashlib.md5(w.encode("utf-8")).digest()[:4], "big")
-    return np.fromiter((_HASHES[w] for w in words), np.int64, len(words))
-
-
-def sparse_counts(words: pa.Array, dim: int) -> tuple[pa.Array, pa.Array]:
-    """(idx, val) list arrays of a list-of-words array: sorted distinct buckets and their
-    L2-normalised counts. A word is hashed once a batch."""
-    n = len(words)
-    lens = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
-    flat = words.flatten().dictionary_encode()
-    bucket = _token_hashes(flat.dictionary.to_pylist()) % dim
-    at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    key, count = np.unique(np.repeat(np.arange(n), lens) * dim + bucket[at], return_counts=True)
+    found = list(map(_HASHES.get, words))
+    if None in found:
+        for i, w in enumerate(words):
+            if found[i] is None:
+                found[i] = _HASHES[w] = int.from_bytes(hashlib.md5(w.encode("utf-8")).digest()[:4], "big")
+    return np.array(found, np.int64)
+
+
+def _buckets(words: pa.Array, dim: int) -> np.ndarray:
+    """The bucket of each word. A word is hashed once a batch."""
+    flat = words.dictionary_encode()
+    hashes = _token_hashes(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
+    return (hashes % dim)[flat.indices.to_numpy(zero_copy_only=False)]
+
+
+def sparse_counts(texts: pa.Array, dim: int, is_token) -> tuple[pa.Array, pa.Array]:
+    """(idx, val) list arrays of lower-cased texts: sorted distinct buckets of their tokens and
+    the L2-normalised counts."""
+    n = len(texts)
+    of, words = cut_tokens(texts, is_token)
+    key, count = np.unique(of * dim + _buckets(words, dim), return_counts=True)
     row = key // dim
     length = np.sqrt(np.bincount(row, count.astype(np.float64) ** 2, n))
     offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
@@ -73,23 +136,25 @@ def embed_sparse(df: DataFrame, text_col: str, dim: int = EMBED_DIM,
                  idx_col: str = "sv_idx", val_col: str = "sv_val") -> DataFrame:
     """C1 (default provider): L2-normalised hashed term counts, sparse form.
 
-    Spark cuts the tokens, one numpy count per Arrow batch makes the vectors: still a
-    narrow projection. A text without tokens gets empty arrays (a zero vector).
+    Spark lowers the texts and tells the token characters (:func:`token_edges`); numpy cuts
+    and counts by Arrow batch: still a narrow projection. A text without tokens gets empty
+    arrays (a zero vector).
     """
-    tmp = "__tokens"
+    tmp = "__lower"
     kept = df.drop(idx_col, val_col)
     schema = T.StructType(kept.schema.fields + [
         T.StructField(idx_col, T.ArrayType(T.IntegerType(), False), False),
         T.StructField(val_col, T.ArrayType(T.DoubleType(), False), False)])
+    edges = token_edges(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            idx, val = sparse_counts(rb.column(tmp), dim)
+            idx, val = sparse_counts(rb.column(tmp), dim, in_edges(edges))
             own = [i for i, name in enumerate(rb.schema.names) if name != tmp]
             yield pa.RecordBatch.from_arrays([rb.column(i) for i in own] + [idx, val],
                                              names=[rb.schema.names[i] for i in own] + [idx_col, val_col])
 
-    return kept.select("*", tokens(col_(text_col)).alias(tmp)).mapInArrow(run, schema)
+    return kept.select("*", F.lower(or_empty(text_col)).alias(tmp)).mapInArrow(run, schema)
 
 
 def densify(idx_col: str = "sv_idx", val_col: str = "sv_val",
@@ -236,15 +301,17 @@ class HashedBowProvider(EmbeddingProvider):
     def __init__(self, dim: int = EMBED_DIM):
         import regex
         self.dim = dim
-        self._tok = regex.compile(r"[\p{L}\p{N}]+")
+        self._char = regex.compile(TOKEN_PATTERN)
+
+    def _is_token(self, codes: np.ndarray) -> np.ndarray:
+        return np.array([self._char.fullmatch(chr(c)) is not None for c in codes.tolist()], bool)
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        for r, t in enumerate(texts):
-            words = self._tok.findall((t or "").lower())
-            out[r] = np.bincount(_token_hashes(words) % self.dim, minlength=self.dim)
-        n = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
+        n = len(texts)
+        of, words = cut_tokens(pa.array([(t or "").lower() for t in texts], pa.string()), self._is_token)
+        out = np.bincount(of * self.dim + _buckets(words, self.dim), minlength=n * self.dim).reshape(n, self.dim)
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, length, out=np.zeros(out.shape), where=length > 0)
 
 
 class OutOfOrderProvider(HashedBowProvider):
