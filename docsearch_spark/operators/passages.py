@@ -4,9 +4,9 @@ A passage is contained when its normalised text is a substring of the
 document's. The words inside a passage (all but its first and last, which may be
 parts of longer words in a document) then stand in the document as whole words,
 one after the other. So every passage offers one *anchor*, a run of at most
-``ANCHOR_WORDS`` of its inner words; documents offer all their runs of the
-anchors' lengths; an equi-join of the hashes gives the candidates, and
-``contains`` decides.
+``ANCHOR_WORDS`` of its inner words; tasks hash all runs of the anchors' lengths in their
+documents by numpy and look them up in a table of ``BUCKETS`` bits; an equi-join of the hashes
+that are left gives the candidates, and ``contains`` decides.
 
 Passages of fewer than three words have no inner word. Their anchor is a run of
 ``GRAM`` characters, the one of theirs that the fewest documents hold: tasks look the runs of
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsearch_spark.functions.text import let, normalize_ws, or_empty
+from docsearch_spark.functions.text import normalize_ws, or_empty
 from docsearch_spark.operators.chunking import segments
 from docsearch_spark.session import materialize
 
@@ -41,14 +41,6 @@ STEP_CHARS = 1 << 20
 STEP = 16
 
 
-def _runs(words: Column, n: int) -> Column:
-    """(len, anchor) of every run of ``n`` words."""
-    return F.when(F.size(words) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(words) - n + 1),
-        lambda i: F.struct(F.lit(n).alias("len"), F.xxhash64(F.slice(words, i, n)).alias("anchor"))
-    )).otherwise(F.array().cast("array<struct<len:int,anchor:bigint>>"))
-
-
 def _grams(t: Column, n: int) -> Column:
     """The distinct runs of ``n`` characters of a text, cut from short pieces of it."""
     return F.array_distinct(F.flatten(F.transform(segments(t, STEP + n - 1, n - 1), lambda part: F.when(
@@ -89,6 +81,93 @@ def _runs_at(codes: np.ndarray, at: np.ndarray, n: int) -> list[str]:
     return [text[i:i + n] for i in range(0, len(text), n)]
 
 
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
+def word_runs(texts: list[bytes], lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, text, hash) of the runs of ``n`` words in texts whose words have one space between
+    them. The hash of a run follows from the prefix sums at its two ends, whatever its length."""
+    held = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    size = np.array([len(t) for t in texts])
+    ends = np.flatnonzero(held == 32)
+    starts = np.r_[0, ends[:-1] + 1]
+    real = ends > starts  # an empty text has an empty word
+    starts, ends = starts[real], ends[real]
+    row = np.searchsorted(np.cumsum(size + 1), starts, "right")
+    total = np.r_[np.uint64(0), np.cumsum((held.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(held)))]
+    back = _powers(_INVERSE, len(held))[starts]
+    first = total[starts]
+    for n in lengths:
+        m = max(0, len(starts) - n + 1)
+        own = np.flatnonzero(row[:m] == row[n - 1:])
+        yield n, row[own], _mixed((total[ends[own + n - 1]] - first[own]) * back[own])
+
+
+def _steps(rb: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of consecutive rows of ``STEP_CHARS`` bytes or a row more."""
+    texts = [t or b"" for t in rb.column("t").cast(pa.binary()).to_pylist()]
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= STEP_CHARS or i == len(texts) - 1:
+            yield start, texts[start:i + 1]
+            start, held = i + 1, 0
+
+
+def run_anchors(runs: DataFrame) -> DataFrame:
+    """``runs`` with the hash (anchor) of its text ``t``, a run of ``len`` words."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            texts, size = rb.column("t").cast(pa.binary()).to_pylist(), rb.column("len").to_numpy()
+            anchor = np.zeros(rb.num_rows, np.uint64)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                for _, of, h in word_runs([texts[i] for i in at], [int(n)]):
+                    anchor[at[of]] = h
+            yield pa.RecordBatch.from_arrays(rb.columns + [pa.array(anchor.view(np.int64))],
+                                             names=rb.schema.names + ["anchor"])
+
+    return runs.mapInArrow(hashed, T.StructType(runs.schema.fields + [T.StructField("anchor", T.LongType())]))
+
+
+def offered_anchors(docs: DataFrame, anchors: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, len, anchor): the runs of words that documents (doc_id, t) and ``anchors``
+    (anchor) have in common, but for collisions in the table, once a document and batch."""
+    top = F.shiftrightunsigned("anchor", 44)
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[anchors.select(top.alias("bucket")).distinct().toArrow().column("bucket").to_numpy()] = True  # BUCKETS at most
+    shipped = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shipped.value
+        for rb in batches:
+            for start, texts in _steps(rb):
+                for n, of, h in word_runs(texts, lengths):
+                    at = np.flatnonzero(wanted[(h >> np.uint64(44)).astype(np.int64)])
+                    pairs = np.unique(np.stack([of[at], h[at].view(np.int64)], axis=1), axis=0)
+                    if len(pairs):
+                        yield pa.record_batch({
+                            "doc_id": rb.column("doc_id").take(pa.array(pairs[:, 0] + start)),
+                            "len": pa.array(np.full(len(pairs), n, np.int32)), "anchor": pa.array(pairs[:, 1])})
+
+    return docs.select("doc_id", "t").mapInArrow(run, T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("len", T.IntegerType()),
+        T.StructField("anchor", T.LongType())]))
+
+
 def wanted_buckets(grams: DataFrame) -> np.ndarray:
     """The table of wanted runs: which of the ``BUCKETS`` hold one of ``grams`` (gram)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,19 +194,10 @@ def offered_grams(docs: DataFrame, grams: DataFrame, lengths: list[int], count:
     shipped = docs.sparkSession.sparkContext.broadcast(wanted_buckets(grams))
     id_type = docs.schema["doc_id"].dataType
 
-    def steps(rb: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-        texts = rb.column("t").cast(pa.binary()).to_pylist()
-        start = held = 0
-        for i, t in enumerate(texts):
-            held += len(t or b"")
-            if held >= STEP_CHARS or i == len(texts) - 1:
-                yield start, texts[start:i + 1]
-                start, held = i + 1, 0
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shipped.value
         for rb in batches:
-            for start, texts in steps(rb):
+            for start, texts in _steps(rb):
                 codes, row = _codes(texts)
                 for n in lengths:
                     of, at = _found(codes, row, n, wanted)
@@ -176,19 +246,21 @@ def passage_matches(documents: DataFrame, doc_id: str, text_col: str, passages:
     match nothing."""
     pats = (passages.select(F.col(item_id).alias("item_id"), normalize_ws(or_empty(passage_col)).alias("p"))
             .filter(F.length("p") > 0).withColumn("w", F.split("p", " ")))
-    inner = F.size("w") - F.lit(2)
-    anchored = materialize(pats.filter(F.size("w") >= 3).select(
-        "item_id", "p", F.least(inner, F.lit(ANCHOR_WORDS)).alias("len"),
-        F.xxhash64(F.slice("w", F.lit(2), F.least(inner, F.lit(ANCHOR_WORDS)))).alias("anchor")), "anchors")
+    n_anchor = F.least(F.size("w") - F.lit(2), F.lit(ANCHOR_WORDS))
+    anchored = materialize(run_anchors(pats.filter(F.size("w") >= 3).select(
+        "item_id", "p", n_anchor.alias("len"), F.array_join(F.slice("w", F.lit(2), n_anchor), " ").alias("t"))
+    ).drop("t"), "anchors")
     lengths = sorted(r["len"] for r in anchored.select("len").distinct().collect())  # ANCHOR_WORDS at most
-    docs = documents.select(F.col(doc_id).alias("doc_id"), normalize_ws(or_empty(text_col)).alias("t"))
+    raw = documents.select(F.col(doc_id).alias("doc_id"), or_empty(text_col).alias("t"))
+    docs = raw.withColumn("t", normalize_ws("t"))
     out = None
     if lengths:
-        runs = let(F.split("t", " "), lambda w: F.concat(*[_runs(w, n) for n in lengths]))
-        found = (docs.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.len", "r.anchor")
-                 .join(anchored.select("item_id", "len", "anchor"), ["len", "anchor"])
-                 .select("item_id", "doc_id").distinct())
-        out = (found.join(docs, "doc_id").join(anchored.select("item_id", "p"), "item_id")
+        # stored, so that the planner knows their size before it moves the documents
+        found = materialize(offered_anchors(docs, anchored, lengths)
+                            .join(anchored.select("item_id", "len", "anchor"), ["len", "anchor"])
+                            .select("item_id", "doc_id").distinct(), "found")
+        out = (found.join(raw, "doc_id").withColumn("t", normalize_ws("t"))
+               .join(anchored.select("item_id", "p"), "item_id")
                .filter(F.contains("t", "p")).select("item_id", "doc_id"))
     short = materialize(pats.filter(F.size("w") < 3).select("item_id", "p"), "short-passages")
     if short.limit(1).count():

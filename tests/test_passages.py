@@ -51,3 +51,31 @@ def test_only_wanted_runs_leave_the_documents(spark):
     counts = {r["gram"]: r["n"] for r in passages.offered_grams(docs, wanted, [1, 2, 3, 4], count=True).collect()}
     assert counts == {g: sum(x == g for _, x in want) for g in grams if any(x == g for _, x in want)}
     assert passages.wanted_buckets(wanted).sum() <= len(grams)
+
+
+def test_only_wanted_runs_of_words_leave_the_documents(spark):
+    """Documents offered a row for every run of every length."""
+    rng = random.Random(4)
+    words = ["a", "bb", "é日", "𝒳", "no", "x" * 40]
+    texts = [(d, " ".join(rng.choice(words) for _ in range(rng.randrange(40)))) for d in range(200)] + [(500, None)]
+    runs = [(n, " ".join(rng.choice(words) for _ in range(n))) for n in (1, 2, 3, 5, 8) for _ in range(3)]
+    anchors = passages.run_anchors(spark.createDataFrame(sorted(set(runs)), "len int, t string")).collect()
+    assert len({r["anchor"] for r in anchors}) == len(set(runs))
+    got = passages.offered_anchors(
+        spark.createDataFrame(texts, "doc_id long, t string").coalesce(1),
+        spark.createDataFrame([(r["anchor"],) for r in anchors], "anchor long"), [1, 2, 3, 5, 8]).collect()
+    want = {(d, r["len"], r["anchor"]) for d, t in texts for r in anchors if f" {r['t']} " in f" {t} "}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_passages_of_many_lengths_in_repeated_documents(spark):
+    rng = random.Random(6)
+    words = ["ab", "c", "é", "日本", "de", "fgh"]
+    docs = [(d, "  ".join(rng.choice(words) for _ in range(rng.randrange(80)))) for d in range(80)]
+    items = []
+    for i in range(300):
+        t = " ".join(docs[rng.randrange(80)][1].split())
+        a = rng.randrange(len(t) + 1)
+        items.append((i, t[a:a + rng.randrange(60)]))
+    want = searched(docs, items)
+    assert found(spark, docs, items) == want and len(want) > 300
