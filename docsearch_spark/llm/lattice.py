@@ -33,7 +33,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +113,8 @@ class Lattice:
         self.placed = placed
         at, hashes, ids, self.probes = placed
         self.slots[at], self.ids[at] = hashes, ids
+        self.taken = np.zeros(1 << self.BITS, bool)  # small enough for a core's cache
+        self.taken[at] = True
 
     def _place(self, pieces: list[str]) -> None:
         for i, piece in enumerate(pieces):
@@ -128,13 +130,18 @@ class Lattice:
                 self.slots[at], self.ids[at] = h, i
                 self.probes = max(self.probes, probe)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, ids) of the hashes that are pieces, ascending by place. Most are of no piece,
+        and most of those meet a free slot at once."""
         at = ((h * self.STEP) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        place = np.flatnonzero(self.taken[at])
+        at, h = at[place], h[place]
         out = np.where(self.slots[at] == h, self.ids[at], self.none)
         for _ in range(self.probes - 1):
             at = (at + 1) & ((1 << self.BITS) - 1)
             out = np.where((out == self.none) & (self.slots[at] == h), self.ids[at], out)
-        return out
+        real = np.flatnonzero(out != self.none)
+        return place[real], out[real]
 
     def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, code points) of words of one length, within ``CELLS``."""
@@ -146,48 +153,56 @@ class Lattice:
             same = np.searchsorted(lengths[order], n, "right")
             stop = min(same, at + max(1, CELLS // (n * min(n, self.longest))))
             rows = order[at:stop]
-            text = "".join(MARK + words[i] for i in rows)
+            text = MARK + MARK.join([words[i] for i in rows])
             yield rows, np.frombuffer(text.encode("utf-32-le", "surrogatepass"),
                                       np.uint32).reshape(len(rows), n)
             at = stop
 
-    def arcs(self, codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, dict[int, list[int]]]:
-        """Piece ids by length and start; log weights of single characters; byte spellings."""
-        n = codes.shape[1]
-        ids, h = [], np.zeros(codes.shape, np.uint64)
-        units = codes.astype(np.uint64) + np.uint64(1)
-        for size in range(1, min(n, self.longest) + 1):
-            h = h[:, :n - size + 1] * self.STEP + units[:, size - 1:]
-            ids.append(self._find(h))
-        single = self.log_p[ids[0]]
+    def arcs(self, codes: np.ndarray) -> tuple[np.ndarray, list, np.ndarray, dict[int, list[int]]]:
+        """Piece ids and log weights of single characters, by start; (rows, ids, log weights) of
+        the longer pieces by length and start; byte spellings."""
+        rows, n = codes.shape
+        longer: list = []
+        h = units = codes.T.astype(np.uint64) + np.uint64(1)  # a start's words lie side by side
+        first = np.full(n * rows, self.none, np.int32)
+        place, ids = self._find(h.ravel())
+        first[place] = ids
+        first = first.reshape(n, rows)
+        for size in range(2, min(n, self.longest) + 1):
+            h = h[:n - size + 1] * self.STEP + units[size - 1:]
+            place, ids = self._find(h.ravel())
+            word, weight = place % rows, self.log_p[ids]
+            ends = np.searchsorted(place, np.arange(n - size + 2) * rows).tolist()
+            longer.append([(word[x:y], ids[x:y], weight[x:y]) for x, y in zip(ends, ends[1:])])
+        single = self.log_p[first]
         spelt: dict[int, list[int]] = {}
-        if (lacking := ids[0] == self.none).any():
-            for c in np.unique(codes[lacking]):
+        if (lacking := first == self.none).any():
+            turned = codes.T
+            for c in np.unique(turned[lacking]):
                 spelt[int(c)] = [self.by_byte[b] for b in chr(int(c)).encode("utf-8", "surrogatepass")]
-                single[codes == c] = self.log_p[spelt[int(c)]].sum()
-        return ids, single, spelt
-
-    def forward(self, ids: list[np.ndarray], single: np.ndarray) -> np.ndarray:
-        """Log sums over the segmentations of each prefix."""
-        n = single.shape[1]
-        alpha = np.full((single.shape[0], n + 1), -np.inf)
-        alpha[:, 0] = 0.0
+                single[turned == c] = self.log_p[spelt[int(c)]].sum()
+        return first, longer, single, spelt
+
+    def forward(self, longer: list, single: np.ndarray) -> np.ndarray:
+        """Log sums over the segmentations of each prefix, by its length."""
+        n, rows = single.shape
+        alpha = np.full((n + 1, rows), -np.inf)
+        alpha[0] = 0.0
         for j in range(1, n + 1):
-            acc = alpha[:, j - 1] + single[:, j - 1]
-            for size in range(2, min(j, len(ids)) + 1):
-                arc = ids[size - 1][:, j - size]
-                hit = np.flatnonzero(arc != self.none)
+            acc = alpha[j - 1] + single[j - 1]
+            for size in range(2, min(j, len(longer) + 1) + 1):
+                hit, _, weight = longer[size - 2][j - size]
                 if len(hit):
-                    acc[hit] = np.logaddexp(acc[hit], alpha[hit, j - size] + self.log_p[arc[hit]])
-            alpha[:, j] = acc
+                    acc[hit] = np.logaddexp(acc[hit], alpha[j - size][hit] + weight)
+            alpha[j] = acc
         return alpha
 
     def log_sums(self, words: list[str]) -> np.ndarray:
         """Natural log of each word's lattice sum."""
         out = np.zeros(len(words))
         for rows, codes in self.groups(words):
-            ids, single, _ = self.arcs(codes)
-            out[rows] = self.forward(ids, single)[:, -1]
+            _, longer, single, _ = self.arcs(codes)
+            out[rows] = self.forward(longer, single)[-1]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, whole: np.ndarray
@@ -199,29 +214,27 @@ class Lattice:
         uses = np.zeros(self.none + 1)
         kept = np.zeros(len(words))
         for rows, codes in self.groups(words):
-            ids, single, spelt = self.arcs(codes)
+            first, longer, single, spelt = self.arcs(codes)
             n = codes.shape[1]
-            alpha = self.forward(ids, single)
-            total = np.logaddexp(alpha[:, -1], whole[rows])
+            alpha = self.forward(longer, single)
+            total = np.logaddexp(alpha[-1], whole[rows])
             kept[rows] = counts[rows] * np.exp(whole[rows] - total)
             beta = np.full_like(alpha, -np.inf)
-            beta[:, n] = np.log(counts[rows]) - total
+            beta[n] = np.log(counts[rows]) - total
             for i in range(n - 1, -1, -1):
-                one = single[:, i] + beta[:, i + 1]
-                acc = one.copy()
-                g = np.exp(alpha[:, i] + one)
-                np.add.at(uses, ids[0][:, i], g)
+                acc = single[i] + beta[i + 1]
+                g = np.exp(alpha[i] + acc)
+                np.add.at(uses, first[i], g)
                 if spelt:
-                    for k in np.flatnonzero(ids[0][:, i] == self.none):
+                    for k in np.flatnonzero(first[i] == self.none):
                         np.add.at(uses, spelt[int(codes[k, i])], g[k])
-                for size in range(2, min(n - i, len(ids)) + 1):
-                    arc = ids[size - 1][:, i]
-                    hit = np.flatnonzero(arc != self.none)
+                for size in range(2, min(n - i, len(longer) + 1) + 1):
+                    hit, ids, weight = longer[size - 2][i]
                     if len(hit):
-                        via = self.log_p[arc[hit]] + beta[hit, i + size]
-                        np.add.at(uses, arc[hit], np.exp(alpha[hit, i] + via))
+                        via = weight + beta[i + size][hit]
+                        np.add.at(uses, ids, np.exp(alpha[i][hit] + via))
                         acc[hit] = np.logaddexp(acc[hit], via)
-                beta[:, i] = acc
+                beta[i] = acc
         return uses[:-1], kept
 
 
@@ -388,7 +401,7 @@ def score_documents(df: DataFrame, train: Column, pieces_path: str, key: str = "
                     for t in utf8(batch.column("text"))]
             lines = list(chain.from_iterable(docs))
             words = list(chain.from_iterable(lines))
-            at = np.fromiter((get(w, last) for w in words), np.int64, len(words))
+            at = np.fromiter(map(get, words, repeat(last)), np.int64, len(words))
             sizes = np.fromiter(map(len, lines), np.int64, len(lines))
             line = np.repeat(np.arange(len(lines)), sizes)
             doc = np.repeat(np.arange(len(docs)), [len(x) for x in docs])

@@ -176,6 +176,28 @@ def test_lattice_sum_and_expected_uses_equal_enumeration():
     assert np.allclose(uses, want_uses) and np.allclose(kept, want_kept)
 
 
+def test_lattice_lookup_hands_on_only_pieces():
+    """All places of all lengths were handed on and searched for pieces again, forwards and backwards."""
+    rng = random.Random(2)
+    pieces = sorted({"".join(rng.choice("▁abcé") for _ in range(rng.randrange(1, 7))) for _ in range(1500)}) + [""] * 256
+    by_byte = list(range(len(pieces) - 256, len(pieces)))
+    table = lattice.Lattice(pieces, np.log(np.full(len(pieces), 1 / len(pieces))), by_byte)
+    words = ["".join(rng.choice("abcéx") for _ in range(rng.randrange(9))) for _ in range(300)]
+    number = {p: i for i, p in enumerate(pieces) if p}
+    met = 0
+    for rows, codes in table.groups(words):
+        first, longer, _, _ = table.arcs(codes)
+        for k, i in enumerate(rows):
+            w = lattice.MARK + words[i]
+            assert [number.get(x, table.none) for x in w] == first[:, k].tolist()
+        for size, by_start in enumerate(longer, 2):
+            for start, (hit, ids, _) in enumerate(by_start):
+                texts = [(lattice.MARK + words[i])[start:start + size] for i in rows]
+                assert [(k, number[t]) for k, t in enumerate(texts) if t in number] == list(zip(hit, ids))
+                met += len(hit)
+    assert met > 1000
+
+
 def held(d):
     return zlib.crc32(str(d).encode()) % 7 == 2
 
