@@ -2,10 +2,12 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from docsearch_spark.operators import chunking
 from docsearch_spark.plans import catalog
+from docsearch_spark.session import scratch_path
 
 
 def test_documents_are_staged_in_folders_and_scanned_whole(spark, tmpdir_path, monkeypatch):
@@ -39,3 +41,31 @@ def test_staged_texts_are_files_of_their_folders(spark, tmpdir_path, monkeypatch
     want = {f"doc_id={i}.txt": t + "\n" for i, t in texts[:10]}
     want["doc_id=3.txt"] = "other\n" + want["doc_id=3.txt"]
     assert held == want | {"doc_id=11.txt": "\n", "doc_id=12.txt": "\n", f"doc_id={catalog.NO_ID}.txt": "no id\n"}
+
+
+def test_dense_rows_are_not_sorted_by_bucket_before_the_write(spark, monkeypatch):
+    """Tasks keep some buckets' files open; the session's setting is as before, also after a failure."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from docsearch_spark.operators import index as IX
+    docs = spark.createDataFrame([(i, f"/{i}", f"text {i} " * 300) for i in range(200)],
+                                 "doc_id long, source_path string, text string").coalesce(1)
+    seen, before, path = [], spark.conf.get(IX.WRITERS), scratch_path(spark, "index")
+    real = DataFrameWriter.parquet
+
+    def spy(writer, *args, **kw):
+        seen.append(int(spark.conf.get(IX.WRITERS)))
+        return real(writer, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    IX.write_index(IX.late_dense(IX.build_index(docs, dim=32, n_buckets=16, dense=False), 32), path)
+    assert seen and min(seen) >= IX.OPEN_BUCKETS and spark.conf.get(IX.WRITERS) == before
+    got = spark.read.parquet(path)
+    want = IX.build_index(docs, dim=32, n_buckets=16)
+    cols = ["doc_id", "chunk_index", "bucket", "content", "embedding"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+    wrong = IX.late_dense(IX.build_index(docs, dim=32, n_buckets=16, dense=False), 32).withColumn(
+        "chunk_id", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception):
+        IX.write_index(wrong, scratch_path(spark, "index"))
+    assert spark.conf.get(IX.WRITERS) == before
