@@ -38,6 +38,8 @@ from docsearch_spark.schemas import EMBED_BATCH, EMBED_DIM, NORM_EPS
 # native default embedder
 
 
+#: Texts whose tokens a worker holds at a time.
+COUNTED_ROWS = 2048
 #: Tokens whose hash a worker keeps; a full table is dropped and filled anew.
 KEPT_TOKENS = 1 << 20
 _HASHES: dict[str, int] = {}
@@ -148,11 +150,13 @@ def embed_sparse(df: DataFrame, text_col: str, dim: int = EMBED_DIM,
     edges = token_edges(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            idx, val = sparse_counts(rb.column(tmp), dim, in_edges(edges))
-            own = [i for i, name in enumerate(rb.schema.names) if name != tmp]
-            yield pa.RecordBatch.from_arrays([rb.column(i) for i in own] + [idx, val],
-                                             names=[rb.schema.names[i] for i in own] + [idx_col, val_col])
+        for whole in batches:
+            own = [i for i, name in enumerate(whole.schema.names) if name != tmp]
+            for at in range(0, whole.num_rows, COUNTED_ROWS):
+                rb = whole.slice(at, COUNTED_ROWS)
+                idx, val = sparse_counts(rb.column(tmp), dim, in_edges(edges))
+                yield pa.RecordBatch.from_arrays([rb.column(i) for i in own] + [idx, val],
+                                                 names=[rb.schema.names[i] for i in own] + [idx_col, val_col])
 
     return kept.select("*", F.lower(or_empty(text_col)).alias(tmp)).mapInArrow(run, schema)
 
