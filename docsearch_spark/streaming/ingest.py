@@ -21,7 +21,9 @@ and rewrites only the buckets they fall into:
 
 from __future__ import annotations
 
+import contextlib
 import functools
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from docsearch_spark.operators import index as I
 from docsearch_spark.schemas import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE
-from docsearch_spark.session import materialize
+from docsearch_spark.session import scratch_path
 from docsearch_spark.sources.files import delete_path, list_names, path_exists
 
 LANDING_SCHEMA = T.StructType([
@@ -62,14 +64,44 @@ def current_index(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(*paths) if paths else None
 
 
+@contextlib.contextmanager
+def _scratch(spark: SparkSession) -> Iterator[tuple[Callable, Callable]]:
+    """(store, drop): ``store`` writes a table and reads it back, as ``materialize`` does, ``drop``
+    deletes one by its name; what is left goes at the end, also of a failed batch."""
+    held: dict[str, str] = {}
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        held[name] = scratch_path(spark, name)
+        df.write.parquet(held[name])
+        return spark.read.schema(df.schema).parquet(held[name])
+
+    def drop(name: str) -> None:
+        if name in held:
+            delete_path(spark, held.pop(name))
+
+    try:
+        yield store, drop
+    finally:
+        for name in list(held):
+            drop(name)
+
+
 def merge_batch(batch: DataFrame, root: str, size: int, overlap: int, dim: int, n_buckets: int,
                 dense: bool = True, versions_known: bool = False) -> list[int]:
     """Merge (doc_id, source_path, text, version) rows; the buckets rewritten. With
-    ``versions_known`` the caller has left out what is not newer than the index."""
+    ``versions_known`` the caller has left out what is not newer than the index. What a
+    batch stores on the way is deleted as soon as nothing reads it any more."""
+    with _scratch(batch.sparkSession) as (store, drop):
+        return _merge(batch, root, size, overlap, dim, n_buckets, dense, versions_known, store, drop)
+
+
+def _merge(batch: DataFrame, root: str, size: int, overlap: int, dim: int, n_buckets: int, dense: bool,
+           versions_known: bool, store: Callable, drop: Callable) -> list[int]:
+    """:func:`merge_batch` with its scratch tables."""
     spark = batch.sparkSession
     root = root.rstrip("/")
-    newest = materialize(I.newest_version(batch).withColumn("__bucket", I.doc_bucket("doc_id", n_buckets)),
-                         "landed")
+    newest = store(I.newest_version(batch).withColumn("__bucket", I.doc_bucket("doc_id", n_buckets)),
+                   "landed")
     commits = _commits(spark, root)
     live = _live(spark, root, commits[-1]) if commits else {}
     touched = [r[0] for r in newest.select("__bucket").distinct().collect()]  # at most n_buckets
@@ -81,10 +113,14 @@ def merge_batch(batch: DataFrame, root: str, size: int, overlap: int, dim: int,
                     .filter(F.col("bucket").isin(touched)).select("doc_id", "version"))
     if seen:
         held = functools.reduce(DataFrame.unionByName, seen).groupBy("doc_id").agg(F.max("version").alias("held"))
-        newest = materialize(newest.join(held, "doc_id", "left").filter(
+        newest = store(newest.join(held, "doc_id", "left").filter(
             F.col("held").isNull() | (F.col("version") > F.col("held"))).drop("held"), "newer")
+        drop("landed")
     # sparse up to the write: dense vectors take part in no join and no shuffle
-    chunks = materialize(I.build_index(newest, size, overlap, dim, n_buckets, dense=False, keep=("version",)), "chunks")
+    chunks = store(I.build_index(newest, size, overlap, dim, n_buckets, dense=False, keep=("version",)), "chunks")
+    newest = store(newest.select("doc_id", "version", "__bucket"), "merged")  # the texts are done with
+    drop("landed")
+    drop("newer")
     changed = sorted(r[0] for r in chunks.select("bucket").distinct().collect())
     if not changed:
         _note(newest, root)

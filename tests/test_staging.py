@@ -69,3 +69,29 @@ def test_dense_rows_are_not_sorted_by_bucket_before_the_write(spark, monkeypatch
     with pytest.raises(Exception):
         IX.write_index(wrong, scratch_path(spark, "index"))
     assert spark.conf.get(IX.WRITERS) == before
+
+
+def test_a_merged_batch_leaves_no_scratch_tables(spark, monkeypatch):
+    """Not after a commit, a batch without news, or a failed write; the index is as before."""
+    from docsearch_spark.operators import index as IX
+    from docsearch_spark.session import checkpoint_dir
+    from docsearch_spark.streaming import ingest
+
+    def held():
+        return {n for n in os.listdir(checkpoint_dir(spark).removeprefix("file://"))
+                if n.split("-")[0] in ("landed", "newer", "chunks", "merged")}
+
+    def batch(version, ids):
+        return spark.createDataFrame([(i, f"/{i}", f"text {i} in {version}", version) for i in ids], ingest.LANDING_SCHEMA)
+
+    root, before = scratch_path(spark, "stream"), held()
+    assert ingest.merge_batch(batch(1, range(9)), root, 200, 20, 16, 4)
+    assert ingest.merge_batch(batch(2, (1, 5)), root, 200, 20, 16, 4)
+    assert ingest.merge_batch(batch(1, (1, 5)), root, 200, 20, 16, 4) == []
+    real = IX.write_index
+    monkeypatch.setattr(IX, "write_index", lambda *a, **k: real(*a, **k) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest.merge_batch(batch(3, (2,)), root, 200, 20, 16, 4)
+    assert held() == before
+    rows = ingest.current_index(spark, root).select("doc_id", "content").collect()
+    assert sorted((r[0], r[1]) for r in rows) == [(i, f"text {i} in {2 if i in (1, 5) else 1}") for i in range(9)]
